@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tesserae.llm import quality
+from tesserae.llm import chat, decontaminate, licenses, quality, secrets, warc
 
-QUERIES = {"op9_quality_rules": quality.op9_quality_rules}
-ORACLES = {"op9_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_warc": warc.op4_warc,
+    "op5_chat_format": chat.op5_chat_format,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_quality_rules": quality.op9_quality_rules,
+}
+ORACLES = {
+    "op3_secret_scan": secrets.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
+    "op8_license_scan": licenses.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
+}
