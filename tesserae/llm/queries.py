@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, decontaminate, licenses, quality, secrets, warc
+from tesserae.llm import chat, decontaminate, htmltext, licenses, quality, secrets, substrings, warc
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_warc": warc.op4_warc,
     "op5_chat_format": chat.op5_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_html_text": htmltext.op10_html_text,
 }
 ORACLES = {
     "op3_secret_scan": secrets.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op7_substring_dedup": substrings.ORACLE,
     "op8_license_scan": licenses.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op10_html_text": htmltext.ORACLE,
 }
