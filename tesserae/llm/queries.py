@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, decontaminate, htmltext, licenses, quality, secrets, substrings, warc
+from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, quality, secrets, substrings, warc
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_warc": warc.op4_warc,
     "op5_chat_format": chat.op5_chat_format,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_html_text": htmltext.op10_html_text,
 }
 ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_secret_scan": secrets.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
