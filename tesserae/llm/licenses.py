@@ -7,8 +7,8 @@ whose word interval contains the other's stays, and of equal intervals the one
 of higher priority.
 
 Nulls and odd cases: a null or empty text has no words, no labels and score 0.
-Each input row gives one row, repeated rows too (rows are joined by id and a
-hash of id and text); null ids stay null.  Texts are read whole.
+Each input row gives one row, repeated rows too (rows are joined by a number
+that is stored with them); null ids stay null.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import with_row_key
+from tesserae.llm.storage import stored
 from tesserae.llm.textsql import WORD_ANY_CASE, ascii_lower, plain_words
 
 #: Base phrases and their labels.
@@ -135,14 +135,20 @@ def normalised(words: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
 
 
-def _gate() -> str:
-    """A regex over raw texts that each base phrase and each rule's keyword makes true: keywords with any separators between words."""
-    keys = sorted({r.keyword for r in rules()} | {"license"})
-    return "(?i)" + "|".join(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+".join(k.split(" ")) for k in keys)
+#: One of these, lower case, stands in every match of a base phrase or a rule; "cc by" has its own regex.
+GATE_WORDS = ("licen", "gpl", "bsd", "cecill", "cc0", "wtfpl", "commons", "domain", "reserved")
+GATE_CC_BY = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+
+
+def gate(text: Column) -> Column:
+    """Whether a text can have a match at all; false for null.  Full lower case never takes an ASCII letter away."""
+    lowered = F.lower(text)
+    tests = [F.contains(lowered, F.lit(w)) for w in GATE_WORDS] + [text.rlike(GATE_CC_BY)]
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
 def detections(gated: DataFrame) -> DataFrame:
-    """(_id, _key, label, priority, start, end) of the rules, by words, after suppression.  gated has _id, _key and _norm.
+    """(_row, label, priority, start, end) of the rules, by words, after suppression.  gated has _row, its own for each text, and _norm.
 
     Within a text, ordered by start, then the longer one, then priority, an
     interval lies in an earlier one just when an earlier end reaches its end.
@@ -150,21 +156,21 @@ def detections(gated: DataFrame) -> DataFrame:
     table = rule_table(gated.sparkSession)
     keys = sorted({r.keyword for r in rules()})
     present = F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("_norm"), F.replace(k, F.lit(" "), F.lit("  "))))
-    tried = gated.select("_id", "_key", "_norm", F.explode(present).alias("keyword")).join(F.broadcast(table), "keyword")
+    tried = gated.select("_row", "_norm", F.explode(present).alias("keyword")).join(F.broadcast(table), "keyword")
     # a rule's matches are cut out, and the words before a place are half the spaces before it
     between, found = F.split("_norm", F.col("regex"), -1), F.regexp_extract_all("_norm", F.col("regex"), F.lit(0))
     tried = tried.withColumn("found", found).filter(F.size("found") > 0).withColumn("between", between)
     count = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2
     sized = tried.select(
-        "_id", "_key", "rank", "label", "priority",
+        "_row", "rank", "label", "priority",
         F.transform("found", count).alias("m"),
         F.transform(F.slice("between", F.lit(1), F.size("found")), count).alias("b"),
     )
-    each = sized.select("_id", "_key", "rank", "label", "priority", F.posexplode(F.arrays_zip("b", "m")).alias("i", "x"))
-    so_far = W.partitionBy("_id", "_key", "rank").orderBy("i")
+    each = sized.select("_row", "rank", "label", "priority", F.posexplode(F.arrays_zip("b", "m")).alias("i", "x")).repartition("_row")
+    so_far = W.partitionBy("_row", "rank").orderBy("i")
     end = F.sum(F.col("x.b") + F.col("x.m")).over(so_far)
-    spans = each.select("_id", "_key", "rank", "label", "priority", end.cast("int").alias("end"), F.col("x.m").cast("int").alias("n")).withColumn("start", F.col("end") - F.col("n"))
-    before = W.partitionBy("_id", "_key").orderBy("start", F.desc("end"), "rank").rowsBetween(W.unboundedPreceding, -1)
+    spans = each.select("_row", "rank", "label", "priority", end.cast("int").alias("end"), F.col("x.m").cast("int").alias("n")).withColumn("start", F.col("end") - F.col("n"))
+    before = W.partitionBy("_row").orderBy("start", F.desc("end"), "rank").rowsBetween(W.unboundedPreceding, -1)
     return spans.withColumn("reach", F.max("end").over(before)).filter("reach is null or reach < end").drop("reach", "rank", "n")
 
 
@@ -184,21 +190,21 @@ def _base_places(words: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without their text, with n_words, n_base, first_word, last_word, base_labels and labels (arrays), score.
 
-    Counting words is one pass; texts that the gate lets through go on, as
-    detections without their texts, and are joined back by key.
+    One pass over the texts counts words and, for those that the gate lets
+    through, finds base phrases and keeps the normalised words.  It is stored
+    with a number for each row; the rules are tried on the kept words, and only
+    labels are joined back.
     """
-    keyed = with_row_key(docs, text_col=text_col)
-    text = F.col(text_col)
-    gate = F.coalesce(text.rlike(_gate()), F.lit(False))
-    words = F.col("_words")
-    gated = keyed.filter(gate).select("_id", "_key", plain_words(ascii_lower(text)).alias("_words")).dropDuplicates(["_id", "_key"])
-    based = keyed.withColumns(
+    text, words = F.col(text_col), F.col("_words")
+    base = docs.withColumns(
         {
             "n_words": F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long"),
-            "_words": F.when(gate, plain_words(ascii_lower(text))).otherwise(F.expr("cast(array() as array<string>)")),
+            "_words": F.when(gate(text), plain_words(ascii_lower(text))),
+            "_row": F.monotonically_increasing_id(),
         }
-    ).withColumn("_places", F.when(F.size(words) > 0, _base_places(words)).otherwise(F.expr("cast(array() as array<struct<at:int,label:string>>)")))
-    based = based.withColumns(
+    )
+    base = base.withColumns({"_norm": normalised(words), "_places": F.coalesce(_base_places(words), F.expr("cast(array() as array<struct<at:int,label:string>>)"))})
+    base = base.withColumns(
         {
             "n_base": F.size("_places").cast("long"),
             "first_word": F.get("_places", F.lit(0))["at"].cast("long"),
@@ -206,18 +212,19 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "base_labels": F.sort_array(F.array_distinct(F.col("_places.label"))),
         }
     ).drop(text_col, "_words", "_places")
+    base = stored(base, "license-texts")
     of = (
-        detections(gated.select("_id", "_key", normalised(words).alias("_norm")))
-        .groupBy("_id", "_key")
+        detections(base.filter(F.col("_norm").isNotNull()).select("_row", "_norm"))
+        .groupBy("_row")
         .agg(F.collect_set("label").alias("_own"), F.max("priority").alias("_best"))
     )
-    out = based.join(of, ["_id", "_key"], "left")
+    out = base.drop("_norm").join(of, "_row", "left")
     return out.withColumns(
         {
             "labels": F.sort_array(F.array_distinct(F.concat("base_labels", F.coalesce("_own", F.expr("cast(array() as array<string>)"))))),
             "score": F.greatest(F.coalesce(F.col("_best") / 100, F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)),
         }
-    ).drop("_own", "_best")
+    ).drop("_own", "_best", "_row")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
