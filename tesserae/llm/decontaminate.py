@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, stored, with_row_key
+from tesserae.llm.storage import restricted, small, stored, with_row_key
 from tesserae.llm.textsql import WORD_ANY_CASE, ascii_lower, plain_words
 
 WINDOW = 10
@@ -151,7 +151,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Pipeline stage: documents without a window of the benchmark, with the columns they came with."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = with_row_key(docs)
-    return keyed.join(phrase_matches(docs, items).select("_id", "_key"), ["_id", "_key"], "left_anti").select(*docs.columns)
+    return keyed.join(small(phrase_matches(docs, items).select("_id", "_key")), ["_id", "_key"], "left_anti").select(*docs.columns)
 
 
 WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, quality, secrets, substrings, warc
+from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, packing, quality, secrets, substrings, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_warc": warc.op4_warc,

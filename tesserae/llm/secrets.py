@@ -21,7 +21,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, stored, with_row_key
+from tesserae.llm.storage import restricted, small, stored, with_row_key
 from tesserae.llm.textsql import match_spans
 
 
@@ -240,7 +240,7 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] =
     keyed = with_row_key(docs, text_col=text_col)
     found = stored(candidates(keyed, rules, text_col), "secret-candidates")
     gated = {i for i, r in enumerate(rules) if trigram_query(r.pattern)}
-    out = keyed.join(found, ["_id", "_key"], "left")
+    out = keyed.join(small(found), ["_id", "_key"], "left")
     text = F.col(text_col)
     for i, r in enumerate(rules):
         looked = F.coalesce(F.array_contains("rules", i), F.lit(False)) if i in gated else F.coalesce(text.rlike(_first_look(r)), F.lit(False))
@@ -258,6 +258,15 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] =
     return out.select(*columns)
 
 
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: all documents, their secrets replaced by <SECRET> and n_chars counted anew where there is such a column."""
+    out = redacted(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def _duck_spans(k: int, rule: Rule) -> str:
     pattern = rule.pattern.replace("'", "''")
     fits = f"AND regexp_full_match(m, '{rule.fits.replace(chr(39), chr(39) * 2)}')" if rule.fits else ""

@@ -50,8 +50,12 @@ def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def restricted(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of docs whose key is in keys: keys are broadcast when they are few (BROADCAST_KEYS), else shuffled."""
-    keys = keys.select(*on).distinct()
+def small(keys: DataFrame) -> DataFrame:
+    """keys with a broadcast hint when they are few (BROADCAST_KEYS), else as they are, for a join by a shuffle."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return F.broadcast(keys) if few else keys
+
+
+def restricted(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of docs whose key is in keys, which are broadcast only when they are few."""
+    return docs.join(small(keys.select(*on).distinct()), on, "left_semi")

@@ -7,8 +7,11 @@ over its words' hashes.  Both depend on the words alone, not on where they stand
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at a time, so that memory does not follow the length of a text or a batch.
 CHUNK = 1 << 21
@@ -66,6 +69,25 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], whole[at[0] : at[-1]]
 
 
+#: Text bytes that operators work on at a time; a single longer text is one part.
+PART_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch, *columns: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts in the given columns take about most bytes, since hashing takes many times as much."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, s in enumerate(sizes.tolist()):
+        if i > lo and held + s > most:
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += s
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def _cuts(offsets: np.ndarray, data: np.ndarray) -> list[int]:
     """Places at which no word is cut, at most CHUNK apart unless a single word is longer."""
     cuts, size = [0], len(data)
