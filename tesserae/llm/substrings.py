@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.wordhash import Words
+from tesserae.llm.wordhash import Words, parts
 
 WINDOW = 35
 #: A difference cover modulo 21; all of 0..20 are differences of two of its residues.
@@ -75,9 +75,14 @@ def _counted(block: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, list[np.
 def _emit_anchors(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(batch.column("text").fill_null(""))
-            at, h = _anchors(words, window)
-            blocks, (h,), n = _counted(batch.column("block").to_numpy()[words.row[at]], h)
+            found = []
+            for part in parts(batch, "text"):
+                words = Words(part.column("text").fill_null(""))
+                at, h = _anchors(words, window)
+                found.append((part.column("block").to_numpy()[words.row[at]], h))
+            if not found:
+                continue
+            blocks, (h,), n = _counted(*(np.concatenate(x) for x in zip(*found)))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(blocks), pa.array(n.astype(np.int64))], names=["h", "block", "n"])
 
     return run
@@ -123,9 +128,9 @@ def _is_in(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], marks_of: Callable, each: Callable) -> Iterator[pa.RecordBatch]:
+def _by_block(batches: Iterator[pa.RecordBatch], each: Callable) -> Iterator[pa.RecordBatch]:
     """Calls each(block, marks, row batch) for rows sorted by block and kind, with the block's own marks gathered before."""
-    current, parts, marks = None, [], None
+    current, own, marks = None, [], None
     for batch in batches:
         block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
         edges = np.flatnonzero((np.diff(block, prepend=block[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
@@ -133,13 +138,13 @@ def _by_block(batches: Iterator[pa.RecordBatch], marks_of: Callable, each: Calla
             if lo == hi:
                 continue
             if block[lo] != current:
-                current, parts, marks = block[lo], [], None
+                current, own, marks = block[lo], [], None
             part = batch.slice(lo, hi - lo)
             if kind[lo] == MARK:
-                parts.append((part.column("h").to_numpy().view(np.uint64), part.column("check").to_numpy(zero_copy_only=False)))
+                own.append(part.column("h").to_numpy().view(np.uint64))
                 continue
             if marks is None:
-                marks = marks_of(parts)
+                marks = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
             yield from each(int(current), marks, part)
 
 
@@ -193,7 +198,7 @@ def _extend(window: int) -> Callable:
                 yield _rows(COUNTED, len(h), block=pa.array(np.full(len(h), block)), h=pa.array(h.view(np.int64)), check=pa.array(check), n_words=pa.array(n.astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_block(batches, lambda parts: np.unique(np.concatenate([h for h, _ in parts])) if parts else np.empty(0, np.uint64), each)
+        return _by_block(batches, each)
 
     return run
 
@@ -201,12 +206,6 @@ def _extend(window: int) -> Callable:
 def _remove(window: int) -> Callable:
     """Finished documents pass; in the others the words of repeated windows are removed."""
 
-    def marks_of(parts: list) -> np.ndarray:
-        pairs = np.zeros(sum(len(h) for h, _ in parts), dtype=[("h", np.uint64), ("check", np.int32)])
-        if parts:
-            pairs["h"], pairs["check"] = np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts])
-        return np.sort(pairs)
-
     def each(block: int, marks: np.ndarray, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if part.column("kind")[0].as_py() == DONE:
             yield part.select(["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -216,10 +215,8 @@ def _remove(window: int) -> Callable:
             words = Words(docs.column("text"))
             _, left = _places(words)
             at = np.flatnonzero(left >= window)
-            maybe = at[_is_in(words.runs(at, window), np.unique(marks["h"]))]
-            keys = np.zeros(len(maybe), dtype=marks.dtype)
-            keys["h"], keys["check"] = _window_hashes(words, maybe, window)
-            twice = maybe[_is_in(keys, marks)]
+            # counted by 96 bits; within one block 64 tell its windows apart
+            twice = at[_is_in(words.runs(at, window), marks)]
             edge = np.zeros(len(words.hash) + 1, np.int64)
             np.add.at(edge, twice, 1)
             np.add.at(edge, twice + window, -1)
@@ -229,7 +226,7 @@ def _remove(window: int) -> Callable:
             yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_block(batches, marks_of, each)
+        return _by_block(batches, each)
 
     return run
 
@@ -238,7 +235,7 @@ def _marks(hashes: DataFrame, keys: list[str], n: str) -> DataFrame:
     """Of (keys, block, n) rows those whose keys occur more than once in all, as MARK rows."""
     again = hashes.withColumn("_all", F.sum(n).over(W.partitionBy(*keys))).filter("_all > 1")
     return again.select(
-        "block", F.lit(MARK).alias("kind"), "h", (F.col("check") if "check" in keys else F.lit(0)).alias("check"),
+        "block", F.lit(MARK).alias("kind"), "h", F.lit(None).cast("int").alias("check"),
         *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("texts", "binary"))),
     )
 
