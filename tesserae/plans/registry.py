@@ -1,6 +1,440 @@
-"""Queries over the library's own operators, with the SQL that gives the same rows."""
+"""Queries over the library's own operators, with DuckDB SQL for the same rows where SQL can express them.
+
+Each query runs over whole tables.  Searches take as queries the stated set of
+all benchmark texts, or the vectors whose id is divisible by 100.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tesserae.functions import similarity as sim
+from tesserae.functions import text as txt
+from tesserae.operators import answer, chunk, embed, guard, retrieve, stats, trace
+from tesserae.plans import sqltext as q
+from tesserae.sources import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", txt.content_tokens(F.col("text")).alias("tokens"))
+
+
+def as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", txt.content_tokens(F.col("text")).alias("tokens"))
+
+
+def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenized(spark, sf_dir)
+    return stats.with_idf(stats.term_stats(docs), stats.corpus_stats(docs))
+
+
+D_TOK = f"d AS (SELECT doc_id, {q.content('text')} AS ts FROM documents)"
+TERMS = f"{D_TOK}, occ AS (SELECT doc_id, unnest(ts) AS term FROM d), ts AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM occ GROUP BY term), cs AS (SELECT count(*) AS n, sum(len(ts)) AS total FROM d)"
+
+
+# --- text functions --------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(len({q.tokens('text')}) AS INTEGER) AS n_tokens, CAST(len({q.content('text')}) AS INTEGER) AS n_content FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = documents(spark, sf_dir).select("doc_id", txt.tokens(F.col("text")).alias("ts"))
+    return own.select("doc_id", F.size("ts").alias("n_tokens"), F.size(txt.content(F.col("ts"))).alias("n_content"))
+
+
+@query(f"WITH {TERMS}, v AS (SELECT '^' || term || '$' AS p FROM ts) SELECT gram, count(*) AS n FROM (SELECT unnest(flatten([list_transform(range(1, length(p) - n + 2), lambda i: p[i:i+n-1]) FOR n IN [3, 4, 5] IF length(p) >= n])) AS gram FROM v) GROUP BY gram")
+def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = tokenized(spark, sf_dir).select(F.explode("tokens").alias("term")).distinct()
+    return terms.select(F.explode(txt.char_ngrams(F.col("term"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 'latin' AS script, 'en' AS lang FROM documents")
+def detect_script_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", txt.dominant_script(F.coalesce("text", F.lit(""))).alias("script"), txt.detect_lang(F.coalesce("text", F.lit(""))).alias("lang"))
+
+
+@query(f"SELECT conv_id, turn, {q.query_type('text')} AS query_type FROM conversations WHERE role = 'user'")
+def classify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", txt.classify_query(F.coalesce("text", F.lit(""))).alias("query_type"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '1[0-9]{3}|20[0-9]{2}')), ',') AS years FROM documents")
+def extract_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(F.array_join(txt.extract_years(F.col("text")), ","), F.lit("")).alias("years"))
+
+
+@query()
+def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", txt.extract_numbers(F.coalesce("html", F.lit(""))).alias("numbers")).select("page_id", F.size("numbers").alias("n"), F.array_join("numbers", "|").alias("numbers"))
+
+
+@query()
+def extract_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.array_join(txt.extract_claims(F.coalesce("text", F.lit(""))), "|").alias("claims"))
+
+
+@query()
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(txt.split_sentences(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.sentence")
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda b: trim(b) <> '')) AS INTEGER) AS n_paragraphs FROM documents")
+def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.size(txt.split_paragraphs(F.coalesce("text", F.lit("")))).alias("n_paragraphs"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, text[1:80] AS c FROM documents), b AS (SELECT *, length(c) - instr(reverse(c), ' ') AS sp, instr(reverse(c), ' ') AS has FROM c)
+SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(CASE WHEN has > 0 AND sp > 48 THEN c[1:sp] ELSE c END, ' ,;:.') || '…' END AS short FROM b""")
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", txt.truncate(F.col("text"), 80).alias("short"))
+
+
+@query()
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that share a stem with one of a few terms."""
+    terms = F.array(*map(F.lit, ("licensed", "license", "token", "version")))
+    return documents(spark, sf_dir).select("doc_id", F.explode(txt.highlight_spans(F.col("text"), terms)).alias("s")).select("doc_id", "s.start", "s.end")
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'text is empty' ELSE '' END AS reason FROM documents")
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.read_documents(spark, f"{sf_dir}/documents.parquet")
+    good, bad = corpus.validated(rows, "passage")
+    return good.select("doc_id", F.lit("").alias("reason")).unionByName(bad.select("doc_id", "reason"))
+
+
+# --- statistics ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TERMS} SELECT term, {q.stem('term')} AS stem, df, tf, round({q.idf('df', 'n')}, 6) AS idf FROM ts, cs")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_table(spark, sf_dir).select("term", "stem", "df", "tf", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {TERMS} SELECT n AS n_docs, CAST(total AS BIGINT) AS total_terms, round(total / n, 6) AS avg_len FROM cs")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.corpus_stats(tokenized(spark, sf_dir)).withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"WITH {TERMS} SELECT {q.stem('term')} AS stem, count(*) AS n, string_agg(term, ' ' ORDER BY term) AS forms FROM ts GROUP BY 1")
+def stem_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stem_surfaces(stats.term_stats(tokenized(spark, sf_dir))).select("stem", F.size("forms").cast("long").alias("n"), F.array_join("forms", " ").alias("forms"))
+
+
+CO = f"""{TERMS}, keep AS (SELECT term FROM ts WHERE df >= 2 OR NOT EXISTS (SELECT 1 FROM ts WHERE df >= 2)),
+pos AS (SELECT doc_id, unnest(ts) AS term, unnest(range(0, len(ts))) AS p FROM d), kept AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p FROM pos SEMI JOIN keep USING (term)),
+half AS (SELECT a.term AS a, b.term AS b, 1.0 / (b.p - a.p) AS w FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.p > a.p AND b.p <= a.p + 5 WHERE a.term <> b.term),
+co AS (SELECT a, b, sum(w)::DOUBLE AS weight FROM (SELECT a, b, w::DOUBLE AS w FROM half UNION ALL SELECT b, a, w::DOUBLE FROM half) GROUP BY a, b)"""
+
+
+def _cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenized(spark, sf_dir)
+    return stats.cooccurrence(docs, stats.vocabulary(stats.term_stats(docs)))
+
+
+@query(f"WITH {CO} SELECT a AS term, count(*) AS n_contexts, round(sum(weight), 4) AS weight FROM co GROUP BY a")
+def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cooccurrence(spark, sf_dir).groupBy(F.col("a").alias("term")).agg(F.count("*").alias("n_contexts"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query(f"""WITH {CO}, m AS (SELECT a AS t, sum(weight) AS m FROM co GROUP BY a), tt AS (SELECT sum(m) AS total, sum(pow(m, 0.75)) AS smooth FROM m),
+s AS (SELECT co.a AS term, co.b AS ctx, ln((weight / total) / ((x.m / total) * (pow(y.m, 0.75) / smooth))) AS w FROM co JOIN m x ON x.t = co.a JOIN m y ON y.t = co.b, tt),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(w, 9) DESC, ctx) AS rk FROM s WHERE w > 0)
+SELECT term, ctx, round(w, 5) AS w, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 4""")
+def ppmi_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ppmi(_cooccurrence(spark, sf_dir), max_contexts=4).select("term", "ctx", F.round("w", 5).alias("w"), "rk")
+
+
+# --- similarity and vectors ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {D_TOK}, b AS (SELECT item_id, {q.content('text')} AS ts FROM benchmark),
+dx AS (SELECT doc_id, unnest(ts) AS t FROM d), dc AS (SELECT doc_id, t, count(*) AS c FROM dx GROUP BY 1, 2), bx AS (SELECT item_id, unnest(ts) AS t FROM b), bc AS (SELECT item_id, t, count(*) AS c FROM bx GROUP BY 1, 2),
+j AS (SELECT item_id, doc_id, count(*) AS both_, sum(least(dc.c, bc.c)) AS same FROM dc JOIN bc USING (t) GROUP BY 1, 2),
+dn AS (SELECT doc_id, count(*) AS n, sum(c) AS l FROM dc GROUP BY 1), bn AS (SELECT item_id, count(*) AS n, sum(c) AS l FROM bc GROUP BY 1)
+SELECT item_id, doc_id, round(both_ / (dn.n + bn.n - both_), 6) AS jaccard, round(both_ / bn.n, 6) AS overlap, round(2 * same / (dn.l + bn.l), 6) AS f1
+FROM j JOIN dn USING (doc_id) JOIN bn USING (item_id) WHERE both_ / bn.n >= 0.5""")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark texts that share half of the text's tokens, found through their common tokens."""
+    count = lambda rows, key: rows.select(key, F.explode("tokens").alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"))
+    dc = count(tokenized(spark, sf_dir), "doc_id")
+    bc = count(benchmark_queries(spark, sf_dir).withColumnRenamed("query_id", "item_id"), "item_id")
+    sizes = lambda rows, key, n, size: rows.groupBy(key).agg(F.count("*").alias(n), F.sum("c").alias(size))
+    pairs = dc.join(bc.withColumnRenamed("c", "bc"), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("both"), F.sum(F.least("c", "bc")).alias("same"))
+    pairs = pairs.join(sizes(bc, "item_id", "bn", "bl"), "item_id").filter(F.col("both") / F.col("bn") >= 0.5).join(sizes(dc, "doc_id", "dn", "dl"), "doc_id")
+    return pairs.select(
+        "item_id", "doc_id",
+        F.round(F.col("both") / (F.col("dn") + F.col("bn") - F.col("both")), 6).alias("jaccard"),
+        F.round(F.col("both") / F.col("bn"), 6).alias("overlap"),
+        F.round(2 * F.col("same") / (F.col("dl") + F.col("bl")), 6).alias("f1"),
+    )
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), sim.l2_normalize(F.col("embedding")).alias("vector"))
+    return rows, rows.filter(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(sim.norm(F.col("embedding")), 5).alias("norm"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS score FROM v a, v b WHERE a.vec_id % 100 = 0)
+SELECT query_id, chunk_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.brute_force(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+@query()
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.ivf_search(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+@query()
+def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, queries = _vectors(spark, sf_dir)
+    return retrieve.mmr(retrieve.brute_force(vectors, queries, 40), vectors).withColumn("score", F.round("score", 5))
+
+
+@query()
+def ppmi_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenized(spark, sf_dir)
+    return embed.fit_ppmi(docs).encode(docs).select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+@query()
+def char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = benchmark_queries(spark, sf_dir).select(F.col("query_id").alias("doc_id"), "tokens")
+    return embed.encode_chars(items, term_table(spark, sf_dir)).select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+BM25 = f"""{TERMS}, bq AS (SELECT DISTINCT item_id AS query_id, unnest({q.content('text')}) AS term FROM benchmark),
+po AS (SELECT doc_id, term, count(*) AS tf FROM occ SEMI JOIN bq USING (term) GROUP BY 1, 2), dl AS (SELECT doc_id, len(ts) AS dl FROM d),
+sc AS (SELECT query_id, doc_id AS chunk_id, sum({q.idf('df', 'cs.n')} * po.tf * {retrieve.K1 + 1} / (po.tf + {retrieve.K1} * ({1 - retrieve.B} + {retrieve.B} * dl / (total / cs.n)))) AS score, count(*) AS matched
+  FROM bq JOIN po USING (term) JOIN ts USING (term) JOIN dl USING (doc_id), cs GROUP BY 1, 2)"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # ties are broken on rounded scores, which both engines share
+    return retrieve.bm25(as_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BM25}, s AS (SELECT query_id, chunk_id, round(score, 6) AS score FROM sc) SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top_k(_bm25(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {BM25}, s AS (SELECT query_id, chunk_id, round(score, 6) AS score, matched FROM sc),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS r2 FROM s),
+f AS (SELECT query_id, chunk_id, round(CASE WHEN r1 <= 120 THEN 1.0 / (60 + r1) ELSE 0 END + CASE WHEN r2 <= 120 THEN 1.0 / (60 + r2) ELSE 0 END, 9) AS fusion FROM r WHERE r1 <= 120 OR r2 <= 120)
+SELECT query_id, chunk_id, fusion, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 5""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 and the number of matched terms, each cut to its candidates, fused."""
+    hits = _bm25(spark, sf_dir).withColumn("matched", F.size("matched_terms"))
+    fused = retrieve.rrf(retrieve.top_k(hits, retrieve.CANDIDATES), retrieve.top_k(hits, retrieve.CANDIDATES, by="matched"))
+    return retrieve.top_k(fused.withColumn("fusion", F.round("fusion", 9)), by="fusion").select("query_id", "chunk_id", "fusion", "rank")
+
+
+@query(f"""WITH {BM25}, s AS (SELECT query_id, chunk_id, round(score, 6) AS score, matched FROM sc),
+m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, min(matched) OVER w AS ml, max(matched) OVER w AS mh FROM s WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, chunk_id, round(0.42 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END + 0.2 * CASE WHEN mh > ml THEN (matched - ml) / (mh - ml) ELSE 1 END, 6) AS score FROM m)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 5""")
+def linear_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 as the lexical and the number of matched terms as the rerank column."""
+    hits = _bm25(spark, sf_dir).select("query_id", "chunk_id", F.col("score").alias("lexical"), F.size("matched_terms").cast("double").alias("rerank"))
+    mixed = retrieve.blend(hits, {"lexical": retrieve.BLEND["lexical"], "rerank": retrieve.BLEND["rerank"]})
+    return retrieve.top_k(mixed.withColumn("score", F.round("score", 6))).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {TERMS}, bq AS (SELECT DISTINCT item_id AS query_id, unnest({q.content('text')}) AS term FROM benchmark),
+x AS (SELECT query_id, bq.term, o.term AS expansion, o.df FROM bq JOIN (SELECT *, {q.stem('term')} AS st FROM ts) o ON o.st = {q.stem('bq.term')} AND o.term <> bq.term)
+SELECT query_id, term, expansion FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df DESC, expansion, term) <= 3""")
+def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.expand_terms(benchmark_queries(spark, sf_dir), stats.term_stats(tokenized(spark, sf_dir)))
+
+
+@query()
+def asr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of user turns that the documents lack, with the nearest one that they have."""
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), txt.content_tokens(F.col("text")).alias("tokens"))
+    return retrieve.repair_terms(asked, stats.term_stats(tokenized(spark, sf_dir)))
+
+
+@query()
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = benchmark_queries(spark, sf_dir)
+    hits = retrieve.top_k(_bm25(spark, sf_dir))
+    chunks = documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
+    made = answer.answers(answer.scored_sentences(hits, chunks, queries, term_table(spark, sf_dir)))
+    return made.select("query_id", "text", F.size("citations").alias("n_citations"), F.round("confidence", 6).alias("confidence"), "abstained")
+
+
+# --- chunking --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH t AS (SELECT doc_id, {q.tokens('text')} AS ts FROM documents), c AS (SELECT doc_id, k, ts[k*68+1:k*68+90] AS s FROM (SELECT doc_id, ts, unnest(range(0, greatest(CAST(ceil((len(ts) - 90) / 68.0) AS INTEGER), 0) + 1)) AS k FROM t WHERE len(ts) > 0))
+SELECT doc_id || '-fixed-0-' || k AS chunk_id, doc_id, array_to_string(s, ' ') AS text, CAST(len(s) AS INTEGER) AS token_count FROM c""")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.fixed(documents(spark, sf_dir)).select("chunk_id", "doc_id", "text", "token_count")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {q.tokens('text')} AS ts FROM documents), p AS (SELECT doc_id, k, ts[k*220+1:k*220+220] AS s FROM (SELECT doc_id, ts, unnest(range(0, CAST(ceil(len(ts) / 220.0) AS INTEGER))) AS k FROM t WHERE len(ts) > 0)),
+c AS (SELECT doc_id, k, j, s[j*55+1:j*55+55] AS s FROM (SELECT doc_id, k, s, unnest(range(0, CAST(ceil(len(s) / 55.0) AS INTEGER))) AS j FROM p))
+SELECT doc_id || '-hierarchical-1-' || k AS chunk_id, 1 AS level, NULL AS parent_id, CAST(len(s) AS INTEGER) AS token_count FROM p
+UNION ALL SELECT doc_id || '-hierarchical-0-' || (k * 4 + j), 0, doc_id || '-hierarchical-1-' || k, CAST(len(s) AS INTEGER) FROM c""")
+def chunk_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.hierarchical(documents(spark, sf_dir)).select("chunk_id", "level", "parent_id", "token_count")
+
+
+def _strategy(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return chunk.STRATEGIES[name](documents(spark, sf_dir)).select("chunk_id", "doc_id", "ordinal", "text", "token_count", "window_before", "window_after")
+
+    run.__name__ = f"chunk_{name}"
+    query()(run)
+
+
+for _name in ("sentence_window", "recursive", "semantic", "proposition", "metadata_aware"):
+    _strategy(_name)
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({q.content('text')})) AS s FROM documents), c AS (SELECT s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM c), j AS (SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.rep < b.rep AND a.n >= 0.94 * b.n AND b.n >= 0.94 * a.n GROUP BY 1, 2, 3, 4),
+gone AS (SELECT y AS doc_id FROM j WHERE k / (na + nb - k) >= 0.94 UNION SELECT s.doc_id FROM s JOIN c ON s.s = c.s AND s.doc_id <> c.rep)
+SELECT doc_id FROM documents ANTI JOIN gone USING (doc_id)""")
+def near_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.collapsed(as_chunks(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"))
+
+
+# --- guards ----------------------------------------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
+
+
+@query(f"""WITH {TERMS}, rq AS (SELECT conv_id || '-' || turn AS query_id, list_distinct({q.content('text')}) AS ts FROM conversations WHERE role = 'user'), w AS (SELECT query_id, unnest(ts) AS term FROM rq),
+s AS (SELECT query_id, sum(coalesce({q.idf('df', 'n')}, {q.idf('1', 'n')})) AS total, sum(CASE WHEN df IS NOT NULL THEN {q.idf('df', 'n')} ELSE 0 END) AS covered FROM w LEFT JOIN ts USING (term), cs GROUP BY 1)
+SELECT rq.query_id, round(coalesce(covered / total, 0), 6) AS coverage, coalesce(covered / total, 0) >= 0.34 AS passed FROM rq LEFT JOIN s USING (query_id)""")
+def coverage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenized(spark, sf_dir)
+    highest = stats.corpus_stats(docs).select(stats.idf(F.lit(1), F.col("n_docs")).alias("max_idf"))
+    scores = guard.coverage_scores(_requests(spark, sf_dir), term_table(spark, sf_dir), highest)
+    return guard.coverage(scores).select("query_id", F.round("score", 6).alias("coverage"), "passed")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns, with the turn before as what they must be grounded in."""
+    turns = table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("context", before).filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("context", F.lit("")).alias("context"))
+
+
+@query(f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context FROM conversations), s AS (SELECT conv_id || '-' || turn AS query_id, list_distinct({q.stems('text')}) AS a, {q.stems('context')} AS b FROM c WHERE role = 'assistant')
+SELECT query_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 6) AS score, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END >= 0.52 AS passed FROM s""")
+def grounding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.grounding(_replies(spark, sf_dir)).select("query_id", F.round("score", 6).alias("score"), "passed")
+
+
+@query()
+def output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replies(spark, sf_dir)
+    checks = guard.entity_support(rows).unionByName(guard.number_check(rows)).unionByName(guard.contradiction(rows))
+    return checks.select("query_id", "name", "passed", F.round("score", 6).alias("score"), "action")
+
+
+_PII_SQL = "coalesce(text, '')"
+for _kind, _pattern in guard.PII.items():
+    _PII_SQL = f"regexp_replace({_PII_SQL}, '{_pattern}', '[{_kind}]', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_PII_SQL}) AS redacted FROM documents")
+def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.md5(guard.redact_pii(F.coalesce("text", F.lit("")))).alias("redacted"))
+
+
+def _lexicon_sql(phrases: dict[str, float]) -> str:
+    return "least(1.0, " + " + ".join(f"CASE WHEN contains({q.norm('text')}, '{p}') THEN {w} ELSE 0 END" for p, w in phrases.items()) + ")"
+
+
+@query(f"""WITH c AS (SELECT conv_id || '-' || turn AS query_id, length(coalesce(text, '')) BETWEEN 2 AND 600 AS l, {_lexicon_sql(guard.UNSAFE_PHRASES)} < 0.5 AS u, {_lexicon_sql(guard.INJECTION_PHRASES)} < 0.5 AS i FROM conversations WHERE role = 'user')
+SELECT query_id, CASE WHEN NOT u OR NOT i THEN 'refuse' WHEN NOT l THEN 'clarify' ELSE 'allow' END AS action, CAST(3 AS BIGINT) AS n_checks, CAST((NOT l)::INT + (NOT u)::INT + (NOT i)::INT AS BIGINT) AS n_tripped, l AND u AND i AS allowed FROM c""")
+def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _requests(spark, sf_dir)
+    return guard.verdicts(guard.length(rows).unionByName(guard.unsafe(rows)).unionByName(guard.injection(rows)))
+
+
+# --- traces: events as spans, their type as the stage and their value as the duration ---------------------------------
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.col("event_type").alias("name"),
+        (F.unix_micros("ts") / 1000).alias("start_ms"), F.col("value").alias("duration_ms"), F.when(F.col("value") > 100, "timeout").otherwise("ok").alias("status"), "ts",
+    )
+
+
+EVENT_STAGES = ("click", "view", "purchase", "signup", "error")
+
+
+@query("""WITH r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT name, count(*) AS n, round(max(value) FILTER (i = round_even(0.5 * (n - 1), 0)), 4) AS p50, round(max(value) FILTER (i = round_even(0.9 * (n - 1), 0)), 4) AS p90, round(max(value) FILTER (i = round_even(0.95 * (n - 1), 0)), 4) AS p95,
+round(max(value), 4) AS max, round(avg(value), 4) AS mean FROM r GROUP BY name""")
+def span_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trace.exact_percentiles(_spans(spark, sf_dir), ["name"], "duration_ms")
+    return out.select("name", "n", *(F.round(c, 4).alias(c) for c in ("p50", "p90", "p95", "max", "mean")))
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(avg(value), 4) AS mean_ms, CAST(count(*) FILTER (value > 100) AS BIGINT) AS errors FROM events GROUP BY 1")
+def stage_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.stage_stats(_spans(spark, sf_dir)).withColumn("mean_ms", F.round("mean_ms", 4))
+
+
+@query("SELECT user_id AS trace_id, event_type AS name, round(value, 4) AS duration_ms FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) = 1")
+def stage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.stage_map(_spans(spark, sf_dir)).select("trace_id", F.explode("stages").alias("name", "v")).select("trace_id", "name", F.round("v", 4).alias("duration_ms"))
+
+
+@query("""SELECT user_id AS trace_id, round(sum(value), 3) AS total_ms, """ + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{s}'), 0), 3) AS {s}_ms" for s in EVENT_STAGES) + """,
+round(sum(value), 3) AS pipeline_ms, round(greatest(sum(value) - coalesce(sum(value) FILTER (event_type IN ('click', 'view', 'purchase', 'signup', 'error')), 0), 0), 3) AS overhead_ms FROM events GROUP BY 1""")
+def latency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir)
+    out = trace.latency_rollup(spans, spans.groupBy("trace_id").agg(F.sum("duration_ms").alias("total_ms")), EVENT_STAGES)
+    return out.select("trace_id", *(F.round(c, 3).alias(c) for c in out.columns if c != "trace_id"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 400")
+def recent_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.recent(table(spark, sf_dir, "events"), 400, by="ts", key="event_id").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
