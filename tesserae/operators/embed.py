@@ -160,13 +160,16 @@ def _raw(docs: DataFrame, model: PpmiModel) -> DataFrame:
 
 
 def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2, window: int = 5, max_contexts: int = 64) -> PpmiModel:
-    """A model of docs (doc_id, tokens).  Without co-occurrences it has no vectors."""
-    docs = docs.select("doc_id", "tokens")
+    """A model of docs (doc_id, tokens).  Without co-occurrences it has no vectors.
+
+    Tables that are read more than once are persisted; lost blocks are computed anew.
+    """
+    docs = docs.select("doc_id", "tokens").persist()
     corpus = stats.corpus_stats(docs)
-    terms = stats.with_idf(stats.term_stats(docs), corpus)
-    contexts = stats.ppmi(stats.cooccurrence(docs, stats.vocabulary(terms, min_df), window), max_contexts)
+    terms = stats.with_idf(stats.term_stats(docs), corpus).persist()
+    contexts = stats.ppmi(stats.cooccurrence(docs, stats.vocabulary(terms, min_df), window), max_contexts).persist()
     sparse = contexts.join(signatures(contexts.select(F.col("ctx").alias("term")), dim, seed).withColumnRenamed("term", "ctx"), "ctx")
-    vectors = dense(sparse.select("term", "idx", (F.col("w") * F.col("sign")).alias("w")), "term", dim)
+    vectors = dense(sparse.select("term", "idx", (F.col("w") * F.col("sign")).alias("w")), "term", dim).persist()
     n = corpus.first()["n_docs"]
     model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim)
     model.common = common_direction(_raw(docs, model), n)

@@ -402,7 +402,7 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.col("event_type").alias("name"),
-        (F.unix_micros("ts") / 1000).alias("start_ms"), F.col("value").alias("duration_ms"), F.when(F.col("value") > 100, "timeout").otherwise("ok").alias("status"), "ts",
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("start_ms"), F.col("value").alias("duration_ms"), F.when(F.col("value") > 100, "timeout").otherwise("ok").alias("status"), "ts",
     )
 
 

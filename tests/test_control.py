@@ -1,0 +1,69 @@
+import pytest
+
+from tesserae.operators import trace
+from tesserae.plans import control as c
+
+
+class Clock:
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+
+def test_retry_until_it_works():
+    calls = []
+
+    def fn():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ConnectionError
+        return "ok"
+
+    assert c.retry(fn, c.Deadline(None), sleep=lambda s: None) == "ok" and len(calls) == 3
+    with pytest.raises(c.ContractError):
+        c.retry(lambda: (_ for _ in ()).throw(c.ContractError("no")), c.Deadline(None), sleep=lambda s: None)
+
+
+def test_breaker():
+    clock = Clock()
+    b = c.Breaker(failures=3, cooldown_s=10, clock=clock)
+    for _ in range(3):
+        with pytest.raises(ValueError):
+            b.call(lambda: (_ for _ in ()).throw(ValueError()))
+    with pytest.raises(c.CircuitOpen):
+        b.call(lambda: 1)
+    clock.now = 11
+    assert b.state == "half_open" and b.call(lambda: 1) == 1 and b.state == "closed"
+
+
+def test_optional_stage_is_shed(spark):
+    clock = Clock()
+
+    def slow(values):
+        clock.now += 0.026
+        return 1
+
+    pipe = c.Pipeline([c.Stage("embed", lambda v: 1), c.Stage("retrieve", slow), c.Stage("rerank", lambda v: 1, optional=True), c.Stage("generate", lambda v: "x")], budget_ms=30, clock=clock)
+    values, tracer = pipe.run({})
+    assert "rerank" not in values and values["generate"] == "x"
+    spans = tracer.frame(spark)
+    assert {r["name"]: r["status"] for r in spans.collect()}["rerank"] == "skipped"
+    assert trace.stage_stats(spans).count() == 4
+
+
+def test_tools():
+    tools = c.Tools()
+    tools.register("double", lambda n: 2 * n, {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 1}}})
+    assert tools.call("double", n=2) == 4
+    for bad in ({"n": 0}, {"n": True}, {}):
+        with pytest.raises(c.ContractError):
+            tools.call("double", **bad)
+
+
+def test_ring_keeps_the_newest():
+    ring = c.Ring(5)
+    for k in range(9):
+        ring.add(c.Tracer(f"t{k}"))
+    assert len(ring) == 5 and ring.recent(1)[0].trace_id == "t8" and ring.get("t3") is None
