@@ -8,12 +8,13 @@ band finds.  Candidates are compared by a longer parity sketch, one bit per
 shingle, whose Hamming distance is at most the symmetric difference; what it
 does not rule out is verified on the whole sets.
 
-Texts with equal sets are one class and enter the join once per batch.  Of a
+Texts with equal sets are one class and enter the join once per part of a batch.  Of a
 chunk shared by many, all are compared with one pivot; after that, only members
 of chunks whose classes are not yet connected are compared with those outside
-the largest component.  A class leaves chunks that very many share if enough of
-its other chunks remain for the pigeonhole.  So no link is lost and no group is
-expanded into all pairs.
+the largest component.  A class leaves chunks that many share if enough of its other
+chunks remain for the pigeonhole; classes for which that is not so are joined by
+their rarest shingles (prefix filter) instead.  So no link is lost and no group
+is expanded into all pairs.
 
 Nulls and odd cases: a null or empty text has no words, an empty set and no
 links.  Rows of one doc_id are one document for the join, and each gives a row.
@@ -33,18 +34,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, stored
-from tesserae.llm.wordhash import Words, mixed
+from tesserae.llm.storage import restricted, small, stored
+from tesserae.llm.wordhash import Words, mixed, parts, released
 
-#: A chunk of more members than this is left by those that have enough others.
-HOT = 64
-#: So many members outside a chunk's largest component are compared with all of it in a round.
-PIVOTS = 16
+#: A chunk of more members than this is left by those that have enough others; the rest are joined by rare shingles.
+HOT = 16
+#: Members of a group that a task compares with as many others.
+BLOCK = 512
 #: Width of a size band, and sets up to which each shingle is its own chunk.
 BAND = 1.6
 SMALL = 64
 #: Chunks for each shingle that may differ, so that some can be left.
-SPARE = 1.5
+SPARE = 1.25
 
 
 @dataclass(frozen=True)
@@ -67,16 +68,22 @@ class Join:
 def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text, sorted, and each row's first place in them with the end appended."""
     words = Words(column.fill_null(""), lower=True)
-    place = np.arange(len(words.hash)) - words.first[words.row]
-    left = words.count[words.row] - place
-    at = np.flatnonzero(left >= n)
-    row, h = words.row[at], words.runs(at, n)
-    for short in range(1, n):  # a text of fewer words is one shingle
-        own = np.flatnonzero(words.count == short)
-        if len(own):
-            row, h = np.append(row, own), np.append(h, words.runs(words.first[own], short))
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    long = words.count >= n
+    size = np.where(long, words.count - n + 1, words.count > 0)
+    of_long = np.repeat(long, size)
+    h = np.empty(len(of_long), np.uint64)
+    left = np.repeat(words.first + words.count, words.count) - np.arange(len(words.hash))
+    h[of_long] = words.runs(np.flatnonzero(left >= n), n)
+    short = np.flatnonzero(~long & (words.count > 0))  # a text of fewer words is one shingle
+    one = np.empty(len(short), np.uint64)
+    for k in range(1, n):
+        own = words.count[short] == k
+        one[own] = words.runs(words.first[short[own]], k)
+    h[~of_long] = one
+    ends = np.cumsum(size)
+    for lo, hi in zip((ends - size).tolist(), ends.tolist()):
+        h[lo:hi].sort()
+    row = np.repeat(np.arange(len(size)), size)
     keep = np.ones(len(row), dtype=bool)
     keep[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     row, h = row[keep], h[keep]
@@ -112,8 +119,9 @@ def hamming(a: bytes, b: bytes) -> int:
 
 
 def _emit_sets(join: Join) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "text")):
             _, h, starts = shingles(batch.column("text"), join.words)
             n = np.diff(starts)
             one, two = _xor(mixed(h), starts, len(n)), _xor(mixed(h + np.uint64(77)), starts, len(n))
@@ -127,19 +135,19 @@ def _emit_sets(join: Join) -> Callable:
 
 
 def _emit_chunks(join: Join) -> Callable:
-    """(k, doc, band, spare): the chunks of each set of a batch.
+    """(k, doc, band, spare): the chunks of each set of a part of a batch.
 
     spare is how many of its chunks a document can leave and still share one of
     the others with every document that it links with.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "text")):
             row, h, starts = shingles(batch.column("text"), join.words)
             n = np.diff(starts)
             ids = batch.column("doc_id")
             doc = ids.fill_null(0).to_numpy()
-            # of equal sets in a batch the one with the smallest id stands for all
+            # of equal sets in a part the one with the smallest id stands for all
             one, two = _xor(mixed(h), starts, len(n)), _xor(mixed(h + np.uint64(77)), starts, len(n))
             usable = np.flatnonzero((n > 0) & ids.is_valid().to_numpy(zero_copy_only=False))
             order = usable[np.lexsort((doc[usable], two[usable], one[usable], n[usable]))]
@@ -162,14 +170,17 @@ def _emit_chunks(join: Join) -> Callable:
                     t = int(b) + up
                     m = join.chunks(t)
                     salt = mixed(np.array([t + 1], np.uint64))[0]
-                    chunk = mixed(v ^ salt) % np.uint64(m) if m else v
-                    o = np.lexsort((chunk, r))
-                    r, v, chunk = r[o], v[o], chunk[o]
-                    new = np.ones(len(r), dtype=bool)
-                    new[1:] = (r[1:] != r[:-1]) | (chunk[1:] != chunk[:-1])
-                    at = np.flatnonzero(new)
-                    key = mixed(np.bitwise_xor.reduceat(mixed(v + np.uint64(5)), at) ^ mixed(chunk[at] ^ mixed(salt + np.uint64(9) + np.zeros(1, np.uint64))[0]))
-                    own = r[at]
+                    if m:  # a row's chunks are cells of a table, which has fewer cells than the rows have shingles
+                        ids_, place = np.unique(r, return_inverse=True)
+                        cell = place * m + (mixed(v ^ salt) % np.uint64(m)).astype(np.int64)
+                        order = np.argsort(cell)
+                        begins = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                        content = np.bitwise_xor.reduceat(mixed(v + np.uint64(5))[order], begins)
+                        cell = cell[order[begins]]
+                        own, chunk = ids_[cell // m], (cell % m).astype(np.uint64)
+                    else:
+                        own, chunk, content = r, v, mixed(v + np.uint64(5))
+                    key = mixed(content ^ mixed(chunk ^ mixed(salt + np.uint64(9) + np.zeros(1, np.uint64))[0]))
                     has = np.bincount(own, minlength=len(n))
                     largest = (n * 100) // join.percent
                     spare = np.clip(has - join.differ(n, largest) - 1, -1, 30000)
@@ -181,15 +192,52 @@ def _emit_chunks(join: Join) -> Callable:
 
 
 def chunk_groups(docs: DataFrame, join: Join) -> DataFrame:
-    """(g, pivot, doc): documents that share a chunk; chunks with the same members are one group g."""
+    """(g, pivot, doc, excess): documents that share a chunk; chunks with the same members are one group g.  Two may link only if their excesses sum to 0 at most."""
     over = "over (partition by k)"
     # the window's sums are of ids' hashes: equal groups have equal ones
     keys = docs.mapInArrow(_emit_chunks(join), "k long, doc long, band short, spare short")
     shared = keys.withColumns({"size": F.expr(f"count(1) {over}"), "pivot": F.expr(f"min(doc) {over}"), "g": F.expr(f"bit_xor(xxhash64(doc)) {over}")}).filter("size > 1")
-    cold = shared.filter(F.col("size") <= HOT).select("g", "pivot", "doc").distinct()
-    hot = shared.filter(F.col("size") > HOT).withColumn("left", F.count("*").over(W.partitionBy("doc", "band"))).filter(F.col("left") > F.col("spare")).select("k", "doc")
-    hot = hot.withColumns({"pivot": F.expr(f"min(doc) {over}"), "g": F.expr(f"bit_xor(xxhash64(doc)) {over}")}).select("g", "pivot", "doc").distinct()
-    return cold.unionByName(hot)
+    # one pass over the keys: of cold chunks the groups, of hot ones the keys themselves
+    is_hot = F.col("size") > HOT
+    rows = shared.select(
+        is_hot.alias("hot"), F.when(is_hot, F.col("k")).otherwise(F.col("g")).alias("g"), "pivot", "doc", F.when(is_hot, F.col("band")).alias("band"), F.when(is_hot, F.col("spare")).alias("spare")
+    )
+    rows = stored(rows.distinct(), "chunks")
+    cold = rows.filter("not hot").select("g", "pivot", "doc", F.lit(-1e9).alias("excess"))
+    # a document that cannot leave its hot chunks may share nothing else with another such document
+    stuck = rows.filter("hot").groupBy("doc", "band", "spare").agg(F.count("*").alias("left")).filter(F.col("left") > F.col("spare")).select(F.col("doc").alias("doc_id")).distinct()
+    return cold.unionByName(rare_groups(docs, stored(stuck, "stuck"), join))
+
+
+def _emit_shingles(join: Join) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in parts(b, "text")):
+            row, h, starts = shingles(batch.column("text"), join.words)
+            n = np.diff(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n[row].astype(np.int32))], names=["k", "doc", "n"])
+
+    return run
+
+
+def rare_groups(docs: DataFrame, which: DataFrame, join: Join) -> DataFrame:
+    """(g, pivot, doc, excess) for the documents of which: those that share one of their rarest shingles.
+
+    Ordered by how many of these documents have them, of two linked sets each
+    has one of the other's shingles among its first d + 1, d being the largest
+    symmetric difference; the rarer of the first common ones is in both
+    beginnings.  All before the first common one differs; excess is how much of
+    that a document has beyond its part of what may differ.  A passage that many
+    share is common, and brings a group only to those that have little else,
+    whose excesses then tell most of them apart.
+    """
+    over = "over (partition by k)"
+    each = stored(restricted(docs, which, ["doc_id"]).mapInArrow(_emit_shingles(join), "k long, doc long, n int").distinct(), "shingles")
+    df = each.groupBy("k").agg(F.count("*").alias("df"))
+    most = F.floor(F.lit(100 - join.percent) * (F.col("n") + F.floor(F.col("n") * 100 / join.percent)) / (100 + join.percent)) + 1
+    first = each.join(df, "k").withColumn("r", F.row_number().over(W.partitionBy("doc").orderBy("df", "k"))).filter(F.col("r") <= most).filter("df > 1")
+    first = first.select("k", "doc", (F.col("r") - 1 - F.col("n") * (100 - join.percent) / (100 + join.percent)).alias("excess"))
+    shared = first.withColumns({"size": F.expr(f"count(1) {over}"), "pivot": F.expr(f"min(doc) {over}"), "g": F.expr(f"bit_xor(xxhash64(doc)) {over}")}).filter("size > 1")
+    return shared.groupBy("g", "pivot", "doc").agg(F.min("excess").alias("excess"))
 
 
 def _unlike(join: Join) -> Callable:
@@ -210,28 +258,75 @@ def _unlike(join: Join) -> Callable:
 def _verify(join: Join) -> Callable:
     """Keeps the pairs whose sets link."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                _, x, xs = shingles(batch.column("text_a"), join.words)
-                _, y, ys = shingles(batch.column("text_b"), join.words)
-                keep = np.zeros(batch.num_rows, dtype=bool)
-                for i in range(batch.num_rows):
-                    p, q = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep[i] = both > 0 and 100 * both >= join.percent * (len(p) + len(q) - both)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for batch in (p for b in batches for p in parts(b, "text_a", "text_b")):
+            _, x, xs = shingles(batch.column("text_a"), join.words)
+            _, y, ys = shingles(batch.column("text_b"), join.words)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                p, q = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep[i] = both > 0 and 100 * both >= join.percent * (len(p) + len(q) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _across(join: Join) -> Callable:
+    """(a, b): of one block of a group those outside its largest component, with those of another block that sizes, sketches and excesses allow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        rep, label, n, excess = (table.column(c).to_numpy() for c in ("rep", "label", "n", "excess"))
+        bits = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        shortest = min(map(len, bits))
+        bits = np.array([np.bitwise_xor.reduce(x.reshape(-1, shortest), axis=0) for x in bits])  # folded to one length
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple] = []
+        for lo in range(0, len(x), 32):
+            p = x[lo : lo + 32, None]
+            may = (label[p] != label[y]) & (excess[p] + excess[y] <= 0) & (100 * np.minimum(n[p], n[y]) >= join.percent * np.maximum(n[p], n[y]))
+            i, j = np.nonzero(may)
+            far = np.bitwise_count(bits[x[lo + i]] ^ bits[y[j]]).sum(axis=1) if len(i) else np.empty(0, int)
+            near = far <= join.differ(n[x[lo + i]], n[y[j]])
+            found.append((rep[x[lo + i[near]]], rep[y[j[near]]]))
+        one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(one, two)), "b": pa.array(np.maximum(one, two))})
 
     return run
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that link: first by sketches, then by whole texts, of which only those of remaining pairs are read."""
-    own = sets.select("doc_id", "n", "bits").dropDuplicates(["doc_id", "n", "bits"])
-    sized = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
-    sized = sized.join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
-    maybe = stored(sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_unlike(join), "a long, b long").distinct(), "pairs")
+def across(rows: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """(a, b): pairs of a group's members in different components that may link; rows (g, rep, label, excess).
+
+    One of such a pair is outside the group's largest component.  Members are
+    dealt into blocks of about BLOCK, and blocks of the outside meet all blocks,
+    so that a task holds two blocks and gives what the sketches leave.
+    """
+    own = rows.join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
+    sizes = rows.groupBy("g", "label").agg(F.count("*").alias("k"), F.min("excess").alias("e")).groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("size"), F.min("e").alias("least"))
+    own = own.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ("rep", "label", "n", "excess", "bits")
+    outside = own.filter("label <> major and excess + least <= 0")
+    left = outside.select("g", F.col("block").alias("s"), every.alias("t"), F.lit(0).alias("side"), *columns)
+    met = outside.select("g", F.col("block").alias("s")).distinct()
+    right = own.join(met, "g").select("g", "s", F.col("block").alias("t"), F.lit(1).alias("side"), *columns)
+    return left.unionByName(right).groupBy("g", "s", "t").applyInArrow(_across(join), "a long, b long").distinct()
+
+
+def linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that link: first by sketches (doc_id, n, bits), then by whole texts."""
+    sized = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+    sized = sized.join(sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+    return verified(sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_unlike(join), "a long, b long").distinct(), docs, join)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose whole texts link; of docs only the texts of these pairs are moved."""
+    maybe = stored(pairs, "pairs")
     ids = maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b"))
     texts = restricted(docs, ids, ["doc_id"])
     both = maybe.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -241,30 +336,23 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, join: Join) -> Da
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): each linked node with the smallest node that it reaches, by alternating large and small stars."""
-
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    before = state(edges)
-    while True:
+    while not _is_stars(edges):
         near = edges.union(edges.select("v", "u"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "stars")
-        after = state(edges)
-        if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = after
+        small_ = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = stored(small_, "stars")
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(edges.select("v", "v").distinct())
 
 
-def _labelled(groups: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(g, rep, label): the classes of each group with the component that they are in so far."""
-    reps = groups.select("g", "doc").join(classes.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("g", "rep").distinct()
-    return reps.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("label"))
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    if not edges.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def joined(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -273,42 +361,31 @@ def joined(docs: DataFrame, join: Join = Join()) -> DataFrame:
     sets = stored(docs.mapInArrow(_emit_sets(join), "doc_id long, n long, sig1 long, sig2 long, bits binary"), "sets")
     reps = sets.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
     members = stored(sets.select("doc_id", "n", "sig1", "sig2").join(reps, ["n", "sig1", "sig2"], "left").select("doc_id", "n", "rep"), "members")
-    # rows of one id are one document
-    classes = members.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    same = members.filter("doc_id is not null and rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").join(classes.withColumnsRenamed({"doc_id": "a", "rep": "c"}), "a").filter("b <> c").select(F.col("c").alias("a"), "b").distinct()
-    groups = stored(chunk_groups(docs, join), "groups")
-    pairs = _as_reps(groups.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).filter("a <> b").distinct(), classes)
-    links = stored(linked(pairs, docs, sets, join).union(same), "links")
-    parts = components(links)
-    tested = None
-    # chunks of two are settled by their one pair
-    large = groups.join(groups.groupBy("g").count().filter("count > 2").select("g"), "g")
-    while True:
-        labelled = _labelled(large, classes, parts)
-        open_ = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g")
-        rows = stored(labelled.join(open_, "g"), "open")
-        sizes = rows.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("major"))
-        outside = rows.join(sizes, "g").filter("label <> major").select("g", F.col("rep").alias("a"), F.col("label").alias("la"))
-        if tested is not None:
-            outside = outside.join(tested, ["g", "a"], "left_anti")
-        turn = outside.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("a"), "a"))).filter(F.col("r") <= PIVOTS)
-        turn = stored(turn.select("g", "a", "la"), "turn")
-        if turn.isEmpty():
-            break
-        tested = turn.select("g", "a") if tested is None else tested.union(turn.select("g", "a"))
-        pairs = turn.join(rows.select("g", F.col("rep").alias("b"), F.col("label").alias("lb")), "g").filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(linked(pairs, docs, sets, join), "more-links")
-        if not found.isEmpty():
-            links = links.union(found)
-            parts = components(links)
-    out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    sketches = stored(sets.select("doc_id", "n", "bits").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "sketches")
+    # rows of one id are one document, which stands for the smallest of its classes and links them
+    classes = members.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    classes = stored(classes, "classes")
+    same = members.join(classes.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    groups = stored(_of_classes(chunk_groups(docs, join), classes), "groups")
+    links = stored(linked(groups.select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).filter("a <> b").distinct(), docs, sketches, join).union(same), "links")
+    labels = components(links)
+    # a chunk of two classes is settled by their one pair
+    open_ = groups.select("g", "rep", "excess").join(groups.groupBy("g").agg(F.count_distinct("rep").alias("n")).filter("n > 2").select("g"), "g")
+    labelled = open_.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g", "rep", "excess", F.coalesce("component", "rep").alias("label"))
+    apart = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g")
+    rows = stored(labelled.join(apart, "g"), "open")
+    found = stored(verified(across(rows, sketches, join), docs, join), "more-links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
+    out = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _as_reps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of documents as distinct pairs of different classes' representatives."""
-    pairs = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    return pairs.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+def _of_classes(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, first, rep, excess): groups (g, pivot, doc, excess) with their classes in place of documents, without groups of one class."""
+    of = classes.select(F.col("doc_id").alias("doc"), "rep")
+    rows = groups.join(of, "doc").join(of.select(F.col("doc").alias("pivot"), F.col("rep").alias("first")), "pivot").groupBy("g", "first", "rep").agg(F.min("excess").alias("excess"))
+    return rows.join(rows.filter("first <> rep").select("g").distinct(), "g", "left_semi")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +399,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     of = joined(docs.select("doc_id", "text"), Join(words=5, percent=80))
     gone = of.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     if not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
     return kept

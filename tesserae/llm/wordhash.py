@@ -7,14 +7,17 @@ over its words' hashes.  Both depend on the words alone, not on where they stand
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time, so that memory does not follow the length of a text or a batch.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -70,7 +73,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Text bytes that operators work on at a time; a single longer text is one part.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 def parts(batch: pa.RecordBatch, *columns: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
@@ -88,6 +91,19 @@ def parts(batch: pa.RecordBatch, *columns: str, most: int = PART_BYTES) -> Itera
         yield batch.slice(lo)
 
 
+def released(run: Callable) -> Callable:
+    """A mapInArrow function after which its worker, which Spark keeps for later tasks, gives free memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def _cuts(offsets: np.ndarray, data: np.ndarray) -> list[int]:
     """Places at which no word is cut, at most CHUNK apart unless a single word is longer."""
     cuts, size = [0], len(data)
