@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -35,7 +36,7 @@ def rows_of(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else (f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)) for v in row))
+        out.append(tuple("" if v is None or (not isinstance(v, (str, list)) and pd.isna(v) is True) else (f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)) for v in row))
     return sorted(out)
 
 
