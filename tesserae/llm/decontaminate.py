@@ -150,8 +150,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a window of the benchmark, with the columns they came with."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = with_row_key(docs)
-    return keyed.join(small(phrase_matches(docs, items).select("_id", "_key")), ["_id", "_key"], "left_anti").select(*docs.columns)
+    keyed = with_row_key(docs.select(F.struct("*").alias("row"), "doc_id", "text"))  # whatever the columns are called
+    kept = keyed.join(small(phrase_matches(docs, items).select("_id", "_key")), ["_id", "_key"], "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

@@ -260,11 +260,11 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] =
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, their secrets replaced by <SECRET> and n_chars counted anew where there is such a column."""
-    out = redacted(docs)
+    own = redacted(docs.select(F.struct("*").alias("row"), "doc_id", "text"))  # whatever the columns are called
+    fresh = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return out.select(*docs.columns)
+        fresh["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("row")["n_chars"]).alias("n_chars")
+    return own.select(*(fresh.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def _duck_spans(k: int, rule: Rule) -> str:
