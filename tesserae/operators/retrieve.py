@@ -200,14 +200,65 @@ def ivf_index(vectors: DataFrame, clusters: int = IVF_CLUSTERS, iterations: int
     return model.transform(rows).drop("features"), np.array(model.clusterCenters())
 
 
+def ivf_radii(indexed: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """The largest distance of a vector from its cluster's centre, for each cluster; 0 for an empty one."""
+
+    def farthest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own = np.linalg.norm(np.array(batch["vector"].tolist(), np.float64) - centers[batch["cluster"].to_numpy()], axis=1)
+                yield pd.DataFrame({"cluster": batch["cluster"], "radius": own}).groupby("cluster", as_index=False).max()
+
+    out = np.zeros(len(centers))
+    for r in indexed.select("cluster", "vector").mapInPandas(farthest, "cluster int, radius double").groupBy("cluster").agg(F.max("radius").alias("radius")).collect():
+        out[r["cluster"]] = r["radius"]
+    return out
+
+
+def _in_clusters(indexed: DataFrame, ids: np.ndarray, kind: str, matrix: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of each partition the k best of each query among the clusters that its row of wanted (query x cluster) has."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            chunk, cluster, vectors = batch["chunk_id"].to_numpy(), batch["cluster"].to_numpy(), np.array(batch["vector"].tolist(), np.float64)
+            for q in range(len(ids)):
+                at = np.flatnonzero(wanted[q, cluster])
+                if len(at):
+                    # summed row by row, so that equal vectors have equal scores wherever they stand
+                    found = chunk[at], (vectors[at] * matrix[q]).sum(axis=1)
+                    if q in best:
+                        found = tuple(map(np.concatenate, zip(best[q], found)))
+                    first = np.lexsort((found[0], -found[1]))[:k]
+                    best[q] = found[0][first], found[1][first]
+        for q, (chunk, score) in best.items():
+            yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk, "score": score})
+
+    return indexed.select("chunk_id", "vector", "cluster").mapInPandas(nearest, f"query_id {kind}, chunk_id {dict(indexed.dtypes)['chunk_id']}, score double")
+
+
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, probes: int = IVF_PROBES, clusters: int = IVF_CLUSTERS) -> DataFrame:
-    """(query_id, chunk_id, score, rank) from the probes nearest clusters; fewer than IVF_LEAST vectors are searched one by one."""
+    """(query_id, chunk_id, score, rank): the k nearest of all vectors for each query; fewer than IVF_LEAST vectors are searched one by one.
+
+    The probes nearest clusters give each query a k-th score.  No vector of a
+    cluster scores more than its centre does, plus the cluster's radius times
+    the query's length; clusters that can reach the k-th score by that are
+    searched too, so nothing is lost.
+    """
     if vectors.limit(IVF_LEAST).count() < IVF_LEAST:
         return brute_force(vectors, queries, k)
     indexed, centers = ivf_index(vectors, clusters)
-    spark = vectors.sparkSession
-    table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster int, center array<double>")
-    near = queries.crossJoin(F.broadcast(table)).withColumn("d", dot(F.col("query_vector"), F.col("center")))
-    near = near.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("d"), "cluster"))).filter(F.col("_n") <= probes)
-    hits = indexed.join(near.select("query_id", "query_vector", "cluster"), "cluster").select("query_id", "chunk_id", dot(F.col("vector"), F.col("query_vector")).alias("score"))
-    return top_k(hits, k)
+    own = queries.select("query_id", "query_vector").toPandas()
+    ids, kind = own["query_id"].to_numpy(), dict(queries.dtypes)["query_id"]
+    matrix = np.array(own["query_vector"].tolist(), np.float64).reshape(len(own), centers.shape[1])
+    at_center = matrix @ centers.T
+    near = np.zeros(at_center.shape, bool)
+    np.put_along_axis(near, np.argsort(-at_center, axis=1, kind="stable")[:, :probes], True, axis=1)
+    first = top_k(_in_clusters(indexed, ids, kind, matrix, near, k), k)
+    kth = {r["query_id"]: r["score"] for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}
+    least = np.array([kth.get(x, -np.inf) for x in ids.tolist()])
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    most = at_center + size * ivf_radii(indexed, centers) + 1e-9 * (1 + size)  # more than rounding adds
+    return top_k(_in_clusters(indexed, ids, kind, matrix, near | ~(most < least[:, None]), k), k)

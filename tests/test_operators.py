@@ -1,6 +1,8 @@
 import math
+import re
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tesserae.operators import chunk, embed, guard, retrieve, stats, trace
@@ -58,6 +60,22 @@ def test_mmr_prefers_different_ones(spark):
     assert got == ["a", "c"]
 
 
+def test_ivf_search_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    made = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2.0, size=(1500, 1))
+    made[700:720] = made[0]  # equal scores go by chunk_id
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "chunk_id long, vector array<double>").repartition(3)
+    queries = vectors.filter("chunk_id % 100 = 0").selectExpr("chunk_id as query_id", "vector as query_vector")
+    best = {}
+    for q in range(0, 1500, 100):
+        score = (made * made[q]).sum(axis=1)
+        best |= {(q, int(c)): n for n, c in enumerate(np.lexsort((np.arange(1500), -score))[:5], 1)}
+    got = {(r["query_id"], r["chunk_id"]): r["rank"] for r in retrieve.ivf_search(vectors, queries).collect()}
+    assert len(got.keys() & best.keys()) / len(best) == 1.0  # recall
+    assert got == best
+    assert retrieve.ivf_search(vectors, queries.filter("false")).count() == 0
+
+
 def test_chunks_cover_the_text(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = spark.createDataFrame([("d", text)], "doc_id string, text string")
