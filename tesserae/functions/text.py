@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -353,6 +353,34 @@ def split_sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else [(t[a:b], a, b) for a, b in sentence_spans(t)])
 
 
+def _range(*names: str) -> str:
+    """The inside of a Python character class with the same characters as _class."""
+    return "".join(chr(c) if chr(c).isalnum() else f"\\U{c:08X}" for n, lo, hi in SCRIPTS if n in names for c in range(lo, hi + 1) if unicodedata.category(chr(c))[0] not in "PZSC" and unicodedata.category(chr(c)) != "Nd")
+
+
+@cache
+def _token_patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """TOKEN for Python; the characters of scripts without spaces; the places in a word at which no token but one of those is cut."""
+    unspaced = [f"[{_range(n)}]" for n in NO_SPACE]
+    spaced = [rf"[{_range('latin')}\d]"] + [f"[{_range(n)}]" for n in SCRIPT_NAMES if n not in NO_SPACE and n != "latin"]
+    token = "|".join([f"{c}+(?:{_IN_WORD}+{c}+)*" for c in spaced] + [f"{c}(?:{c}|{_IN_WORD})*" for c in unspaced])
+    cut = "|".join(f"(?<={c})" for c in [r"[^\w\-'.@/+`\u0080-\U0010FFFF]", "[、。，！？；：「」『』【】《》]", *unspaced])
+    return re.compile(token), re.compile("|".join(unspaced)), re.compile(cut)
+
+
+def token_count(text: str) -> int:
+    """count_tokens of one text in Python."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_FOLDS).casefold()
+    token, unspaced, _ = _token_patterns()
+    return sum(2 * len(t) - 1 if unspaced.match(t) else 1 for t in token.findall(text.replace("`", "'").lower()))
+
+
+def word_pieces(word: str) -> list[str]:
+    """A word cut where no token is, and between the characters of scripts without spaces."""
+    return [p for p in _token_patterns()[2].split(word) if p]
+
+
 _WORDS = re.compile(r"\w+")
 
 

@@ -8,7 +8,9 @@ Bodies that parameters do not determine are this library's own definitions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,12 +157,64 @@ def semantic(passages: DataFrame, break_below: float = SEMANTIC_BREAK, least: in
     return _finished(seq.select("doc_id", F.posexplode(cut).alias("ordinal", "text")), "semantic")
 
 
+CLAUSE_END = re.compile(r"[;:]\s+|,\s+(?=(?:and|but|or|which|who|because|while)\s)", re.ASCII)
+
+
+def _evenly(text: str, most: int) -> list[str]:
+    """A text of more than most tokens cut between words into pieces of about equal size; a word of more tokens is cut where no token is, or else stays whole."""
+    units: list[tuple[str, int]] = []
+    for word in text.split():
+        n = txt.token_count(word)
+        if n > most:
+            # two tokens at most for a character of a script without spaces: itself and the pair with the next one
+            units += [(p, txt.token_count(p) + 1) for p in txt.word_pieces(word)]
+            units[-1] = (units[-1][0] + " ", units[-1][1])
+        else:
+            units.append((word + " ", n))
+    out, own, have, left = [], "", 0, sum(n for _, n in units)
+    goal = ceil(left / ceil(left / most))
+    for unit, n in units:
+        if own and n and (have >= goal or have + n > most):
+            out.append(own.strip())
+            own, left, have = "", left - have, 0
+            goal = ceil(left / ceil(left / most))
+        own, have = own + unit, have + n
+    return [*out, own.strip()]
+
+
+def clauses(text: str, least: int, most: int) -> list[str]:
+    """The clauses of a text's sentences: short ones joined to the one before, if both fit in most, or else to the next one; long ones cut between words."""
+    own: list[tuple[str, int]] = []
+    for lo, hi in txt.sentence_spans(text, min_chars=1):
+        for clause in filter(str.strip, CLAUSE_END.split(text[lo:hi])):
+            n = txt.token_count(clause)
+            if own and (own[-1][1] < least or (n < least and own[-1][1] + n <= most)):
+                own[-1] = f"{own[-1][0]} {clause}", own[-1][1] + n
+            else:
+                own.append((clause, n))
+    if len(own) > 1 and own[-1][1] < least:
+        clause, n = own.pop()
+        own[-1] = f"{own[-1][0]} {clause}", own[-1][1] + n
+    return [p for clause, n in own if n for p in (_evenly(clause, most) if n > most else [clause])]
+
+
 def proposition(passages: DataFrame, least: int = PROPOSITION_MIN, most: int = PROPOSITION_MAX) -> DataFrame:
-    """Clauses of sentences, cut at semicolons, colons and commas before a conjunction, of least to most tokens.  Own definition."""
-    clause = r"[;:]\s+|,\s+(?=(?:and|but|or|which|who|because|while)\s)"
-    rows = sentences(passages).select("doc_id", F.col("ordinal").alias("s"), F.posexplode(F.split("text", clause)).alias("c", "text"))
-    rows = rows.withColumn("token_count", txt.count_tokens(F.col("text"))).filter(F.col("token_count").between(least, most))
-    return _finished(rows.withColumn("ordinal", F.row_number().over(W.partitionBy("doc_id").orderBy("s", "c")) - 1), "proposition")
+    """Clauses of sentences, cut at semicolons, colons and commas before a conjunction, of least to most tokens.  Own definition.
+
+    Shorter clauses are joined to a neighbour and longer ones are split, so
+    that all words are in a chunk; only a text with fewer than least tokens is
+    a shorter one.
+    """
+    kind = dict(passages.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                out = [(d, k, c) for d, t in zip(part["doc_id"], part["text"]) for k, c in enumerate(clauses(t or "", least, most))]
+                yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text"]).astype({"ordinal": "int32"})
+
+    return _finished(passages.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ordinal int, text string"), "proposition")
 
 
 def metadata_aware(passages: DataFrame) -> DataFrame:

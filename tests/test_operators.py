@@ -5,6 +5,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
+from tesserae.functions import text as txt
 from tesserae.operators import chunk, embed, guard, retrieve, stats, trace
 from tesserae.sources import corpus
 
@@ -85,6 +86,32 @@ def test_chunks_cover_the_text(spark):
     assert both.filter("level = 0").join(both.filter("level = 1").select(F.col("chunk_id").alias("parent_id")), "parent_id").count() == both.filter("level = 0").count()
 
 
+def test_propositions_cover_the_text(spark):
+    long = " ".join(f"w{i}" for i in range(49))
+    texts = {
+        "plain": " ".join(f"w{i}" for i in range(300)),
+        "just over": long,
+        "short ones": f"Yes. No: {long}, and so on; a. It is x.y, but not z. b",
+        "short end": " ".join(f"w{i}" for i in range(48)) + ". The end.",
+        "tiny": "Two words",
+        "no spaces": "天地玄黄宇宙洪荒" * 30 + "。" + "abc",
+        "one word": ";".join(f"k{i}=v{i}" for i in range(80)),
+        "mixed": "Été à Łódź, " * 40 + "नमस्ते दुनिया " * 30,
+        "marks": "?! ...",
+        "none": None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = chunk.proposition(rows).orderBy("doc_id", "ordinal").collect()
+    letters = lambda t: re.sub(r"[^\w]|_", "", t or "")
+    for name, text in texts.items():
+        own = [r for r in got if r["doc_id"] == name]
+        assert "".join(letters(r["text"]) for r in own) == letters(text), name
+        assert [r["ordinal"] for r in own] == list(range(len(own)))
+        assert all((chunk.PROPOSITION_MIN <= r["token_count"] or name == "tiny") and r["token_count"] <= chunk.PROPOSITION_MAX for r in own), name
+    counted = rows.fillna("").select("text", txt.count_tokens(F.col("text")).alias("n")).collect()
+    assert [txt.token_count(r["text"]) for r in counted] == [r["n"] for r in counted]
+
+
 def test_percentile_rule(spark):
     rows = spark.createDataFrame([("s", float(v)) for v in (1, 2, 3, 4)], "name string, duration_ms double")
     assert trace.exact_percentiles(rows, ["name"], "duration_ms").first()["p50"] == 3.0
