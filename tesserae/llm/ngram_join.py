@@ -203,7 +203,7 @@ def chunk_groups(docs: DataFrame, join: Join) -> DataFrame:
         is_hot.alias("hot"), F.when(is_hot, F.col("k")).otherwise(F.col("g")).alias("g"), "pivot", "doc", F.when(is_hot, F.col("band")).alias("band"), F.when(is_hot, F.col("spare")).alias("spare")
     )
     rows = stored(rows.distinct(), "chunks")
-    cold = rows.filter("not hot").select("g", "pivot", "doc", F.lit(-1e9).alias("excess"))
+    cold = rows.filter("not hot").select("g", "pivot", "doc", F.lit(-(1 << 60)).alias("excess"))
     # a document that cannot leave its hot chunks may share nothing else with another such document
     stuck = rows.filter("hot").groupBy("doc", "band", "spare").agg(F.count("*").alias("left")).filter(F.col("left") > F.col("spare")).select(F.col("doc").alias("doc_id")).distinct()
     return cold.unionByName(rare_groups(docs, stored(stuck, "stuck"), join))
@@ -226,8 +226,8 @@ def rare_groups(docs: DataFrame, which: DataFrame, join: Join) -> DataFrame:
     has one of the other's shingles among its first d + 1, d being the largest
     symmetric difference; the rarer of the first common ones is in both
     beginnings.  All before the first common one differs; excess is how much of
-    that a document has beyond its part of what may differ.  A passage that many
-    share is common, and brings a group only to those that have little else,
+    that a document has beyond its part of what may differ, times 100 + percent,
+    so that it is an integer and exact.  A passage that many share is common, and brings a group only to those that have little else,
     whose excesses then tell most of them apart.
     """
     over = "over (partition by k)"
@@ -235,7 +235,7 @@ def rare_groups(docs: DataFrame, which: DataFrame, join: Join) -> DataFrame:
     df = each.groupBy("k").agg(F.count("*").alias("df"))
     most = F.floor(F.lit(100 - join.percent) * (F.col("n") + F.floor(F.col("n") * 100 / join.percent)) / (100 + join.percent)) + 1
     first = each.join(df, "k").withColumn("r", F.row_number().over(W.partitionBy("doc").orderBy("df", "k"))).filter(F.col("r") <= most).filter("df > 1")
-    first = first.select("k", "doc", (F.col("r") - 1 - F.col("n") * (100 - join.percent) / (100 + join.percent)).alias("excess"))
+    first = first.select("k", "doc", ((F.col("r").cast("long") - 1) * (100 + join.percent) - F.col("n").cast("long") * (100 - join.percent)).alias("excess"))
     shared = first.withColumns({"size": F.expr(f"count(1) {over}"), "pivot": F.expr(f"min(doc) {over}"), "g": F.expr(f"bit_xor(xxhash64(doc)) {over}")}).filter("size > 1")
     return shared.groupBy("g", "pivot", "doc").agg(F.min("excess").alias("excess"))
 

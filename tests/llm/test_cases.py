@@ -162,6 +162,18 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, n, percent):
     assert got == brute_components(texts, n, percent)
 
 
+@pytest.mark.parametrize("n,percent,common,a,b,other", [(5, 80, 36, 1, 7, 8)])
+def test_ngram_join_at_the_threshold_behind_a_hot_passage(spark, monkeypatch, n, percent, common, a, b, other):
+    # sets of 33 and 39 with 32 common are just at 80 %: rounded excesses sum to more than 0
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    text = lambda k, own: " ".join([f"p{i}" for i in range(common)] + [f"o{k}x{i}" for i in range(own)])
+    texts = {k: text(k, other) for k in range(40)} | {40: text(40, a), 41: text(41, b)}
+    assert brute_components(texts, n, percent)[41][1] == 40
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(docs, ngram_join.Join(n, percent)).collect()}
+    assert got == brute_components(texts, n, percent)
+
+
 def test_ngram_join_odd_rows(spark, odd, none):
     rows = ngram_join.joined(odd.select("doc_id", "text")).collect()
     by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
