@@ -7,7 +7,8 @@ with the regex.  Rules without mandatory trigrams scan every text.
 
 Nulls and odd cases: a null or empty text has no spans.  Each input row gives
 one row, repeated rows too (rows are joined by id and a hash of id and text); a
-null id stays null.  Other columns do not matter.  Texts are never cut.
+null id stays null.  Other columns keep their values, whatever their names; only the
+columns that are added take the place of columns of their names.  Texts are never cut.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, small, stored, with_row_key
-from tesserae.llm.textsql import match_spans
+from tesserae.llm.storage import opened, restricted, sealed, small, stored, with_row_key
+from tesserae.llm.textsql import match_spans, replaced_matches
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,9 @@ class Rule:
 #: Fixed values.  The first three in this order are the base kinds; the others are the method's own.
 BASE_RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""(?i)[^:=]*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
-    Rule("access", r"AKIA[A-Z0-9]+", r"(?s).{20,}"),
-    Rule("hex", r"[0-9a-f]+", r"(?s).{24,}"),
+    # runs are matched as long as they are, so leaving out short ones changes no other match
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 OWN_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -138,26 +140,29 @@ def query_terms(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     return spark.createDataFrame(rows, "rule int, clause int, alternative int, trigram string, n_trigrams int, n_clauses int")
 
 
-def postings(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
+def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index, restricted to the given trigrams: (trigram, _id, _key) for each document that has it.
 
     Texts are lowered as a whole: that never takes an ASCII trigram away, and
     what it may add, verification removes.
     """
-    lowered = docs.select("_id", "_key", F.lower(F.col(text_col)).alias("_low"))
+    lowered = keyed.select("_id", "_key", F.lower("_text").alias("_low"))
     found = F.array_compact(F.array(*(F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in trigrams)))
-    return lowered.select("_id", "_key", F.explode(found).alias("trigram"))
+    # of an inner explode the optimizer would derive a filter that looks for all trigrams a second time
+    return lowered.select("_id", "_key", F.explode_outer(found).alias("trigram")).filter(F.col("trigram").isNotNull())
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """(_id, _key, rules): the rules whose trigram query a document fulfils.  docs have _id and _key.
+def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(_id, _key, rules): the rules whose trigram query a document of keyed (_id, _key, _text) fulfils.
 
-    All postings of a document come from one input partition, so each
-    intersection is nearly done before its shuffle.
+    The index is stored, so that its postings are made once and the queries read
+    them by trigram.  All postings of a document come from one part of it, so
+    each intersection is nearly done before its shuffle.
     """
-    terms = query_terms(docs.sparkSession, rules)
+    terms = query_terms(keyed.sparkSession, rules)
     grams = sorted({r["trigram"] for r in terms.select("trigram").distinct().collect()})  # the rules' own, not the data's
-    hits = postings(docs, grams, text_col).join(F.broadcast(terms), "trigram")
+    index = stored(postings(keyed, grams), "trigram-index")
+    hits = index.join(F.broadcast(terms), "trigram")
     met = (
         hits.groupBy("_id", "_key", "rule", "clause", "alternative", "n_trigrams", "n_clauses")
         .agg(F.count_distinct("trigram").alias("n"))
@@ -182,7 +187,7 @@ NO_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """docs with _id, _key and spans_<kind> for each rule: array<struct<start,end>> in code points.
+    """docs without their text, with spans_<kind> for each rule: array<struct<start,end>> in code points.
 
     Full-scan rules are evaluated on every row.  The texts of the candidates of
     the other rules are picked out by their keys (restricted) and verified, and
@@ -191,23 +196,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     keyed = with_row_key(docs, text_col=text_col)
     full = [r for r in rules if not trigram_query(r.pattern)]
     gated = [(i, r) for i, r in enumerate(rules) if trigram_query(r.pattern)]
-    found = stored(candidates(keyed, rules, text_col), "secret-candidates")
-    texts = restricted(keyed.select("_id", "_key", F.col(text_col).alias("_text")), found, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    found = stored(candidates(keyed, rules), "secret-candidates")
+    texts = restricted(keyed, found, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
     verified = texts.join(found, ["_id", "_key"]).select(
         "_id", "_key", *(F.when(F.array_contains("rules", i), _spans(F.col("_text"), r)).otherwise(F.expr(NO_SPANS)).alias(f"spans_{r.kind}") for i, r in gated)
     )
+    # verified once, however often the filter and the join look at it
+    verified = stored(verified, "secret-spans")
     some = reduce(lambda a, b: a | b, [F.size(f"spans_{r.kind}") > 0 for _, r in gated])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = keyed.withColumns({f"spans_{r.kind}": F.when(text.rlike(_first_look(r)), _spans(text, r)).otherwise(F.expr(NO_SPANS)) for r in full})
-    joined = whole.drop(text_col).join(verified.filter(some), ["_id", "_key"], "left")
-    return joined.withColumns({f"spans_{r.kind}": F.coalesce(f"spans_{r.kind}", F.expr(NO_SPANS)) for _, r in gated})
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    rows = sealed(docs, text_col=text_col)
+    whole = rows.select("_row", "_id", "_key", *(F.when(text.rlike(_first_look(r)), _spans(text, r)).otherwise(F.expr(NO_SPANS)).alias(f"spans_{r.kind}") for r in full))
+    joined = whole.join(verified.filter(some), ["_id", "_key"], "left")
+    return opened(joined, [c for c in docs.columns if c != text_col], **{f"spans_{r.kind}": F.coalesce(f"spans_{r.kind}", F.expr(NO_SPANS)) for r in rules})
 
 
 def _first_look(rule: Rule) -> str:
-    """A regex that every text with a fitting match matches: the run with its least length, or the rule itself."""
-    m = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
-    n = re.fullmatch(r"\(\?s\)\.\{(\d+),\}", rule.fits or "")
-    return f"{m[1]}{{{n[1]}}}" if m and n else rule.pattern
+    """A regex that every text with a match matches: of a run its least length."""
+    return re.sub(r"\{(\d+),\}$", r"{\1}", rule.pattern)
 
 
 def _listed(rules: tuple[Rule, ...]) -> Column:
@@ -236,35 +242,24 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] =
     A match that a rule drops as too short is left, and the rules follow each
     other, so that what one has replaced the next does not see.
     """
-    columns = docs.columns
-    keyed = with_row_key(docs, text_col=text_col)
-    found = stored(candidates(keyed, rules, text_col), "secret-candidates")
+    found = stored(candidates(with_row_key(docs, text_col=text_col), rules), "secret-candidates")
     gated = {i for i, r in enumerate(rules) if trigram_query(r.pattern)}
-    out = keyed.join(small(found), ["_id", "_key"], "left")
-    text = F.col(text_col)
+    out = sealed(docs, text_col=text_col).join(small(found.select("_id", "_key", F.expr("array_sort(rules)").alias("rules"))), ["_id", "_key"], "left")
+    text = F.col("_text")
     for i, r in enumerate(rules):
         looked = F.coalesce(F.array_contains("rules", i), F.lit(False)) if i in gated else F.coalesce(text.rlike(_first_look(r)), F.lit(False))
-        spans = _spans(text, r)
-        cut = F.aggregate(
-            spans,
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda a, s: F.struct(
-                s["end"].alias("at"),
-                F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"),
-            ),
-            lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-        )
-        out = out.withColumn(text_col, F.when(looked, cut).otherwise(text))
-    return out.select(*columns)
+        cut = replaced_matches(text, r.pattern, r.fits, mark) if r.fits else F.regexp_replace(text, r.pattern, mark)
+        out = out.withColumn("_text", F.when(looked, cut).otherwise(text))
+    return opened(out, docs.columns, **{text_col: "_text"}).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, their secrets replaced by <SECRET> and n_chars counted anew where there is such a column."""
-    own = redacted(docs.select(F.struct("*").alias("row"), "doc_id", "text"))  # whatever the columns are called
-    fresh = {"text": F.col("text")}
-    if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("row")["n_chars"]).alias("n_chars")
-    return own.select(*(fresh.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
+    own = redacted(docs)
+    if "n_chars" not in docs.columns:
+        return own
+    counted = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return own.withColumn("n_chars", counted).select(*docs.columns)
 
 
 def _duck_spans(k: int, rule: Rule) -> str:

@@ -1,23 +1,33 @@
-"""Tables in the shared folder: cut lineage, know sizes, restrict by keys."""
+"""Tables in the shared folder: cut lineage, know sizes, restrict by keys; and rows whose columns cannot clash."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A key set of at most this many rows (16 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Keys are broadcast up to so many bytes, taking what an executor's hash table needs for a row; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 40
 #: Stands for a null document id in join keys; no real id is the smallest long.
 NO_ID = -(2**63)
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder of its machine;
+    any other session is refused, since its executors would not see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -25,7 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this driver has written so far, once nothing reads them any more; returns how many."""
+    jvm, n = spark._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,20 +61,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _row_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds _id (never null) and _key (hash of id and text), which name a row; equal rows share both."""
-    return docs.withColumns(
-        {
-            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-            "_key": F.xxhash64(F.col(id_col), F.col(text_col)),
-        }
-    )
+    """(_id, _key, _text): _id (never null) and _key (hash of id and text) name a row; equal rows share both."""
+    return docs.select(_row_id(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
+
+
+def sealed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(_row, _id, _key, _text): the columns of docs in one struct, out of the way of an operator's own; the text is in it only on request."""
+    own = [c for c in docs.columns if keep_text or c != text_col]
+    row = F.struct(*(F.col(f"`{c}`") for c in own)) if own else F.struct(F.lit(None).alias("_none"))
+    return docs.select(row.alias("_row"), _row_id(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
+
+
+def opened(rows: DataFrame, columns: list[str], **new: Column | str) -> DataFrame:
+    """The given columns of sealed rows, and new ones, which take the place of columns of their names."""
+    fresh = {k: F.col(v) if isinstance(v, str) else v for k, v in new.items()}
+    return rows.select(*(F.col("_row")[c].alias(c) for c in columns if c not in fresh), *(v.alias(k) for k, v in fresh.items()))
 
 
 def small(keys: DataFrame) -> DataFrame:
-    """keys with a broadcast hint when they are few (BROADCAST_KEYS), else as they are, for a join by a shuffle."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
+    """keys with a broadcast hint when their counted size is within BROADCAST_BYTES, else as they are, for a join by a shuffle."""
+    texts = [F.octet_length(F.col(f.name)) for f in keys.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(ROW_BYTES + 8 * len(keys.columns)))
+    size = keys.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
 
 
 def restricted(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

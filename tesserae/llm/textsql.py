@@ -30,27 +30,39 @@ def plain_words(lowered: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), PUNCT), "")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once, as the element of a one-element array, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(sizes: Column) -> Column:
+    """The running sums of an array of ints, by doubling: each of log2(n) rounds adds the element so far back."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int")
+    steps = F.slice(F.array(*(F.lit(1 << k) for k in range(31))), F.lit(1), rounds)
+    return F.aggregate(steps, sizes, lambda sums, back: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0))))
+
+
 def match_spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points.
 
     Spark has no function for the places of matches; they follow from the
     lengths of what lies between matches (split) and of the matches.  The
-    pattern must not match the empty string.
+    pattern must not match the empty string.  Work grows as n log n with the
+    number of matches.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(F.struct((s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + F.length(p["m"])).alias("end"), p["m"].alias("match"))),
-            ).alias("out"),
-        ),
-    )
-    return walked["out"]
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+
+    def placed(f: Column) -> Column:
+        steps = F.zip_with(f, F.slice(gaps, F.lit(1), F.size(f)), lambda m, gap: F.length(m) + gap)
+        return F.zip_with(f, running_sums(steps), lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
+
+    return bound(found, placed)
+
+
+def replaced_matches(text: Column, pattern: str, fits: str, mark: str) -> Column:
+    """text with those matches of pattern that fit another regex wholly replaced by mark, in one pass over the matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    put = lambda m: F.when(m.rlike(f"^(?:{fits})$"), F.lit(mark)).otherwise(F.coalesce(m, F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda between, m: F.concat(between, put(m))), "")
