@@ -12,15 +12,19 @@ Nulls and odd cases: a null html is an empty payload, a null url an empty target
 URI; a null page_id is written as 'null', is read as null and loses against any
 number.  Rows that are repeated in full are one record that is returned as often
 as it came; rows that share page_id and payload but not the url are all of the
-same type.  Payloads below the size limit are all responses.
+same type.  Payloads below the size limit are all responses.  A URL of any
+characters is read back as it was.  Columns beyond page_id, url and html are not
+archived, whatever their names.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import NO_ID, restricted, table_path
+from tesserae.llm.storage import NO_ID, restricted, stored, table_path
 
 CRLF = "\r\n"
 #: Payloads of at least this many bytes are told apart by digest; smaller ones are always written out.
@@ -38,24 +42,39 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
+def _payload() -> Column:
+    return F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+
+
 def addressed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, sha1, address) for each page."""
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    return rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.sha2("payload", 256).alias("address"))
+    """(page_id, url, payload_bytes, sha1, address) for each page."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), _payload().alias("payload"))
+    return rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.sha2("payload", 256).alias("address"))
+
+
+#: In a URI with a line break, '%' and the line breaks are percent-encoded, which this field tells the reader.
+ENCODED = "X-Target-URI-Encoding: percent"
 
 
-def write_archive(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> str:
+def _uri_lines(url: Column) -> Column:
+    broken = url.contains("\r") | url.contains("\n")
+    safe = F.replace(F.replace(F.replace(url, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.concat(F.lit("WARC-Target-URI: "), F.when(broken, F.concat(safe, F.lit(CRLF + ENCODED))).otherwise(url))
+
+
+def write_archive(pages: DataFrame, path: str, least: int = LEAST_REVISIT, date: str | None = None) -> str:
     """Writes headers and payloads of pages (page_id, url, html) under path and returns path.
 
-    Which page is the response follows from an aggregation by address that is
-    done within partitions first.  The headers are shuffled without payloads;
-    the payloads are moved once, when records are rebuilt, unless there are too
-    many addresses to broadcast (restricted).
+    date is the WARC-Date of all records (the time of the call, in UTC, if not
+    given).  Pages are hashed once and their digests stored.  Which page is the
+    response follows from an aggregation by address, done within partitions
+    first; headers are shuffled without payloads.  Of the pages, only those
+    that carry a payload are read again; their ids are broadcast when few
+    (restricted), else joined by a shuffle.
     """
-    rows = addressed(pages)
-    light = rows.select("page_id", "url", "payload_bytes", "sha1", "address")
-    responses = light.groupBy("address").agg(F.max("page_id").alias("response"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    light = stored(addressed(pages), "digests")
+    responses = stored(light.groupBy("address").agg(F.max("page_id").alias("response")), "responses")
     typed = light.join(responses, "address")
     revisit = (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("response"), F.col("response").isNotNull())
     typed = typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
@@ -64,7 +83,8 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> st
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", "%0A")),
+        F.lit(f"WARC-Date: {date}"),
+        _uri_lines(F.col("url")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("response")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
@@ -73,13 +93,13 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> st
     )
     header = F.encode(F.concat(lines, F.lit(CRLF * 2)), "UTF-8")
     typed.select("page_id", "record_type", "address", header.alias("header")).write.parquet(f"{path}/headers")
-    # one row for each address: that of its response; rows that share its id and payload count once
-    keys = responses.select(F.coalesce("response", F.lit(NO_ID)).alias("_id"), "address")
-    named = rows.withColumn("_id", F.coalesce("page_id", F.lit(NO_ID)))
-    carriers = restricted(named.select("_id", "address", "payload"), keys, ["_id", "address"])
-    if not named.groupBy("_id", "address").count().filter("count > 1").isEmpty():
+    keys = responses.select(F.coalesce("response", F.lit(NO_ID)).alias("_id"))
+    named = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("_id"), _payload().alias("payload"))
+    carriers = restricted(named, keys, ["_id"]).select(F.sha2("payload", 256).alias("address"), "payload")
+    n = light.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("page_id", F.lit(NO_ID))).alias("ids")).first()
+    if n["rows"] > n["ids"]:  # of rows that share an id, several may carry one payload
         carriers = carriers.dropDuplicates(["address"])
-    carriers.select("address", "payload").write.parquet(f"{path}/payloads")
+    carriers.write.parquet(f"{path}/payloads")
     return path
 
 
@@ -102,25 +122,32 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """(page_id, url, record_type, refers_to, digest, payload_bytes, payload_sha1) read from record bytes.
+    """(page_id, url, record_type, refers_to, digest, date, payload_bytes, payload_sha1) read from record bytes.
 
-    The header ends at the first empty line; what follows up to Content-Length
-    is the payload, whose digest is taken anew.
+    The header ends at the first empty line and is cut at CR LF alone, so no
+    other line end and no byte of a URI is taken for one; a field is the first
+    line that begins with its name.  What follows up to Content-Length is the
+    payload, whose digest is taken anew.
     """
-    # headers have no bytes beyond their text's own encoding; Latin-1 keeps byte places
-    text = F.decode("record", "ISO-8859-1")
-    head = F.substring_index(text, CRLF * 2, 1)
-    rows = records.select("record", head.alias("head"))
-    field = lambda name: F.regexp_extract("head", rf"(?m)^{name}: (.*)$", 1)
-    length = field("Content-Length").cast("int")
-    body = F.substring("record", F.length("head") + 5, length)
+    # Latin-1 keeps byte places; the header is text in UTF-8
+    head = F.substring_index(F.decode("record", "ISO-8859-1"), CRLF * 2, 1)
+    rows = records.select("record", head.alias("head")).select("record", F.length("head").alias("head_bytes"), F.split(F.decode(F.encode("head", "ISO-8859-1"), "UTF-8"), CRLF).alias("lines"))
+
+    def field(name: str) -> Column:
+        line = F.get(F.filter("lines", lambda x: F.startswith(x, F.lit(f"{name}: "))), F.lit(0))
+        return F.coalesce(F.substring(line, len(name) + 3, 2**31 - 1), F.lit(""))
+
+    url = field("WARC-Target-URI")
+    plain = F.replace(F.replace(F.replace(url, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))
+    body = F.substring("record", F.col("head_bytes") + 5, field("Content-Length").cast("int"))
     page = lambda x: F.expr(f"try_cast(regexp_extract({x}, '<urn:page:(.*)>', 1) as bigint)")
     rows = rows.select(
-        F.decode(F.encode(field("WARC-Target-URI"), "ISO-8859-1"), "UTF-8").alias("url"),
+        F.when(F.array_contains("lines", ENCODED), plain).otherwise(url).alias("url"),
         field("WARC-Type").alias("record_type"),
         field("WARC-Record-ID").alias("own_id"),
         field("WARC-Refers-To").alias("refers"),
-        F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:(.*)$", 1).alias("digest"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
+        field("WARC-Date").alias("date"),
         F.when(field("WARC-Type") == "response", body).alias("payload"),
     )
     return rows.select(
@@ -129,6 +156,7 @@ def parsed(records: DataFrame) -> DataFrame:
         "record_type",
         page("refers").alias("refers_to"),
         "digest",
+        "date",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).alias("payload_sha1"),
     )
@@ -142,7 +170,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = write_archive(pages, table_path(spark, "warc"))
-    read = parsed(read_records(spark, path))
+    # the records are put together and parsed once; what they say is small
+    read = stored(parsed(read_records(spark, path)), "records")
     responses = read.filter("record_type = 'response'").select("page_id", "record_type", F.col("payload_sha1").alias("payload_digest"), "payload_bytes", F.lit(None).cast("long").alias("refers_to"))
     carried = read.filter("record_type = 'response'").groupBy(F.col("payload_sha1").alias("carried_sha1")).agg(F.max("payload_bytes").alias("carried_bytes"))
     revisits = (

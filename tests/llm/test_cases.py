@@ -99,6 +99,19 @@ def test_archive_round_trip(spark, tmp_path):
     assert got == sorted([("1", "revisit", 2), ("2", "response", None), ("2", "response", None), ("3", "revisit", 4), ("4", "response", None), ("None", "response", None)])
     body = [bytes(r["record"]) for r in records if b"page:4>" in bytes(r["record"]).split(b"\r\n\r\n")[0] and r["record_type"] == "response"]
     assert body[0].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert warc.read_records(spark, warc.write_archive(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_archive_reads_any_url_and_long_payloads(spark, tmp_path):
+    urls = ["http://x/" + "".join(chr(c) for c in range(0x80, 0x180)), "Å\x85\u2028%0A%25", "a\r\nWARC-Type: revisit\r\n\r\nb", "\n%0D%\r", "", " x ", "WARC-Refers-To: <urn:page:1>"]
+    payload = "é\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n" * 60_000
+    rows = [(i, u, payload if i == 1 else f"p{i}", 7) for i, u in enumerate(urls)] + [(50, "u", payload, 7), (50, "v", "p2", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, address int")
+    path = warc.write_archive(pages, f"file://{tmp_path}/a", date="2020-01-02T03:04:05Z")
+    got = {(r["page_id"], r["url"]): r for r in warc.parsed(warc.read_records(spark, path)).collect()}
+    assert set(got) == {(i, u) for i, u, _, _ in rows} and {r["date"] for r in got.values()} == {"2020-01-02T03:04:05Z"}
+    assert got[50, "u"]["payload_bytes"] == len(payload.encode()) and got[1, urls[1]]["refers_to"] == 50
+    assert got[2, urls[2]]["record_type"] == "revisit" and got[3, urls[3]]["record_type"] == "response"
 
 
 def test_chat_round_trip(spark):
