@@ -347,21 +347,75 @@ def test_packing_takes_lexical_neighbours():
     assert index.neighbours(1, np.array([False, True, False, True])).tolist() == []
 
 
-def test_html(spark):
-    tree = htmltext.compiled(htmltext.fitted(spark))
+TEXT = "Every spring the ferrymen paint their boats anew, though nobody can say who began the custom or why the colour must always be green. "
+PLAIN = "The bridge was closed for repairs until Friday. "
+LINKS = "<li><a href=/p>Pictures</a></li><li><a href=/l>Letters to us</a></li>"
+#: Pages that the tree has not seen, with labels as in the training table.
+HELD_OUT = (
+    (f"<nav>{LINKS}</nav><div class=advert>{PLAIN}</div><article><h1>Boats</h1><p>{TEXT * 4}</p><p>Green.</p><p>{PLAIN}</p></article><footer>Ferry Times, all rights reserved</footer>", "00" "0" "1111" "0"),
+    (f"<ul>{LINKS}{LINKS}</ul><div><h2>Boats</h2><p>{TEXT}</p><p>Indeed.</p><p>{PLAIN * 2}</p></div><ul>{LINKS}</ul>", "0000" "1111" "00"),
+    (f"<div class=page-with-sidebar><h1>Boats</h1><p>{TEXT * 2}</p><p>{TEXT}</p></div>", "111"),
+    (f"<form action=x><table><tr><td><a href=/1>One</a></td><td><a href=/2>Two</a></td></tr></table><p>{TEXT}</p><p>{TEXT}</p><p>End.</p></form>", "00" "111"),
+    (f"<article><h1>Boats</h1><p>{TEXT}</p><ul>{LINKS}{LINKS}</ul><p>{PLAIN}</p></article>", "11" "0000" "1"),
+    (f"<main><p>{PLAIN}</p><p>Read <a href=/f>the ferry book</a> first.</p><p>{TEXT}</p></main><div class=comments><p>{TEXT * 3}</p><p>So true</p></div>", "111" "00"),
+    (f"<aside><p>{TEXT * 2}</p></aside><article><p>{PLAIN}</p></article><footer><p>{TEXT}</p></footer>", "0" "1" "0"),
+    (f"<h1>Boats</h1><p>{TEXT}</p><ol><li>Brush</li><li>Paint, green</li></ol><p>{TEXT}</p><div><a href=/n>Next</a></div>", "1111" "1" "0"),
+    ("<article><h1>Tide</h1><p>High.</p></article><footer>Ferry Times</footer>", "11" "0"),
+    (f"<div><div>{TEXT}</div><div>{TEXT * 2}</div><div>{PLAIN}</div></div><div class='share social'>Tell your friends</div>", "111" "0"),
+)
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return htmltext.compiled(htmltext.fitted(spark))
+
+
+def decide(node, x: list) -> int:
+    while not isinstance(node, float):
+        node = node[2] if x[htmltext.FEATURES.index(node[0])] <= node[1] else node[3]
+    return int(node)
+
+
+def split_features(node) -> list:
+    return [] if isinstance(node, float) else [node[0], *split_features(node[2]), *split_features(node[3])]
+
+
+def test_html(spark, tree):
     page = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>Top &amp; more</h1><p>Two  words<p>a<b>b</b>\n c</article><div class='comments'><p>Me too</p></div><footer>&copy; x</footer>"
-    rows = spark.createDataFrame([(1, None, page), (None, "u", None), (2, "u", ""), (3, "u", "<!-- open"), (4, "u", "<article><p>Go.</p></article>")], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in htmltext.main_text(rows, tree).collect()}
-    assert got == {1: "Top & more\nTwo words\nab c", None: "", 2: "", 3: "", 4: "Go."}
-    assert htmltext.main_text(rows.limit(0), tree).count() == 0
-
-
-def test_tree_fits_its_labels(spark):
-    tree = htmltext.compiled(htmltext.fitted(spark))
-    pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(htmltext.TRAINING_PAGES)], "page_id int, html string")
-    marked = htmltext.parsed_pages(pages).select("page_id", F.array_join(F.transform("blocks", lambda b: F.when(htmltext.decided(tree, b), "1").otherwise("0")), "").alias("y"))
-    right = sum(a == b for r in marked.collect() for a, b in zip(r["y"], htmltext.TRAINING_PAGES[r["page_id"]][1]))
-    assert right >= 0.95 * sum(len(y) for _, y in htmltext.TRAINING_PAGES)
+    schema = "page_id long, url string, html string, text string, blocks string, _row string"
+    rows = [(1, None, page), (None, "u", None), (2, "u", ""), (3, "u", "<!-- open"), (4, "u", "<article><p>Go.</p></article>"), (4, "u", "<article><p>Go.</p></article>"), (5, "u", "x" * 3_000_000), (6, "u", "<p>Two <button>Share<p>Three</p>")]
+    docs = spark.createDataFrame([(*r, "t", "b", "r") for r in rows], schema)
+    got = htmltext.main_text(docs, tree)
+    assert got.columns == ["page_id", "url", "blocks", "_row", "text"] and {(r["blocks"], r["_row"]) for r in got.collect()} == {("b", "r")}
+    assert sorted((r["page_id"] or 0, r["text"]) for r in got.collect()) == [(0, ""), (1, "Top & more\nTwo words\nab c"), (2, ""), (3, ""), (4, "Go."), (4, "Go."), (5, "x" * 3_000_000), (6, "Two\nThree")]
+    assert htmltext.main_text(docs.limit(0), tree).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", '<a ="', '<a =">', "<div>x ", "</x>", "<textarea>", "<script>", "< ", "<a>x<p>"])
+def test_hostile_pages_are_read_once(piece):
+    import time
+
+    began = time.time()
+    htmltext.flat_blocks(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 10
+
+
+def test_tree_fits_its_labels_and_unseen_pages(tree):
+    for pages, least in ((htmltext.TRAINING_PAGES, 0.99), (HELD_OUT, 0.95)):
+        pairs = [(decide(tree, x), int(y)) for page, ys in pages for x, y in zip(htmltext.features_of(page), ys, strict=True)]
+        both = sum(a & b for a, b in pairs)
+        assert both >= least * sum(a for a, _ in pairs) and both >= least * sum(b for _, b in pairs)
+
+
+def test_words_and_links_decide(tree):
+    used = split_features(tree)
+    assert used[0] == "links" and "words" in used and {"prev_words", "prev_links", "next_words", "next_links"} & set(used)
+    # class names alone decide nothing: both decisions occur with and without them
+    seen = {}
+    for page, _ in (*htmltext.TRAINING_PAGES, *HELD_OUT):
+        for x in htmltext.features_of(page):
+            seen.setdefault(x[htmltext.FEATURES.index("hint")], set()).add(decide(tree, x))
+    assert seen == {0.0: {0, 1}, 1.0: {0, 1}}
 
 
 def test_pipeline_equals_brute_force(spark, duck, tmp_path):
