@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import opened, restricted, sealed, small, stored, with_row_key
+from tesserae.llm.storage import restricted, sealed, small, stored, unboxed, with_row_key
 from tesserae.llm.textsql import ascii_lower, bound, plain_words
 
 WINDOW = 10
@@ -52,8 +52,8 @@ def _loose(text: Column) -> Column:
 
 
 def word_lists(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_row, _id, _key, terms): for each row the loosely lowered words of its text in order, stored; what the index and its statistics are made from."""
-    return stored(sealed(docs, text_col=text_col).select("_row", "_id", "_key", plain_words(_loose(F.col("_text"))).alias("terms")), "word-lists")
+    """(_box, _id, _key, terms): for each row the loosely lowered words of its text in order, stored; what the index and its statistics are made from."""
+    return stored(sealed(docs, text_col=text_col).select("_box", "_id", "_key", plain_words(_loose(F.col("_text"))).alias("terms")), "word-lists")
 
 
 def term_frequencies(lists: DataFrame, terms: DataFrame) -> DataFrame:
@@ -131,11 +131,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, text_col: str = "text") -> DataFrame:
     """docs without their text, with n_words, n_hit, items and near_items (arrays) and contaminated."""
     lists = word_lists(docs, text_col)
-    rows = lists.select("_row", "_id", "_key", F.size("terms").cast("long").alias("n_words"))
+    rows = lists.select("_box", "_id", "_key", F.size("terms").cast("long").alias("n_words"))
     out = rows.join(small(stored(matches(docs, items, window, slop, text_col, lists), "matches")), ["_id", "_key"], "left")
     none = F.expr("cast(array() as array<string>)")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return opened(out, [c for c in docs.columns if c != text_col], n_words="n_words", n_hit=n_hit, items=F.coalesce("items", none), near_items=F.coalesce("near_items", none), contaminated=n_hit > 0)
+    return unboxed(out, [c for c in docs.columns if c != text_col], n_words="n_words", n_hit=n_hit, items=F.coalesce("items", none), near_items=F.coalesce("near_items", none), contaminated=n_hit > 0)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = stored(matches(docs, items).filter("n_hit > 0").select("_id", "_key"), "contaminated")
     kept = sealed(docs, keep_text=True).join(small(hit), ["_id", "_key"], "left_anti")
-    return opened(kept, docs.columns)
+    return unboxed(kept, docs.columns)
 
 
 WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

@@ -30,6 +30,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.storage import boxed, unboxed
+
 # --- flat blocks of a page -------------------------------------------------------------------------------------------
 
 #: Tags that end a block, whose content is markup or a field of a form, that are page parts other than the article, that enclose it.
@@ -201,7 +203,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):  # a long batch of long pages is not held twice
             part = batch.slice(k, 256)
             blocks = pa.array([flat_blocks(x or "") for x in part.column("_html").to_pylist()], BLOCK_TYPE)
-            yield pa.RecordBatch.from_arrays([part.column("_row"), blocks], names=["_row", "_blocks"])
+            yield pa.RecordBatch.from_arrays([part.column("_box"), blocks], names=["_box", "_blocks"])
 
 
 # --- features and tree -----------------------------------------------------------------------------------------------
@@ -217,10 +219,9 @@ def with_neighbours(blocks: Column) -> Column:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(_row, _blocks): the columns of pages other than html in a struct, and the blocks (array of structs with text and FEATURES)."""
-    others = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
-    rows = pages.select(F.struct(*others).alias("_row"), F.col("html").alias("_html"))
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _blocks {BLOCK_SQL}"
+    """(_box, _blocks): the columns of pages other than html in a struct, and the blocks (array of structs with text and FEATURES)."""
+    rows = pages.select(boxed([c for c in pages.columns if c != "html"]), F.col("html").alias("_html"))
+    schema = f"_box {rows.schema['_box'].dataType.simpleString()}, _blocks {BLOCK_SQL}"
     return rows.mapInArrow(_parse, schema).withColumn("_blocks", with_neighbours(F.col("_blocks")))
 
 
@@ -314,7 +315,7 @@ def main_text(pages: DataFrame, tree: list | float) -> DataFrame:
     """pages with text, the article's blocks joined by newlines, in place of html."""
     kept = F.filter("_blocks", lambda b: decided(tree, b))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed_pages(pages).select(*(F.col("_row")[c].alias(c) for c in pages.columns if c not in ("html", "text")), text.alias("text"))
+    return unboxed(parsed_pages(pages), [c for c in pages.columns if c != "html"], text=text)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

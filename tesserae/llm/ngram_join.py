@@ -141,6 +141,7 @@ def _emit_chunks(join: Join) -> Callable:
     the others with every document that it links with.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b, "text")):
             row, h, starts = shingles(batch.column("text"), join.words)
@@ -210,6 +211,7 @@ def chunk_groups(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def _emit_shingles(join: Join) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b, "text")):
             row, h, starts = shingles(batch.column("text"), join.words)
@@ -243,6 +245,7 @@ def rare_groups(docs: DataFrame, which: DataFrame, join: Join) -> DataFrame:
 def _unlike(join: Join) -> Callable:
     """Keeps the pairs that size and sketches allow."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()

@@ -191,6 +191,7 @@ def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _document_frequencies(size: int) -> Callable:
     """Partial counts: for each partition one row per token that it has."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, texts, tokens = np.zeros(size + 2, np.int64), 0, 0
         for batch in batches:
@@ -223,6 +224,7 @@ def _routes(starts: np.ndarray, ids: np.ndarray, frequency: np.ndarray) -> np.nd
 
 
 def _route_sizes(frequency: np.ndarray, window: int) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(frequency), np.int64)
         for batch in batches:
@@ -262,6 +264,7 @@ def crc32(ids: np.ndarray) -> int:
 def _deal(frequency: np.ndarray, first: np.ndarray, split: np.ndarray, window: int) -> Callable:
     """Whole windows of a text, with their checksum only, and its rest, with its ids, for the text's shard."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ids = _ids_of(batch)
@@ -379,6 +382,7 @@ def _pack_shard(shard: int, rows: list[tuple], frequency: np.ndarray, n_texts: i
 
 
 def _pack(frequency: np.ndarray, n_texts: int, mean_length: float, window: int) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
         for batch in batches:

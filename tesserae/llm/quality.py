@@ -2,8 +2,9 @@
 
 Nulls and odd cases: null and empty texts have no words, so every count is 0,
 base_failed is true and kept false.  Rows are judged one by one: repeated rows
-are kept or dropped alike, other columns are left as they are, and the measures
-are added under the names in MEASURES (a column of that name is replaced).
+are kept or dropped alike, other columns are left as they are, whatever their
+names, and the measures are added under the names in COUNTS and RATIOS (a column
+of that name is replaced).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.storage import boxed, unboxed
 from tesserae.llm.textsql import space_words
 
 #: Frequent words of the languages that are kept.
@@ -45,6 +47,7 @@ THRESHOLDS = (
     Threshold("dup_line_ratio", most=0.6),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RATIOS = ("mean_word_length", "symbol_ratio", "shout_ratio", "stop_word_ratio", "repeat_ratio", "dup_line_ratio")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -86,13 +89,13 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 4, 0).when(F.size(F.array_distinct(hashes)) == n - 2, 0).otherwise(covered)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the counts and ratios of its texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measured(rows: DataFrame) -> DataFrame:
+    """rows, whose texts are in _text, with COUNTS and RATIOS of their texts."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
     words = F.col("_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    docs = docs.withColumn("_words", space_words(F.col(text_col)))
-    docs = docs.withColumns(
+    rows = rows.withColumn("_words", space_words(F.col("_text")))
+    rows = rows.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -103,18 +106,17 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "_stops": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
         }
     )
-    docs = docs.withColumns({"_n_lines": F.size("_lines"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
+    rows = rows.withColumns({"_n_lines": F.size("_lines"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
     n = F.col("n_words")
-    return docs.withColumns(
-        {
-            "mean_word_length": _ratio(F.col("word_chars"), n),
-            "symbol_ratio": _ratio(F.col("n_symbols"), n),
-            "shout_ratio": _ratio(F.col("_shouts"), n),
-            "stop_word_ratio": _ratio(F.col("_stops"), n),
-            "repeat_ratio": _ratio(F.col("n_repeat_words"), n),
-            "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("_n_lines")),
-        }
-    ).drop("_words", "_lines", "_shouts", "_stops", "_n_lines")
+    ratios = {
+        "mean_word_length": _ratio(F.col("word_chars"), n),
+        "symbol_ratio": _ratio(F.col("n_symbols"), n),
+        "shout_ratio": _ratio(F.col("_shouts"), n),
+        "stop_word_ratio": _ratio(F.col("_stops"), n),
+        "repeat_ratio": _ratio(F.col("n_repeat_words"), n),
+        "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("_n_lines")),
+    }
+    return rows.withColumns({r: ratios[r] for r in RATIOS})
 
 
 def compiled(thresholds: tuple[Threshold, ...]) -> Column:
@@ -128,11 +130,16 @@ def compiled(thresholds: tuple[Threshold, ...]) -> Column:
     return tests
 
 
-def judged(docs: DataFrame, text_col: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
-    """docs with the measures, base_failed and kept.  See the module's text for nulls and repeats."""
+def _verdicts(rows: DataFrame, thresholds: tuple[Threshold, ...]) -> DataFrame:
     n = F.col("n_words")
-    docs = measured(docs, text_col).withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
-    return docs.withColumn("kept", ~F.col("base_failed") & compiled(thresholds))
+    rows = measured(rows).withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
+    return rows.withColumn("kept", ~F.col("base_failed") & compiled(thresholds))
+
+
+def judged(docs: DataFrame, text_col: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+    """docs with COUNTS, RATIOS, base_failed and kept.  See the module's text for nulls and repeats."""
+    rows = _verdicts(docs.select(boxed(docs.columns), F.col(text_col).alias("_text")), thresholds)
+    return unboxed(rows, docs.columns, **{c: c for c in (*COUNTS, *RATIOS, "base_failed", "kept")})
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +149,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, with the columns they came with."""
-    columns = docs.columns
-    own = judged(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text")
+    rows = _verdicts(docs.select(boxed(docs.columns), F.col("text").alias("_text")), THRESHOLDS)
     # a filter on a deterministic column would be pushed below the projections, each measure written out at each use
-    own = own.withColumn("_stays", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return own.filter("_stays").select(*(F.col("_row")[c].alias(c) for c in columns))
+    rows = rows.withColumn("_stays", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return unboxed(rows.filter("_stays"), docs.columns)
 
 
 def oracle_counts(source: str) -> str:

@@ -22,7 +22,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import opened, restricted, sealed, small, stored, with_row_key
+from tesserae.llm.storage import restricted, sealed, small, stored, unboxed, with_row_key
 from tesserae.llm.textsql import match_spans, replaced_matches
 
 
@@ -206,9 +206,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     some = reduce(lambda a, b: a | b, [F.size(f"spans_{r.kind}") > 0 for _, r in gated])
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = sealed(docs, text_col=text_col)
-    whole = rows.select("_row", "_id", "_key", *(F.when(text.rlike(_first_look(r)), _spans(text, r)).otherwise(F.expr(NO_SPANS)).alias(f"spans_{r.kind}") for r in full))
+    whole = rows.select("_box", "_id", "_key", *(F.when(text.rlike(_first_look(r)), _spans(text, r)).otherwise(F.expr(NO_SPANS)).alias(f"spans_{r.kind}") for r in full))
     joined = whole.join(verified.filter(some), ["_id", "_key"], "left")
-    return opened(joined, [c for c in docs.columns if c != text_col], **{f"spans_{r.kind}": F.coalesce(f"spans_{r.kind}", F.expr(NO_SPANS)) for r in rules})
+    return unboxed(joined, [c for c in docs.columns if c != text_col], **{f"spans_{r.kind}": F.coalesce(f"spans_{r.kind}", F.expr(NO_SPANS)) for r in rules})
 
 
 def _first_look(rule: Rule) -> str:
@@ -250,7 +250,7 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] =
         looked = F.coalesce(F.array_contains("rules", i), F.lit(False)) if i in gated else F.coalesce(text.rlike(_first_look(r)), F.lit(False))
         cut = replaced_matches(text, r.pattern, r.fits, mark) if r.fits else F.regexp_replace(text, r.pattern, mark)
         out = out.withColumn("_text", F.when(looked, cut).otherwise(text))
-    return opened(out, docs.columns, **{text_col: "_text"}).select(*docs.columns)
+    return unboxed(out, docs.columns, **{text_col: "_text"}).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,17 +70,21 @@ def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(_row_id(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
 
 
-def sealed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(_row, _id, _key, _text): the columns of docs in one struct, out of the way of an operator's own; the text is in it only on request."""
-    own = [c for c in docs.columns if keep_text or c != text_col]
-    row = F.struct(*(F.col(f"`{c}`") for c in own)) if own else F.struct(F.lit(None).alias("_none"))
-    return docs.select(row.alias("_row"), _row_id(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
+def boxed(columns: list[str]) -> Column:
+    """The given columns as one struct _box, out of the way of an operator's own columns."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns), *([] if columns else [F.lit(None).cast("int").alias("_none")])).alias("_box")
 
 
-def opened(rows: DataFrame, columns: list[str], **new: Column | str) -> DataFrame:
-    """The given columns of sealed rows, and new ones, which take the place of columns of their names."""
+def unboxed(rows: DataFrame, columns: list[str], **new: Column | str) -> DataFrame:
+    """The given columns of boxed rows, and new ones, which take the place of columns of their names."""
     fresh = {k: F.col(v) if isinstance(v, str) else v for k, v in new.items()}
-    return rows.select(*(F.col("_row")[c].alias(c) for c in columns if c not in fresh), *(v.alias(k) for k, v in fresh.items()))
+    return rows.select(*(F.col("_box")[c].alias(c) for c in columns if c not in fresh), *(v.alias(k) for k, v in fresh.items()))
+
+
+def sealed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(_box, _id, _key, _text): the columns of docs boxed, with the text only on request, and what with_row_key gives."""
+    own = [c for c in docs.columns if keep_text or c != text_col]
+    return docs.select(boxed(own), _row_id(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
 
 
 def small(keys: DataFrame) -> DataFrame:

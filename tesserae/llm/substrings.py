@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.wordhash import Words, parts
+from tesserae.llm.wordhash import Words, parts, released
 
 WINDOW = 35
 #: A difference cover modulo 21; all of 0..20 are differences of two of its residues.
@@ -73,6 +73,7 @@ def _counted(block: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, list[np.
 
 
 def _emit_anchors(window: int) -> Callable:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -197,6 +198,7 @@ def _extend(window: int) -> Callable:
                 _, (h, check), n = _counted(np.zeros(len(h), np.int64), h, check)
                 yield _rows(COUNTED, len(h), block=pa.array(np.full(len(h), block)), h=pa.array(h.view(np.int64)), check=pa.array(check), n_words=pa.array(n.astype(np.int64)))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_block(batches, each)
 
@@ -225,6 +227,7 @@ def _remove(window: int) -> Callable:
             shas = [_kept(t, ~gone[f : f + c] if r else None) for t, f, c, r in zip(docs.column("text").to_pylist(), words.first, words.count, removed)]
             yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_block(batches, each)
 

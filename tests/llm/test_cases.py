@@ -13,7 +13,13 @@ from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, pa
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, _id string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, _id string, n string, _row string, _words string, _lines string, _text string, _box string, terms string, k string"
+OWN = ("k", "i", "m", "r", "w", "l", "t", "b", "u", "v")
+
+
+def own_columns_kept(rows: list) -> None:
+    """Columns that are called like an operator's own have the values that they came with."""
+    assert {tuple(r[c] for c in SCHEMA.replace(" string", "").replace(" long", "").split(", ")[5:]) for r in rows} == {OWN}
 
 
 def odd_texts() -> list:
@@ -29,7 +35,7 @@ def odd_texts() -> list:
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "i", "m") for i, t in odd_texts()], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *OWN) for i, t in odd_texts()], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +45,9 @@ def none(spark):
 
 def test_quality(odd, none):
     got = quality.judged(odd).collect()
+    own_columns_kept(got)
+    good = " ".join(f"the {a}{b} of" for a in ("house", "river", "walk", "stone", "letter", "garden") for b in "abcd")
+    own_columns_kept(quality.quality_stage(None, odd.withColumn("text", F.lit(good)), "").collect())
     assert len(got) == len(odd_texts()) and quality.judged(none).count() == 0
     by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     assert by[0]["n_words"] == 0 and by[0]["base_failed"] and not by[0]["kept"]
@@ -56,8 +65,9 @@ def test_secrets(odd, none):
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(odd).collect()}
     assert "24be64439e3e49cf" not in clean[10] and clean[5] == odd_texts()[5][1] and clean[0] is None
     staged = secrets.secrets_stage(None, odd, "")
-    assert staged.columns == odd.columns and {(r["_key"], r["_id"], r["n"]) for r in staged.collect()} == {("k", "i", "m")}
-    assert {(r["_key"], r["_id"]) for r in rows} == {("k", "i")}
+    assert staged.columns == odd.columns
+    own_columns_kept(staged.collect())
+    own_columns_kept(rows)
 
 
 def test_secrets_with_many_matches_in_one_text(spark):
@@ -83,6 +93,7 @@ def test_trigram_queries():
 
 
 def test_licenses(odd, none):
+    own_columns_kept(licenses.scan(odd).collect())
     rows = {r["doc_id"]: r for r in licenses.scan(odd).collect() if r["doc_id"] is not None}
     assert licenses.scan(none).count() == 0 and rows[0]["n_words"] == 0 and rows[0]["labels"] == []
     assert rows[11]["n_base"] == 3 and rows[11]["base_labels"] == ["cc-by", "mit"] and "cc-by-nc" in rows[11]["labels"]
@@ -90,6 +101,58 @@ def test_licenses(odd, none):
     assert len(licenses.rules()) > 250
 
 
+def matching_text(nodes, rng: random.Random) -> str:
+    """A random text that a parsed regex of literals, classes, groups and repeats matches."""
+    out = ""
+    for op, arg in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, v = rng.choice(arg)
+            out += chr(v) if str(kind) == "LITERAL" else chr(rng.randint(*v))
+        elif name == "MAX_REPEAT":
+            out += "".join(matching_text(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 6))))
+        elif name == "SUBPATTERN":
+            out += matching_text(arg[-1], rng)
+        else:
+            assert name == "BRANCH"
+            out += matching_text(rng.choice(arg[1]), rng)
+    return out
+
+
+def test_license_keywords_and_gate_miss_no_match():
+    from re import _parser
+
+    rng = random.Random(4)
+    for rule in licenses.rules():
+        for _ in range(30):
+            text = matching_text(_parser.parse(rule.regex), rng)
+            assert rule.keyword.replace(" ", "  ") in text, (rule, text)
+            assert any(w in text for w in licenses.GATE_WORDS) or re.search(licenses.GATE_CC_BY, text), (rule, text)
+
+
+LICENSE_TEXTS = (
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["mit"]),
+    ("Redistributions of source code must retain the above\ncopyright notice, this list of conditions", ["bsd"]),
+    ("Neither the name of the Foo Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["bsd-3-clause"]),
+    ("// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an \"AS IS\" BASIS", ["apache-2.0"]),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ["gpl", "gpl-3"]),
+    ("The origin of this software must not be misrepresented", ["zlib"]),
+    ("This is free and unencumbered software released into the public domain.", ["unlicense"]),
+    ("SPDX-License-Identifier: BSD-3-Clause", ["bsd-3-clause"]),
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", ["cc-by-nc-sa"]),
+    ("A walk by the river, hereby ended. No warranty.", []),
+)
+
+
+def test_license_texts_without_names(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENSE_TEXTS)] + [(99, "MIT License. " * 20_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(len(LICENSE_TEXTS))] == [labels for _, labels in LICENSE_TEXTS]
+    assert got[99]["n_base"] == 20_000 and got[99]["labels"] == ["mit"] and got[99]["last_word"] == 39_998
+
+
 def test_archive_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u1", "<p>é"), (2, "u2", "<p>é"), (3, None, None), (4, "u4", ""), (None, "u5", "x"), (2, "u2", "<p>é")], "page_id long, url string, html string")
     path = warc.write_archive(pages, f"file://{tmp_path}/a")
