@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.textsql import running_sums
+
 #: Fixed values of the template.
 BEGIN, ROLE_END, END = "<|turn|>", "<|text|>", "</s>"
 PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -91,25 +93,15 @@ def formatted(messages: DataFrame, trained_role: str = "assistant") -> DataFrame
         ).alias("m"),
     )
     turns = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    # where each message's body begins and ends: running sums of the messages' sizes
     size = lambda m: F.length(m["head"]) + F.length(m["body"]) + len(END)
-    walked = F.aggregate(
-        "ms",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("mask")),
-        lambda s, m: F.struct(
-            (s["at"] + size(m)).alias("at"),
-            F.when(
-                m["role"] == trained_role,
-                F.array_append(s["mask"], F.struct((s["at"] + F.length(m["head"])).alias("start"), (s["at"] + F.length(m["head"]) + F.length(m["body"])).alias("end"))),
-            )
-            .otherwise(s["mask"])
-            .alias("mask"),
-        ),
-        lambda s: s["mask"],
-    )
+    ends = running_sums(F.transform("ms", size))
+    spans = F.zip_with("ms", ends, lambda m, end: F.struct(m["role"].alias("role"), (end - len(END) - F.length(m["body"])).alias("start"), (end - len(END)).alias("end")))
+    mask = F.transform(F.filter(spans, lambda s: s["role"] == trained_role), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return turns.select(
         "conv_id",
         F.array_join(F.transform("ms", lambda m: F.concat(m["head"], m["body"], F.lit(END))), "").alias("formatted"),
-        walked.alias("mask"),
+        mask.alias("mask"),
         F.flatten(F.transform("ms", lambda m: m["attachments"])).alias("attachments"),
     )
 

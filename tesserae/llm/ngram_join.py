@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, small, stored
+from tesserae.llm.storage import NO_ID, restricted, sealed, small, stored, unboxed
 from tesserae.llm.wordhash import Words, mixed, parts, released
 
 #: A chunk of more members than this is left by those that have enough others; the rest are joined by rare shingles.
@@ -303,21 +303,28 @@ def _across(join: Join) -> Callable:
 def across(rows: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
     """(a, b): pairs of a group's members in different components that may link; rows (g, rep, label, excess).
 
-    One of such a pair is outside the group's largest component.  Members are
-    dealt into blocks of about BLOCK, and blocks of the outside meet all blocks,
-    so that a task holds two blocks and gives what the sketches leave.
+    One of such a pair is outside the group's largest component.  Sets of a
+    group are dealt into bands of sizes, so wide that linked sets are in the
+    same band or in neighbouring ones, and bands into blocks of about BLOCK.
+    Blocks of the outside meet the blocks of these three bands, so that a task
+    holds two blocks and gives what the sketches leave.  What is joined by group
+    has a row for each group or band and is broadcast when small.
     """
-    own = rows.join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
-    sizes = rows.groupBy("g", "label").agg(F.count("*").alias("k"), F.min("excess").alias("e")).groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("size"), F.min("e").alias("least"))
-    own = own.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    width = 1.0001 * log(100 / join.percent)
+    own = rows.join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    own = stored(own, "open-sets")
+    labels = own.groupBy("g", "label").agg(F.count("*").alias("k"), F.min("excess").alias("e"))
+    majors = stored(labels.groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.min("e").alias("least")), "majors")
+    bands = stored(own.groupBy("g", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bands")
+    own = own.join(small(bands), ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     columns = ("rep", "label", "n", "excess", "bits")
-    outside = own.filter("label <> major and excess + least <= 0")
-    left = outside.select("g", F.col("block").alias("s"), every.alias("t"), F.lit(0).alias("side"), *columns)
-    met = outside.select("g", F.col("block").alias("s")).distinct()
-    right = own.join(met, "g").select("g", "s", F.col("block").alias("t"), F.lit(1).alias("side"), *columns)
-    return left.unionByName(right).groupBy("g", "s", "t").applyInArrow(_across(join), "a long, b long").distinct()
+    outside = own.join(small(majors), "g").filter("label <> major and excess + least <= 0")
+    reached = outside.withColumn("tb", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    left = reached.join(small(bands.select("g", F.col("band").alias("tb"), F.col("blocks").alias("tblocks"))), ["g", "tb"])
+    left = left.select("g", F.col("band").alias("sb"), F.col("block").alias("s"), "tb", F.explode(F.sequence(F.lit(0), F.col("tblocks") - 1)).alias("t"), F.lit(0).alias("side"), *columns)
+    met = stored(reached.select("g", F.col("band").alias("sb"), F.col("block").alias("s"), F.col("tb").alias("band")).distinct(), "met")
+    right = own.join(small(met), ["g", "band"]).select("g", "sb", "s", F.col("band").alias("tb"), F.col("block").alias("t"), F.lit(1).alias("side"), *columns)
+    return left.unionByName(right).groupBy("g", "sb", "s", "tb", "t").applyInArrow(_across(join), "a long, b long").distinct()
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
@@ -398,14 +405,24 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of documents with five-word shingles at a similarity of 0.8 or more, linked directly or through others, the one with the smallest id stays.
 
-    Rows without an id stay.  Of repeated rows of one id any one stays.
+    Rows without an id stay.  Rows that share an id but not the text are
+    documents of their own; of linked ones that with the smallest id, then the
+    smallest hash of id and text stays, and of rows equal in both the first by
+    their other columns, written as JSON.
     """
-    of = joined(docs.select("doc_id", "text"), Join(words=5, percent=80))
-    gone = of.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
-    return kept
+    join = Join(words=5, percent=80)
+    n = docs.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        of = joined(docs.select("doc_id", "text"), join)
+        gone = of.filter("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows = sealed(docs, keep_text=True)
+    named = rows.filter(F.col("_id") != NO_ID)
+    of = joined(named.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")).distinct(), join).select(F.col("doc_id").alias("_key"), "component_id")
+    first = named.select("_id", "_key").distinct().join(of, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("x")).select("x.*")
+    kept = named.join(small(first), ["_id", "_key"], "left_semi")
+    kept = kept.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_key").orderBy(F.to_json("_box")))).filter("_rank = 1").drop("_rank")
+    return unboxed(kept.unionByName(rows.filter(F.col("_id") == NO_ID)), docs.columns)
 
 
 def oracle_components(source: str, words: int, percent: int) -> str:

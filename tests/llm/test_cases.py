@@ -190,6 +190,10 @@ def test_chat_round_trip(spark):
     assert got[1]["turns"][0]["text"].startswith("see <|image|> ~1 </s>[INST]") and got[1]["loss"] == ["ok </s> [/INST] <"]
     assert [(a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [("a.png", 512)]
     assert len(got[2]["turns"]) == 2 and got[2]["loss"] == [""]
+    long = spark.range(20_000).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "id text")
+    long = long.union(long).select("conv_id", "turn", "role", chat.text_parts(F.col("text").cast("string")).alias("parts"))
+    row = chat.parsed(chat.formatted(long)).first()
+    assert len(row["turns"]) == 40_000 and row["loss"] == [str(k) for k in range(1, 20_000, 2) for _ in (0, 1)]
     assert chat.formatted(messages.limit(0)).count() == 0
 
 
@@ -316,7 +320,12 @@ def test_ngram_join_odd_rows(spark, odd, none):
     assert len(rows) == len(odd_texts()) and by[5]["component_id"] == by[6]["component_id"] == by[7]["component_id"] == by[13]["component_id"] == 5
     assert by[0]["n_shingles"] == 0 and by[0]["component_id"] == 0
     kept = ngram_join.near_duplicate_stage(spark, odd, "")
-    assert kept.columns == odd.columns and kept.filter("doc_id in (6, 7, 13)").count() == 0 and kept.filter("doc_id = 3").count() == 1
+    assert kept.columns == odd.columns and kept.filter("doc_id in (6, 7, 13)").count() == 0
+    own_columns_kept(kept.collect())
+    # one id for two texts: both are documents; a row that is repeated stays once
+    assert [r["text"] for r in kept.filter("doc_id = 3").collect()] == ["one"]
+    two = kept.limit(0).select("doc_id", "text").union(odd.select("doc_id", "text")).union(odd.sparkSession.sql("select 9, 'a text of its own that is like no other'"))
+    assert sorted(r["doc_id"] for r in ngram_join.near_duplicate_stage(spark, two, "").filter("doc_id = 9").collect()) == [9, 9]
     assert ngram_join.joined(none.select("doc_id", "text")).count() == 0
 
 
