@@ -1,10 +1,11 @@
 """Script-aware text functions as Column expressions.
 
-All are built-in Spark functions but three: Spark has no NFKC, NFD or case
-folding, so normalize and strip_accents send texts with non-ASCII characters
-(only those; others arrive as nulls) through an Arrow-batched function, and
-sentence and highlight offsets are found in Python, since Java counts UTF-16
-units.  Null texts give null strings and empty arrays.
+Built-in Spark functions wherever they can do it.  Spark has no NFKC, NFD or
+full case folding, so normalize sends texts with characters beyond a stated safe
+set (only those; others arrive as nulls) through an Arrow-batched function, and
+strip_accents those with non-ASCII characters.  Sentence and highlight offsets
+are found in Python, since Java counts UTF-16 units.  Null texts give null
+strings and empty arrays.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions.similarity import let
+from tesserae.functions.similarity import let, running_sums
 
 # Scripts by code point ranges, in order of precedence.
 SCRIPTS = (
@@ -152,11 +153,26 @@ def _bare(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))))
 
 
+def _safe_characters() -> str:
+    """Inside of a Java character class: Latin letters and signs that NFKC leaves alone and whose case folding is lower case, or ss for ß."""
+    alone = [c for c in map(chr, range(0xA1, 0x250)) if unicodedata.normalize("NFKC", c) == c and ord(c) not in _FOLDS and (c.casefold() == c.lower() or c == "ß") and len(c.lower()) == 1]
+    return "\\x00-\\x7F" + "".join(f"\\u{ord(c):04X}" for c in alone)
+
+
+# Characters beyond Latin that normalize replaces itself, and by what; signs that stay.
+_QUOTES, _DASHES, _BLANKS, _SIGNS = "\u2018\u2019\u201a\u201b", "\u2013\u2014\u2015\u2212", "\u00a0\u202f\u2009", "\u2022\u20ac"
+_DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
+_FOLDED = _QUOTES + _DOUBLE_QUOTES + _DASHES + _BLANKS
+_FOLDED_TO = "'" * 4 + '"' * 4 + "-" * 4 + " " * 3
+_SAFE = f"{_safe_characters()}{_FOLDED}{_SIGNS}\u2026"
+
+
 def normalize(text: Column, fold_case: bool = True) -> Column:
     """NFKC, digits to ASCII, zero-width characters out, quotes and dashes unified, white space collapsed; case folded."""
-    native = F.trim(F.regexp_replace(F.replace(text, F.lit("`"), F.lit("'")), r"[\x09-\x0D\x1C-\x20]+", " "))
-    native = F.lower(native) if fold_case else native
-    other = F.when(~_is_ascii(text), text)
+    plain = F.when(text.rlike(f"[{_FOLDED}\u2026]"), F.replace(F.translate(text, _FOLDED, _FOLDED_TO), F.lit("\u2026"), F.lit("..."))).otherwise(text)
+    native = F.trim(F.regexp_replace(F.replace(plain, F.lit("`"), F.lit("'")), r"[\x09-\x0D\x1C-\x20]+", " "))
+    native = F.replace(F.lower(native), F.lit("ß"), F.lit("ss")) if fold_case else native
+    other = F.when(text.rlike(f"[^{_SAFE}]"), text)
     return F.coalesce((_fold_case if fold_case else _fold)(other), native)
 
 
@@ -165,17 +181,26 @@ def strip_accents(text: Column) -> Column:
     return F.coalesce(_bare(F.when(~_is_ascii(text), text)), text)
 
 
+#: TOKEN where all letters are Latin and all digits ASCII, which texts without characters beyond these are.
+_LATIN_TOKEN = f"[0-9A-Za-zÀ-ÖØ-öø-ɏ]+(?:{_IN_WORD}+[0-9A-Za-zÀ-ÖØ-öø-ɏ]+)*"
+_BEYOND_LATIN = r"[^\x00-\u024F\u2000-\u2BFF]"
+
+
 def tokenize(normalized: Column) -> Column:
     """Tokens of a normalized text: runs of one script; where words have no spaces, characters, then pairs of them."""
-    runs = F.regexp_extract_all(normalized, F.lit(TOKEN), F.lit(0))
 
     def characters(t: Column) -> Column:
         n = F.length(t)
         pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.expr(EMPTY))
         return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(1))), pairs)
 
-    spread = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^(?:{_ANY_UNSPACED})"), characters(t)).otherwise(F.array(t))))
-    return F.coalesce(F.when(normalized.rlike(_ANY_UNSPACED), spread).otherwise(runs), F.expr(EMPTY))
+    def of(text: Column) -> Column:
+        runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        spread = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^(?:{_ANY_UNSPACED})"), characters(t)).otherwise(F.array(t))))
+        general = F.when(text.rlike(_ANY_UNSPACED), spread).otherwise(runs)
+        return F.when(text.rlike(_BEYOND_LATIN), general).otherwise(F.regexp_extract_all(text, F.lit(_LATIN_TOKEN), F.lit(0)))
+
+    return F.coalesce(let(normalized, of), F.expr(EMPTY))
 
 
 def tokens(text: Column) -> Column:
@@ -304,11 +329,36 @@ def truncate(text: Column, limit: int, ellipsis: str = "…") -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(back, r"[ ,;:.]+$", ""), F.lit(ellipsis)))
 
 
+BLOCK = rf"[^\n]+(?:\n(?!{SPACE}*\n)[^\n]+)*"
+
+
+def paragraph_spans(text: Column) -> Column:
+    """array<struct<paragraph,start,end>> of the blocks between blank lines, trimmed, in code points of the text as it is.
+
+    A block's place is the length of all that lies before it: what is between
+    blocks, and the blocks themselves.
+    """
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, BLOCK, -1), F.length)
+        ends = running_sums(F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.length(m) + gap))
+        cut = F.zip_with(found, ends, lambda m, end: F.struct(m.alias("m"), (end - F.length(m)).alias("at")))
+        bare = F.transform(
+            cut,
+            lambda c: F.struct(
+                F.regexp_replace(c["m"], f"^{SPACE}+|{SPACE}+$", "").alias("paragraph"),
+                (c["at"] + F.length(c["m"]) - F.length(F.regexp_replace(c["m"], f"^{SPACE}+", ""))).alias("start"),
+            ),
+        )
+        kept = F.filter(bare, lambda b: b["paragraph"] != "")
+        return F.transform(kept, lambda b: F.struct(b["paragraph"].alias("paragraph"), b["start"].alias("start"), (b["start"] + F.length(b["paragraph"])).alias("end")))
+
+    return let(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), placed)
+
+
 def split_paragraphs(text: Column) -> Column:
     """Blocks between blank lines, trimmed."""
-    pattern = rf"[^\n]+(?:\n(?!{SPACE}*\n)[^\n]+)*"
-    blocks = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
-    return F.filter(blocks, lambda x: x != "")
+    return F.transform(paragraph_spans(text), lambda p: p["paragraph"])
 
 
 # --- functions that need Python offsets ------------------------------------------------------------------------------
@@ -316,19 +366,29 @@ def split_paragraphs(text: Column) -> Column:
 _ENDS = re.compile(f"[{re.escape(TERMINATORS)}]+")
 
 
-def _ends_sentence(before: str, after: str) -> bool:
-    """Whether a full stop at the end of before ends a sentence."""
-    if not before.endswith("."):
+#: How far back from a full stop its word is looked for; longer words are no abbreviations and decide by their last character.
+_WORD_BACK = 64
+
+
+def _ends_sentence(text: str, start: int, end: int) -> bool:
+    """Whether the terminators that end at end, of a sentence that began at start, end it."""
+    stop = end
+    while stop > start and text[stop - 1].isspace():
+        stop -= 1
+    if stop == start or text[stop - 1] != ".":
+        return True
+    lo = max(start, stop - 1 - _WORD_BACK)
+    words = text[lo : stop - 1].split()
+    if not words:
         return True
-    words = before[:-1].split()
-    word = words[-1].casefold().rstrip(".") if words else ""
+    word = words[-1].casefold().rstrip(".")
     if word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()):
         return False
-    return not (word[-1:].isdigit() and after[:1].isdigit())
+    return not (word[-1:].isdigit() and text[end : end + 1].isdigit())
 
 
 def sentence_spans(text: str, min_chars: int = 2) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text, without white space around them."""
+    """(start, end) of the sentences of a text, without white space around them; one pass."""
 
     def trimmed(lo: int, hi: int) -> tuple[int, int]:
         piece = text[lo:hi]
@@ -336,7 +396,7 @@ def sentence_spans(text: str, min_chars: int = 2) -> list[tuple[int, int]]:
 
     cuts, start = [], 0
     for m in _ENDS.finditer(text):
-        if _ends_sentence(text[start : m.end()].rstrip(), text[m.end() :][:1]):
+        if _ends_sentence(text, start, m.end()):
             cuts.append((start, m.end()))
             start = m.end()
     spans = [s for s in (trimmed(*c) for c in [*cuts, (start, len(text))]) if s[1] - s[0] >= min_chars]
@@ -406,7 +466,36 @@ def _word_spans(texts: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the Python-backed functions known to SQL as txt_*; the others are expressions and need no name."""
+    """Makes the text functions known to SQL as txt_*: built-in ones as SQL functions of the session's catalog, Python-backed ones as UDFs.
+
+    Catalog functions are temporary.  txt_fold, txt_bare, txt_sentences and
+    txt_words run in Python; txt_chunks is a table function for lateral joins
+    that cuts a text into runs of size words, each sharing overlap with the one
+    before.
+    """
     spark.udf.register("txt_fold", _fold_case)
     spark.udf.register("txt_bare", _bare)
     spark.udf.register("txt_sentences", split_sentences)
+    spark.udf.register("txt_words", _word_spans)
+    spark.udtf.register("txt_chunks", WordChunks)
+    for name, arguments, body in _SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURN {body}")
+
+
+#: SQL functions: name, arguments, body.  txt_tokens takes a text that txt_fold has normalized.
+_SQL_FUNCTIONS = (
+    ("txt_tokens", "x STRING", f"regexp_extract_all(x, r'{TOKEN}', 0)".replace("[-'_.@/+]", r"[-\x27_.@/+]")),
+    ("txt_years", "x STRING", f"regexp_extract_all(x, r'{YEAR}', 0)"),
+    ("txt_numbers", "x STRING", f"transform(regexp_extract_all(x, r'{NUMBER}', 0), n -> regexp_replace(n, r'^{SPACE}+|{SPACE}+$', ''))"),
+    ("txt_jaccard", "a ARRAY<STRING>, b ARRAY<STRING>", "CASE WHEN size(a) > 0 AND size(b) > 0 THEN size(array_intersect(a, b)) / size(array_union(a, b)) ELSE 0.0D END"),
+)
+
+
+@F.udtf(returnType="ordinal: int, chunk: string")
+class WordChunks:
+    """Runs of size white-space words of a text, each sharing overlap with the one before."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        words = (text or "").split()
+        for k, lo in enumerate(range(0, max(1, len(words) - overlap), size - overlap) if words else ()):
+            yield k, " ".join(words[lo : lo + size])

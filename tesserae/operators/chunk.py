@@ -93,42 +93,55 @@ def context_text(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in ("window_before", "text", "window_after")))
 
 
-def _by_document(passages: DataFrame, cut: Callable[[list[str], list[int]], list[str]], strategy: str) -> DataFrame:
-    """Chunks that cut makes of a text's sentences and their token counts."""
-    own = txt.split_sentences(F.col("text"))
-    rows = passages.select("doc_id", F.transform(own, lambda s: s["sentence"]).alias("parts"))
-    rows = rows.withColumn("counts", F.transform("parts", lambda s: F.size(F.split(s, " "))))
-    kind = dict(rows.dtypes)["doc_id"]
+def _by_text(passages: DataFrame, cut: Callable[[str], list[str]], strategy: str) -> DataFrame:
+    """Chunks that cut makes of each whole text."""
+    kind = dict(passages.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(d, k, t) for d, parts, counts in zip(batch["doc_id"], batch["parts"], batch["counts"]) for k, t in enumerate(cut(list(parts), [int(c) for c in counts]))]
-            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text"]).astype({"ordinal": "int32"})
-
-    return _finished(rows.mapInPandas(run, f"doc_id {kind}, ordinal int, text string"), strategy)
-
-
-def packed(parts: list[str], counts: list[int], most: int, least: int, overlap: int) -> list[str]:
-    """Greedy packing of sentences (counted in words) up to most; a sentence with more is cut by words; a short end joins the chunk before; each chunk begins with the last overlap words of the one before."""
-    pieces: list[list[str]] = []
-    for p, c in zip(parts, counts):
-        words = p.split(" ")
-        pieces += [words[k : k + most] for k in range(0, len(words), most)] if c > most else [words]
-    out: list[list[str]] = []
-    for words in pieces:
-        if out and len(out[-1]) + len(words) <= most:
-            out[-1] = out[-1] + words
-        else:
-            out.append(words)
-    if len(out) > 1 and len(out[-1]) < least:
-        last = out.pop()
-        out[-1] = out[-1] + last
-    return [" ".join((out[k - 1][-overlap:] if k and overlap else []) + words) for k, words in enumerate(out)]
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                out = [(d, k, c) for d, t in zip(part["doc_id"], part["text"]) for k, c in enumerate(cut(t or ""))]
+                yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text"]).astype({"ordinal": "int32"})
+
+    return _finished(passages.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ordinal int, text string"), strategy)
+
+
+_BLANK_LINES = re.compile(r"\n\s*\n")
+
+
+def pieces(text: str, most: int) -> list[tuple[str, int]]:
+    """A text's paragraphs with their token counts; of those with more than most tokens the sentences, and of such sentences even runs of words."""
+    out = []
+    for block in filter(None, map(str.strip, _BLANK_LINES.split(text))):
+        n = txt.token_count(block)
+        if n <= most:
+            out.append((block, n))
+            continue
+        for lo, hi in txt.sentence_spans(block, min_chars=1):
+            n = txt.token_count(block[lo:hi])
+            out += [(p, txt.token_count(p)) for p in _evenly(block[lo:hi], most)] if n > most else [(block[lo:hi], n)]
+    return out
+
+
+def packed(parts: list[tuple[str, int]], most: int, least: int, overlap: int) -> list[str]:
+    """Parts with token counts packed greedily up to most; a short end joins the chunk before; each chunk begins with the last overlap words of the one before."""
+    out: list[list] = []
+    for part, n in parts:
+        if out and out[-1][1] + n <= most:
+            out[-1] = [f"{out[-1][0]} {part}", out[-1][1] + n]
+        elif n or out:
+            out.append([part, n])
+    if len(out) > 1 and out[-1][1] < least:
+        part, n = out.pop()
+        out[-1] = [f"{out[-1][0]} {part}", out[-1][1] + n]
+    words = [o[0].split() for o in out]
+    return [" ".join((words[k - 1][-overlap:] if k and overlap else []) + own) for k, own in enumerate(words)]
 
 
 def recursive(passages: DataFrame, most: int = RECURSIVE_MAX, least: int = RECURSIVE_MIN, overlap: int = RECURSIVE_OVERLAP) -> DataFrame:
-    """Sentences packed up to most words, longer ones split by words."""
-    return _by_document(passages, lambda parts, counts: packed(parts, counts, most, least, overlap), "recursive")
+    """Paragraphs packed up to most tokens, longer ones by sentences, longer sentences by words."""
+    return _by_text(passages, lambda text: packed(pieces(text, most), most, least, overlap), "recursive")
 
 
 def semantic(passages: DataFrame, break_below: float = SEMANTIC_BREAK, least: int = SEMANTIC_MIN, most: int = SEMANTIC_MAX) -> DataFrame:
@@ -205,16 +218,7 @@ def proposition(passages: DataFrame, least: int = PROPOSITION_MIN, most: int = P
     that all words are in a chunk; only a text with fewer than least tokens is
     a shorter one.
     """
-    kind = dict(passages.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                out = [(d, k, c) for d, t in zip(part["doc_id"], part["text"]) for k, c in enumerate(clauses(t or "", least, most))]
-                yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text"]).astype({"ordinal": "int32"})
-
-    return _finished(passages.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ordinal int, text string"), "proposition")
+    return _by_text(passages, lambda text: clauses(text, least, most), "proposition")
 
 
 def metadata_aware(passages: DataFrame) -> DataFrame:
@@ -232,25 +236,39 @@ def guarded(chunks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFram
 
 
 def near_duplicates(chunks: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
-    """(a, b, similarity): chunks (chunk_id, tokens) whose token sets have a Jaccard of at least threshold, a < b.
-
-    Equal sets are one class first, each member linked with its smallest one.
-    Of the classes only prefixes are joined: with tokens ordered from the
-    rarest, two such sets share one of their first n - ceil(threshold * n) + 1.
+    """(a, b, similarity): of each chunk b (chunk_id, tokens) that has near duplicates with smaller ids at least one of them, a.
+
+    Near duplicates have token sets with a Jaccard of at least threshold.  Equal
+    sets, told by their SHA-256, are one class, each member linked with its
+    smallest one.  Of the classes only prefixes are joined: with tokens ordered
+    from the rarest, two such sets share one of their first n - ceil(threshold *
+    n) + 1.  The classes that share a token are compared with the smallest of
+    them; only those that this does not settle meet all smaller ones, so that a
+    family of copies is not expanded into its pairs.
     """
     sets = chunks.select("chunk_id", F.sort_array(F.array_distinct("tokens")).alias("set")).filter(F.size("set") > 0)
-    classes = sets.groupBy("set").agg(F.min("chunk_id").alias("rep"), F.count("*").alias("n"))
-    copies = sets.join(classes.filter("n > 1"), "set").filter("chunk_id <> rep").select(F.col("rep").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("similarity"))
-    tokens = classes.select("rep", F.size("set").alias("size"), F.explode("set").alias("term"))
+    # read by each join below; lost blocks are computed anew
+    sets = sets.select("chunk_id", "set", F.sha2(F.array_join("set", " "), 256).alias("sha")).persist()
+    classes = sets.groupBy("sha").agg(F.min("chunk_id").alias("rep"), F.count("*").alias("n"))
+    copies = sets.select("chunk_id", "sha").join(classes.filter("n > 1"), "sha").filter("chunk_id <> rep").select(F.col("rep").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("similarity"))
+    reps = sets.join(classes.select(F.col("rep").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("rep"), "set")
+    tokens = reps.select("rep", F.size("set").alias("size"), F.explode("set").alias("term"))
     df = tokens.groupBy("term").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("rep").orderBy("df", "term"))
-    prefix = tokens.join(df, "term").withColumn("p", place).filter(F.col("p") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1)
-    left = prefix.select("term", F.col("rep").alias("a"), F.col("size").alias("sa"))
-    right = prefix.select("term", F.col("rep").alias("b"), F.col("size").alias("sb"))
-    pairs = left.join(right, "term").filter(f"a < b and sa >= {threshold} * sb and sb >= {threshold} * sa").select("a", "b").distinct()
-    with_sets = pairs.join(classes.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    near = with_sets.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return copies.unionByName(near)
+    prefix = tokens.join(df, "term").withColumn("p", place).filter((F.col("p") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("df") > 1)).select("term", "rep", "size").persist()
+
+    def close(pairs: DataFrame) -> DataFrame:
+        with_sets = pairs.distinct().join(reps.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+        return with_sets.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+    alike = f"sa >= {threshold} * sb and sb >= {threshold} * sa"
+    first = prefix.groupBy("term").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("size").alias("sa"))).alias("x")).select("term", "x.*")
+    members = prefix.select("term", F.col("rep").alias("b"), F.col("size").alias("sb"))
+    settled = close(members.join(first, "term").filter(f"a < b and {alike}").select("a", "b")).persist()
+    open_ = members.join(settled.select("b").distinct(), "b", "left_anti")
+    smaller = prefix.select("term", F.col("rep").alias("a"), F.col("size").alias("sa"))
+    rest = close(open_.join(smaller, "term").filter(f"a < b and {alike}").select("a", "b"))
+    return copies.unionByName(settled).unionByName(rest)
 
 
 def collapsed(chunks: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
@@ -258,6 +276,11 @@ def collapsed(chunks: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame
     return chunks.join(near_duplicates(chunks, threshold).select(F.col("b").alias("chunk_id")).distinct(), "chunk_id", "left_anti")
 
 
+def of_strategies(chunks: DataFrame, strategies: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of the given strategies; all if none is given.  A filter that prunes partitions where chunks are stored by strategy."""
+    return chunks.filter(F.col("strategy").isin(*strategies)) if strategies else chunks
+
+
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fixed": fixed, "recursive": recursive, "sentence_window": sentence_window, "semantic": semantic,
     "proposition": proposition, "metadata_aware": metadata_aware, "hierarchical": hierarchical,

@@ -26,7 +26,7 @@ from tesserae.operators import stats
 DIM, SEED, NONZEROS = 256, 20260813, 8
 CHAR_SEED = 0x5EED
 BLEND = (0.7, 0.3)
-COMMON_SAMPLE, COMMON_LEAST, COMMON_ROUNDS = 900, 8, 8
+COMMON_LEAST, COMMON_ROUNDS = 8, 8
 FNV_PRIME = 0x100000001B3
 LCG_FACTOR, LCG_STEP = 6364136223846793005, 1442695040888963407
 MASK = (1 << 64) - 1
@@ -113,8 +113,9 @@ class PpmiModel:
     dim: int = DIM
 
     def encode(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, vector) of docs (doc_id, tokens) with the common direction taken out; documents without known terms are absent."""
-        raw = _raw(docs, self)
+        """(doc_id, vector) of docs (doc_id, tokens) with the common direction taken out; documents without known terms have zero vectors."""
+        none = F.array_repeat(F.lit(0.0), self.dim)
+        raw = docs.select("doc_id").distinct().join(_raw(docs, self), "doc_id", "left").select("doc_id", F.coalesce("vector", none).alias("vector"))
         if self.common is None:
             return raw
         c = F.array(*map(F.lit, self.common))
@@ -172,24 +173,40 @@ def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2,
     vectors = dense(sparse.select("term", "idx", (F.col("w") * F.col("sign")).alias("w")), "term", dim).persist()
     n = corpus.first()["n_docs"]
     model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim)
-    model.common = common_direction(_raw(docs, model), n)
+    model.common = common_direction(_raw(docs, model), dim)
     return model
 
 
-def common_direction(vectors: DataFrame, n_docs: int, sample: int = COMMON_SAMPLE) -> list[float] | None:
-    """First principal direction of at most sample vectors, an even stride of the documents in order of id, by power iteration.
+def common_direction(vectors: DataFrame, dim: int = DIM) -> list[float] | None:
+    """First principal direction of all vectors (doc_id, vector) that are not (almost) zero, by power iteration; null of fewer than COMMON_LEAST.
 
-    The sample is the operator's own definition; it bounds what reaches the
-    driver.
+    Each partition sums the products of its vectors' elements, dim rows of dim
+    sums; these are added by row, and the iteration runs on that one matrix,
+    whose size does not depend on the number of documents.
     """
-    stride = max(1, n_docs // sample)
-    picked = vectors.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(stride))).filter("_h = 0").orderBy("doc_id").limit(sample)
-    rows = np.array([r["vector"] for r in picked.select("vector").collect()], np.float64)
-    if len(rows) < COMMON_LEAST:
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((dim, dim)), 0
+        for batch in batches:
+            own = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, dim)
+            own = own[np.linalg.norm(own, axis=1) > 1e-12]
+            sums += own.T @ own
+            n += len(own)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(np.full(dim, n), pa.int64())], names=["i", "sums", "n"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = table.column("sums").combine_chunks().flatten().to_numpy().reshape(table.num_rows, dim).sum(axis=0)
+        return pa.table({"i": table.column("i").slice(0, 1), "sums": pa.array([total], pa.list_(pa.float64())), "n": pa.array([sum(table.column("n").to_pylist())])})
+
+    schema = "i int, sums array<double>, n long"
+    rows = vectors.select("vector").mapInArrow(products, schema).groupBy("i").applyInArrow(added, schema).collect()
+    if not rows or rows[0]["n"] < COMMON_LEAST:
         return None
-    v = np.full(rows.shape[1], 1.0 / np.sqrt(rows.shape[1]))
+    matrix = np.array([r["sums"] for r in sorted(rows, key=lambda r: r["i"])])
+    v = np.full(dim, 1.0 / np.sqrt(dim))
     for _ in range(COMMON_ROUNDS):
-        nxt = rows.T @ (rows @ v)
+        nxt = matrix @ v
         size = np.linalg.norm(nxt)
         if size <= 1e-12:
             return None
@@ -198,14 +215,18 @@ def common_direction(vectors: DataFrame, n_docs: int, sample: int = COMMON_SAMPL
 
 
 def encode_chars(docs: DataFrame, terms: DataFrame | None = None, max_idf: float = 1.0, dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """(doc_id, vector) from the 3- to 5-grams of tokens, each token weighted by idf / sqrt(number of its grams); idf is 1 without terms."""
+    """(doc_id, vector) from the 3- to 5-grams of tokens, each token weighted by idf / sqrt(number of its grams); idf is 1 without terms.
+
+    A document without tokens has a zero vector.
+    """
     words = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     idf: Column = F.lit(1.0)
     if terms is not None:
         words, idf = words.join(terms.select("term", "idf"), "term", "left"), F.coalesce("idf", F.lit(max_idf))
     grams = words.withColumn("gs", char_ngrams(F.col("term"))).select("doc_id", F.explode("gs").alias("gram"), (F.col("n") * idf / F.sqrt(F.size("gs"))).alias("w")).groupBy("doc_id", "gram").agg(F.sum("w").alias("w"))
     own = signatures(grams.select(F.col("gram").alias("term")), dim, seed ^ CHAR_SEED).withColumnRenamed("term", "gram")
-    return dense(grams.join(own, "gram").select("doc_id", "idx", (F.col("w") * F.col("sign")).alias("w")), "doc_id", dim)
+    made = dense(grams.join(own, "gram").select("doc_id", "idx", (F.col("w") * F.col("sign")).alias("w")), "doc_id", dim)
+    return docs.select("doc_id").distinct().join(made, "doc_id", "left").select("doc_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)).alias("vector"))
 
 
 def encode_composite(model: PpmiModel, docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ library's own definition, said in the docstring.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import dot
-from tesserae.functions.text import char_ngrams, stem
+from tesserae.functions.text import char_ngrams, normalize, stem
 from tesserae.operators import stats
 
 # Retrieval parameters.
@@ -34,6 +35,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """(query_id, text, n_asked): requests (query_id, text) that are equal once normalized are one, with the smallest id and its text."""
+    keyed = requests.select("query_id", "text", F.coalesce(normalize(F.col("text")), F.lit("")).alias("_key"))
+    return keyed.groupBy("_key").agg(F.min(F.struct("query_id", "text")).alias("x"), F.count("*").alias("n_asked")).select("x.*", "n_asked")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries (query_id, tokens)."""
     return queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -49,7 +56,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     corpus = stats.corpus_stats(chunks)
     wanted = query_terms(queries)
     posts = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    # counted through tf, so that both uses read the same shuffled postings
+    df = posts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     rows = posts.join(df, "term").crossJoin(F.broadcast(corpus)).join(wanted, "term")
     weight = stats.idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
@@ -69,28 +77,52 @@ def dense_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame)
     return candidates.join(vectors, "chunk_id").join(queries, "query_id").withColumn("dense", dot(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
 
 
+#: Query vectors that a task holds at a time, and vectors that meet them when there are more queries.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 4096
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, chunk: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k best of the vectors for each query."""
+    scores = matrix @ vectors.T
+    for q, row in enumerate(scores):
+        best = np.lexsort((chunk, -row))[:k]
+        yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk[best], "score": row[best]})
+
+
 def brute_force(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest of all vectors for each query.
 
-    Queries, a stated set, meet all rows in Arrow batches: each batch keeps the
-    best k of each query by a matrix product, and a window merges them.
+    Queries, a stated set, meet all rows in blocks: each block keeps the best k
+    of each query by a matrix product, and a window merges them.  Up to
+    QUERY_BLOCK queries go with the task; more are blocks of a table that meets
+    the blocks of vectors, so that neither the driver nor a task holds them all.
     """
-    own = queries.select("query_id", "query_vector").toPandas()
-    ids = own["query_id"].to_numpy()
-    matrix = np.array(own["query_vector"].tolist(), np.float64).reshape(len(own), -1)
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        own = queries.select("query_id", "query_vector").toPandas()
+        ids = own["query_id"].to_numpy()
+        matrix = np.array(own["query_vector"].tolist(), np.float64).reshape(len(own), -1)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(ids):
+                    yield from _best(ids, matrix, batch["chunk_id"].to_numpy(), np.array(batch["vector"].tolist(), np.float64), k)
+
+        return top_k(vectors.select("chunk_id", "vector").mapInPandas(nearest, schema), k)
+
+    def blocks(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
+        n = F.pmod(F.xxhash64(key), F.lit(rows.count() // size + 1))
+        return rows.groupBy(n.alias("_n")).agg(F.collect_list(key).alias(key), F.collect_list(value).alias(value)).drop("_n")
+
+    pairs = blocks(queries, "query_id", "query_vector", QUERY_BLOCK).crossJoin(blocks(vectors, "chunk_id", "vector", VECTOR_BLOCK))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            chunk = batch["chunk_id"].to_numpy()
-            scores = matrix @ np.array(batch["vector"].tolist(), np.float64).T
-            for q, row in enumerate(scores):
-                best = np.lexsort((chunk, -row))[:k]
-                yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk[best], "score": row[best]})
+            for r in batch.itertuples():
+                yield from _best(np.array(r.query_id), np.stack(r.query_vector).astype(np.float64), np.array(r.chunk_id), np.stack(r.vector).astype(np.float64), k)
 
-    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
-    return top_k(vectors.select("chunk_id", "vector").mapInPandas(nearest, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"), k)
+    return top_k(pairs.mapInPandas(meet, schema), k)
 
 
 def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -102,6 +134,16 @@ def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return every.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("fusion"))
 
 
+def fused(hits: DataFrame, by: tuple[str, ...], candidates: int = CANDIDATES, k: int = RRF_K) -> DataFrame:
+    """(query_id, chunk_id, fusion): rrf of several orders of the same hits, each cut to its candidates; the hits are read once."""
+    rows = hits
+    for c in by:
+        rows = ranked(rows, c, f"_rank_{c}")
+    rows = rows.filter(reduce(lambda a, b: a | b, [F.col(f"_rank_{c}") <= candidates for c in by]))
+    parts = [F.when(F.col(f"_rank_{c}") <= candidates, 1.0 / (k + F.col(f"_rank_{c}"))).otherwise(0.0) for c in by]
+    return rows.select("query_id", "chunk_id", reduce(lambda a, b: a + b, parts).alias("fusion"))
+
+
 def scaled(hits: DataFrame, column: str) -> DataFrame:
     """column scaled to 0..1 within each query; equal values become 1.  Own definition."""
     own = W.partitionBy("query_id")
@@ -170,10 +212,18 @@ def expand_terms(queries: DataFrame, terms: DataFrame, most: int = 3) -> DataFra
 
 
 def repair_terms(queries: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
-    """(query_id, term, repair): for query terms outside the corpus the nearest corpus term within most edits that shares a 3-gram; ties by df, then term.  Own definition."""
+    """(query_id, term, repair): for query terms outside the corpus the nearest corpus term within most edits that shares a 3-gram; ties by df, then term.  Own definition.
+
+    Terms meet by 3-gram and by length, which most edits change by most.  An
+    edit takes three 3-grams away at most, so pairs that share fewer than the
+    rest are dropped before distances are measured.
+    """
     own = query_terms(queries).join(terms.select("term"), "term", "left_anti").select("query_id", "term")
-    grams = lambda c: F.explode(F.array_distinct(char_ngrams(F.col(c), 3, 3))).alias("gram")
-    near = own.select("term").distinct().select("term", grams("term")).join(terms.select(F.col("term").alias("other"), "df", grams("term")), "gram").select("term", "other", "df").distinct()
+    grams = lambda c: F.array_distinct(char_ngrams(F.col(c), 3, 3))
+    size = F.length("term")
+    asked = own.select("term").distinct().select("term", F.size(grams("term")).alias("n"), F.explode(F.sequence(size - most, size + most)).alias("size"), grams("term").alias("gs")).select("term", "n", "size", F.explode("gs").alias("gram"))
+    known = terms.select(F.col("term").alias("other"), "df", size.alias("size"), F.explode(grams("term")).alias("gram"))
+    near = asked.join(known, ["gram", "size"]).groupBy("term", "other", "df", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= F.col("n") - 3 * most)
     near = near.withColumn("d", F.levenshtein("term", "other")).filter(F.col("d") <= most)
     best = near.withColumn("_n", F.row_number().over(W.partitionBy("term").orderBy("d", F.desc("df"), "other"))).filter("_n = 1")
     return own.join(best.select("term", F.col("other").alias("repair")), "term")
@@ -239,17 +289,24 @@ def _in_clusters(indexed: DataFrame, ids: np.ndarray, kind: str, matrix: np.ndar
     return indexed.select("chunk_id", "vector", "cluster").mapInPandas(nearest, f"query_id {kind}, chunk_id {dict(indexed.dtypes)['chunk_id']}, score double")
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, probes: int = IVF_PROBES, clusters: int = IVF_CLUSTERS) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest of all vectors for each query; fewer than IVF_LEAST vectors are searched one by one.
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, probes: int = IVF_PROBES, clusters: int = IVF_CLUSTERS, least: int = IVF_LEAST) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest of all vectors for each query; fewer than least vectors are searched one by one.
 
     The probes nearest clusters give each query a k-th score.  No vector of a
     cluster scores more than its centre does, plus the cluster's radius times
     the query's length; clusters that can reach the k-th score by that are
-    searched too, so nothing is lost.
+    searched too, so nothing is lost.  Queries are taken QUERY_BLOCK at a time.
     """
-    if vectors.limit(IVF_LEAST).count() < IVF_LEAST:
+    if vectors.limit(least).count() < least:
         return brute_force(vectors, queries, k)
     indexed, centers = ivf_index(vectors, clusters)
+    radii = ivf_radii(indexed, centers)
+    n = queries.count() // QUERY_BLOCK + 1
+    blocks = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+    return reduce(DataFrame.unionByName, (_probed(indexed, centers, radii, b, k, probes) for b in blocks))
+
+
+def _probed(indexed: DataFrame, centers: np.ndarray, radii: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     own = queries.select("query_id", "query_vector").toPandas()
     ids, kind = own["query_id"].to_numpy(), dict(queries.dtypes)["query_id"]
     matrix = np.array(own["query_vector"].tolist(), np.float64).reshape(len(own), centers.shape[1])
@@ -260,5 +317,5 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, probes: i
     kth = {r["query_id"]: r["score"] for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}
     least = np.array([kth.get(x, -np.inf) for x in ids.tolist()])
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    most = at_center + size * ivf_radii(indexed, centers) + 1e-9 * (1 + size)  # more than rounding adds
+    most = at_center + size * radii + 1e-9 * (1 + size)  # more than rounding adds
     return top_k(_in_clusters(indexed, ids, kind, matrix, near | ~(most < least[:, None]), k), k)

@@ -36,6 +36,12 @@ def with_idf(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     return terms.crossJoin(F.broadcast(corpus.select("n_docs"))).withColumn("idf", idf(F.col("df"), F.col("n_docs"))).drop("n_docs")
 
 
+def requested_terms(docs: DataFrame, wanted: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf) of those of the wanted terms (term) that docs have; no other term is counted."""
+    each = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    return with_idf(each.distinct().groupBy("term").agg(F.count("*").alias("df")), corpus)
+
+
 def vocabulary(terms: DataFrame, min_df: int = 2) -> DataFrame:
     """Terms of at least min_df documents, or all if there is none."""
     kept = terms.filter(F.col("df") >= min_df)

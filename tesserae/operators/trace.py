@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,21 +13,41 @@ STAGE_LIMITS = {"guard_input": 25, "query_transform": 25, "embed": 30, "retrieve
 ERRORS = ("error", "timeout")
 
 
+#: Cells of equal width that each key's range of values is cut into to find percentiles.
+CELLS = 4096
+
+
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[int, ...] = (50, 90, 95)) -> DataFrame:
     """keys with n, one column p<p> for each percentile (the value at p/100 of the last index, half to even), max and mean.
 
-    Values are placed by a window per key, so that no key's values are gathered
-    into one row.
+    Values are counted first, and the counts of a key summed by CELLS cells of
+    its range.  Only cells in which a wanted place lies are sorted, each on its
+    own, so that a key of most rows is no task's alone.
     """
-    order = W.partitionBy(*keys).orderBy(value)
-    placed = rows.filter(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(W.partitionBy(*keys))})
-    at = lambda p: F.bround(F.lit(p / 100) * (F.col("_n") - 1), 0)
-    return placed.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        *(F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{p}") for p in ps),
-        F.max(value).alias("max"),
-        F.avg(value).alias("mean"),
-    )
+    same = lambda a, b: F.expr(" and ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ends = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    share = F.when(F.col("max") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("max") - F.col("_lo"))).otherwise(0.0)
+    placed = counted.alias("a").join(ends.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in keys), "_v", "_c", "n", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).alias("_cell"))
+    cells = placed.groupBy(*keys, "n", "_cell").agg(F.sum("_c").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = {p: F.bround(F.lit(p / 100) * (F.col("n") - 1), 0) for p in ps}
+    wanted = cells.withColumn("_before", before).filter(reduce(lambda a, b: a | b, [(i >= F.col("_before")) & (i < F.col("_before") + F.col("_k")) for i in at.values()]))
+    inside = placed.alias("a").join(wanted.alias("b"), same("a", "b") & F.expr("a._cell = b._cell")).select(*(F.col(f"a.{k}").alias(k) for k in keys), "_v", "_c", "a.n", "a._cell", "_before")
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_cell").orderBy("_v"))
+    inside = inside.withColumn("_upto", upto)
+    found = inside.groupBy(*keys).agg(*(F.max(F.when((i < F.col("_upto")) & (i >= F.col("_upto") - F.col("_c")), F.col("_v"))).alias(f"p{p}") for p, i in at.items()))
+    return ends.alias("a").join(found.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in keys), "n", *(f"p{p}" for p in ps), "max", "mean")
+
+
+#: Percentiles of a benchmark and how many first queries are left out.
+BENCH_PERCENTILES, WARM_UP = (50, 70, 90, 95, 99, 100), 30
+
+
+def bench_percentiles(runs: DataFrame, keys: list[str], value: str, order: str, warm_up: int = WARM_UP) -> DataFrame:
+    """exact_percentiles at BENCH_PERCENTILES of runs without the first warm_up of each key by order (distinct within a key)."""
+    first = runs.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter(F.col("_n") <= warm_up).select(*keys, order)
+    return exact_percentiles(runs.join(F.broadcast(first), [*keys, order], "left_anti"), keys, value, BENCH_PERCENTILES)
 
 
 def stage_stats(spans: DataFrame) -> DataFrame:
@@ -69,21 +91,30 @@ def over_limit(spans: DataFrame) -> DataFrame:
 
 
 def flattened(spans: DataFrame) -> DataFrame:
-    """spans with path (start places from the root down), whose order is the pre-order of each trace's tree.
+    """spans with path (places among their siblings from the root down), whose order is the pre-order of each trace's tree.
 
-    One join for each level, so it ends after as many rounds as the tree is deep.
+    Each round doubles the distance to the ancestor whose path is put before a
+    span's own, so a tree of any depth takes as many rounds as the logarithm of
+    its depth.  A span whose parent is not there is a root; spans that are their
+    own ancestors stop the job.
     """
-    place = F.lpad((F.row_number().over(W.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id"))).cast("string"), 6, "0")
-    own = spans.withColumn("_p", place)
-    level = own.filter("parent_span_id is null").withColumn("path", F.col("_p"))
-    every = level
-    for _ in range(64):
-        up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("_up"))
-        level = own.join(up, ["trace_id", "parent_span_id"]).withColumn("path", F.concat_ws(".", "_up", "_p")).select(*every.columns)
-        if level.isEmpty():
-            break
-        every = every.unionByName(level)
-    return every.drop("_p")
+    columns = spans.columns
+    place = F.lpad(F.row_number().over(W.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id")).cast("string"), 12, "0")
+    boxed = spans.select(F.struct(*columns).alias("_box"), "trace_id", "span_id", F.col("parent_span_id").alias("_anc"), place.alias("_path"))
+    known = boxed.select("trace_id", F.col("span_id").alias("_anc"), F.lit(True).alias("_there"))
+    rows = boxed.join(known.distinct(), ["trace_id", "_anc"], "left").withColumn("_anc", F.when(F.col("_there"), F.col("_anc"))).drop("_there")
+    for _ in range(32):
+        rows = rows.persist()  # read by the check and by both sides of the join; lost blocks are computed anew
+        if rows.filter("_anc is not null").isEmpty():
+            return rows.select(*(F.col("_box")[c].alias(c) for c in columns if c != "path"), F.col("_path").alias("path"))
+        up = rows.select("trace_id", F.col("span_id").alias("_anc"), F.col("_anc").alias("_next"), F.col("_path").alias("_up"))
+        rows = rows.join(up, ["trace_id", "_anc"], "left").select("_box", "trace_id", "span_id", F.col("_next").alias("_anc"), F.concat_ws(".", "_up", "_path").alias("_path"))
+    raise ValueError("some spans are their own ancestors")
+
+
+def by_id(rows: DataFrame, wanted: DataFrame, key: str = "trace_id") -> DataFrame:
+    """The rows of the wanted keys: point lookups for a batch of them."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def tool_stats(calls: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tesserae.functions import text as txt
 from tesserae.operators import answer, chunk, embed, guard, retrieve, stats, trace
 from tesserae.plans import sqltext as q
 from tesserae.sources import corpus
+from tesserae.streaming import spans as spans_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus.evenly(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,28 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select(F.explode(txt.char_ngrams(F.col("term"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, 'latin' AS script, 'en' AS lang FROM documents")
+#: Texts of other scripts, which the tables lack: id, text, script, language.
+OTHER_SCRIPTS = (
+    (-1, "नमस्ते दुनिया abc", "devanagari", "hi"), (-2, "東京都 a", "han", "zh"), (-3, "Привет, мир 12", "cyrillic", "ru"), (-4, "שלום", "hebrew", "he"), (-5, "αβγ abcd", "latin", "en"),
+    (-6, "", "latin", "en"), (-7, "ひらがな漢", "kana", "ja"), (-8, "안녕 하세요", "hangul", "ko"), (-9, "மொழி xy", "tamil", "ta"), (-10, "ab αβ", "latin", "en"), (-11, "αβ ab", "greek", "el"), (-12, "12 ?!", "latin", "en"),
+)
+
+
+@query("SELECT doc_id, 'latin' AS script, 'en' AS lang FROM documents UNION ALL VALUES " + ", ".join(f"({i}, '{s}', '{lang}')" for i, _, s, lang in OTHER_SCRIPTS))
 def detect_script_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", txt.dominant_script(F.coalesce("text", F.lit(""))).alias("script"), txt.detect_lang(F.coalesce("text", F.lit(""))).alias("lang"))
+    """Of all documents and of a few texts of other scripts."""
+    rows = documents(spark, sf_dir).union(spark.createDataFrame([x[:2] for x in OTHER_SCRIPTS], "doc_id long, text string"))
+    return rows.select("doc_id", txt.dominant_script(F.coalesce("text", F.lit(""))).alias("script"), txt.detect_lang(F.coalesce("text", F.lit(""))).alias("lang"))
+
+
+@query(f"SELECT doc_id, md5({q.norm('text')}) AS normal FROM documents")
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.md5(F.coalesce(txt.normalize(F.col("text")), F.lit(""))).alias("normal"))
+
+
+@query("SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS bare FROM documents")
+def accents_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.md5(F.coalesce(txt.strip_accents(F.col("text")), F.lit(""))).alias("bare"))
 
 
 @query(f"SELECT conv_id, turn, {q.query_type('text')} AS query_type FROM conversations WHERE role = 'user'")
@@ -101,14 +121,19 @@ def extract_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.array_join(txt.extract_claims(F.coalesce("text", F.lit(""))), "|").alias("claims"))
 
 
-@query()
+@query(f"WITH RECURSIVE {q.sentences('documents')} SELECT doc_id, ordinal, start, stop, sentence FROM sents")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(txt.split_sentences(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.sentence")
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(txt.split_sentences(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", F.col("s.end").alias("stop"), "s.sentence")
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda b: trim(b) <> '')) AS INTEGER) AS n_paragraphs FROM documents")
+@query(r"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), '. ', E'.\n\n') AS t FROM documents), p AS (SELECT doc_id, string_split_regex(t, '\n\s*\n') AS ps, regexp_extract_all(t, '\n\s*\n') AS ss FROM d),
+u AS (SELECT doc_id, i, ps[i] AS b, length(coalesce(ss[i], '')) AS gap FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+w AS (SELECT *, sum(length(b) + gap) OVER (PARTITION BY doc_id ORDER BY i) - length(b) - gap AS at0 FROM u), s AS (SELECT doc_id, i, at0 + length(b) - length(regexp_replace(b, '^\s+', '')) AS start, regexp_replace(b, '^\s+|\s+$', '', 'g') AS b FROM w)
+SELECT d.doc_id, CAST(count(i) AS INTEGER) AS n_paragraphs, coalesce(string_agg(CAST(start AS BIGINT) || '+' || length(b), ',' ORDER BY i), '') AS places FROM d LEFT JOIN (SELECT * FROM s WHERE b <> '') s ON s.doc_id = d.doc_id GROUP BY 1""")
 def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.size(txt.split_paragraphs(F.coalesce("text", F.lit("")))).alias("n_paragraphs"))
+    """Paragraphs of documents that have a blank line after each sentence, since the given ones have none."""
+    spread = documents(spark, sf_dir).select("doc_id", txt.paragraph_spans(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n\n"))).alias("ps"))
+    return spread.select("doc_id", F.size("ps").alias("n_paragraphs"), F.array_join(F.transform("ps", lambda p: F.concat_ws("+", p["start"], p["end"] - p["start"])), ",").alias("places"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, text[1:80] AS c FROM documents), b AS (SELECT *, length(c) - instr(reverse(c), ' ') AS sp, instr(reverse(c), ' ') AS has FROM c)
@@ -117,11 +142,43 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", txt.truncate(F.col("text"), 80).alias("short"))
 
 
-@query()
+MARKED = ("licensed", "license", "token", "version")
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+') AS ws, string_split_regex(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+') AS gs FROM documents),
+u AS (SELECT doc_id, i, lower(ws[i]) AS x, length(ws[i]) AS n, length(gs[i]) AS g FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+p AS (SELECT doc_id, x, n, sum(n + g) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+h AS (SELECT doc_id, e - n AS s, e FROM p WHERE x IN ({q.quoted(MARKED)}) OR {q.stem('x')} IN (SELECT {q.stem('t')} FROM (SELECT unnest([{q.quoted(MARKED)}]) AS t))),
+j AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY doc_id ORDER BY s) > 1, true) AS fresh FROM h), k AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM j)
+SELECT doc_id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS stop FROM k GROUP BY doc_id, island""")
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that share a stem with one of a few terms."""
-    terms = F.array(*map(F.lit, ("licensed", "license", "token", "version")))
-    return documents(spark, sf_dir).select("doc_id", F.explode(txt.highlight_spans(F.col("text"), terms)).alias("s")).select("doc_id", "s.start", "s.end")
+    terms = F.array(*map(F.lit, MARKED))
+    return documents(spark, sf_dir).select("doc_id", F.explode(txt.highlight_spans(F.col("text"), terms)).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'hi', 'bn', 'ta', 'te', 'mr') GROUP BY lang")
+def language_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.of_languages(corpus.read_documents(spark, f"{sf_dir}/documents.parquet")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT md5(to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR) AS line FROM documents")
+def json_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines without the columns that are hidden, here their texts."""
+    return corpus.to_json(corpus.read_documents(spark, f"{sf_dir}/documents.parquet"), hidden=("text",)).select(F.md5("json").alias("line"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'neither text nor audio' WHEN turn NOT BETWEEN 1 AND 50 THEN 'top_k out of range' ELSE '' END AS reason FROM conversations")
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests, with their number as top_k."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit(None).cast("string").alias("audio_b64"), F.col("turn").alias("top_k"))
+    return rows.select("conv_id", "turn", F.coalesce(corpus.reason("request"), F.lit("")).alias("reason"))
+
+
+@query(f"""WITH r AS (SELECT {q.norm('text')} AS k, conv_id || '-' || turn AS id, text FROM conversations WHERE role = 'user')
+SELECT min(id) AS query_id, arg_min(text, id) AS text, count(*) AS n_asked FROM r GROUP BY k""")
+def request_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.distinct_requests(_requests(spark, sf_dir))
 
 
 @query("SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'text is empty' ELSE '' END AS reason FROM documents")
@@ -168,9 +225,9 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CO}, m AS (SELECT a AS t, sum(weight) AS m FROM co GROUP BY a), tt AS (SELECT sum(m) AS total, sum(pow(m, 0.75)) AS smooth FROM m),
 s AS (SELECT co.a AS term, co.b AS ctx, ln((weight / total) / ((x.m / total) * (pow(y.m, 0.75) / smooth))) AS w FROM co JOIN m x ON x.t = co.a JOIN m y ON y.t = co.b, tt),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(w, 9) DESC, ctx) AS rk FROM s WHERE w > 0)
-SELECT term, ctx, round(w, 5) AS w, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 4""")
+SELECT term, ctx, round(w, 5) AS w, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 64""")
 def ppmi_top_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ppmi(_cooccurrence(spark, sf_dir), max_contexts=4).select("term", "ctx", F.round("w", 5).alias("w"), "rk")
+    return stats.ppmi(_cooccurrence(spark, sf_dir)).select("term", "ctx", F.round("w", 5).alias("w"), "rk")
 
 
 # --- similarity and vectors ------------------------------------------------------------------------------------------
@@ -208,24 +265,69 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(sim.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS score FROM v a, v b WHERE a.vec_id % 100 = 0)
-SELECT query_id, chunk_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
+NEAREST = f"""{VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+nearest AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s)"""
+TOP_VECTORS = f"WITH {NEAREST} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM nearest WHERE rank <= 5"
+
+
+@query(TOP_VECTORS)
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.brute_force(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
 
 
-@query()
+@query(TOP_VECTORS)
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.ivf_search(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    """The search by clusters is exact, so it is held against all vectors; clusters are used at any size here."""
+    return retrieve.ivf_search(*_vectors(spark, sf_dir), least=1).withColumn("score", F.round("score", 5))
 
 
-@query()
+def _mmr_sql(rounds: int) -> str:
+    """Greedy choice, one CTE for each round: the candidates' largest similarity to what is chosen, and the best of the rest."""
+    value = f"round({retrieve.MMR_LAMBDA} * score - {1 - retrieve.MMR_LAMBDA:.2f} * coalesce(most, 0), 9)"
+    steps = ["m1 AS (SELECT query_id, chunk_id, score, NULL::DOUBLE AS most FROM nearest WHERE rank <= 40)"]
+    for r in range(1, rounds + 1):
+        steps.append(f"p{r} AS (SELECT query_id, chunk_id, score FROM m{r} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {value} DESC, chunk_id) = 1)")
+        steps.append(
+            f"m{r + 1} AS (SELECT m.query_id, m.chunk_id, m.score, greatest(coalesce(most, -2), list_dot_product(a.e, b.e) / (a.n * b.n)) AS most FROM m{r} m JOIN p{r} p ON p.query_id = m.query_id AND p.chunk_id <> m.chunk_id JOIN v a ON a.vec_id = m.chunk_id JOIN v b ON b.vec_id = p.chunk_id)"
+        )
+    chosen = " UNION ALL ".join(f"SELECT query_id, chunk_id, round(score, 5) AS score, {r} AS rank FROM p{r}" for r in range(1, rounds + 1))
+    return f"WITH {NEAREST}, {', '.join(steps)} {chosen}"
+
+
+@query(_mmr_sql(retrieve.TOP_K))
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, queries = _vectors(spark, sf_dir)
     return retrieve.mmr(retrieve.brute_force(vectors, queries, 40), vectors).withColumn("score", F.round("score", 5))
 
 
+@query(f"""WITH {NEAREST}, c AS (SELECT n.*, label FROM nearest n JOIN embeddings ON vec_id = chunk_id WHERE rank <= 40)
+SELECT query_id, chunk_id, label AS doc_id, round(score, 5) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY round(score, 9) DESC, chunk_id) <= 2""")
+def per_doc_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 40 nearest vectors of each query at most two of a label, which stands for their document."""
+    hits = retrieve.brute_force(*_vectors(spark, sf_dir), 40).withColumn("score", F.round("score", 9))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"))
+    return retrieve.per_doc_cap(hits.join(labels, "chunk_id")).select("query_id", "chunk_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {VEC} SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 5) AS dense
+FROM v a JOIN embeddings x ON x.vec_id = a.vec_id JOIN embeddings y ON y.label = x.label JOIN v b ON b.vec_id = y.vec_id WHERE a.vec_id % 100 = 0""")
+def dense_rescoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that another search gives, here vectors of the query's label, with their dense scores."""
+    vectors, queries = _vectors(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    candidates = labels.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.withColumnRenamed("vec_id", "chunk_id"), "label").select("query_id", "chunk_id")
+    return retrieve.dense_scores(candidates, vectors, queries).select("query_id", "chunk_id", F.round("dense", 5).alias("dense"))
+
+
+@query(f"""WITH {NEAREST} SELECT query_id, round(max(score), 5) AS best, max(score) >= 0.065 AS passed, CASE WHEN max(score) >= 0.065 THEN 'allow' WHEN max(score) >= 0.055 THEN 'clarify' ELSE 'abstain' END AS action
+FROM nearest WHERE chunk_id <> query_id GROUP BY 1""")
+def retrieval_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each query vector has another vector near enough."""
+    hits = retrieve.brute_force(*_vectors(spark, sf_dir), 2).filter("chunk_id <> query_id")
+    return guard.retrieval_floor(hits).select("query_id", F.round("score", 5).alias("best"), "passed", "action")
+
+
 @query()
 def ppmi_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
@@ -234,8 +336,21 @@ def ppmi_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = benchmark_queries(spark, sf_dir).select(F.col("query_id").alias("doc_id"), "tokens")
-    return embed.encode_chars(items, term_table(spark, sf_dir)).select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+    docs = tokenized(spark, sf_dir)
+    return embed.encode_chars(docs, term_table(spark, sf_dir)).select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+@query()
+def composite_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenized(spark, sf_dir)
+    return embed.encode_composite(embed.fit_ppmi(docs), docs).select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+@query()
+def term_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms nearest to each term of the benchmark's texts."""
+    asked = benchmark_queries(spark, sf_dir).select(F.explode("tokens").alias("term")).distinct()
+    return embed.fit_ppmi(tokenized(spark, sf_dir)).neighbours(asked).select("term", "other", F.round("score", 4).alias("score"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
@@ -263,10 +378,27 @@ SELECT query_id, chunk_id, fusion, CAST(row_number() OVER (PARTITION BY query_id
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and the number of matched terms, each cut to its candidates, fused."""
     hits = _bm25(spark, sf_dir).withColumn("matched", F.size("matched_terms"))
-    fused = retrieve.rrf(retrieve.top_k(hits, retrieve.CANDIDATES), retrieve.top_k(hits, retrieve.CANDIDATES, by="matched"))
+    fused = retrieve.fused(hits, ("score", "matched"))
     return retrieve.top_k(fused.withColumn("fusion", F.round("fusion", 9)), by="fusion").select("query_id", "chunk_id", "fusion", "rank")
 
 
+@query(f"""WITH {BM25}, h AS (SELECT query_id, chunk_id, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 40),
+w AS (SELECT query_id, term, coalesce({q.idf('df', 'cs.n')}, 0) AS idf FROM bq LEFT JOIN ts USING (term), cs), tot AS (SELECT query_id, sum(idf) AS total FROM w GROUP BY 1),
+cov AS (SELECT h.query_id, h.chunk_id, sum(w.idf) AS c FROM h JOIN w ON w.query_id = h.query_id JOIN po ON po.doc_id = h.chunk_id AND po.term = w.term GROUP BY 1, 2)
+SELECT query_id, chunk_id, round(c / total, 6) AS rerank FROM cov JOIN tot USING (query_id)""")
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, queries = as_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    return retrieve.rerank(_bm25(spark, sf_dir), chunks, queries, term_table(spark, sf_dir)).select("query_id", "chunk_id", F.round("rerank", 6).alias("rerank"))
+
+
+@query(f"""WITH {BM25}, m AS (SELECT query_id, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM sc)
+SELECT query_id, count(*) AS n FROM m WHERE round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) >= {retrieve.MIN_SCORE} GROUP BY 1""")
+def minimum_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many hits of each query are above the floor once scaled."""
+    hits = retrieve.scaled(_bm25(spark, sf_dir).select("query_id", "score"), "score").withColumn("score", F.round("score", 6))
+    return retrieve.above_floor(hits).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {BM25}, s AS (SELECT query_id, chunk_id, round(score, 6) AS score, matched FROM sc),
 m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, min(matched) OVER w AS ml, max(matched) OVER w AS mh FROM s WINDOW w AS (PARTITION BY query_id)),
 b AS (SELECT query_id, chunk_id, round(0.42 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END + 0.2 * CASE WHEN mh > ml THEN (matched - ml) / (mh - ml) ELSE 1 END, 6) AS score FROM m)
@@ -326,9 +458,63 @@ def _strategy(name: str) -> None:
     query()(run)
 
 
-for _name in ("sentence_window", "recursive", "semantic", "proposition", "metadata_aware"):
+for _name in ("recursive", "proposition"):
     _strategy(_name)
 
+SENTENCE_ROWS = f"{q.sentences('documents')}, sc AS (SELECT doc_id, ordinal, sentence, CAST(len({q.tokens('sentence')}) AS INTEGER) AS token_count FROM sents)"
+WINDOWED = f"""{SENTENCE_ROWS}, sw AS (SELECT *, coalesce(string_agg(sentence, ' ' ORDER BY ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS window_before,
+coalesce(string_agg(sentence, ' ' ORDER BY ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS window_after FROM sc)"""
+
+
+@query(f"WITH RECURSIVE {WINDOWED} SELECT doc_id || '-sentence_window-0-' || ordinal AS chunk_id, doc_id, ordinal, sentence AS text, token_count, window_before, window_after FROM sw WHERE token_count >= 4")
+def chunk_sentence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.sentence_window(documents(spark, sf_dir)).select("chunk_id", "doc_id", "ordinal", "text", "token_count", "window_before", "window_after")
+
+
+@query(f"WITH RECURSIVE {WINDOWED} SELECT doc_id || '-sentence_window-0-' || ordinal AS chunk_id, md5(trim(window_before || ' ' || sentence || ' ' || window_after, ' ')) AS context FROM sw WHERE token_count >= 4")
+def context_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk.sentence_window(documents(spark, sf_dir))
+    return chunks.select("chunk_id", F.md5(chunk.context_text(chunks)).alias("context"))
+
+
+@query(f"""WITH RECURSIVE {SENTENCE_ROWS}, sk AS (SELECT doc_id, ordinal, sentence, token_count, list_distinct({q.stems('sentence')}) AS st FROM sc),
+sl AS (SELECT *, lag(st) OVER (PARTITION BY doc_id ORDER BY ordinal) AS bt FROM sk),
+sn AS (SELECT doc_id, ordinal, token_count AS t, coalesce(CASE WHEN len(st) * len(bt) > 0 THEN len(list_intersect(st, bt)) / sqrt(len(st) * len(bt)) END, 0) AS near FROM sl),
+walk(doc_id, ordinal, n, chunk) AS (SELECT doc_id, ordinal, t, 0 FROM sn WHERE ordinal = 0 UNION ALL
+  SELECT sn.doc_id, sn.ordinal, CASE WHEN w.n = 0 OR w.n + t > 170 OR (w.n >= 30 AND near < 0.62) THEN t ELSE w.n + t END, w.chunk + CASE WHEN w.n > 0 AND (w.n + t > 170 OR (w.n >= 30 AND near < 0.62)) THEN 1 ELSE 0 END
+  FROM walk w JOIN sn ON sn.doc_id = w.doc_id AND sn.ordinal = w.ordinal + 1),
+-- sentences without tokens before the first with some are given up, as their text does not open a chunk
+kept AS (SELECT w.*, sentence FROM walk w JOIN sc USING (doc_id, ordinal) QUALIFY max(n) OVER (PARTITION BY doc_id ORDER BY ordinal) > 0 OR NOT max(n) OVER (PARTITION BY doc_id) > 0)
+SELECT doc_id || '-semantic-0-' || chunk AS chunk_id, doc_id, md5(string_agg(sentence, ' ' ORDER BY ordinal)) AS text FROM kept GROUP BY doc_id, chunk""")
+def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.semantic(documents(spark, sf_dir)).select("chunk_id", "doc_id", F.md5("text").alias("text"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, lang, {q.tokens('text')} AS ts FROM documents), c AS (SELECT doc_id, source, lang, k, ts[k*68+1:k*68+90] AS s FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((len(ts) - 90) / 68.0) AS INTEGER), 0) + 1)) AS k FROM t WHERE len(ts) > 0))
+SELECT doc_id || '-metadata_aware-0-' || k AS chunk_id, doc_id, md5(concat_ws(' | ', nullif(source, ''), nullif(lang, '')) || ': ' || array_to_string(s, ' ')) AS text, CAST(len(s) AS INTEGER) AS token_count FROM c""")
+def chunk_metadata_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the documents' source as title and their language as section."""
+    rows = corpus.evenly(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("section"))
+    return chunk.metadata_aware(rows).select("chunk_id", "doc_id", F.md5("text").alias("text"), "token_count")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {q.tokens('text')} AS ts FROM documents), p AS (SELECT doc_id, k, ts[k*220+1:k*220+220] AS s FROM (SELECT doc_id, ts, unnest(range(0, CAST(ceil(len(ts) / 220.0) AS INTEGER))) AS k FROM t WHERE len(ts) > 0)),
+c AS (SELECT doc_id, k, CAST(len(s[j*55+1:j*55+55]) AS INTEGER) AS n FROM (SELECT doc_id, k, s, unnest(range(0, CAST(ceil(len(s) / 55.0) AS INTEGER))) AS j FROM p))
+SELECT doc_id AS query_id, doc_id || '-hierarchical-1-' || k AS chunk_id, CAST(max(n) AS DOUBLE) AS score FROM c WHERE n BETWEEN 4 AND 320 GROUP BY doc_id, k""")
+def small_to_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children within the guards on size as hits of their document, scored by their size, and the parents that stand for them."""
+    chunks = chunk.hierarchical(documents(spark, sf_dir))
+    hits = chunk.guarded(chunks.filter("level = 0")).select(F.col("doc_id").alias("query_id"), "chunk_id", F.col("token_count").cast("double").alias("score"))
+    return retrieve.parents(hits, chunks)
+
+
+@query(f"SELECT doc_id, CAST(greatest(ceil((len({q.tokens('text')}) - 90) / 68.0), 0) + 1 AS BIGINT) AS n FROM documents WHERE len({q.tokens('text')}) > 0")
+def strategy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the chunks of two strategies those of one, counted by document."""
+    docs = documents(spark, sf_dir)
+    both = chunk.fixed(docs).unionByName(chunk.hierarchical(docs))
+    return chunk.of_strategies(both, ("fixed",)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
 
 @query(f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({q.content('text')})) AS s FROM documents), c AS (SELECT s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
 e AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM c), j AS (SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.rep < b.rep AND a.n >= 0.94 * b.n AND b.n >= 0.94 * a.n GROUP BY 1, 2, 3, 4),
@@ -349,10 +535,22 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT query_id, sum(coalesce({q.idf('df', 'n')}, {q.idf('1', 'n')})) AS total, sum(CASE WHEN df IS NOT NULL THEN {q.idf('df', 'n')} ELSE 0 END) AS covered FROM w LEFT JOIN ts USING (term), cs GROUP BY 1)
 SELECT rq.query_id, round(coalesce(covered / total, 0), 6) AS coverage, coalesce(covered / total, 0) >= 0.34 AS passed FROM rq LEFT JOIN s USING (query_id)""")
 def coverage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tokenized(spark, sf_dir)
-    highest = stats.corpus_stats(docs).select(stats.idf(F.lit(1), F.col("n_docs")).alias("max_idf"))
-    scores = guard.coverage_scores(_requests(spark, sf_dir), term_table(spark, sf_dir), highest)
-    return guard.coverage(scores).select("query_id", F.round("score", 6).alias("coverage"), "passed")
+    return guard.coverage(_coverage(spark, sf_dir)).select("query_id", F.round("score", 6).alias("coverage"), "passed")
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, requests = tokenized(spark, sf_dir), _requests(spark, sf_dir)
+    corpus_row = stats.corpus_stats(docs).select("n_docs")
+    wanted = requests.select(F.explode(txt.content_tokens(F.col("text"))).alias("term"))
+    return guard.coverage_scores(requests, stats.requested_terms(docs, wanted, corpus_row), corpus_row.select(stats.idf(F.lit(1), F.col("n_docs")).alias("max_idf")))
+
+
+@query(f"""WITH {TERMS}, rq AS (SELECT conv_id || '-' || turn AS query_id, list_distinct({q.content('text')}) AS ts FROM conversations WHERE role = 'user'), w AS (SELECT query_id, unnest(ts) AS term FROM rq),
+s AS (SELECT query_id, sum(coalesce({q.idf('df', 'n')}, {q.idf('1', 'n')})) AS total, sum(CASE WHEN df IS NOT NULL THEN {q.idf('df', 'n')} ELSE 0 END) AS covered FROM w LEFT JOIN ts USING (term), cs GROUP BY 1)
+SELECT rq.query_id, coalesce(covered / total, 0) >= 0.3 AS passed, CASE WHEN coalesce(covered / total, 0) >= 0.3 THEN 'allow' ELSE 'abstain' END AS action FROM rq LEFT JOIN s USING (query_id)""")
+def confidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose coverage, taken as confidence, is below the floor."""
+    return guard.confidence(_coverage(spark, sf_dir).withColumnRenamed("coverage", "confidence")).select("query_id", "passed", "action")
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +566,16 @@ def grounding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.grounding(_replies(spark, sf_dir)).select("query_id", F.round("score", 6).alias("score"), "passed")
 
 
+@query(f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context FROM conversations), s AS (SELECT conv_id || '-' || turn AS query_id, {q.tokens('text')} AS a, {q.tokens('context')} AS b FROM c WHERE role = 'assistant'),
+ax AS (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest(a) AS t FROM s) GROUP BY 1, 2), bx AS (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest(b) AS t FROM s) GROUP BY 1, 2),
+m AS (SELECT query_id, sum(least(ax.n, bx.n)) AS same FROM ax JOIN bx USING (query_id, t) GROUP BY 1)
+SELECT query_id, round(coalesce(2 * same / (len(a) + len(b)), 0), 6) AS f1 FROM s LEFT JOIN m USING (query_id)""")
+def reply_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token F1 of each assistant turn and the turn before it."""
+    rows = _replies(spark, sf_dir).select("query_id", txt.tokens(F.col("text")).alias("a"), txt.tokens(F.col("context")).alias("b"))
+    return rows.select("query_id", F.round(sim.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+
+
 @query()
 def output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _replies(spark, sf_dir)
@@ -396,6 +604,14 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.verdicts(guard.length(rows).unionByName(guard.unsafe(rows)).unionByName(guard.injection(rows)))
 
 
+@query(f"""WITH c AS (SELECT doc_id AS query_id, length(coalesce(text, '')) BETWEEN 2 AND 600 AS l, {_lexicon_sql(guard.UNSAFE_PHRASES)} < 0.5 AS u, {_lexicon_sql(guard.INJECTION_PHRASES)} < 0.5 AS i FROM documents)
+SELECT query_id, 'length' AS name, 'clarify' AS action FROM c WHERE NOT l UNION ALL SELECT query_id, 'unsafe', 'refuse' FROM c WHERE NOT u UNION ALL SELECT query_id, 'injection', 'refuse' FROM c WHERE NOT i""")
+def tripped_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The input checks that documents, taken as requests, do not pass."""
+    rows = documents(spark, sf_dir).withColumnRenamed("doc_id", "query_id")
+    return guard.tripped(guard.length(rows).unionByName(guard.unsafe(rows)).unionByName(guard.injection(rows))).select("query_id", "name", "action")
+
+
 # --- traces: events as spans, their type as the stage and their value as the duration ---------------------------------
 
 
@@ -438,3 +654,42 @@ def latency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, epoch_us(ts) AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 400")
 def recent_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.recent(table(spark, sf_dir, "events"), 400, by="ts", key="event_id").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query("""WITH e AS (SELECT event_type AS name, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) > 30), r AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM e WHERE value IS NOT NULL)
+SELECT name, count(*) AS n, """ + ", ".join(f"round(max(value) FILTER (i = round_even({p / 100} * (n - 1), 0)), 4) AS p{p}" for p in trace.BENCH_PERCENTILES) + " FROM r GROUP BY name")
+def bench_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trace.bench_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", "event_id")
+    return out.select(F.col("event_type").alias("name"), "n", *(F.round(f"p{p}", 4).alias(f"p{p}") for p in trace.BENCH_PERCENTILES))
+
+
+@query("SELECT event_type AS tool, count(*) AS calls, CAST(count(*) FILTER (value > 100) AS BIGINT) AS errors, round(avg(value), 4) AS mean_ms FROM events GROUP BY 1")
+def tool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.col("value").alias("duration_ms"), F.when(F.col("value") > 100, "slow").alias("error"))
+    return trace.tool_stats(calls).withColumn("mean_ms", F.round("mean_ms", 4))
+
+
+@query("""WITH RECURSIVE s AS (SELECT event_id AS id, CASE WHEN event_id % 50 <> 0 THEN event_id - event_id % 7 % 3 - 1 END AS up, epoch_us(ts) / 1000 AS st FROM events),
+t AS (SELECT s.id, p.id AS up, lpad(CAST(row_number() OVER (PARTITION BY s.up ORDER BY s.st, CAST(s.id AS VARCHAR)) AS VARCHAR), 12, '0') AS place FROM s LEFT JOIN s p ON p.id = s.up),
+f(id, path) AS (SELECT id, place FROM t WHERE up IS NULL UNION ALL SELECT t.id, f.path || '.' || t.place FROM f JOIN t ON t.up = f.id)
+SELECT CAST(id AS VARCHAR) AS span_id, md5(path) AS path, CAST(len(string_split(path, '.')) AS INTEGER) AS depth FROM f""")
+def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans of one trace, each a child of an earlier one of its fifty; those whose parent is not there are roots."""
+    e = F.col("event_id")
+    parent = F.when(e % 50 != 0, e - e % 7 % 3 - 1)
+    spans = table(spark, sf_dir, "events").select(F.lit("t").alias("trace_id"), e.cast("string").alias("span_id"), parent.cast("string").alias("parent_span_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("start_ms"))
+    return trace.flattened(spans).select("span_id", F.md5("path").alias("path"), F.size(F.split("path", "[.]")).alias("depth"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the traces of one segment's customers."""
+    wanted = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("trace_id"))
+    return trace.by_id(_spans(spark, sf_dir), wanted).select(F.col("span_id").cast("long").alias("event_id"), F.col("name").alias("event_type"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 minute, ts)) AS at, event_type AS name, count(*) AS n, round(avg(value), 4) AS mean, round(max(value), 4) AS max FROM events GROUP BY 1, 2")
+def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's windowed statistics over a table, in which no row is late."""
+    out = spans_stream.windowed_stats(_spans(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select(F.unix_micros("window.start").alias("at"), "name", "n", F.round("mean", 4).alias("mean"), F.round("max", 4).alias("max"))

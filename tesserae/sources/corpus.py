@@ -25,6 +25,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "text", "lang", "source")
 
 
+def evenly(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small table that too few row groups hold are dealt to all cores by key; a table that fills its partitions stays as it is.
+
+    A Parquet row group is read by one task.  Only tables of few partitions are
+    looked at, without reading a column.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() > 2 * cores:
+        return rows
+    full = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows if full >= cores else rows.repartition(cores, key)
+
+
 def of_languages(passages: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     return passages.filter(F.col("lang").isin(*languages))
 

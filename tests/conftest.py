@@ -32,11 +32,11 @@ def duck():
 
 
 def rows_of(frame) -> list[tuple]:
-    """Rows as sorted tuples of strings, columns by name, floats to six digits."""
+    """Rows as sorted tuples of strings, columns by name, floats to six digits; a null is no string."""
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False):
-        out.append(tuple("" if v is None or (not isinstance(v, (str, list)) and pd.isna(v) is True) else (f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)) for v in row))
+        out.append(tuple("<null>" if v is None or (not isinstance(v, (str, list)) and pd.isna(v) is True) else (f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)) for v in row))
     return sorted(out)
 
 

@@ -1,3 +1,8 @@
+import random
+import re
+import time
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +53,47 @@ def test_paragraphs(spark):
     assert of(spark, lambda c: F.size(txt.split_paragraphs(c)), "a\n\nb", "a\nb") == [2, 1]
 
 
+def test_paragraph_places(spark):
+    texts = ["a\n\nb", "  a b \nc\n \n\n d𝒜\n", "", None, "\n\n", "x\n" * 3 + "\n" + "y z\n\n" * 2000]
+    for text, got in zip(texts, of(spark, txt.paragraph_spans, *texts)):
+        assert (got is None) == (text is None)
+        want = [m for m in re.finditer(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*", text or "") if m[0].strip()]
+        assert [(p["paragraph"], p["start"]) for p in got or []] == [(m[0].strip(), m.start() + len(m[0]) - len(m[0].lstrip())) for m in want]
+        assert all(text[p["start"] : p["end"]] == p["paragraph"] for p in got or [])
+
+
+def test_normalize_equals_python(spark):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x20, 0x250)] + list("’“„–—…\u00a0\u202f€•ﬁ①éẞΣς\u0301\u200dक८東") + ["\t", "\n", "\x85", "\x1c"]
+    texts = ["".join(rng.choice(letters) for _ in range(12)) for _ in range(3000)] + letters
+    for fold in (True, False):
+        for text, got in zip(texts, of(spark, lambda c: txt.normalize(c, fold), *texts)):
+            plain = " ".join(unicodedata.normalize("NFKC", text).translate(txt._FOLDS).split())
+            assert got == (plain.casefold() if fold else plain), text
+
+
+def test_latin_tokens_equal_the_general_pattern(spark):
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(0x20, 0x250)] + list("'-_.@/+'-. 019€‑–")
+    texts = [t for t in ("".join(rng.choice(letters) for _ in range(15)) for _ in range(3000))]
+    general = of(spark, lambda c: F.regexp_extract_all(c, F.lit(txt.TOKEN), F.lit(0)), *texts)
+    assert of(spark, txt.tokenize, *texts) == general
+
+
+def test_sentences_are_found_in_one_pass():
+    began = time.time()
+    assert txt.sentence_spans("Dr. " * 100_000) == [(0, 399_999)] and len(txt.sentence_spans("a1. " * 50_000)) == 50_000
+    assert time.time() - began < 10
+
+
+def test_functions_in_sql(spark):
+    txt.register(spark)
+    row = spark.sql("SELECT txt_tokens(txt_fold('Straße e-mail C++')) t, txt_years('in 1999') y, txt_numbers('2,525 m or 3') n, txt_jaccard(array('a'), array('a', 'b')) j, txt_sentences('One. Two.') s").first()
+    assert (row["t"], row["y"], row["n"], row["j"], len(row["s"])) == (["strasse", "e-mail", "c"], ["1999"], ["2,525 m", "3"], 0.5, 2)
+    got = spark.sql("SELECT x.id, c.* FROM VALUES (1, 'a b c d e'), (2, null) AS x(id, t), LATERAL txt_chunks(x.t, 3, 1) c").collect()
+    assert [(r["id"], r["ordinal"], r["chunk"]) for r in got] == [(1, 0, "a b c"), (1, 1, "c d e")]
+
+
 def test_query_types(spark):
     assert of(spark, txt.classify_query, "how many states", "difference between a and b", "what is the difference between a and b", "which one", "rain") == [
         "numeric", "comparison", "definition", "definition", "factual",
