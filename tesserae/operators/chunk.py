@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as txt
 from tesserae.functions.similarity import jaccard
+from tesserae.sources.tables import stored
 
 # Chunk sizes in tokens.
 FIXED_SIZE, FIXED_OVERLAP = 90, 22
@@ -247,15 +248,16 @@ def near_duplicates(chunks: DataFrame, threshold: float = NEAR_DUPLICATE) -> Dat
     family of copies is not expanded into its pairs.
     """
     sets = chunks.select("chunk_id", F.sort_array(F.array_distinct("tokens")).alias("set")).filter(F.size("set") > 0)
-    # read by each join below; lost blocks are computed anew
-    sets = sets.select("chunk_id", "set", F.sha2(F.array_join("set", " "), 256).alias("sha")).persist()
+    # read by each join below, so stored
+    sets = stored(sets.select("chunk_id", "set", F.sha2(F.array_join("set", " "), 256).alias("sha")), "token-sets")
     classes = sets.groupBy("sha").agg(F.min("chunk_id").alias("rep"), F.count("*").alias("n"))
     copies = sets.select("chunk_id", "sha").join(classes.filter("n > 1"), "sha").filter("chunk_id <> rep").select(F.col("rep").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("similarity"))
     reps = sets.join(classes.select(F.col("rep").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("rep"), "set")
     tokens = reps.select("rep", F.size("set").alias("size"), F.explode("set").alias("term"))
     df = tokens.groupBy("term").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("rep").orderBy("df", "term"))
-    prefix = tokens.join(df, "term").withColumn("p", place).filter((F.col("p") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("df") > 1)).select("term", "rep", "size").persist()
+    prefix = tokens.join(df, "term").withColumn("p", place).filter((F.col("p") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("df") > 1))
+    prefix = stored(prefix.select("term", "rep", "size"), "prefixes")
 
     def close(pairs: DataFrame) -> DataFrame:
         with_sets = pairs.distinct().join(reps.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
@@ -264,7 +266,7 @@ def near_duplicates(chunks: DataFrame, threshold: float = NEAR_DUPLICATE) -> Dat
     alike = f"sa >= {threshold} * sb and sb >= {threshold} * sa"
     first = prefix.groupBy("term").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("size").alias("sa"))).alias("x")).select("term", "x.*")
     members = prefix.select("term", F.col("rep").alias("b"), F.col("size").alias("sb"))
-    settled = close(members.join(first, "term").filter(f"a < b and {alike}").select("a", "b")).persist()
+    settled = stored(close(members.join(first, "term").filter(f"a < b and {alike}").select("a", "b")), "settled")
     open_ = members.join(settled.select("b").distinct(), "b", "left_anti")
     smaller = prefix.select("term", F.col("rep").alias("a"), F.col("size").alias("sa"))
     rest = close(open_.join(smaller, "term").filter(f"a < b and {alike}").select("a", "b"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import stored
+
 # Pipeline stages with their time limits in ms, and the states that count as errors.
 STAGE_LIMITS = {"guard_input": 25, "query_transform": 25, "embed": 30, "retrieve": 110, "rerank": 45, "generate": 90, "guard_output": 40, "stt": 15000}
 ERRORS = ("error", "timeout")
@@ -103,8 +105,9 @@ def flattened(spans: DataFrame) -> DataFrame:
     boxed = spans.select(F.struct(*columns).alias("_box"), "trace_id", "span_id", F.col("parent_span_id").alias("_anc"), place.alias("_path"))
     known = boxed.select("trace_id", F.col("span_id").alias("_anc"), F.lit(True).alias("_there"))
     rows = boxed.join(known.distinct(), ["trace_id", "_anc"], "left").withColumn("_anc", F.when(F.col("_there"), F.col("_anc"))).drop("_there")
-    for _ in range(32):
-        rows = rows.persist()  # read by the check and by both sides of the join; lost blocks are computed anew
+    most = spans.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(most.bit_length() + 1):  # no tree is deeper than it has spans
+        rows = stored(rows, "spans")  # or each round's plan would hold the one before twice
         if rows.filter("_anc is not null").isEmpty():
             return rows.select(*(F.col("_box")[c].alias(c) for c in columns if c != "path"), F.col("_path").alias("path"))
         up = rows.select("trace_id", F.col("span_id").alias("_anc"), F.col("_anc").alias("_next"), F.col("_path").alias("_up"))
