@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import NO_ID, restricted, sealed, small, stored, unboxed
+from tesserae.llm.storage import NO_ID, documents, restricted, sealed, small, stored, unboxed
 from tesserae.llm.wordhash import Words, mixed, parts, released
 
 #: A chunk of more members than this is left by those that have enough others; the rest are joined by rare shingles.
@@ -380,10 +380,11 @@ def joined(docs: DataFrame, join: Join = Join()) -> DataFrame:
     links = stored(linked(groups.select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).filter("a <> b").distinct(), docs, sketches, join).union(same), "links")
     labels = components(links)
     # a chunk of two classes is settled by their one pair
-    open_ = groups.select("g", "rep", "excess").join(groups.groupBy("g").agg(F.count_distinct("rep").alias("n")).filter("n > 2").select("g"), "g")
+    open_ = groups.select("g", "rep", "excess").join(small(groups.groupBy("g").agg(F.count_distinct("rep").alias("n")).filter("n > 2").select("g")), "g")
     labelled = open_.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g", "rep", "excess", F.coalesce("component", "rep").alias("label"))
+    labelled = stored(labelled, "labelled")
     apart = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g")
-    rows = stored(labelled.join(apart, "g"), "open")
+    rows = stored(labelled.join(small(apart), "g"), "open")
     found = stored(verified(across(rows, sketches, join), docs, join), "more-links")
     if not found.isEmpty():
         labels = components(links.union(found))
@@ -395,11 +396,12 @@ def _of_classes(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """(g, first, rep, excess): groups (g, pivot, doc, excess) with their classes in place of documents, without groups of one class."""
     of = classes.select(F.col("doc_id").alias("doc"), "rep")
     rows = groups.join(of, "doc").join(of.select(F.col("doc").alias("pivot"), F.col("rep").alias("first")), "pivot").groupBy("g", "first", "rep").agg(F.min("excess").alias("excess"))
-    return rows.join(rows.filter("first <> rep").select("g").distinct(), "g", "left_semi")
+    rows = stored(rows, "class-groups")
+    return rows.join(small(rows.filter("first <> rep").select("g").distinct()), "g", "left_semi")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), Join(words=4, percent=85))
+    return joined(documents(spark, sf_dir).select("doc_id", "text"), Join(words=4, percent=85))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
