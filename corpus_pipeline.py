@@ -13,7 +13,7 @@ from tesserae.llm.ngram_join import near_duplicate_stage
 from tesserae.llm.packing import packing_stage
 from tesserae.llm.quality import quality_stage
 from tesserae.llm.secrets import secrets_stage
-from tesserae.llm.storage import stored
+from tesserae.llm.storage import documents, stored
 
 STAGES = [
     ("quality_rules", quality_stage),
@@ -28,7 +28,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

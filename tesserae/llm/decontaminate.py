@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, sealed, small, stored, unboxed, with_row_key
+from tesserae.llm.storage import documents, restricted, sealed, small, stored, unboxed, with_row_key
 from tesserae.llm.textsql import ascii_lower, bound, plain_words
 
 WINDOW = 10
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items).select(
         "doc_id",

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import boxed, stored, unboxed
+from tesserae.llm.storage import boxed, documents, stored, unboxed
 from tesserae.llm.textsql import WORD_ANY_CASE, ascii_lower, bound, plain_words, running_sums
 
 #: Base phrases and their labels.
@@ -405,7 +405,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return scan(docs).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import stored
+from tesserae.llm.storage import documents, stored
 from tesserae.llm.wordhash import Words, parts, released
 
 WINDOW = 4096
@@ -58,8 +58,8 @@ _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 class TokenMemory:
     """Ids of texts, by distinct words: no token of this tokenizer spans white space.
 
-    A simple word is lower-cased and split into pieces, whose ids do not depend
-    on each other; pieces are tokenized once, many at a time, since the last
+    Words are told apart by a 64-bit hash of their bytes.  A simple word is
+    lower-cased and split into pieces, whose ids do not depend on each other; pieces are tokenized once, many at a time, since the last
     token of each carries the end mark.  Any other word is tokenized whole.
     """
 
@@ -415,7 +415,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return packed(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

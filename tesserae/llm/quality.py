@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import boxed, unboxed
+from tesserae.llm.storage import boxed, documents, unboxed
 from tesserae.llm.textsql import space_words
 
 #: Frequent words of the languages that are kept.
@@ -143,7 +143,7 @@ def judged(docs: DataFrame, text_col: str = "text", thresholds: tuple[Threshold,
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return judged(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 

@@ -22,7 +22,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.storage import restricted, sealed, small, stored, unboxed, with_row_key
+from tesserae.llm.storage import documents, restricted, sealed, small, stored, unboxed, with_row_key
 from tesserae.llm.textsql import match_spans, replaced_matches
 
 
@@ -227,7 +227,7 @@ def _listed(rules: tuple[Rule, ...]) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return scan(docs).select(
         "doc_id",
         *(F.size(f"spans_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in BASE_RULES),

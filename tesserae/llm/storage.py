@@ -1,64 +1,25 @@
-"""Tables in the shared folder: cut lineage, know sizes, restrict by keys; and rows whose columns cannot clash."""
+"""Keys that restrict tables, and rows whose columns cannot clash with an operator's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.sources.corpus import evenly
+from tesserae.sources.tables import drop_stored, shared_dir, stored, table_path
+
+__all__ = ["boxed", "documents", "drop_stored", "restricted", "sealed", "shared_dir", "small", "stored", "table_path", "unboxed", "with_row_key"]
+
 #: Keys are broadcast up to so many bytes, taking what an executor's hash table needs for a row; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 40
 #: Stands for a null document id in join keys; no real id is the smallest long.
 NO_ID = -(2**63)
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
-
-    Where that is unset, a local session gets a temporary folder of its machine;
-    any other session is refused, since its executors would not see each other's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_dir(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def drop_stored(spark: SparkSession) -> int:
-    """Deletes the intermediate tables that this driver has written so far, once nothing reads them any more; returns how many."""
-    jvm, n = spark._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again.
-
-    The lineage ends there, lost executors lose nothing of it, and the planner
-    knows its size, so that it broadcasts it below
-    spark.sql.autoBroadcastJoinThreshold and shuffles it above.
-    """
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table; a small one that too few row groups hold is dealt to all cores."""
+    return evenly(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def _row_id(id_col: str) -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.llm.storage import documents
 from tesserae.llm.wordhash import Words, parts, released
 
 WINDOW = 35
@@ -262,7 +263,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 ORACLE = f"""WITH src AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -7,6 +7,11 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tesserae.functions.similarity import let as bound
+from tesserae.functions.similarity import running_sums
+
+__all__ = ["ascii_lower", "bound", "match_spans", "plain_words", "replaced_matches", "running_sums", "space_words"]
+
 #: Words without white space: [^\x20\x09-\x0D]+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Separators of lower-cased alphanumeric words, whose words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
@@ -30,18 +35,6 @@ def plain_words(lowered: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), PUNCT), "")
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with value evaluated once, as the element of a one-element array, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def running_sums(sizes: Column) -> Column:
-    """The running sums of an array of ints, by doubling: each of log2(n) rounds adds the element so far back."""
-    rounds = F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int")
-    steps = F.slice(F.array(*(F.lit(1 << k) for k in range(31))), F.lit(1), rounds)
-    return F.aggregate(steps, sizes, lambda sums, back: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0))))
-
-
 def match_spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points.
 

@@ -511,3 +511,30 @@ def test_pipeline_equals_brute_force(spark, duck, tmp_path):
     check_pieces(rows, encoded(clean), packing.WINDOW)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert all(stage(spark, docs, sf).columns == docs.columns for _, stage in corpus_pipeline.STAGES[:-1])
+
+
+def test_packing_and_substrings_take_odd_rows(spark, odd, none):
+    rows = packing.packed(odd, window=256).collect()
+    assert sum(r["doc_id"] is None and r["start"] == 0 for r in rows) == 3 and sum(r["doc_id"] == 3 for r in rows) == 2
+    assert packing.packing_stage(spark, none, "").count() == 0
+    texts = [t for _, t in odd_texts()]
+    got = substrings.deduplicated(odd).collect()
+    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_removed(texts, 35)
+    assert sum(r["doc_id"] is None for r in got) == 3
+
+
+def test_packing_queries_of_eight_tokens_find_what_whole_queries_find(duck, monkeypatch):
+    """Of the nearest neighbours by all of a seed's tokens, how many the eight rarest find."""
+    ids = list(encoded(dict(duck.execute("SELECT doc_id, text FROM documents WHERE length(text) > 200").fetchall())).values())
+    texts = [np.array(i, np.uint16) for i in ids]
+    frequency = np.zeros(packing.MOST_IDS, np.int64)
+    for t in texts:
+        frequency[np.unique(t)] += 1
+    found = {}
+    for n in (packing.QUERY_TERMS, 10**6):
+        monkeypatch.setattr(packing, "QUERY_TERMS", n)
+        index = packing.ShardIndex(texts, frequency, len(texts), float(np.mean([len(t) for t in texts])))
+        found[n] = [index.neighbours(k, np.arange(len(texts)) == k)[:1].tolist() for k in range(len(texts))]
+    same = np.mean([a == b for a, b in zip(*found.values())])
+    print(f"nearest neighbour the same for {same:.2f} of seeds")
+    assert same > 0.2
