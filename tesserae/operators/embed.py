@@ -8,7 +8,7 @@ Vectors are doubles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,3 +235,17 @@ def encode_composite(model: PpmiModel, docs: DataFrame) -> DataFrame:
     both = b.join(a, "doc_id", "full")
     none = F.array_repeat(F.lit(0.0), model.dim)
     return both.select("doc_id", l2_normalize(F.zip_with(F.coalesce("p", none), F.coalesce("c", none), lambda x, y: x * BLEND[0] + y * BLEND[1])).alias("vector"))
+
+
+def embedder(kind: str, docs: DataFrame, dim: int = DIM, seed: int = SEED) -> Callable[[DataFrame], DataFrame]:
+    """An encoder of documents (doc_id, tokens) fitted on docs: ppmi, char or composite."""
+    if kind == "char":
+        corpus = stats.corpus_stats(docs)
+        n = corpus.first()["n_docs"]
+        terms = stats.with_idf(stats.term_stats(docs), corpus)
+        return lambda rows: encode_chars(rows, terms, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, dim, seed)
+    model = fit_ppmi(docs, dim, seed)
+    encoders = {"ppmi": model.encode, "composite": lambda rows: encode_composite(model, rows)}
+    if kind not in encoders:
+        raise ValueError(f"unknown embedder {kind}")
+    return encoders[kind]

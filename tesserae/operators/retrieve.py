@@ -211,6 +211,15 @@ def expand_terms(queries: DataFrame, terms: DataFrame, most: int = 3) -> DataFra
     return other.withColumn("_n", place).filter(F.col("_n") <= most).select("query_id", "term", "expansion")
 
 
+def expand_with_neighbours(queries: DataFrame, terms: DataFrame, neighbours: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, term, expansion): forms with the stem of a query term first, by df, then its nearest terms (term, other, score) by score; most for a query.  Own definition."""
+    forms = expand_terms(queries, terms, most).join(terms.select(F.col("term").alias("expansion"), "df"), "expansion").select("query_id", "term", "expansion", F.lit(0).alias("kind"), F.col("df").cast("double").alias("weight"))
+    near = query_terms(queries).join(neighbours, "term").select("query_id", "term", F.col("other").alias("expansion"), F.lit(1).alias("kind"), F.col("score").alias("weight"))
+    once = forms.unionByName(near).withColumn("_k", F.row_number().over(W.partitionBy("query_id", "expansion").orderBy("kind", F.desc("weight"), "term"))).filter("_k = 1")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("kind", F.desc("weight"), "expansion", "term"))
+    return once.withColumn("_n", place).filter(F.col("_n") <= most).select("query_id", "term", "expansion")
+
+
 def repair_terms(queries: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
     """(query_id, term, repair): for query terms outside the corpus the nearest corpus term within most edits that shares a 3-gram; ties by df, then term.  Own definition.
 

@@ -47,6 +47,7 @@ RULES: dict[str, tuple[tuple[str, str], ...]] = {
     "passage": (("doc_id is empty", "doc_id is null or cast(doc_id as string) = ''"), ("text is empty", "text is null or trim(text) = ''")),
     "chunk": (("chunk_id is empty", "chunk_id is null or chunk_id = ''"), ("text is empty", "text is null or trim(text) = ''"), ("end before start", "end < start")),
     "request": (("neither text nor audio", "(text is null or trim(text) = '') and (audio_b64 is null or audio_b64 = '')"), ("top_k out of range", "top_k not between 1 and 50")),
+    "transcript": (("text is missing", "text is null"),),
     "answer": (("confidence out of range", "confidence is null or confidence not between 0 and 1"),),
 }
 
@@ -108,8 +109,13 @@ def paged_source(name: str, fetch: Callable[[int, int], list[tuple]], total: int
     return Paged
 
 
-def load_corpus(spark: SparkSession, source: str = "auto", path: str | None = None, remote: type[DataSource] | None = None) -> DataFrame:
-    """auto takes the remote source if there is one, else the file; hf and offline insist on theirs."""
+def load_corpus(spark: SparkSession, source: str = "auto", path: str | None = None, remote: type[DataSource] | None = None, languages: tuple[str, ...] = ()) -> DataFrame:
+    """auto takes the remote source if there is one, else the file; hf and offline insist on theirs.  With languages only passages of these."""
+    rows = _corpus_rows(spark, source, path, remote)
+    return of_languages(rows, languages) if languages else rows
+
+
+def _corpus_rows(spark: SparkSession, source: str, path: str | None, remote: type[DataSource] | None) -> DataFrame:
     if source not in ("auto", "hf", "offline"):
         raise ValueError(f"unknown corpus source {source}")
     if source == "hf" or (source == "auto" and remote is not None):
@@ -123,6 +129,16 @@ def load_corpus(spark: SparkSession, source: str = "auto", path: str | None = No
     return read_jsonl(spark, path)
 
 
-def write_vector_store(indexed: DataFrame, path: str) -> None:
-    """Vectors with cluster as Parquet partitioned by cluster, so that probes read their clusters only."""
-    indexed.repartition("cluster").write.partitionBy("cluster").parquet(path)
+def write_vector_store(indexed: DataFrame, path: str, files: int = 8) -> None:
+    """Vectors (chunk_id, vector, cluster) as Parquet partitioned by cluster, so that probes read their clusters only.
+
+    A cluster is written by as many tasks as files, so that a large one is not
+    one task's alone.
+    """
+    indexed.repartition("cluster", F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.partitionBy("cluster").parquet(path)
+
+
+def read_vector_store(spark: SparkSession, path: str, clusters: list[int] | None = None) -> DataFrame:
+    """Vectors of a store, of the given clusters only if there are any; other clusters' files are not opened."""
+    rows = spark.read.parquet(path)
+    return rows if clusters is None else rows.filter(F.col("cluster").isin(clusters))

@@ -27,6 +27,56 @@ def test_paged_source(spark):
     assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 25 and len(reader.partitions()) == 3
 
 
+def test_paged_source_through_spark(spark):
+    source = corpus.paged_source("paged_rows", lambda offset, n: [(str(i), f"text {i}", "en" if i % 2 else "hi", "s") for i in range(offset, offset + n)], total=25, page=10)
+    rows = corpus.load_corpus(spark, "auto", remote=source)
+    assert sorted(int(r["doc_id"]) for r in rows.collect()) == list(range(25)) and rows.rdd.getNumPartitions() == 3
+    assert corpus.load_corpus(spark, "hf", remote=source, languages=("hi",)).count() == 13
+    with pytest.raises(ValueError):
+        corpus.load_corpus(spark, "hf")
+
+
+def test_every_kind_of_record_is_validated(spark):
+    cases = {
+        "passage": [(("1", "x"), None), (("", "x"), "doc_id is empty"), (("1", " "), "text is empty"), ((None, None), "doc_id is empty")],
+        "chunk": [(("c", "x", 1, 2), None), (("c", "x", 3, 2), "end before start"), (("c", None, 1, 2), "text is empty"), ((None, "x", 1, 2), "chunk_id is empty")],
+        "request": [(("x", None, 5), None), ((None, "b64", 1), None), ((" ", "", 5), "neither text nor audio"), (("x", None, 51), "top_k out of range"), (("x", None, 0), "top_k out of range")],
+        "transcript": [(("",), None), ((None,), "text is missing")],
+        "answer": [((0.0,), None), ((1.0,), None), ((1.01,), "confidence out of range"), ((None,), "confidence out of range")],
+    }
+    schemas = {"passage": "doc_id string, text string", "chunk": "chunk_id string, text string, start int, end int", "request": "text string, audio_b64 string, top_k int", "transcript": "text string", "answer": "confidence double"}
+    for kind, rows in cases.items():
+        table = spark.createDataFrame([r for r, _ in rows], schemas[kind])
+        assert [r["why"] for r in table.select(corpus.reason(kind).alias("why")).collect()] == [why for _, why in rows]
+        good, bad = corpus.validated(table, kind)
+        assert (good.count(), bad.count()) == (sum(w is None for _, w in rows), sum(w is not None for _, w in rows))
+        with pytest.raises(Exception, match="|".join(w for _, w in rows if w)):
+            corpus.strict(table, kind).collect()
+
+
+def test_vector_store_is_read_by_cluster(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id chunk_id", "array(cast(id as double)) vector", "cast(id % 3 as int) cluster")
+    corpus.write_vector_store(rows, f"file://{tmp_path}/store")
+    assert corpus.read_vector_store(spark, f"file://{tmp_path}/store").count() == 200
+    some = corpus.read_vector_store(spark, f"file://{tmp_path}/store", [1])
+    assert some.count() == 67 and all("cluster=1" in f for f in some.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+
+
+def test_expansion_takes_forms_then_neighbours(spark):
+    queries = spark.createDataFrame([("q", ["walk", "sea"])], "query_id string, tokens array<string>")
+    terms = spark.createDataFrame([("walk", "walk", 5), ("walks", "walk", 3), ("walking", "walk", 4), ("sea", "sea", 9), ("lake", "lake", 2)], "term string, stem string, df int")
+    near = spark.createDataFrame([("sea", "lake", 0.9), ("sea", "walks", 0.8), ("walk", "run", 0.5)], "term string, other string, score double")
+    got = [(r["term"], r["expansion"]) for r in retrieve.expand_with_neighbours(queries, terms, near).collect()]
+    assert sorted(got) == [("sea", "lake"), ("walk", "walking"), ("walk", "walks")]
+
+
+def test_embedders_by_name(spark):
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(["a b c", "a b d", "b c d"] * 4)], "doc_id long, tokens array<string>")
+    assert {len(r["vector"]) for k in ("char", "ppmi", "composite") for r in embed.embedder(k, docs, dim=16)(docs).collect()} == {16}
+    with pytest.raises(ValueError):
+        embed.embedder("other", docs)
+
+
 def test_cooccurrence_is_symmetric_and_weighted(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a"])], "doc_id int, tokens array<string>")
     got = {(r["a"], r["b"]): r["weight"] for r in stats.cooccurrence(docs).collect()}
