@@ -135,10 +135,13 @@ def _emit_sets(join: Join) -> Callable:
 
 
 def _emit_chunks(join: Join) -> Callable:
-    """(k, doc, band, spare): the chunks of each set of a part of a batch.
+    """KEY_ROWS: the chunks of each set of a part of a batch, one row for each chunk and band of the part.
 
     spare is how many of its chunks a document can leave and still share one of
-    the others with every document that it links with.
+    the others with every document that it links with.  Of a chunk that several
+    documents of the part share, one row has all: their number n, the smallest,
+    a sum x of their hashes, the first and the others (more).  So a chunk that a
+    third of all texts share has a row for each part, not for each text.
     """
 
     @released
@@ -185,19 +188,38 @@ def _emit_chunks(join: Join) -> Callable:
                     has = np.bincount(own, minlength=len(n))
                     largest = (n * 100) // join.percent
                     spare = np.clip(has - join.differ(n, largest) - 1, -1, 30000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(doc[own]), pa.array(np.full(len(own), t, np.int16)), pa.array(spare[own].astype(np.int16))], names=["k", "doc", "band", "spare"]
-                    )
+                    yield _merged(key, doc[own], spare[own].astype(np.int16), t)
 
     return run
 
 
+KEY_ROWS = "k long, band short, n long, least long, x long, doc long, spare short, more array<struct<doc:long,spare:short>>"
+
+
+def _merged(key: np.ndarray, doc: np.ndarray, spare: np.ndarray, band: int) -> pa.RecordBatch:
+    """KEY_ROWS of (key, doc, spare), rows of one key as one."""
+    order = np.argsort(key, kind="stable")
+    key, doc, spare = key[order], doc[order], spare[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(np.append(first, len(key)))
+    later = np.ones(len(key), dtype=bool)
+    later[first] = False
+    others = pa.StructArray.from_arrays([pa.array(doc[later]), pa.array(spare[later])], names=["doc", "spare"])
+    more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)).astype(np.int32)), others, mask=pa.array(n == 1))
+    x = np.bitwise_xor.reduceat(mixed(doc.astype(np.uint64)), first)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[first].view(np.int64)), pa.array(np.full(len(first), band, np.int16)), pa.array(n), pa.array(np.minimum.reduceat(doc, first)), pa.array(x.view(np.int64)), pa.array(doc[first]), pa.array(spare[first]), more],
+        names=["k", "band", "n", "least", "x", "doc", "spare", "more"],
+    )
+
+
 def chunk_groups(docs: DataFrame, join: Join) -> DataFrame:
     """(g, pivot, doc, excess): documents that share a chunk; chunks with the same members are one group g.  Two may link only if their excesses sum to 0 at most."""
     over = "over (partition by k)"
     # the window's sums are of ids' hashes: equal groups have equal ones
-    keys = docs.mapInArrow(_emit_chunks(join), "k long, doc long, band short, spare short")
-    shared = keys.withColumns({"size": F.expr(f"count(1) {over}"), "pivot": F.expr(f"min(doc) {over}"), "g": F.expr(f"bit_xor(xxhash64(doc)) {over}")}).filter("size > 1")
+    keys = docs.mapInArrow(_emit_chunks(join), KEY_ROWS)
+    shared = keys.withColumns({"size": F.expr(f"sum(n) {over}"), "pivot": F.expr(f"min(least) {over}"), "g": F.expr(f"bit_xor(x) {over}")}).filter("size > 1")
+    shared = shared.select("k", "band", "size", "pivot", "g", F.inline(F.concat(F.array(F.struct("doc", "spare")), F.coalesce("more", F.expr("cast(array() as array<struct<doc:bigint,spare:smallint>>)")))))
     # one pass over the keys: of cold chunks the groups, of hot ones the keys themselves
     is_hot = F.col("size") > HOT
     rows = shared.select(
@@ -232,13 +254,15 @@ def rare_groups(docs: DataFrame, which: DataFrame, join: Join) -> DataFrame:
     so that it is an integer and exact.  A passage that many share is common, and brings a group only to those that have little else,
     whose excesses then tell most of them apart.
     """
-    over = "over (partition by k)"
     each = stored(restricted(docs, which, ["doc_id"]).mapInArrow(_emit_shingles(join), "k long, doc long, n int").distinct(), "shingles")
     df = each.groupBy("k").agg(F.count("*").alias("df"))
     most = F.floor(F.lit(100 - join.percent) * (F.col("n") + F.floor(F.col("n") * 100 / join.percent)) / (100 + join.percent)) + 1
     first = each.join(df, "k").withColumn("r", F.row_number().over(W.partitionBy("doc").orderBy("df", "k"))).filter(F.col("r") <= most).filter("df > 1")
     first = first.select("k", "doc", ((F.col("r").cast("long") - 1) * (100 + join.percent) - F.col("n").cast("long") * (100 - join.percent)).alias("excess"))
-    shared = first.withColumns({"size": F.expr(f"count(1) {over}"), "pivot": F.expr(f"min(doc) {over}"), "g": F.expr(f"bit_xor(xxhash64(doc)) {over}")}).filter("size > 1")
+    # counted by aggregation and joined back, so that a common shingle's rows are not one task's
+    first = stored(first, "rarest")
+    of = first.groupBy("k").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), F.expr("bit_xor(xxhash64(doc))").alias("g")).filter("size > 1")
+    shared = first.join(of, "k")
     return shared.groupBy("g", "pivot", "doc").agg(F.min("excess").alias("excess"))
 
 

@@ -12,7 +12,7 @@ from tesserae.sources.tables import drop_stored, shared_dir, stored, table_path
 __all__ = ["boxed", "documents", "drop_stored", "restricted", "sealed", "shared_dir", "small", "stored", "table_path", "unboxed", "with_row_key"]
 
 #: Keys are broadcast up to so many bytes, taking what an executor's hash table needs for a row; more are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 40
 #: Stands for a null document id in join keys; no real id is the smallest long.
 NO_ID = -(2**63)
