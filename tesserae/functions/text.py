@@ -103,12 +103,11 @@ mon tue wed thu fri sat sun
 u.s u.k u.n a.m p.m i.e e.g
 """.split()
 )
-# Units that may follow a number, and small words inside names.
+# Units that may follow a number.
 UNITS = (
     "%|percent|per cent|million|billion|trillion|thousand|lakh|crore|kg|km|cm|mm|m|ft|mi|lb|kb|mb|gb|tb|hz|khz|mhz|ghz|"
     "°c|°f|celsius|fahrenheit|years?|months?|days?|hours?|minutes?|seconds?"
 )
-NAME_LINKS = "of|de|van|der|the|and"
 
 EMPTY = "cast(array() as array<string>)"
 #: Python's \s and \w for Java, which reads the bare classes as ASCII.
@@ -289,7 +288,7 @@ def classify_query(text: Column) -> Column:
 
 NUMBER = rf"(?i)(?<![\p{{L}}\p{{N}}_.])(?:\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})+|\p{{Nd}}+(?:\.\p{{Nd}}+)?){SPACE}?(?:{UNITS})?(?!{WORD})"
 YEAR = rf"(?<!{WORD})(?:1[0-9]{{3}}|20[0-9]{{2}})(?!{WORD})"
-PROPER = rf"(?<!{WORD})[A-Z][a-z]{{2,}}(?:{SPACE}+(?:{NAME_LINKS})?{SPACE}*[A-Z][a-z]{{2,}})*(?!{WORD})"
+PROPER = rf"(?<!{WORD})[A-Z][a-z]{{2,}}(?:{SPACE}+(?:of|de|van|der|the|and)?{SPACE}*[A-Z][a-z]{{2,}})*(?!{WORD})"
 QUOTED = '"([^"]{2,80})"'
 
 
@@ -449,15 +448,13 @@ def highlight_spans(text: Column, terms: Column) -> Column:
     stems_of = F.transform(terms, stem)
     words = _word_spans(text)
     hit = F.filter(words, lambda w: F.array_contains(terms, w["word"]) | F.array_contains(stems_of, stem(w["word"])))
-    span = "struct<start:int,end:int>"
-    return F.aggregate(
-        hit,
-        F.expr(f"cast(array() as array<{span}>)"),
-        lambda out, w: F.when(
-            (F.size(out) > 0) & (w["start"] - F.element_at(out, -1)["end"] <= 1),
-            F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), w["end"].alias("end")))),
-        ).otherwise(F.concat(out, F.array(F.struct(w["start"].alias("start"), w["end"].alias("end"))))),
-    )
+
+    def merged(hits: Column) -> Column:
+        apart = lambda i: F.coalesce(F.get(hits, i)["start"] - F.get(hits, i - 1)["end"] > 1, F.lit(True))
+        firsts, lasts = F.filter(hits, lambda w, i: apart(i)), F.filter(hits, lambda w, i: apart(i + 1))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    return let(hit, merged)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
