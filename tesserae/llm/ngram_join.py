@@ -255,14 +255,16 @@ def rare_groups(docs: DataFrame, which: DataFrame, join: Join) -> DataFrame:
     whose excesses then tell most of them apart.
     """
     each = stored(restricted(docs, which, ["doc_id"]).mapInArrow(_emit_shingles(join), "k long, doc long, n int").distinct(), "shingles")
-    df = each.groupBy("k").agg(F.count("*").alias("df"))
+    # counts are tables of their own, so that a join with a common shingle's rows can be broadcast or split
+    df = small(stored(each.groupBy("k").agg(F.count("*").alias("df")).filter("df > 1"), "shingle-counts"))
     most = F.floor(F.lit(100 - join.percent) * (F.col("n") + F.floor(F.col("n") * 100 / join.percent)) / (100 + join.percent)) + 1
-    first = each.join(df, "k").withColumn("r", F.row_number().over(W.partitionBy("doc").orderBy("df", "k"))).filter(F.col("r") <= most).filter("df > 1")
+    # shingles of one document come first and bring no group; they only take places
+    counted = each.join(df, "k", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    first = counted.withColumn("r", F.row_number().over(W.partitionBy("doc").orderBy("df", "k"))).filter(F.col("r") <= most).filter("df > 1")
     first = first.select("k", "doc", ((F.col("r").cast("long") - 1) * (100 + join.percent) - F.col("n").cast("long") * (100 - join.percent)).alias("excess"))
-    # counted by aggregation and joined back, so that a common shingle's rows are not one task's
     first = stored(first, "rarest")
     of = first.groupBy("k").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), F.expr("bit_xor(xxhash64(doc))").alias("g")).filter("size > 1")
-    shared = first.join(of, "k")
+    shared = first.join(small(stored(of, "rare-groups")), "k")
     return shared.groupBy("g", "pivot", "doc").agg(F.min("excess").alias("excess"))
 
 
