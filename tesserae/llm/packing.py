@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.storage import documents, stored
-from tesserae.llm.wordhash import Words, parts, released
+from tesserae.llm.wordhash import Places, parts, released
 
 WINDOW = 4096
 END_ID = 2
@@ -38,7 +38,7 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 8
 MOST_IDS = 1 << 16
 #: Text bytes tokenized at a time.
 TOKENIZED_BYTES = 4 << 20
-#: Distinct word pieces that a Python worker remembers at most, and twice as many words.
+#: Distinct word pieces that a Python worker remembers at most, and as many words.
 REMEMBERED = 500_000
 
 
@@ -58,9 +58,10 @@ _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 class TokenMemory:
     """Ids of texts, by distinct words: no token of this tokenizer spans white space.
 
-    Words are told apart by a 64-bit hash of their bytes.  A simple word is
-    lower-cased and split into pieces, whose ids do not depend on each other; pieces are tokenized once, many at a time, since the last
-    token of each carries the end mark.  Any other word is tokenized whole.
+    Words are told apart by their bytes.  A simple word is lower-cased and split
+    into pieces, whose ids do not depend on each other; pieces are tokenized
+    once, many at a time, since the last token of each carries the end mark.
+    Any other word is tokenized whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -78,8 +79,8 @@ class TokenMemory:
     def clear(self) -> None:
         self.pieces: dict[str, int] = {}
         self.piece_counts, self.piece_flat = np.empty(0, np.int64), np.empty(0, np.uint16)
-        # words by hash, sorted, and where their ids stand
-        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        # words, and where their ids stand
+        self.slots: dict[bytes, int] = {}
         self.starts, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
 
     def _learn_pieces(self, pieces: list[str], words: list[str]) -> None:
@@ -99,7 +100,8 @@ class TokenMemory:
             self.pieces[x] = len(self.pieces)
         self.piece_counts, self.piece_flat = np.concatenate(counts), np.concatenate(flat)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, found: list[bytes]) -> None:
+        words = [w.decode() for w in found]
         # an unusual word is known under its own text with a space, which no piece has
         split = [_PIECES.findall(w.lower()) if _SIMPLE.fullmatch(w) else [w + " "] for w in words]
         new = dict.fromkeys(p for ps in split for p in ps if p not in self.pieces)
@@ -109,29 +111,21 @@ class TokenMemory:
         counts = self.piece_counts[part]
         ends = np.cumsum(counts)[np.cumsum([len(ps) for ps in split]) - 1]
         begins = np.concatenate([[0], ends[:-1]])
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, place, hashes)
-        self.slot = np.insert(self.slot, place, np.arange(len(words)) + len(self.starts))
+        self.slots |= {w: len(self.starts) + k for k, w in enumerate(found)}
         self.starts = np.concatenate([self.starts, begins + len(self.flat)])
         self.counts = np.concatenate([self.counts, ends - begins])
         self.flat = np.concatenate([self.flat, self.piece_flat[_spread((np.cumsum(self.piece_counts) - self.piece_counts)[part], counts)]])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids) of texts without nulls, END_ID after each; starts has the end appended."""
-        if len(self.pieces) > REMEMBERED or len(self.hashes) > 2 * REMEMBERED:
+        if len(self.pieces) > REMEMBERED or len(self.slots) > REMEMBERED:
             self.clear()
-        words = Words(texts)
-        distinct, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), dtype=bool)
-        if len(self.hashes):
-            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
-        if new.any():
-            data = words.data
-            fresh = first[new]
-            self._learn(distinct[new], [data[s:e].tobytes().decode() for s, e in zip(words.start[fresh].tolist(), words.end[fresh].tolist())])
-            at = np.searchsorted(self.hashes, distinct)
-        slot = self.slot[at][inverse]
+        words = Places(texts)
+        number, distinct = words.numbered()
+        distinct = distinct.to_pylist()
+        if new := [w for w in distinct if w not in self.slots]:
+            self._learn(new)
+        slot = np.array([self.slots[w] for w in distinct], np.int64)[number]
         # an end id after each text's last word
         ends = words.first + words.count
         counts = np.insert(self.counts[slot], ends, 1)

@@ -1,8 +1,10 @@
 """64-bit hashes of white-space words and of runs of words, vectorised over Arrow string columns.
 
-A word is [^\\x20\\x09-\\x0D]+ in UTF-8.  Its hash is a polynomial over its
-bytes, taken as a difference of prefix sums and mixed; a run's hash is the same
-over its words' hashes.  Both depend on the words alone, not on where they stand.
+A word is [^\\x20\\x09-\\x0D]+ in UTF-8.  Its hash mixes its bytes in, eight at a
+time; a run's hash is a polynomial over its words' hashes, taken as a difference
+of prefix sums and mixed.  Both depend on the words alone, not on where they stand.
+A polynomial modulo 2^64 must not be taken over more than a few dozen terms:
+Thue-Morse sequences of 1,024 and more have equal values whatever the base.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes hashed at a time, so that memory does not follow the length of a text or a batch.
 CHUNK = 1 << 20
@@ -36,7 +39,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+#: Low bytes of a lane of eight, by how many of them belong to the word.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of up to so many bytes are hashed by lanes, all words at once; longer ones one by one.
+LANED = 64
+
+
+def _hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the given byte ranges: lanes of eight bytes are mixed in one after the other, so that no two lanes cancel out."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    size = ends - begins
+    h = mixed((lanes[begins] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _RUN_BASE)
+    more, done = np.flatnonzero((size > 8) & (size <= LANED)), 8
+    while len(more):
+        h[more] = mixed((lanes[begins[more] + done] & _LOW[np.minimum(size[more] - done, 8)]) + h[more] * _BASE)
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LANED).tolist():
+        h[i] = xxhash.xxh64_intdigest(memoryview(data[begins[i] : ends[i]]))
+    return h
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +80,7 @@ class _Powers:
         return self.up, self.down
 
 
-_byte_powers, _word_powers = _Powers(_BASE), _Powers(_RUN_BASE)
+_word_powers = _Powers(_RUN_BASE)
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +126,15 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
+def _word_end(data: np.ndarray, at: int, end: int) -> int:
+    """The first white space from at on, before end."""
+    for lo in range(at, end, CHUNK):
+        spaces = np.flatnonzero(_SPACE[data[lo : min(lo + CHUNK, end)]])
+        if len(spaces):
+            return lo + int(spaces[0])
+    return end
+
+
 def _cuts(offsets: np.ndarray, data: np.ndarray) -> list[int]:
     """Places at which no word is cut, at most CHUNK apart unless a single word is longer."""
     cuts, size = [0], len(data)
@@ -115,49 +146,65 @@ def _cuts(offsets: np.ndarray, data: np.ndarray) -> list[int]:
         k = int(offsets[np.searchsorted(offsets, at, "right") - 1])
         if k <= cuts[-1]:  # within one long text
             spaces = np.flatnonzero(_SPACE[data[cuts[-1] + 1 : at]])
-            k = cuts[-1] + 1 + int(spaces[-1]) if len(spaces) else at
-            while k < size and not _SPACE[data[k]] and k not in offsets:
-                k += 1
+            k = cuts[-1] + 1 + int(spaces[-1]) if len(spaces) else _word_end(data, at, int(offsets[np.searchsorted(offsets, at, "left")]))
         cuts.append(k)
     return cuts
 
 
-class Words:
-    """The words of a string column: hash and row of each, their byte ranges, and each row's first word and word count."""
+class Places:
+    """The words of a string column: byte range and row of each, and each row's first word and word count."""
 
-    def __init__(self, column: pa.Array, lower: bool = False) -> None:
+    def __init__(self, column: pa.Array) -> None:
         self.offsets, self.data = string_bytes(column)
-        hashes, starts, ends = [], [], []
+        starts, ends = [], []
         cuts = _cuts(self.offsets, self.data)
         for lo, hi in zip(cuts, cuts[1:]):
-            h, s, e = self._chunk(lo, hi, lower)
-            hashes.append(h)
+            s, e = self._bounds(lo, hi)
             starts.append(s)
             ends.append(e)
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
-        self.hash, self.start, self.end = join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64)
+            self._chunk(lo, hi, s, e)
+        self.start, self.end = _joined(starts, np.int64), _joined(ends, np.int64)
         self.first = np.searchsorted(self.start, self.offsets[:-1], "left")
         self.count = np.searchsorted(self.start, self.offsets[1:], "left") - self.first
         self.row = np.repeat(np.arange(len(self.count)), self.count)
 
-    def _chunk(self, lo: int, hi: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        b = self.data[lo:hi]
-        space = _SPACE[b]
+    def _bounds(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        space = _SPACE[self.data[lo:hi]]
         inner = self.offsets[np.searchsorted(self.offsets, lo, "left") : np.searchsorted(self.offsets, hi, "right")] - lo
         edge = np.zeros(hi - lo + 1, dtype=bool)  # between bytes: a text or the chunk begins or ends
         edge[inner] = edge[0] = edge[-1] = True
         after, before = edge[:-1].copy(), edge[1:].copy()
         after[1:] |= space[:-1]
         before[:-1] |= space[1:]
-        begins, ends = np.flatnonzero(~space & after), np.flatnonzero(~space & before) + 1
-        if lower:
-            b = _LOWER[b]
-        up, down = _byte_powers.of(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTES[b] * up[: hi - lo], out=sums[1:])
-        h = (sums[ends] - sums[begins]) * down[begins]
-        return mixed(h + (ends - begins).astype(np.uint64) * _RUN_BASE), begins + lo, ends + lo
+        return np.flatnonzero(~space & after) + lo, np.flatnonzero(~space & before) + 1 + lo
+
+    def _chunk(self, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray) -> None:
+        """What a subclass does with the words of a chunk."""
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array]:
+        """(number of each word, distinct words): equal words, and only these, have one number."""
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        letters = self.data[~_SPACE[self.data]]
+        column = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+        return column.indices.to_numpy().astype(np.int64), column.dictionary
+
+
+def _joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.empty(0, kind)
+
+
+class Words(Places):
+    """Places of words with a hash of each."""
+
+    def __init__(self, column: pa.Array, lower: bool = False) -> None:
+        self.lower, self.hashes = lower, []
+        super().__init__(column)
+        self.hash = _joined(self.hashes, np.uint64)
+        del self.hashes
+
+    def _chunk(self, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = self.data[lo:hi]
+        self.hashes.append(_hashed(_LOWER[data] if self.lower else data, starts - lo, ends - lo))
 
     def runs(self, places: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         """Hashes of the runs of n words that begin at the given words (each within its row)."""
