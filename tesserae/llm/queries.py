@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, packing, quality, secrets, substrings, warc
+from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, packing, periods, quality, secrets, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_html_text": htmltext.op10_html_text,
+    "op11_periods": periods.op11_periods,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_license_scan": licenses.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_html_text": htmltext.ORACLE,
+    "op11_periods": periods.ORACLE,
 }

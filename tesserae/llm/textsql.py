@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.similarity import let as bound
 from tesserae.functions.similarity import running_sums
 
-__all__ = ["ascii_lower", "bound", "match_spans", "plain_words", "replaced_matches", "running_sums", "space_words"]
+__all__ = ["ascii_lower", "bound", "match_spans", "oracle_crc32", "plain_words", "replaced_matches", "running_sums", "space_words"]
 
 #: Words without white space: [^\x20\x09-\x0D]+
 SPACE = r"[\x20\x09-\x0D]+"
@@ -59,3 +59,11 @@ def replaced_matches(text: Column, pattern: str, fits: str, mark: str) -> Column
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     put = lambda m: F.when(m.rlike(f"^(?:{fits})$"), F.lit(mark)).otherwise(F.coalesce(m, F.lit("")))
     return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda between, m: F.concat(between, put(m))), "")
+
+
+def oracle_crc32(name: str, source: str, column: str) -> str:
+    """DuckDB CTEs of which the one of this name has (column, crc): the unsigned CRC-32 of each distinct number of source, written in decimal."""
+    step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    return f"""{name}_table AS (SELECT list_transform(range(256), lambda c: list_reduce(range(8), lambda x, k: {step}, c)) AS t),
+{name} AS (SELECT {column}, xor(list_reduce(list_transform(range(1, length(v) + 1), lambda i: ascii(substr(v, i, 1))::BIGINT), lambda x, b: xor(x // 256, t[1 + (xor(x, b) & 255)]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT {column}, CAST({column} AS VARCHAR) AS v FROM {source} WHERE {column} IS NOT NULL), {name}_table)"""
