@@ -90,16 +90,6 @@ def find_runs(names: np.ndarray, row: np.ndarray, n_rows: int, least_words: int
     return start[order], length[order], period[order]
 
 
-def _joined_words(places: Places, words: np.ndarray) -> bytes:
-    """The given words, each followed by a space."""
-    sizes = places.end[words] - places.start[words] + 1
-    ends = np.cumsum(sizes)
-    index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(places.start[words] - (ends - sizes), sizes)
-    out = places.data[np.minimum(index, len(places.data) - 1)]
-    out[ends - 1] = 0x20
-    return out.tobytes()
-
-
 def _with_runs(least_words: int, least_periods: int) -> Callable:
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +104,7 @@ def _with_runs(least_words: int, least_periods: int) -> Callable:
             texts = []
             for f, n in zip(places.first.tolist(), places.count.tolist()):
                 words = f + np.flatnonzero(kept[f : f + n])
-                texts.append(b"".join(_joined_words(places, words[k : k + JOINED]) for k in range(0, len(words), JOINED))[:-1])
+                texts.append(b"".join(places.joined(words[k : k + JOINED]) for k in range(0, len(words), JOINED))[:-1])
             rows = pa.StructArray.from_arrays([pa.array(start - places.first[own]), pa.array(length), pa.array(period)], names=["start", "length", "period"])
             ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=part.num_rows))]).astype(np.int32)
             runs = pa.ListArray.from_arrays(pa.array(ends), rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, packing, periods, quality, secrets, substrings, warc
+from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, packing, periods, quality, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_html_text": htmltext.op10_html_text,
     "op11_periods": periods.op11_periods,
+    "op12_simhash": simhash.op12_simhash,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE,

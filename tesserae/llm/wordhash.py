@@ -181,6 +181,15 @@ class Places:
     def _chunk(self, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray) -> None:
         """What a subclass does with the words of a chunk."""
 
+    def joined(self, words: np.ndarray) -> bytes:
+        """The given words, each followed by a space."""
+        sizes = self.end[words] - self.start[words] + 1
+        ends = np.cumsum(sizes)
+        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[words] - (ends - sizes), sizes)
+        out = self.data[np.minimum(index, len(self.data) - 1)]
+        out[ends - 1] = 0x20
+        return out.tobytes()
+
     def numbered(self) -> tuple[np.ndarray, pa.Array]:
         """(number of each word, distinct words): equal words, and only these, have one number."""
         ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
