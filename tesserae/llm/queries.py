@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import chat, decontaminate, htmltext, licenses, ngram_join, packing, periods, quality, secrets, simhash, substrings, warc
+from tesserae.llm import chat, decontaminate, htmltext, licenses, merkle, ngram_join, packing, periods, quality, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": htmltext.op10_html_text,
     "op11_periods": periods.op11_periods,
     "op12_simhash": simhash.op12_simhash,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE,
@@ -29,4 +30,5 @@ ORACLES = {
     "op9_quality_rules": quality.ORACLE,
     "op10_html_text": htmltext.ORACLE,
     "op11_periods": periods.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
