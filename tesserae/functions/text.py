@@ -127,7 +127,8 @@ SCRIPT_NAMES = tuple(dict.fromkeys(n for n, _, _ in SCRIPTS))
 _LATIN_OR_DIGIT = f"[{_class('latin')}\\p{{Nd}}]"
 _SPACED = [_LATIN_OR_DIGIT] + [_class(n) for n in SCRIPT_NAMES if n not in NO_SPACE and n != "latin"]
 _UNSPACED = [_class(n) for n in NO_SPACE]
-TOKEN = "|".join([f"{c}+(?:{_IN_WORD}+{c}+)*" for c in _SPACED] + [f"{c}(?:{c}|{_IN_WORD})*" for c in _UNSPACED])
+# Java runs a repeated group by recursion unless it is possessive; what a repetition here consumes it never has to give back.
+TOKEN = "|".join([f"{c}++(?:{_IN_WORD}++{c}++)*+" for c in _SPACED] + [f"{c}[{c}{_IN_WORD}]*+" for c in _UNSPACED])
 _ANY_UNSPACED = "|".join(_UNSPACED)
 
 _FOLDS = {z + d: str(d) for z in DIGIT_ZEROS for d in range(10)} | dict.fromkeys(DELETED, "") | {c: to for to, cs in REPLACED.items() for c in cs}
@@ -181,7 +182,7 @@ def strip_accents(text: Column) -> Column:
 
 
 #: TOKEN where all letters are Latin and all digits ASCII, which texts without characters beyond these are.
-_LATIN_TOKEN = f"[0-9A-Za-zÀ-ÖØ-öø-ɏ]+(?:{_IN_WORD}+[0-9A-Za-zÀ-ÖØ-öø-ɏ]+)*"
+_LATIN_TOKEN = f"[0-9A-Za-zÀ-ÖØ-öø-ɏ]++(?:{_IN_WORD}++[0-9A-Za-zÀ-ÖØ-öø-ɏ]++)*+"
 _BEYOND_LATIN = r"[^\x00-\u024F\u2000-\u2BFF]"
 
 
@@ -288,7 +289,8 @@ def classify_query(text: Column) -> Column:
 
 NUMBER = rf"(?i)(?<![\p{{L}}\p{{N}}_.])(?:\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})+|\p{{Nd}}+(?:\.\p{{Nd}}+)?){SPACE}?(?:{UNITS})?(?!{WORD})"
 YEAR = rf"(?<!{WORD})(?:1[0-9]{{3}}|20[0-9]{{2}})(?!{WORD})"
-PROPER = rf"(?<!{WORD})[A-Z][a-z]{{2,}}(?:{SPACE}+(?:of|de|van|der|the|and)?{SPACE}*[A-Z][a-z]{{2,}})*(?!{WORD})"
+_NAME = rf"[A-Z][a-z]{{2,}}+(?!{WORD})"
+PROPER = rf"(?<!{WORD}){_NAME}(?:{SPACE}++(?:(?:of|de|van|der|the|and){SPACE}*+)?{_NAME})*+"
 QUOTED = '"([^"]{2,80})"'
 
 
@@ -328,7 +330,8 @@ def truncate(text: Column, limit: int, ellipsis: str = "…") -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(back, r"[ ,;:.]+$", ""), F.lit(ellipsis)))
 
 
-BLOCK = rf"[^\n]+(?:\n(?!{SPACE}*\n)[^\n]+)*"
+_SPACE_IN_LINE = SPACE.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
+BLOCK = rf"[^\n]++(?:\n(?!{_SPACE_IN_LINE}*+\n)[^\n]++)*+"
 
 
 def paragraph_spans(text: Column) -> Column:
