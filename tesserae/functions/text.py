@@ -117,6 +117,15 @@ _NOT_LETTER = r"[^\p{P}\p{Z}\p{S}\p{C}\p{Nd}]"
 _IN_WORD = "[-'_.@/+]"
 
 
+#: The characters of SPACE, for trimming: a pattern that ends in SPACE+$ takes the square of a blank's length.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space around it."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def _class(*names: str) -> str:
     """A Java character class of scripts, without what Unicode does not call letters or marks."""
     ranges = "".join(f"\\u{lo:04X}-\\u{hi:04X}" for n, lo, hi in SCRIPTS if n in names)
@@ -190,9 +199,11 @@ def tokenize(normalized: Column) -> Column:
     """Tokens of a normalized text: runs of one script; where words have no spaces, characters, then pairs of them."""
 
     def characters(t: Column) -> Column:
-        n = F.length(t)
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.expr(EMPTY))
-        return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(1))), pairs)
+        def with_pairs(cs: Column) -> Column:
+            n = F.size(cs) - 1
+            return F.concat(cs, F.when(n > 0, F.zip_with(F.slice(cs, F.lit(1), n), F.slice(cs, F.lit(2), n), lambda a, b: F.concat(a, b))).otherwise(F.expr(EMPTY)))
+
+        return let(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), with_pairs)
 
     def of(text: Column) -> Column:
         runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -295,7 +306,7 @@ QUOTED = '"([^"]{2,80})"'
 
 
 def extract_numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), trimmed)
 
 
 def extract_years(text: Column) -> Column:
@@ -303,19 +314,17 @@ def extract_years(text: Column) -> Column:
 
 
 def _first_of_each(values: Column) -> Column:
-    """Values without those that equal an earlier one but for case."""
-
-    def kept(vs: Column) -> Column:
-        return let(F.transform(vs, F.lower), lambda keys: F.filter(vs, lambda v, i: F.array_position(keys, F.get(keys, i)) == (i + 1).cast("long")))
-
-    return let(values, kept)
+    """Values without those that equal an earlier one but for case; n log n, by sorting."""
+    ordered = F.array_sort(F.transform(values, lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("i"), v.alias("v"))))
+    firsts = let(ordered, lambda o: F.filter(o, lambda x, k: (k == 0) | (x["key"] != F.get(o, k - 1)["key"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
 
 
 def extract_entities(text: Column) -> Column:
     """Capitalised runs, then quoted strings, longer than two characters, no stopwords, each once."""
     found = F.concat(F.regexp_extract_all(text, F.lit(PROPER), F.lit(0)), F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)))
-    trimmed = F.transform(found, lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
-    return _first_of_each(F.filter(trimmed, lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*STOPWORDS)))
+    bare = F.transform(found, trimmed)
+    return _first_of_each(F.filter(bare, lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*STOPWORDS)))
 
 
 def extract_claims(text: Column) -> Column:
@@ -327,7 +336,7 @@ def truncate(text: Column, limit: int, ellipsis: str = "…") -> Column:
     cut = F.substring(text, 1, limit)
     last = F.length(cut) - F.instr(F.reverse(cut), " ")
     back = F.when((F.instr(F.reverse(cut), " ") > 0) & (last > limit * 0.6), F.substring(cut, F.lit(1), last)).otherwise(cut)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(back, r"[ ,;:.]+$", ""), F.lit(ellipsis)))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(back, F.lit(" ,;:.")), F.lit(ellipsis)))
 
 
 _SPACE_IN_LINE = SPACE.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
@@ -348,8 +357,8 @@ def paragraph_spans(text: Column) -> Column:
         bare = F.transform(
             cut,
             lambda c: F.struct(
-                F.regexp_replace(c["m"], f"^{SPACE}+|{SPACE}+$", "").alias("paragraph"),
-                (c["at"] + F.length(c["m"]) - F.length(F.regexp_replace(c["m"], f"^{SPACE}+", ""))).alias("start"),
+                trimmed(c["m"]).alias("paragraph"),
+                (c["at"] + F.length(c["m"]) - F.length(F.ltrim(c["m"], F.lit(BLANKS)))).alias("start"),
             ),
         )
         kept = F.filter(bare, lambda b: b["paragraph"] != "")
@@ -486,7 +495,7 @@ def register(spark: SparkSession) -> None:
 _SQL_FUNCTIONS = (
     ("txt_tokens", "x STRING", f"regexp_extract_all(x, r'{TOKEN}', 0)".replace("[-'_.@/+]", r"[-\x27_.@/+]")),
     ("txt_years", "x STRING", f"regexp_extract_all(x, r'{YEAR}', 0)"),
-    ("txt_numbers", "x STRING", f"transform(regexp_extract_all(x, r'{NUMBER}', 0), n -> regexp_replace(n, r'^{SPACE}+|{SPACE}+$', ''))"),
+    ("txt_numbers", "x STRING", f"transform(regexp_extract_all(x, r'{NUMBER}', 0), n -> btrim(n, '{BLANKS}'))"),
     ("txt_jaccard", "a ARRAY<STRING>, b ARRAY<STRING>", "CASE WHEN size(a) > 0 AND size(b) > 0 THEN size(array_intersect(a, b)) / size(array_union(a, b)) ELSE 0.0D END"),
 )
 

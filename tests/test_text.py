@@ -130,3 +130,39 @@ def test_similarities(spark):
         sim.stricter(F.lit("clarify"), F.lit("refuse")).alias("s"),
     ).first()
     assert round(row["j"], 6) == round(1 / 3, 6) and row["f"] == 0.5 and row["v"] == [0.6, 0.8] and row["p"] == 3 and row["s"] == "refuse"
+
+
+MEGABYTE = 1_000_000
+
+
+@pytest.mark.parametrize("unit,tokens", [("a-", 1), ("б.", 1), ("1.2.", 1), ("row\n", 250_000), ("Capital ", 125_000), (" \n", 0), ("1,", 500_000), ("Foo of ", 142_857 * 2)])
+def test_a_megabyte_of_one_unit(spark, unit, tokens):
+    """Repeated groups must neither recurse for each repetition nor take the square of a blank's length."""
+    text = unit * (MEGABYTE // len(unit))
+    rows = spark.createDataFrame([(text,)], "x string").coalesce(1)
+    began = time.time()
+    got = rows.select(F.size(txt.tokens(F.col("x"))).alias("t"), F.size(txt.split_paragraphs(F.col("x"))).alias("p"), F.size(txt.extract_claims(F.col("x"))).alias("c")).first()
+    assert got["t"] == tokens and got["p"] == (0 if not text.strip() else 1) and time.time() - began < 60
+
+
+def test_long_blanks_and_long_words_without_spaces(spark):
+    rows = spark.createDataFrame([("Foo" + " " * MEGABYTE + "x",), ("東-" * 20_000,)], "x string").coalesce(1)
+    began = time.time()
+    got = rows.select(F.size(txt.tokens(F.col("x"))).alias("t"), F.size(txt.split_paragraphs(F.col("x"))).alias("p"), txt.truncate(F.col("x"), 10).alias("s")).collect()
+    assert [(r["t"], r["p"]) for r in got] == [(2, 1), (79_999, 1)] and got[0]["s"] == "Foo…" and time.time() - began < 60
+
+
+def test_names_and_claims_equal_python(spark):
+    rng = random.Random(8)
+    parts = ["Foo", "Bar", "Ab", "of", "der", "de", "the", " ", "  ", "\n", "x", "9", "_", "Ünal", "Baz9", ".", '"Foo"', '"a b"', "FOO"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(2000)]
+    name = re.compile(r"(?<!\w)[A-Z][a-z]{2,}(?:\s+(?:of|de|van|der|the|and)?\s*[A-Z][a-z]{2,})*(?!\w)")
+    for text, got in zip(texts, of(spark, lambda c: F.regexp_extract_all(c, F.lit(txt.PROPER), F.lit(0)), *texts)):
+        assert got == [m[0] for m in name.finditer(text)], text
+    for text, got in zip(texts, of(spark, txt.extract_entities, *texts)):
+        found = [m[0].strip() for m in name.finditer(text)] + [m[1].strip() for m in re.finditer(r'"([^"]{2,80})"', text)]
+        want = {}
+        for x in found:
+            if len(x) > 2 and x.lower() not in txt.STOPWORDS:
+                want.setdefault(x.lower(), x)
+        assert got == list(want.values()), text
