@@ -163,9 +163,12 @@ def _bare(texts: pd.Series) -> pd.Series:
 
 
 def _safe_characters() -> str:
-    """Inside of a Java character class: Latin letters and signs that NFKC leaves alone and whose case folding is lower case, or ss for ß."""
+    """Inside of a Java character class: Latin letters and signs beyond ASCII that NFKC leaves alone and whose case folding is lower case, or ss for ß."""
     alone = [c for c in map(chr, range(0xA1, 0x250)) if unicodedata.normalize("NFKC", c) == c and ord(c) not in _FOLDS and (c.casefold() == c.lower() or c == "ß") and len(c.lower()) == 1]
-    return "\\x00-\\x7F" + "".join(f"\\u{ord(c):04X}" for c in alone)
+    # as ranges: Java tries the members of a class one after the other
+    first = [c for c in alone if chr(ord(c) - 1) not in alone]
+    last = [c for c in alone if chr(ord(c) + 1) not in alone]
+    return "".join(f"\\u{ord(a):04X}-\\u{ord(b):04X}" for a, b in zip(first, last))
 
 
 # Characters beyond Latin that normalize replaces itself, and by what; signs that stay.
@@ -173,7 +176,8 @@ _QUOTES, _DASHES, _BLANKS, _SIGNS = "\u2018\u2019\u201a\u201b", "\u2013\u2014\u2
 _DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
 _FOLDED = _QUOTES + _DOUBLE_QUOTES + _DASHES + _BLANKS
 _FOLDED_TO = "'" * 4 + '"' * 4 + "-" * 4 + " " * 3
-_SAFE = f"{_safe_characters()}{_FOLDED}{_SIGNS}\u2026"
+#: A character that normalize leaves to Python; ASCII is ruled out first, since most characters are.
+_UNSAFE = f"[[^\\x00-\\x7F]&&[^{_safe_characters()}{_FOLDED}{_SIGNS}\u2026]]"
 
 
 def normalize(text: Column, fold_case: bool = True) -> Column:
@@ -181,7 +185,7 @@ def normalize(text: Column, fold_case: bool = True) -> Column:
     plain = F.when(text.rlike(f"[{_FOLDED}\u2026]"), F.replace(F.translate(text, _FOLDED, _FOLDED_TO), F.lit("\u2026"), F.lit("..."))).otherwise(text)
     native = F.trim(F.regexp_replace(F.replace(plain, F.lit("`"), F.lit("'")), r"[\x09-\x0D\x1C-\x20]+", " "))
     native = F.replace(F.lower(native), F.lit("ß"), F.lit("ss")) if fold_case else native
-    other = F.when(text.rlike(f"[^{_SAFE}]"), text)
+    other = F.when(text.rlike(_UNSAFE), text)
     return F.coalesce((_fold_case if fold_case else _fold)(other), native)
 
 
