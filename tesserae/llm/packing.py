@@ -6,8 +6,8 @@ text goes to the shard of its rarest token; shards hold about SHARD_TOKENS, a
 token with more is split by a hash of the text, and the plan of shards, too, has
 the vocabulary's size.  Full windows of long texts are sequences of their own;
 only what is left over is shuffled.  A shard's task indexes its texts, takes the
-first unused one as seed, retrieves unused neighbours by BM25 over the seed's
-rarest tokens and appends them until the window is full; the last is cut, and
+first unused one as seed, retrieves unused neighbours by BM25 over all of the
+seed's tokens and appends them until the window is full; the last is cut, and
 its rest is the next seed.  So a shard pads one sequence at most.
 
 Nulls and odd cases: a null or empty text is its end id alone.  Each row is a
@@ -27,18 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.storage import documents, stored
-from tesserae.llm.wordhash import Places, parts, released
+from tesserae.llm.wordhash import Words, parts, released
 
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: BM25 parameters and how many of a seed's rarest tokens are looked up.
-K1, B, QUERY_TERMS = 1.2, 0.75, 8
+#: BM25 parameters.
+K1, B = 1.2, 0.75
 #: Ids fit into 16 bits; a larger vocabulary is refused.
 MOST_IDS = 1 << 16
 #: Text bytes tokenized at a time.
 TOKENIZED_BYTES = 4 << 20
-#: Distinct word pieces that a Python worker remembers at most, and as many words.
+#: Distinct word pieces that a Python worker remembers at most, and twice as many words.
 REMEMBERED = 500_000
 
 
@@ -58,10 +58,11 @@ _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 class TokenMemory:
     """Ids of texts, by distinct words: no token of this tokenizer spans white space.
 
-    Words are told apart by their bytes.  A simple word is lower-cased and split
-    into pieces, whose ids do not depend on each other; pieces are tokenized
-    once, many at a time, since the last token of each carries the end mark.
-    Any other word is tokenized whole.
+    Words are looked up by a 64-bit hash, and then compared byte by byte; where
+    two words share a hash, their texts are tokenized whole.  A simple word is
+    lower-cased and split into pieces, whose ids do not depend on each other;
+    pieces are tokenized once, many at a time, since the last token of each
+    carries the end mark.  Any other word is tokenized whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,8 +80,9 @@ class TokenMemory:
     def clear(self) -> None:
         self.pieces: dict[str, int] = {}
         self.piece_counts, self.piece_flat = np.empty(0, np.int64), np.empty(0, np.uint16)
-        # words, and where their ids stand
-        self.slots: dict[bytes, int] = {}
+        # words by hash, sorted, and their slots, by which their bytes and where their ids stand are known
+        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.letters, self.letter_starts = np.empty(0, np.uint8), np.zeros(1, np.int64)
         self.starts, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
 
     def _learn_pieces(self, pieces: list[str], words: list[str]) -> None:
@@ -100,7 +102,9 @@ class TokenMemory:
             self.pieces[x] = len(self.pieces)
         self.piece_counts, self.piece_flat = np.concatenate(counts), np.concatenate(flat)
 
-    def _learn(self, found: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(found), np.uint8)])
+        self.letter_starts = np.concatenate([self.letter_starts, self.letter_starts[-1] + np.cumsum([len(w) for w in found])])
         words = [w.decode() for w in found]
         # an unusual word is known under its own text with a space, which no piece has
         split = [_PIECES.findall(w.lower()) if _SIMPLE.fullmatch(w) else [w + " "] for w in words]
@@ -111,21 +115,44 @@ class TokenMemory:
         counts = self.piece_counts[part]
         ends = np.cumsum(counts)[np.cumsum([len(ps) for ps in split]) - 1]
         begins = np.concatenate([[0], ends[:-1]])
-        self.slots |= {w: len(self.starts) + k for k, w in enumerate(found)}
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.slot = np.insert(self.slot, place, np.arange(len(words)) + len(self.starts))
         self.starts = np.concatenate([self.starts, begins + len(self.flat)])
         self.counts = np.concatenate([self.counts, ends - begins])
         self.flat = np.concatenate([self.flat, self.piece_flat[_spread((np.cumsum(self.piece_counts) - self.piece_counts)[part], counts)]])
 
+    def _remembered(self, words: Words, own: np.ndarray, slots: np.ndarray) -> bool:
+        """Whether the given words have the bytes of the slots that their hashes led to."""
+        size = words.end[own] - words.start[own]
+        if (size != self.letter_starts[slots + 1] - self.letter_starts[slots]).any():
+            return False
+        return bool((words.data[_spread(words.start[own], size)] == self.letters[_spread(self.letter_starts[slots], size)]).all())
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids without the help of words."""
+        own = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.cumsum([0, *map(len, own)]), np.array([i for ids in own for i in ids], np.uint16)
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids) of texts without nulls, END_ID after each; starts has the end appended."""
-        if len(self.pieces) > REMEMBERED or len(self.slots) > REMEMBERED:
+        if len(self.pieces) > REMEMBERED or len(self.hashes) > 2 * REMEMBERED:
             self.clear()
-        words = Places(texts)
-        number, distinct = words.numbered()
-        distinct = distinct.to_pylist()
-        if new := [w for w in distinct if w not in self.slots]:
-            self._learn(new)
-        slot = np.array([self.slots[w] for w in distinct], np.int64)[number]
+        words = Words(texts)
+        distinct, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
+        known = self.slot[at[~new]]
+        if not (words.same(first[inverse]).all() and self._remembered(words, first[~new], known)):
+            return self._whole(texts)
+        if new.any():
+            data = words.data
+            fresh = first[new]
+            self._learn(distinct[new], [data[s:e].tobytes() for s, e in zip(words.start[fresh].tolist(), words.end[fresh].tolist())])
+            at = np.searchsorted(self.hashes, distinct)
+        slot = self.slot[at][inverse]
         # an end id after each text's last word
         ends = words.first + words.count
         counts = np.insert(self.counts[slot], ends, 1)
@@ -260,6 +287,7 @@ def _deal(frequency: np.ndarray, first: np.ndarray, split: np.ndarray, window: i
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0  # rows so far, which deal equal rows out; the stored table gives a task the same rows again
         for batch in batches:
             starts, ids = _ids_of(batch)
             route = _routes(starts, ids, frequency)
@@ -268,7 +296,8 @@ def _deal(frequency: np.ndarray, first: np.ndarray, split: np.ndarray, window: i
             for i, doc in enumerate(docs):
                 own = ids[starts[i] : starts[i + 1]]
                 r = int(route[i])
-                shard = int(first[r]) + (zlib.crc32(own.tobytes() + str(doc).encode()) % int(split[r]) if split[r] > 1 else 0)
+                shard = int(first[r]) + (zlib.crc32(own.tobytes() + f"{doc} {done}".encode()) % int(split[r]) if split[r] > 1 else 0)
+                done += 1
                 whole = len(own) // window * window
                 rows += [(shard, r, doc, s, window, crc32(own[s : s + window]), len(own), None) for s in range(0, whole, window)]
                 if whole < len(own):
@@ -301,26 +330,19 @@ class ShardIndex:
         order = np.argsort(token, kind="stable")
         self.text, self.weight = text[order], weight[order]
         self.bounds = np.searchsorted(token[order], np.arange(MOST_IDS + 1))
-        # the rarest tokens of each text; one that no other text of the shard has finds nothing
-        alone = np.diff(self.bounds)[token] < 2
-        rank = np.lexsort((token, frequency[token], alone, text))
-        begins = np.searchsorted(text[rank], np.arange(len(texts) + 1))
-        self.queries = [token[rank[a : min(a + QUERY_TERMS, b)]] for a, b in zip(begins, begins[1:])]
-        self.scores = np.zeros(len(texts))
+        # the tokens of each text; one that no other text of the shard has finds nothing
+        several = np.diff(self.bounds)[token] > 1
+        self.tokens, self.begins = token[several], np.searchsorted(text[several], np.arange(len(texts) + 1))
+        self.n = len(texts)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused texts that share one of the seed's query tokens, by falling score, equal ones in the shard's order."""
-        found = []
-        for token in self.queries[seed]:
-            lo, hi = self.bounds[token], self.bounds[token + 1]
-            self.scores[self.text[lo:hi]] += self.weight[lo:hi]
-            found.append(self.text[lo:hi])
-        some = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        scores = self.scores[some]
-        self.scores[some] = 0
-        open_ = ~used[some]
-        some, scores = some[open_], scores[open_]
-        return some[np.lexsort((some, -scores))]
+        """Unused texts that share a token with the seed, by falling score, equal ones in the shard's order."""
+        own = self.tokens[self.begins[seed] : self.begins[seed + 1]]
+        at = _spread(self.bounds[own], self.bounds[own + 1] - self.bounds[own])
+        scores = np.bincount(self.text[at], weights=self.weight[at], minlength=self.n)
+        scores[used] = 0
+        some = np.flatnonzero(scores)
+        return some[np.argsort(-scores[some], kind="stable")]
 
 
 def _pack_shard(shard: int, rows: list[tuple], frequency: np.ndarray, n_texts: int, mean_length: float, window: int) -> Iterator[tuple]:

@@ -215,6 +215,26 @@ class Words(Places):
         data = self.data[lo:hi]
         self.hashes.append(_hashed(_LOWER[data] if self.lower else data, starts - lo, ends - lo))
 
+    def same(self, other: np.ndarray) -> np.ndarray:
+        """Whether each word has the bytes of another one, given by number, whose hash it has.
+
+        The last lane of a word follows from its hash and the lanes before, as
+        mixing is a bijection; so only these and the size are compared.
+        """
+        size = self.end - self.start
+        out = size == size[other]
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        more, done = np.flatnonzero(out & (size > 8) & (size <= LANED)), 0
+        while len(more):
+            out[more] &= lanes[self.start[more] + done] == lanes[self.start[other[more]] + done]
+            done += 8
+            more = more[size[more] > done + 8]
+        for i in np.flatnonzero(out & (size > LANED)).tolist():
+            j = int(other[i])
+            out[i] = np.array_equal(self.data[self.start[i] : self.end[i]], self.data[self.start[j] : self.end[j]])
+        return out
+
     def runs(self, places: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         """Hashes of the runs of n words that begin at the given words (each within its row)."""
         if not len(places):
