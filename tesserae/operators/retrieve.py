@@ -12,13 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import dot
 from tesserae.functions.text import char_ngrams, normalize, stem
 from tesserae.operators import stats
+from tesserae.sources.tables import stored
 
 # Retrieval parameters.
 K1, B = 1.4, 0.72
@@ -46,20 +47,41 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def term_weight(tf: Column, dl: Column, avg_len: Column, k1: float = K1, b: float = B) -> Column:
+    """What a term that a chunk of dl terms has tf times adds to its score, before idf."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_len))
+
+
+#: Query terms up to so many are filtered within the tokens' arrays; with more, all tokens are joined with them.
+MOST_LITERALS = 10_000
+
+
+def wanted_tokens(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, dl, tokens) of all chunks, tokens being only those among terms (term); dl counts all."""
+    own = terms.select("term").distinct()
+    some = [r["term"] for r in own.limit(MOST_LITERALS + 1).collect()]
+    if len(some) <= MOST_LITERALS:
+        listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in some) or "null"
+        return chunks.select("chunk_id", F.size("tokens").alias("dl"), F.expr(f"filter(tokens, t -> t in ({listed}))").alias("tokens"))
+    each = chunks.select("chunk_id", F.explode("tokens").alias("term")).join(own, "term", "left_semi")
+    kept = each.groupBy("chunk_id").agg(F.collect_list("term").alias("kept"))
+    return chunks.select("chunk_id", F.size("tokens").alias("dl")).join(kept, "chunk_id", "left").select("chunk_id", "dl", F.coalesce("kept", F.expr("cast(array() as array<string>)")).alias("tokens"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, score, matched_terms) for chunks (chunk_id, tokens) and queries (query_id, tokens).
 
-    Postings of terms that no query has are dropped by the join before scores
-    are summed; document frequencies are those of all chunks.  A term counts
-    once, however often a query repeats it.
+    Chunks are read once: what is stored of them is their length and those of
+    their tokens that a query has.  Document frequencies are those of all
+    chunks.  A term counts once, however often a query repeats it.
     """
-    corpus = stats.corpus_stats(chunks)
-    wanted = query_terms(queries)
-    posts = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
-    # counted through tf, so that both uses read the same shuffled postings
-    df = posts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    wanted = stored(query_terms(queries), "asked")
+    slim = stored(wanted_tokens(chunks, wanted), "wanted-tokens")
+    corpus = slim.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total")).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len"))
+    posts = stored(slim.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     rows = posts.join(df, "term").crossJoin(F.broadcast(corpus)).join(wanted, "term")
-    weight = stats.idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
+    weight = stats.idf(F.col("df"), F.col("n_docs")) * term_weight(F.col("tf"), F.col("dl"), F.col("avg_len"), k1, b)
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
 
 

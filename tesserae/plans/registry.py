@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import similarity as sim
 from tesserae.functions import text as txt
-from tesserae.operators import answer, chunk, embed, guard, retrieve, stats, trace
+from tesserae.operators import answer, chunk, embed, guard, index, retrieve, stats, trace
 from tesserae.plans import sqltext as q
 from tesserae.sources import corpus
+from tesserae.sources.tables import table_path
 from tesserae.streaming import spans as spans_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,6 +372,36 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top_k(_bm25(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
 
 
+BEST = "SELECT query_id, chunk_id, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 5"
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> index.Search:
+    """A search in an index of all documents, written for it."""
+    path = table_path(spark, "index")
+    index.write_segment(as_chunks(spark, sf_dir), path)
+    return index.Search(index.Index.read(spark, path), benchmark_queries(spark, sf_dir))
+
+
+@query(f"WITH {BM25}, s AS ({BEST}) SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s")
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of bm25_topk from a stored index, whose blocks are read only where they can matter."""
+    return _pruned(spark, sf_dir).hits.select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {BM25}, h AS ({BEST}), ps AS (SELECT doc_id, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM d),
+o AS (SELECT h.query_id, h.chunk_id, ps.term, ps.pos FROM h JOIN ps ON ps.doc_id = h.chunk_id JOIN bq ON bq.query_id = h.query_id AND bq.term = ps.term),
+e AS (SELECT r.query_id, r.chunk_id, r.pos AS stop, o.term, max(o.pos) AS last FROM o r JOIN o ON o.query_id = r.query_id AND o.chunk_id = r.chunk_id AND o.pos <= r.pos GROUP BY 1, 2, 3, 4),
+w AS (SELECT query_id, chunk_id, stop, min(last) AS start, count(*) AS n FROM e GROUP BY 1, 2, 3), m AS (SELECT query_id, chunk_id, count(DISTINCT term) AS n_terms FROM o GROUP BY 1, 2),
+i AS (SELECT query_id, term, coalesce({q.idf('df', 'cs.n')}, 0) AS idf FROM bq JOIN ts USING (term), cs), tot AS (SELECT query_id, sum(idf) AS total FROM i GROUP BY 1),
+cov AS (SELECT query_id, chunk_id, sum(idf) AS covered FROM (SELECT DISTINCT query_id, chunk_id, term FROM o) JOIN i USING (query_id, term) GROUP BY 1, 2)
+SELECT query_id, chunk_id, CAST(n_terms AS INTEGER) AS n_terms, CAST(stop - start + 1 AS INTEGER) AS width, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop,
+round(0.5 * covered / total + 0.5 * n_terms / (stop - start + 1), 6) AS rerank FROM w JOIN m USING (query_id, chunk_id) JOIN cov USING (query_id, chunk_id) JOIN tot USING (query_id) WHERE n = n_terms
+QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY stop - start, stop) = 1""")
+def proximity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of bm25_pruned with the smallest window that has all of the query's terms that they have."""
+    return _pruned(spark, sf_dir).reranked().select("query_id", "chunk_id", "n_terms", "width", "start", "stop", F.round("rerank", 6).alias("rerank"))
+
+
 @query(f"""WITH {BM25}, s AS (SELECT query_id, chunk_id, round(score, 6) AS score, matched FROM sc),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS r2 FROM s),
 f AS (SELECT query_id, chunk_id, round(CASE WHEN r1 <= 120 THEN 1.0 / (60 + r1) ELSE 0 END + CASE WHEN r2 <= 120 THEN 1.0 / (60 + r2) ELSE 0 END, 9) AS fusion FROM r WHERE r1 <= 120 OR r2 <= 120)
