@@ -68,8 +68,8 @@ def wanted_tokens(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size("tokens").alias("dl")).join(kept, "chunk_id", "left").select("chunk_id", "dl", F.coalesce("kept", F.expr("cast(array() as array<string>)")).alias("tokens"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score, matched_terms) for chunks (chunk_id, tokens) and queries (query_id, tokens).
+def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, terms: bool = True) -> DataFrame:
+    """(query_id, chunk_id, score, matched, matched_terms) for chunks (chunk_id, tokens) and queries (query_id, tokens); terms=False leaves the last out.
 
     Chunks are read once: what is stored of them is their length and those of
     their tokens that a query has.  Document frequencies are those of all
@@ -82,7 +82,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     rows = posts.join(df, "term").crossJoin(F.broadcast(corpus)).join(wanted, "term")
     weight = stats.idf(F.col("df"), F.col("n_docs")) * term_weight(F.col("tf"), F.col("dl"), F.col("avg_len"), k1, b)
-    return rows.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
+    listed = [F.sort_array(F.collect_set("term")).alias("matched_terms")] if terms else []
+    return rows.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"), F.count("*").cast("int").alias("matched"), *listed)
 
 
 def ranked(hits: DataFrame, by: str = "score", name: str = "rank") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import stem
+from tesserae.sources.tables import stored
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -79,8 +80,12 @@ def cooccurrence(docs: DataFrame, vocab: DataFrame | None = None, window: int =
 
 
 def ppmi(cooc: DataFrame, max_contexts: int = 64, alpha: float = 0.75) -> DataFrame:
-    """(term, ctx, w, rk): positive PMI with a smoothed context distribution, the strongest contexts of each term; ties by context."""
-    marginal = cooc.groupBy(F.col("a").alias("term")).agg(F.sum("weight").alias("m"))
+    """(term, ctx, w, rk): positive PMI with a smoothed context distribution, the strongest contexts of each term; ties by context.
+
+    The weights are stored, since the marginals and the totals are sums of them.
+    """
+    cooc = stored(cooc, "cooccurrence")
+    marginal = stored(cooc.groupBy(F.col("a").alias("term")).agg(F.sum("weight").alias("m")), "marginals")
     totals = marginal.agg(F.sum("m").alias("total"), F.sum(F.pow("m", F.lit(alpha))).alias("smooth"))
     rows = cooc.join(marginal.select(F.col("term").alias("a"), F.col("m").alias("ma")), "a").join(marginal.select(F.col("term").alias("b"), F.col("m").alias("mb")), "b").crossJoin(F.broadcast(totals))
     p_ab, p_a, p_b = F.col("weight") / F.col("total"), F.col("ma") / F.col("total"), F.pow("mb", F.lit(alpha)) / F.col("smooth")

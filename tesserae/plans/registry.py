@@ -17,7 +17,7 @@ from tesserae.functions import text as txt
 from tesserae.operators import answer, chunk, embed, guard, index, retrieve, stats, trace
 from tesserae.plans import sqltext as q
 from tesserae.sources import corpus
-from tesserae.sources.tables import table_path
+from tesserae.sources.tables import stored, table_path
 from tesserae.streaming import spans as spans_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tokenized(spark, sf_dir)
+    docs = stored(tokenized(spark, sf_dir), "tokens")
     return stats.with_idf(stats.term_stats(docs), stats.corpus_stats(docs))
 
 
@@ -214,8 +214,8 @@ co AS (SELECT a, b, sum(w)::DOUBLE AS weight FROM (SELECT a, b, w::DOUBLE AS w F
 
 
 def _cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tokenized(spark, sf_dir)
-    return stats.cooccurrence(docs, stats.vocabulary(stats.term_stats(docs)))
+    docs = stored(tokenized(spark, sf_dir), "tokens")
+    return stats.cooccurrence(docs, stats.vocabulary(stored(stats.term_stats(docs), "terms")))
 
 
 @query(f"WITH {CO} SELECT a AS term, count(*) AS n_contexts, round(sum(weight), 4) AS weight FROM co GROUP BY a")
@@ -364,7 +364,7 @@ sc AS (SELECT query_id, doc_id AS chunk_id, sum({q.idf('df', 'cs.n')} * po.tf *
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     # ties are broken on rounded scores, which both engines share
-    return retrieve.bm25(as_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return retrieve.bm25(as_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), terms=False).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {BM25}, s AS (SELECT query_id, chunk_id, round(score, 6) AS score FROM sc) SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
@@ -408,8 +408,7 @@ f AS (SELECT query_id, chunk_id, round(CASE WHEN r1 <= 120 THEN 1.0 / (60 + r1)
 SELECT query_id, chunk_id, fusion, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 5""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and the number of matched terms, each cut to its candidates, fused."""
-    hits = _bm25(spark, sf_dir).withColumn("matched", F.size("matched_terms"))
-    fused = retrieve.fused(hits, ("score", "matched"))
+    fused = retrieve.fused(_bm25(spark, sf_dir), ("score", "matched"))
     return retrieve.top_k(fused.withColumn("fusion", F.round("fusion", 9)), by="fusion").select("query_id", "chunk_id", "fusion", "rank")
 
 
@@ -436,7 +435,7 @@ b AS (SELECT query_id, chunk_id, round(0.42 * CASE WHEN hi > lo THEN (score - lo
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 5""")
 def linear_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 as the lexical and the number of matched terms as the rerank column."""
-    hits = _bm25(spark, sf_dir).select("query_id", "chunk_id", F.col("score").alias("lexical"), F.size("matched_terms").cast("double").alias("rerank"))
+    hits = _bm25(spark, sf_dir).select("query_id", "chunk_id", F.col("score").alias("lexical"), F.col("matched").cast("double").alias("rerank"))
     mixed = retrieve.blend(hits, {"lexical": retrieve.BLEND["lexical"], "rerank": retrieve.BLEND["rerank"]})
     return retrieve.top_k(mixed.withColumn("score", F.round("score", 6))).select("query_id", "chunk_id", "score", "rank")
 
