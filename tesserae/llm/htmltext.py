@@ -60,16 +60,25 @@ BLOCK_TYPE = pa.list_(pa.struct([("text", pa.string()), *((f, pa.float64()) for
 BLOCK_SQL = f"array<struct<text:string,{','.join(f'{f}:double' for f in FIELDS[1:])}>>"
 
 
-def _tag_end(page: str, at: int, last: int) -> int:
-    """Where a tag ends whose name ends at at: after the first '>' outside quoted values, or after the first at all; last is the page's last '>'."""
-    k = at
+def _tag_end(page: str, at: int, last: int, dead: set[int]) -> int:
+    """Where a tag ends whose name ends at at: after the first '>' outside quoted values, or after the first at all; last is the page's last '>'.
+
+    dead has the beginnings of quoted values from which no such '>' is reached.
+    Each leads to one next value only, so none is followed twice, and a page
+    full of stray quotes is read in linear time.
+    """
+    k, seen = at, []
     while k <= last:
         m = _IN_TAG.search(page, k)
         if m[1] is None:
             return m.end()
+        if m.end() in dead:
+            break
+        seen.append(m.end())
         k = page.find(m[1], m.end()) + 1
         if not k:
             break
+    dead.update(seen)
     return page.find(">", at) + 1
 
 
@@ -87,7 +96,7 @@ class _Reader:
         self.pieces: list[str] = []
         self.linked, self.link_depth, self.heading, self.field = 0, -1, False, ""
         self.blocks: list[list] = []
-        self.containers, self.absent = 1, set()
+        self.containers, self.absent, self.dead = 1, set(), set()
 
     def text(self, raw: str) -> None:
         if raw and not self.field:
@@ -167,7 +176,7 @@ class _Reader:
                 at = page.find("-->", lt + 2) + 3
                 at = at if at > 2 else size
             elif m or page[lt + 1 : lt + 2] in ("!", "?", "/"):
-                end = _tag_end(page, m.end(), last) if m else page.find(">", lt) + 1 if lt < last else 0
+                end = _tag_end(page, m.end(), last, self.dead) if m else page.find(">", lt) + 1 if lt < last else 0
                 at = end or size
                 if m and end:
                     name, closing = m[2].lower(), bool(m[1])

@@ -338,3 +338,24 @@ def test_addresses_keep_subtrees_together():
     leaves = np.frombuffer(bytes(range(5 * 32)), np.uint8).reshape(5, 32)
     nodes = merkle.build_block(leaves, 3)
     assert nodes[0].tobytes().hex() == tree_of([x.tobytes().hex() for x in leaves])[0]
+
+
+# --- pages that are hostile to parsers -------------------------------------------------------------------------------
+
+
+def test_stray_quotes_are_read_in_linear_time():
+    import itertools
+    import time
+
+    from tesserae.llm.htmltext import flat_blocks
+
+    pieces = ['<b ="', ">", '="', "'", '"', "<b ='", ' =">', "<p>", '<a href="x']
+    began = time.process_time()
+    for n in (2, 3):
+        for mix in itertools.product(pieces, repeat=n):
+            unit = "".join(mix)
+            flat_blocks(unit * (20_000 // len(unit)))
+    flat_blocks('<b ="> =" ' * 100_000)
+    assert time.process_time() - began < 60
+    # what is outside quotes ends a tag; where no such end exists, the first one does
+    assert [b["text"] for b in flat_blocks('<p class="a>b">x</p><i title=">y')] == ["x", "y"]
