@@ -18,14 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as txt
-from tesserae.functions.similarity import jaccard
+from tesserae.functions.similarity import dot, jaccard, l2_normalize
 from tesserae.sources.tables import stored
 
 # Chunk sizes in tokens.
 FIXED_SIZE, FIXED_OVERLAP = 90, 22
 RECURSIVE_MAX, RECURSIVE_MIN, RECURSIVE_OVERLAP = 120, 24, 16
 WINDOW_SIDE, WINDOW_MIN = 2, 4
-SEMANTIC_BREAK, SEMANTIC_MIN, SEMANTIC_MAX = 0.62, 30, 170
+SEMANTIC_BREAK, SEMANTIC_MIN, SEMANTIC_MAX, SEMANTIC_BUFFER = 0.62, 30, 170, 1
 PROPOSITION_MIN, PROPOSITION_MAX = 5, 48
 CHILD, PARENT = 55, 220
 LEAST, MOST = 4, 320
@@ -160,10 +160,11 @@ def semantic(passages: DataFrame, break_below: float = SEMANTIC_BREAK, least: in
     start = F.expr("named_struct('out', cast(array() as array<string>), 'text', '', 'n', 0)")
 
     def step(a: Column, s: Column) -> Column:
-        new = (a["n"] == 0) | closed(a, s)
+        # a chunk that has no token yet takes whatever follows, so no text is lost
+        new = (a["n"] > 0) & closed(a, s)
         return F.struct(
-            F.when(new & (a["n"] > 0), F.concat(a["out"], F.array(a["text"]))).otherwise(a["out"]).alias("out"),
-            F.when(new, s["text"]).otherwise(F.concat(a["text"], F.lit(" "), s["text"])).alias("text"),
+            F.when(new, F.concat(a["out"], F.array(a["text"]))).otherwise(a["out"]).alias("out"),
+            F.when(new | (a["text"] == ""), s["text"]).otherwise(F.concat(a["text"], F.lit(" "), s["text"])).alias("text"),
             F.when(new, s["token_count"]).otherwise(a["n"] + s["token_count"]).alias("n"),
         )
 
@@ -171,6 +172,95 @@ def semantic(passages: DataFrame, break_below: float = SEMANTIC_BREAK, least: in
     return _finished(seq.select("doc_id", F.posexplode(cut).alias("ordinal", "text")), "semantic")
 
 
+def units(passages: DataFrame, most: int) -> DataFrame:
+    """(doc_id, ordinal, text, token_count): sentences, those of more than most tokens cut between words; all tokens are in one."""
+    kind = dict(passages.dtypes)["doc_id"]
+
+    def of(text: str) -> Iterator[tuple[str, int]]:
+        for lo, hi in txt.sentence_spans(text, min_chars=1):
+            n = txt.token_count(text[lo:hi])
+            yield from ((p, txt.token_count(p)) for p in _evenly(text[lo:hi], most)) if n > most else [(text[lo:hi], n)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                out = [(d, k, u, n) for d, t in zip(part["doc_id"], part["text"]) for k, (u, n) in enumerate(of(t or ""))]
+                yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text", "token_count"]).astype({"ordinal": "int32", "token_count": "int32"})
+
+    return passages.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ordinal int, text string, token_count int")
+
+
+class Drifting:
+    """Units in order become chunks of most tokens at most; once a chunk has least tokens, one whose similarity with the unit before is below break_below begins the next.
+
+    Only the chunk that is open is held.  Units without tokens never begin a chunk, so that no text is lost.
+    """
+
+    def __init__(self, break_below: float, least: int, most: int) -> None:
+        self.break_below, self.least, self.most = break_below, least, most
+        self.texts: list[str] = []
+        self.n = 0
+
+    def add(self, text: str, n: int, near: float | None) -> str | None:
+        """Takes a unit in; returns the chunk that it closes."""
+        done = None
+        if n and self.n and (self.n + n > self.most or (self.n >= self.least and (near or 0.0) < self.break_below)):
+            done = self.end()
+        self.texts.append(text)
+        self.n += n
+        return done
+
+    def end(self) -> str | None:
+        done = " ".join(self.texts) if self.texts else None
+        self.texts, self.n = [], 0
+        return done
+
+
+def with_nearness(rows: DataFrame, encode: Callable[[DataFrame], DataFrame], buffer: int = SEMANTIC_BUFFER) -> DataFrame:
+    """units with near: the cosine of the vectors of a unit and of the one before, each taken together with buffer units on either side; null for the first.
+
+    encode makes (doc_id, vector) of (doc_id, tokens); here each unit is a document of its own.
+    """
+    order = W.partitionBy("doc_id").orderBy("ordinal")
+    keyed = rows.withColumn("key", F.concat_ws("#", "doc_id", "ordinal")).withColumn("tokens", txt.content_tokens(F.col("text")))
+    own = stored(keyed.select("key", F.flatten(F.collect_list("tokens").over(order.rowsBetween(-buffer, buffer))).alias("tokens")), "buffers")
+    vectors = encode(own.withColumnRenamed("key", "doc_id")).select(F.col("doc_id").alias("key"), l2_normalize(F.col("vector")).alias("vector"))
+    placed = stored(keyed.drop("tokens").join(vectors, "key").drop("key"), "unit-vectors")
+    before = F.lag("vector").over(order)
+    return placed.withColumn("near", F.when(before.isNotNull(), dot(F.col("vector"), before))).drop("vector")
+
+
+def drift(passages: DataFrame, encode: Callable[[DataFrame], DataFrame], break_below: float = SEMANTIC_BREAK, least: int = SEMANTIC_MIN, most: int = SEMANTIC_MAX, buffer: int = SEMANTIC_BUFFER) -> DataFrame:
+    """Chunks that end where the vectors of neighbouring sentences drift apart.
+
+    Sentences of more than most tokens are cut, and every token of a passage is in
+    one chunk.  The rows of a document are read in order and never gathered: a
+    task holds the open chunk only.
+    """
+    kind = dict(passages.dtypes)["doc_id"]
+    rows = with_nearness(stored(units(passages, most), "units"), encode, buffer)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, k, own = None, 0, Drifting(break_below, least, most)
+        for batch in batches:
+            out = []
+            for d, text, n, near in zip(batch["doc_id"].tolist(), batch["text"], batch["token_count"].tolist(), batch["near"].tolist()):
+                if d != doc:
+                    if (done := own.end()) is not None:
+                        out.append((doc, k, done))
+                    doc, k = d, 0
+                if (done := own.add(text, n, None if near != near else near)) is not None:
+                    out.append((doc, k, done))
+                    k += 1
+            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text"]).astype({"ordinal": "int32"})
+        if (done := own.end()) is not None:
+            yield pd.DataFrame([(doc, k, done)], columns=["doc_id", "ordinal", "text"]).astype({"ordinal": "int32"})
+
+    sorted_ = rows.repartition("doc_id").sortWithinPartitions("doc_id", "ordinal").select("doc_id", "text", "token_count", "near")
+    return _finished(sorted_.mapInPandas(run, f"doc_id {kind}, ordinal int, text string"), "drift")
+
+
 CLAUSE_END = re.compile(r"[;:]\s+|,\s+(?=(?:and|but|or|which|who|because|while)\s)", re.ASCII)
 
 

@@ -513,13 +513,19 @@ sn AS (SELECT doc_id, ordinal, token_count AS t, coalesce(CASE WHEN len(st) * le
 walk(doc_id, ordinal, n, chunk) AS (SELECT doc_id, ordinal, t, 0 FROM sn WHERE ordinal = 0 UNION ALL
   SELECT sn.doc_id, sn.ordinal, CASE WHEN w.n = 0 OR w.n + t > 170 OR (w.n >= 30 AND near < 0.62) THEN t ELSE w.n + t END, w.chunk + CASE WHEN w.n > 0 AND (w.n + t > 170 OR (w.n >= 30 AND near < 0.62)) THEN 1 ELSE 0 END
   FROM walk w JOIN sn ON sn.doc_id = w.doc_id AND sn.ordinal = w.ordinal + 1),
--- sentences without tokens before the first with some are given up, as their text does not open a chunk
-kept AS (SELECT w.*, sentence FROM walk w JOIN sc USING (doc_id, ordinal) QUALIFY max(n) OVER (PARTITION BY doc_id ORDER BY ordinal) > 0 OR NOT max(n) OVER (PARTITION BY doc_id) > 0)
+kept AS (SELECT w.*, sentence FROM walk w JOIN sc USING (doc_id, ordinal))
 SELECT doc_id || '-semantic-0-' || chunk AS chunk_id, doc_id, md5(string_agg(sentence, ' ' ORDER BY ordinal)) AS text FROM kept GROUP BY doc_id, chunk""")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.semantic(documents(spark, sf_dir)).select("chunk_id", "doc_id", F.md5("text").alias("text"))
 
 
+@query()
+def chunk_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic chunks by the vectors of the model that is fitted on the same documents."""
+    model = embed.fit_ppmi(stored(tokenized(spark, sf_dir), "tokens"))
+    return chunk.drift(documents(spark, sf_dir), model.encode).select("chunk_id", "doc_id", "ordinal", "text", "token_count")
+
+
 @query(f"""WITH t AS (SELECT doc_id, source, lang, {q.tokens('text')} AS ts FROM documents), c AS (SELECT doc_id, source, lang, k, ts[k*68+1:k*68+90] AS s FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((len(ts) - 90) / 68.0) AS INTEGER), 0) + 1)) AS k FROM t WHERE len(ts) > 0))
 SELECT doc_id || '-metadata_aware-0-' || k AS chunk_id, doc_id, md5(concat_ws(' | ', nullif(source, ''), nullif(lang, '')) || ': ' || array_to_string(s, ' ')) AS text, CAST(len(s) AS INTEGER) AS token_count FROM c""")
 def chunk_metadata_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
