@@ -75,7 +75,7 @@ def write_segment(chunks: DataFrame, path: str, segment: int = 0, block: int = B
     rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(postings)
     written = chunks.sparkSession.read.schema("term string, chunks long").parquet(postings)
     written.groupBy("term").agg(F.sum("chunks").alias("df")).write.mode("overwrite").parquet(f"{path}/terms/segment={segment}")
-    own.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_terms")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/segment={segment}")
+    own.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_terms"), F.lit(dict(own.dtypes)["chunk_id"]).alias("id_type")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/segment={segment}")
 
 
 @dataclass
@@ -91,9 +91,11 @@ class Index:
     def read(spark: SparkSession, path: str) -> Index:
         corpus = spark.read.parquet(f"{path}/corpus")
         done = [r["segment"] for r in corpus.select("segment").distinct().collect()]
-        row = corpus.agg(F.sum("n_docs").alias("n"), F.sum("total_terms").alias("total")).first()
-        whole = lambda name: spark.read.parquet(f"{path}/{name}").filter(F.col("segment").isin(done))
-        return Index(whole("postings"), whole("terms").groupBy("term").agg(F.sum("df").alias("df")), row["n"], row["total"] / row["n"] if row["n"] else 0.0)
+        row = corpus.agg(F.sum("n_docs").alias("n"), F.sum("total_terms").alias("total"), F.first("id_type").alias("id_type")).first()
+        # schemas are given, as a segment of empty chunks has no files
+        whole = lambda name, schema: spark.read.schema(f"{schema}, segment int").parquet(f"{path}/{name}").filter(F.col("segment").isin(done))
+        postings = whole("postings", f"term string, block long, chunks long, most int, shortest int, occurrences array<struct<chunk_id:{row['id_type']},dl:int,pos:int>>, bucket int")
+        return Index(postings, whole("terms", "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), row["n"], row["total"] / row["n"] if row["n"] else 0.0)
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """(query_id, bucket, term, idf) of those terms of queries (query_id, tokens) that the index has."""
