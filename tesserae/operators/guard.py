@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tesserae.functions.similarity import action_rank, overlap_coefficient
 LENGTH = (2, 600)
 UNSAFE, INJECTION, COVERAGE, GROUNDING, ENTITY_SUPPORT, CONFIDENCE = 0.5, 0.5, 0.34, 0.52, 0.72, 0.30
 
-#: Own lexicons: each phrase adds its weight.
+#: Own lexicons, which callers may replace by larger ones: each phrase that a text has as whole words adds its weight.
 UNSAFE_PHRASES = {"build a bomb": 1.0, "make a weapon": 0.8, "kill someone": 1.0, "steal a password": 0.8, "hurt myself": 1.0}
 INJECTION_PHRASES = {"ignore previous instructions": 1.0, "ignore all instructions": 1.0, "system prompt": 0.6, "you are now": 0.4, "developer mode": 0.6}
 #: Own patterns of personal data.
@@ -42,19 +43,72 @@ def length(requests: DataFrame) -> DataFrame:
     return check(requests, "length", n, LENGTH[1], n.between(*LENGTH), "clarify", "input")
 
 
-def _lexicon(text: Column, phrases: dict[str, float]) -> Column:
-    folded = txt.normalize(text)
-    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, [F.when(F.contains(folded, F.lit(p)), w).otherwise(0.0) for p, w in phrases.items()]))
+class Automaton:
+    """An Aho-Corasick automaton over weighted phrases: all that a text has as whole words are found in one pass over it."""
 
+    def __init__(self, phrases: dict[str, float]) -> None:
+        import ahocorasick
 
-def unsafe(requests: DataFrame) -> DataFrame:
-    score = F.coalesce(_lexicon(F.col("text"), UNSAFE_PHRASES), F.lit(0.0))
-    return check(requests, "unsafe", score, UNSAFE, score < UNSAFE, "refuse", "input")
+        self.weights = [float(w) for w in phrases.values()]
+        self.sizes = [len(p) for p in phrases]
+        self.machine = ahocorasick.Automaton()
+        for k, p in enumerate(phrases):
+            if p:
+                self.machine.add_word(p, k)
+        self.machine.make_automaton()
 
+    def score(self, text: str) -> float:
+        """The weights of the phrases that text has, each once, at most 1."""
+        found = set()
+        for end, k in self.machine.iter(text) if len(self.machine) else ():
+            if k not in found and not (_in_word(text, end - self.sizes[k], end - self.sizes[k] + 1) or _in_word(text, end, end + 1)):
+                found.add(k)
+        return min(1.0, sum(self.weights[k] for k in sorted(found)))
 
-def injection(requests: DataFrame) -> DataFrame:
-    score = F.coalesce(_lexicon(F.col("text"), INJECTION_PHRASES), F.lit(0.0))
-    return check(requests, "injection", score, INJECTION, score < INJECTION, "refuse", "input")
+
+def _in_word(text: str, a: int, b: int) -> bool:
+    """Whether places a and b = a + 1 are both in the text and of one word."""
+    return a >= 0 and b < len(text) and (text[a].isalnum() or text[a] == "_") and (text[b].isalnum() or text[b] == "_")
+
+
+#: Automata of this process by their phrases; a worker builds one for each lexicon that it meets.
+_automata: dict[tuple, Automaton] = {}
+
+
+def automaton(phrases: dict[str, float]) -> Automaton:
+    key = tuple(phrases.items())
+    if key not in _automata:
+        _automata[key] = Automaton(phrases)
+    return _automata[key]
+
+
+def lexicon_scores(text: Column, phrases: dict[str, float]) -> Column:
+    """The score of a text by a lexicon, whose phrases are normalized; null text has 0.
+
+    The lexicon goes with the task, as any setting does; a few megabytes are tens of
+    thousands of phrases.
+    """
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        machine = automaton(phrases)
+        return texts.map(lambda t: machine.score(t) if t else 0.0)
+
+    return scored(txt.normalize(text))
+
+
+def lexicon_check(requests: DataFrame, name: str, phrases: dict[str, float], threshold: float, action: str = "refuse") -> DataFrame:
+    """The check that a request's score by a lexicon is below a threshold."""
+    scored = requests.withColumn("_score", lexicon_scores(F.col("text"), phrases))
+    return check(scored, name, F.col("_score"), threshold, F.col("_score") < threshold, action, "input")
+
+
+def unsafe(requests: DataFrame, phrases: dict[str, float] | None = None) -> DataFrame:
+    return lexicon_check(requests, "unsafe", UNSAFE_PHRASES if phrases is None else phrases, UNSAFE)
+
+
+def injection(requests: DataFrame, phrases: dict[str, float] | None = None) -> DataFrame:
+    return lexicon_check(requests, "injection", INJECTION_PHRASES if phrases is None else phrases, INJECTION)
 
 
 def redact_pii(text: Column) -> Column:

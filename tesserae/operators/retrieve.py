@@ -243,22 +243,43 @@ def expand_with_neighbours(queries: DataFrame, terms: DataFrame, neighbours: Dat
     return once.withColumn("_n", place).filter(F.col("_n") <= most).select("query_id", "term", "expansion")
 
 
-def repair_terms(queries: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
-    """(query_id, term, repair): for query terms outside the corpus the nearest corpus term within most edits that shares a 3-gram; ties by df, then term.  Own definition.
+#: Characters from which deletions are taken; edits beyond them change a word's beginning by as many deletions at most.
+DELETED_FROM = 12
+
+
+def deletions(term: Column, most: int = 2, size: int = DELETED_FROM) -> Column:
+    """array<string>: the first size characters of a term with up to most of them deleted, each string once."""
+    head = F.substring(term, 1, size)
+    level = out = F.array(head)
+    for _ in range(most):
+        shorter = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.when(F.length(s) > 0, shorter(s)).otherwise(F.expr("cast(array() as array<string>)")))))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def within_edits(asked: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
+    """(term, other, d): all pairs of asked (term) and known (other) at an edit distance d of most at most.
 
-    Terms meet by 3-gram and by length, which most edits change by most.  An
-    edit takes three 3-grams away at most, so pairs that share fewer than the
-    rest are dropped before distances are measured.
+    What two such words keep of their beginnings after most deletions each has a string
+    in common, so both are indexed by their deletions; short words, too, meet.  The
+    length is part of the key, which splits strings that many words share.  An index
+    entry is a string and a word, so memory follows neither a word's length nor the number of
+    its neighbours; pairs are measured once they are distinct.
     """
-    own = query_terms(queries).join(terms.select("term"), "term", "left_anti").select("query_id", "term")
-    grams = lambda c: F.array_distinct(char_ngrams(F.col(c), 3, 3))
     size = F.length("term")
-    asked = own.select("term").distinct().select("term", F.size(grams("term")).alias("n"), F.explode(F.sequence(size - most, size + most)).alias("size"), grams("term").alias("gs")).select("term", "n", "size", F.explode("gs").alias("gram"))
-    known = terms.select(F.col("term").alias("other"), "df", size.alias("size"), F.explode(grams("term")).alias("gram"))
-    near = asked.join(known, ["gram", "size"]).groupBy("term", "other", "df", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= F.col("n") - 3 * most)
-    near = near.withColumn("d", F.levenshtein("term", "other")).filter(F.col("d") <= most)
-    best = near.withColumn("_n", F.row_number().over(W.partitionBy("term").orderBy("d", F.desc("df"), "other"))).filter("_n = 1")
-    return own.join(best.select("term", F.col("other").alias("repair")), "term")
+    left = asked.select("term").distinct().select("term", F.explode(F.sequence(size - most, size + most)).alias("size"), deletions(F.col("term"), most).alias("ds")).select("term", "size", F.explode("ds").alias("deleted"))
+    right = known.select("other", F.length("other").alias("size"), F.explode(deletions(F.col("other"), most)).alias("deleted"))
+    pairs = left.join(right, ["deleted", "size"]).select("term", "other").distinct()
+    return pairs.withColumn("d", F.levenshtein("term", "other", most)).filter("d >= 0")
+
+
+def repair_terms(queries: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
+    """(query_id, term, repair): for query terms outside the corpus the nearest corpus term within most edits; ties by df, then term.  Own definition."""
+    own = query_terms(queries).join(terms.select("term"), "term", "left_anti").select("query_id", "term")
+    near = within_edits(own, terms.select(F.col("term").alias("other")), most).join(terms.select(F.col("term").alias("other"), "df"), "other")
+    best = near.groupBy("term").agg(F.min_by("other", F.struct("d", -F.col("df"), "other")).alias("repair"))
+    return own.join(best, "term").select("query_id", "term", "repair")
 
 
 def parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:

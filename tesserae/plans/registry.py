@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import similarity as sim
 from tesserae.functions import text as txt
-from tesserae.operators import answer, chunk, embed, guard, index, retrieve, stats, trace
+from tesserae.operators import answer, chunk, embed, guard, index, retrieve, stats, trace, vector_store
 from tesserae.plans import sqltext as q
 from tesserae.sources import corpus
 from tesserae.sources.tables import stored, table_path
@@ -283,6 +283,17 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.ivf_search(*_vectors(spark, sf_dir), least=1).withColumn("score", F.round("score", 5))
 
 
+@query(TOP_VECTORS)
+def stored_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of cosine_topk from a store of two segments, the second of which was appended to the first's clusters."""
+    vectors, queries = _vectors(spark, sf_dir)
+    path, odd = table_path(spark, "vectors"), F.pmod(F.xxhash64("chunk_id"), F.lit(4)) == 0
+    vector_store.create(vectors.filter(~odd), path)
+    vector_store.append(vectors.filter(odd), path, 1)
+    hits = vector_store.VectorSearch(spark, path, queries).hits
+    return hits.select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 def _mmr_sql(rounds: int) -> str:
     """Greedy choice, one CTE for each round: the candidates' largest similarity to what is chosen, and the best of the rest."""
     value = f"round({retrieve.MMR_LAMBDA} * score - {1 - retrieve.MMR_LAMBDA:.2f} * coalesce(most, 0), 9)"
@@ -447,7 +458,15 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.expand_terms(benchmark_queries(spark, sf_dir), stats.term_stats(tokenized(spark, sf_dir)))
 
 
-@query()
+def _letters(c: str) -> str:
+    """A token with each accented letter as one sign that tokens lack: the other side counts edits of bytes."""
+    return f"translate({c}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*')"
+
+
+@query(f"""WITH {TERMS}, rq AS (SELECT DISTINCT conv_id || '-' || turn AS query_id, unnest({q.content('text')}) AS term FROM conversations WHERE role = 'user'),
+lost AS (SELECT * FROM rq ANTI JOIN ts USING (term)), x AS (SELECT DISTINCT term, {_letters('term')} AS k FROM lost), y AS (SELECT term, df, {_letters('term')} AS k FROM ts),
+near AS (SELECT x.term, y.term AS repair, levenshtein(x.k, y.k) AS e, df FROM x JOIN y ON abs(length(y.k) - length(x.k)) <= 2),
+best AS (SELECT term, repair FROM near WHERE e <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY e, df DESC, repair) = 1) SELECT query_id, term, repair FROM lost JOIN best USING (term)""")
 def asr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of user turns that the documents lack, with the nearest one that they have."""
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), txt.content_tokens(F.col("text")).alias("tokens"))
@@ -630,7 +649,8 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon_sql(phrases: dict[str, float]) -> str:
-    return "least(1.0, " + " + ".join(f"CASE WHEN contains({q.norm('text')}, '{p}') THEN {w} ELSE 0 END" for p, w in phrases.items()) + ")"
+    found = lambda p: f"regexp_matches({q.norm('text')}, '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])')"
+    return "least(1.0, " + " + ".join(f"CASE WHEN {found(p)} THEN {w} ELSE 0 END" for p, w in phrases.items()) + ")"
 
 
 @query(f"""WITH c AS (SELECT conv_id || '-' || turn AS query_id, length(coalesce(text, '')) BETWEEN 2 AND 600 AS l, {_lexicon_sql(guard.UNSAFE_PHRASES)} < 0.5 AS u, {_lexicon_sql(guard.INJECTION_PHRASES)} < 0.5 AS i FROM conversations WHERE role = 'user')

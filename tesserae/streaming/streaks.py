@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql import types as T
 
 OUT = "name string, state string, start_ms long, end_ms long"
@@ -56,7 +56,7 @@ class Streaks(StatefulProcessor):
             return (("open", 0, ms) if errors >= self.most else ("closed", errors, since)), ended
         return state, ended
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.stage.get()) if self.stage.exists() else ("closed", 0, 0)
         spans = sorted((int(m), str(i), bool(e)) for batch in rows for m, i, e in zip(batch["ms"], batch["span_id"], batch["error"]))
         found = []
@@ -70,8 +70,8 @@ class Streaks(StatefulProcessor):
             self.handle.registerTimer(state[2] + self.cooldown_ms)
         yield from _rows(found)
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired) -> Iterator[pd.DataFrame]:
-        state, ended = self._at(tuple(self.stage.get()), expired.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, ended = self._at(tuple(self.stage.get()), expiredTimerInfo.getExpiryTimeInMs())
         self.stage.update(state)
         yield from _rows([(key[0], *e) for e in ended])
 

@@ -218,16 +218,11 @@ def edits(a: str, b: str) -> int:
 
 def test_asr_repair(spark, duck, bags):
     df = Counter(t for b in bags.values() for t in set(b))
-    grams = lambda t: {f"^{t}$"[k : k + 3] for k in range(len(t))}
-    having = defaultdict(set)
-    for t in df:
-        for g in grams(t):
-            having[g].add(t)
     want, best = set(), {}
     for i, text in duck.execute("SELECT conv_id || '-' || turn, text FROM conversations WHERE role = 'user'").fetchall():
         for t in set(content(text)) - set(df):
             if t not in best:
-                found = [(d, -df[o], o) for o in set().union(*(having[g] for g in grams(t))) if abs(len(o) - len(t)) <= 2 and (d := edits(t, o)) <= 2]
+                found = [(d, -df[o], o) for o in df if abs(len(o) - len(t)) <= 2 and (d := edits(t, o)) <= 2]
                 best[t] = min(found)[2] if found else None
             if best[t]:
                 want.add((i, t, best[t]))

@@ -260,3 +260,34 @@ def test_streaks_and_their_timers(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     want = intervals(spans, 3, 30_000, base + 900_000)
     assert got == want and ("quiet", "open", base + 3000, base + 33_000) in got and {s for _, s, _, _ in got} == {"open", "half_open"}
+
+
+# --- stored vectors --------------------------------------------------------------------------------------------------
+
+
+def test_a_vector_store_is_read_by_clusters_and_grows(spark, tmp_path):
+    import numpy as np
+
+    from tesserae.operators import vector_store
+
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 8)) * 4
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    rows = unit(centers[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.2)
+    frame = spark.createDataFrame(list(enumerate(rows)), "chunk_id long, vector array<double>").repartition(4)
+    path = f"{tmp_path}/v"
+    vector_store.create(frame.filter("chunk_id < 600"), path, clusters=12)
+    vector_store.append(frame.filter("chunk_id >= 600"), path, 1)
+    asked = frame.filter("chunk_id < 3").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    search = vector_store.VectorSearch(spark, path, asked, k=4, probes=1)
+    pick = lambda hits: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in hits.collect())
+    assert pick(search.hits) == pick(retrieve.brute_force(frame, asked, 4))
+    read = search.candidates(search.near).select("_metadata.file_path").distinct().count()
+    assert 0 < read < spark.read.parquet(f"{path}/vectors").select("_metadata.file_path").distinct().count()
+    plan = search.candidates(search.near)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dynamicpruning" in plan
+    # what has no radii yet is not there
+    import shutil
+
+    shutil.rmtree(f"{path}/radii/segment=1")
+    assert pick(vector_store.VectorSearch(spark, path, asked, k=4, probes=12).hits) == pick(retrieve.brute_force(frame.filter("chunk_id < 600"), asked, 4))

@@ -271,3 +271,57 @@ def test_newest_in_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("newest").first()["kept"] == 4
+
+
+def test_a_lexicon_of_ten_thousand_phrases_equals_a_naive_search(spark):
+    import random
+    import re
+    import time
+
+    from tesserae.operators import guard
+
+    rng = random.Random(2)
+    words = ["build", "steal", "run", "a", "the", "key", "password", "box", "now", "x1", "été"]
+    phrases = {}
+    while len(phrases) < 10_000:
+        phrases[" ".join(rng.choice(words) + rng.choice(["", "", str(rng.randrange(30))]) for _ in range(rng.randrange(1, 6)))] = rng.choice([0.1, 0.25, 1.0])
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "s", str(rng.randrange(30))]) for _ in range(rng.randrange(0, 25))) for _ in range(60)] + ["", None, "rebuild", "build.", "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    got = {r["query_id"]: r["score"] for r in guard.lexicon_check(rows, "own", phrases, 0.5).collect()}
+    for i, t in enumerate(texts):
+        want = min(1.0, sum(w for p, w in phrases.items() if re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t or "")))
+        assert got[i] == pytest.approx(want), t
+    machine = guard.automaton(phrases)
+    took = []
+    for n in (200_000, 800_000):
+        text = "build a key " * (n // 12)
+        began = time.process_time()
+        machine.score(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2 and guard.Automaton({}).score("a") == 0.0
+
+
+def test_all_words_within_two_edits_are_found(spark):
+    import random
+
+    from tesserae.operators import retrieve
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 17))) for _ in range(400)} | {"a", "b", "ab", "zz", "y" * 5000, "y" * 5001, "x" + "y" * 5001}
+    for w in list(words)[:150]:  # neighbours by random edits, at the beginning and beyond it
+        for _ in range(2):
+            k = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + "c" + w[k:], w[:k] + "c" + w[k + 1 :]])
+        words |= {w} - {""}
+    words = sorted(words)
+    asked, known = words[::2], words
+    got = {(r["term"], r["other"]): r["d"] for r in retrieve.within_edits(spark.createDataFrame([(w,) for w in asked], "term string"), spark.createDataFrame([(w,) for w in known], "other string")).collect()}
+    assert got == {(a, b): d for a in asked for b in known if abs(len(a) - len(b)) <= 2 and len(a) < 100 and (d := edits(a, b)) <= 2} | {(a, b): d for a in asked for b in known if len(a) > 100 and len(b) > 100 for d in [abs(len(a) - len(b))] if d <= 2}
