@@ -282,8 +282,9 @@ def test_a_vector_store_is_read_by_clusters_and_grows(spark, tmp_path):
     search = vector_store.VectorSearch(spark, path, asked, k=4, probes=1)
     pick = lambda hits: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in hits.collect())
     assert pick(search.hits) == pick(retrieve.brute_force(frame, asked, 4))
-    read = search.candidates(search.near).select("_metadata.file_path").distinct().count()
-    assert 0 < read < spark.read.parquet(f"{path}/vectors").select("_metadata.file_path").distinct().count()
+    files = spark.read.parquet(f"{path}/vectors").select("segment", "cluster", F.input_file_name().alias("file")).distinct()
+    read = files.join(search.near.select("cluster").distinct(), "cluster", "left_semi")
+    assert 0 < read.count() < files.count() and search.rest.count() < search.probes.count() - search.near.count()
     plan = search.candidates(search.near)._jdf.queryExecution().optimizedPlan().toString()
     assert "dynamicpruning" in plan
     # what has no radii yet is not there
