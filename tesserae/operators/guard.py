@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as txt
 from tesserae.functions.similarity import action_rank, overlap_coefficient
+from tesserae.operators import claims
 
 # Thresholds.
 LENGTH = (2, 600)
@@ -27,7 +28,6 @@ PII = {
     "PHONE": r"\+?[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -][0-9]{3,4}[ -]?[0-9]{4}",
     "CARD": r"[0-9]{16}",
 }
-NEGATIONS = ("not", "no", "never", "none", "cannot", "नहीं", "না", "இல்லை", "లేదు")
 
 
 def check(rows: DataFrame, name: str, score: Column, threshold: float, passed: Column, action: str, stage: str) -> DataFrame:
@@ -137,10 +137,10 @@ def grounding(answers: DataFrame) -> DataFrame:
 
 def entity_support(answers: DataFrame) -> DataFrame:
     """The share of the answer's claims that stand in the context; 1 without claims."""
-    claims = txt.extract_claims(F.col("text"))
+    own = txt.extract_claims(F.col("text"))
     context = F.lower("context")
-    found = F.size(F.filter(claims, lambda c: F.contains(context, F.lower(c))))
-    score = F.when(F.size(claims) > 0, found / F.size(claims)).otherwise(1.0)
+    found = F.size(F.filter(own, lambda c: F.contains(context, F.lower(c))))
+    score = F.when(F.size(own) > 0, found / F.size(own)).otherwise(1.0)
     return check(answers, "entity_support", score, ENTITY_SUPPORT, score >= ENTITY_SUPPORT, "abstain", "output")
 
 
@@ -151,10 +151,14 @@ def number_check(answers: DataFrame) -> DataFrame:
 
 
 def contradiction(answers: DataFrame) -> DataFrame:
-    """Answer and context both have a negation or neither has: a weak heuristic."""
-    odd = lambda c: F.size(F.filter(txt.tokens(F.col(c)), lambda t: t.isin(*NEGATIONS))) > 0
-    agree = odd("text") == odd("context")
-    return check(answers, "contradiction", agree.cast("double"), 1, agree, "clarify", "output")
+    """No clause of the answer is contradicted by claims of the context; the score is the share of clauses that are not, 1 without claims.
+
+    Rows of one query_id are judged as one, and each gets the verdict.
+    """
+    found = claims.contradicted(claims.conflicts(answers)).withColumnRenamed("query_id", "_of")
+    rows = answers.select("query_id").join(found, F.col("query_id").eqNullSafe(F.col("_of")), "left")
+    against = F.coalesce("n_contradicted", F.lit(0))
+    return check(rows, "contradiction", 1 - F.coalesce(against / F.col("n_clauses"), F.lit(0.0)), 1, against == 0, "clarify", "output")
 
 
 def confidence(answers: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import similarity as sim
 from tesserae.functions import text as txt
-from tesserae.operators import answer, chunk, embed, guard, index, retrieve, stats, trace, vector_store
+from tesserae.operators import answer, chunk, claims, embed, guard, index, retrieve, stats, trace, vector_store
 from tesserae.plans import sqltext as q
 from tesserae.sources import corpus
 from tesserae.sources.tables import stored, table_path
@@ -638,6 +638,13 @@ def output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.select("query_id", "name", "passed", F.round("score", 6).alias("score"), "action")
 
 
+@query()
+def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of whole documents against those of their first halves."""
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return claims.conflicts(documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "text", half.alias("context"))).withColumnRenamed("query_id", "doc_id")
+
+
 _PII_SQL = "coalesce(text, '')"
 for _kind, _pattern in guard.PII.items():
     _PII_SQL = f"regexp_replace({_PII_SQL}, '{_pattern}', '[{_kind}]', 'g')"

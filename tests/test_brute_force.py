@@ -10,7 +10,7 @@ import pytest
 import regex
 
 from tesserae.functions import text as txt
-from tesserae.operators import chunk, embed, guard
+from tesserae.operators import chunk, claims as claim_rules, embed, guard
 from tesserae.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -192,6 +192,31 @@ def test_extract_claims(spark, docs):
     assert len(got) == len(docs) and {r["doc_id"]: r["claims"] for r in got} == {i: "|".join(claims(t or "")) for i, t in docs.items()}
 
 
+def clause_conflicts(answer: str, context: str) -> dict:
+    """(sentence, clause) to (words, opposed words, numbers, unlike numbers), each claim of the answer held against all of the context."""
+
+    def of(text: str) -> list:
+        out = []
+        for sentence, clause, subject, word, dimension, counted, value, exact, negated in claim_rules.text_claims(text):
+            dimension = f"count of {stem(counted)}" if dimension == "count" else dimension
+            if word is None or stem(word) != stem(subject):
+                out.append((sentence, clause, stem(subject), word and stem(word), dimension, value, exact, negated))
+        return out
+
+    theirs, out = of(context), defaultdict(lambda: [0, 0, 0, 0])
+    for sentence, clause, subject, word, dimension, value, exact, negated in of(answer):
+        row = out[sentence, clause]
+        if word:
+            signs = {c[7] for c in theirs if c[2:4] == (subject, word)}
+            row[0] += 1
+            row[1] += signs == {not negated}
+        else:
+            values = [c[5] for c in theirs if c[2] == subject and c[4] == dimension and not c[3]]
+            row[2] += 1
+            row[3] += bool(values) and all(abs(value - v) > (0 if exact else claim_rules.TOLERANCE * max(abs(value), abs(v))) for v in values)
+    return {k: tuple(v) for k, v in out.items()}
+
+
 def test_output_guards(spark, duck):
     turns = duck.execute("SELECT conv_id || '-' || turn, role, coalesce(text, ''), coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') FROM conversations").fetchall()
     want = {}
@@ -200,13 +225,24 @@ def test_output_guards(spark, duck):
             own = claims(text)
             support = sum(c.lower() in context.lower() for c in own) / len(own) if own else 1.0
             missing = len(set(numbers(text)) - set(numbers(context)))
-            odd = [any(t in guard.NEGATIONS for t in tokens(x)) for x in (text, context)]
-            want |= {(i, "entity_support"): (support >= 0.72, round(support, 6)), (i, "numbers"): (missing == 0, float(missing)), (i, "contradiction"): (odd[0] == odd[1], float(odd[0] == odd[1]))}
+            found = clause_conflicts(text, context).values()
+            against = sum(u > 0 or 2 * o > w for w, o, _, u in found)
+            want |= {(i, "entity_support"): (support >= 0.72, round(support, 6)), (i, "numbers"): (missing == 0, float(missing)), (i, "contradiction"): (against == 0, round(1 - against / len(found), 6) if found else 1.0)}
     got = rows(spark, "output_guards")
     assert len(got) == len(want) and {(r["query_id"], r["name"]): (r["passed"], r["score"]) for r in got} == want
     assert all(r["action"] == ("allow" if r["passed"] else "clarify" if r["name"] == "contradiction" else "abstain") for r in got)
 
 
+def test_document_conflicts(spark, docs):
+    want = {}
+    for i, text in docs.items():
+        half = (text or "")[: len(text or "") // 2]
+        for k, v in clause_conflicts(text or "", half).items():
+            want[i, *k] = v
+    got = rows(spark, "claim_conflicts")
+    assert len(got) == len(want) and {(r["doc_id"], r["sentence"], r["clause"]): (r["n_words"], r["n_opposed"], r["n_numbers"], r["n_unlike"]) for r in got} == want
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
