@@ -15,31 +15,58 @@ STAGE_LIMITS = {"guard_input": 25, "query_transform": 25, "embed": 30, "retrieve
 ERRORS = ("error", "timeout")
 
 
-#: Cells of equal width that each key's range of values is cut into to find percentiles.
-CELLS = 4096
+#: Cells that a round cuts the values of each key into, and rounds; the bound of a sketch's error leaves a cell at most twice its share of the distinct values.
+CELLS, ROUNDS = 256, 2
+
+
+def _same(keys: list[str]) -> Column:
+    return F.expr(" and ".join(f"a.`{k}` <=> b.`{k}`" for k in keys))
+
+
+def _wanted(places: list[Column], size: str) -> Column:
+    """Whether one of the places lies in the stretch of this size that begins at _before."""
+    return reduce(lambda a, b: a | b, [(i >= F.col("_before")) & (i < F.col("_before") + F.col(size)) for i in places])
+
+
+def narrowed(counted: DataFrame, keys: list[str], places: list[Column]) -> DataFrame:
+    """Of counted (keys, n, _before, _v, _c) the cells in which a place lies, with _before anew.
+
+    _v are distinct values, _c their counts, and _before says how many values
+    precede the group of rows (keys, _before).  The cuts are quantiles of a
+    sketch of the distinct values, so however values are spread, outliers
+    included, cells are of nearly equal size; counts are exact, so that cuts
+    that are off cost time and change nothing.
+    """
+    group = [*keys, "_before"]
+    cuts = counted.groupBy(*group).agg(F.percentile_approx("_v", [k / CELLS for k in range(1, CELLS)], 8 * CELLS).alias("_cuts"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range((CELLS - 1).bit_length()))))
+    cell = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(F.col("_cuts"), lo + step - 1) < F.col("_v"), lo + step).otherwise(lo))
+    own = [F.col(f"a.{k}").alias(k) for k in group]
+    placed = counted.alias("a").join(cuts.alias("b"), _same(group)).select(*own, "_v", "_c", "n", cell.alias("_cell"))
+    sums = placed.groupBy(*group, "n", "_cell").agg(F.sum("_c").alias("_k"))
+    earlier = F.coalesce(F.sum("_k").over(W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = sums.withColumn("_of", F.col("_before")).withColumn("_before", F.col("_before") + earlier).filter(_wanted(places, "_k"))
+    found = found.select(*keys, F.col("_of").alias("_before"), "_cell", F.col("_before").alias("_start"))
+    return placed.alias("a").join(found.alias("b"), _same([*group, "_cell"])).select(*own[:-1], F.col("a.n").alias("n"), F.col("_start").alias("_before"), "_v", "_c")
 
 
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[int, ...] = (50, 90, 95)) -> DataFrame:
     """keys with n, one column p<p> for each percentile (the value at p/100 of the last index, half to even), max and mean.
 
-    Values are counted first, and the counts of a key summed by CELLS cells of
-    its range.  Only cells in which a wanted place lies are sorted, each on its
-    own, so that a key of most rows is no task's alone.
+    Values are counted first and stored, then narrowed to the cells in which a
+    wanted place lies, ROUNDS times whatever their number; only what is left is
+    sorted, each cell on its own, so that a key of most rows is no task's alone.
     """
-    same = lambda a, b: F.expr(" and ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys))
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ends = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
-    share = F.when(F.col("max") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("max") - F.col("_lo"))).otherwise(0.0)
-    placed = counted.alias("a").join(ends.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in keys), "_v", "_c", "n", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).alias("_cell"))
-    cells = placed.groupBy(*keys, "n", "_cell").agg(F.sum("_c").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = stored(rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "values")
+    ends = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    own = [F.col(f"a.{k}").alias(k) for k in keys]
     at = {p: F.bround(F.lit(p / 100) * (F.col("n") - 1), 0) for p in ps}
-    wanted = cells.withColumn("_before", before).filter(reduce(lambda a, b: a | b, [(i >= F.col("_before")) & (i < F.col("_before") + F.col("_k")) for i in at.values()]))
-    inside = placed.alias("a").join(wanted.alias("b"), same("a", "b") & F.expr("a._cell = b._cell")).select(*(F.col(f"a.{k}").alias(k) for k in keys), "_v", "_c", "a.n", "a._cell", "_before")
-    upto = F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_cell").orderBy("_v"))
-    inside = inside.withColumn("_upto", upto)
+    inside = counted.alias("a").join(ends.alias("b"), _same(keys)).select(*own, "n", F.lit(0).cast("long").alias("_before"), "_v", "_c")
+    for _ in range(ROUNDS):
+        inside = stored(narrowed(inside, keys, list(at.values())), "cells")  # or each round's plan would hold the one before four times
+    inside = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_before").orderBy("_v")))
     found = inside.groupBy(*keys).agg(*(F.max(F.when((i < F.col("_upto")) & (i >= F.col("_upto") - F.col("_c")), F.col("_v"))).alias(f"p{p}") for p, i in at.items()))
-    return ends.alias("a").join(found.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in keys), "n", *(f"p{p}" for p in ps), "max", "mean")
+    return ends.alias("a").join(found.alias("b"), _same(keys)).select(*own, "n", *(f"p{p}" for p in ps), "max", "mean")
 
 
 #: Percentiles of a benchmark and how many first queries are left out.

@@ -182,6 +182,21 @@ def test_percentiles_by_cells(spark, monkeypatch):
     assert trace.exact_percentiles(rows.limit(0), ["name"], "v").count() == 0
 
 
+def test_cells_of_percentiles_are_even(spark, monkeypatch):
+    """An outlier and a value of most rows leave the cells that are sorted small."""
+    monkeypatch.setattr(trace, "CELLS", 16)
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.random(20000), [1e300], np.full(30000, 0.5)])
+    rows = spark.createDataFrame([("a", float(v)) for v in values], "name string, v double")
+    counted = rows.groupBy("name", F.col("v").alias("_v")).agg(F.count("*").alias("_c")).select("name", F.lit(len(values)).cast("long").alias("n"), F.lit(0).cast("long").alias("_before"), "_v", "_c")
+    places = [F.lit(int(p * len(values))) for p in (0.1, 0.9)]
+    for bound in (2 * 20002 / 16, 4 * 20002 / 256):
+        counted = trace.narrowed(counted, ["name"], places)
+        assert 1 <= counted.groupBy("_before").count().agg(F.max("count")).first()[0] <= bound
+    got = trace.exact_percentiles(rows, ["name"], "v", (10, 50, 90)).first()
+    assert [got[f"p{p}"] for p in (10, 50, 90)] == [sorted(values)[round(p / 100 * (len(values) - 1))] for p in (10, 50, 90)]
+
+
 def test_flattened_takes_any_depth(spark):
     chain = [("t", str(i), str(i - 1) if i else None, float(i)) for i in range(300)] + [("t", "lost", "nobody", 1000.0), ("u", "1", None, 0.0)]
     rows = spark.createDataFrame(chain, "trace_id string, span_id string, parent_span_id string, start_ms double")
