@@ -270,6 +270,14 @@ def stems(text: Column) -> Column:
     return F.transform(content_tokens(text), stem)
 
 
+def script_of(char: Column) -> Column:
+    """The script of one character, digit for decimal digits of any script, other for the rest; null for null."""
+    out = F.lit("other")
+    for name in reversed(SCRIPT_NAMES):
+        out = F.when(char.rlike(f"^{_class(name)}"), name).otherwise(out)
+    return F.when(char.rlike(r"^\p{Nd}"), "digit").when(char.isNotNull(), out)
+
+
 def dominant_script(text: Column) -> Column:
     """The script with most characters; of equal ones the one that comes first in the text; latin if there is none."""
     scored = F.array(

@@ -14,13 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import dot, l2_normalize, let
 from tesserae.functions.text import char_ngrams, stem
 from tesserae.operators import stats
+from tesserae.sources.tables import stored
 
 # Parameters of the embedders, and constants of the hash and the generator behind signatures.
 DIM, SEED, NONZEROS = 256, 20260813, 8
@@ -163,14 +164,14 @@ def _raw(docs: DataFrame, model: PpmiModel) -> DataFrame:
 def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2, window: int = 5, max_contexts: int = 64) -> PpmiModel:
     """A model of docs (doc_id, tokens).  Without co-occurrences it has no vectors.
 
-    Tables that are read more than once are persisted; lost blocks are computed anew.
+    Tables that are read more than once are stored in the shared folder.
     """
-    docs = docs.select("doc_id", "tokens").persist()
+    docs = stored(docs.select("doc_id", "tokens"), "tokens")
     corpus = stats.corpus_stats(docs)
-    terms = stats.with_idf(stats.term_stats(docs), corpus).persist()
-    contexts = stats.ppmi(stats.cooccurrence(docs, stats.vocabulary(terms, min_df), window), max_contexts).persist()
+    terms = stored(stats.with_idf(stats.term_stats(docs), corpus), "terms")
+    contexts = stored(stats.ppmi(stats.cooccurrence(docs, stats.vocabulary(terms, min_df), window), max_contexts), "contexts")
     sparse = contexts.join(signatures(contexts.select(F.col("ctx").alias("term")), dim, seed).withColumnRenamed("term", "ctx"), "ctx")
-    vectors = dense(sparse.select("term", "idx", (F.col("w") * F.col("sign")).alias("w")), "term", dim).persist()
+    vectors = stored(dense(sparse.select("term", "idx", (F.col("w") * F.col("sign")).alias("w")), "term", dim), "vectors")
     n = corpus.first()["n_docs"]
     model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim)
     model.common = common_direction(_raw(docs, model), dim)
@@ -237,15 +238,74 @@ def encode_composite(model: PpmiModel, docs: DataFrame) -> DataFrame:
     return both.select("doc_id", l2_normalize(F.zip_with(F.coalesce("p", none), F.coalesce("c", none), lambda x, y: x * BLEND[0] + y * BLEND[1])).alias("vector"))
 
 
+@dataclass
+class CharModel:
+    """What the character embedder knows of a corpus: terms (term, idf) and the idf of others."""
+
+    terms: DataFrame
+    max_idf: float
+    dim: int = DIM
+    seed: int = SEED
+
+    def encode(self, docs: DataFrame) -> DataFrame:
+        return encode_chars(docs, self.terms, self.max_idf, self.dim, self.seed)
+
+    def save(self, path: str) -> None:
+        self.terms.select("term", "idf").write.parquet(f"{path}/terms")
+        _save_row(self.terms.sparkSession, path, "char", self.max_idf, self.dim, self.seed)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CharModel:
+        row = _load_row(spark, path, "char")
+        return CharModel(spark.read.parquet(f"{path}/terms"), row["max_idf"], row["dim"], row["seed"])
+
+
+@dataclass
+class CompositeModel:
+    """A PPMI model whose terms also serve the character embedder."""
+
+    ppmi: PpmiModel
+
+    def encode(self, docs: DataFrame) -> DataFrame:
+        return encode_composite(self.ppmi, docs)
+
+    def neighbours(self, words: DataFrame, k: int = 8) -> DataFrame:
+        return self.ppmi.neighbours(words, k)
+
+    def save(self, path: str) -> None:
+        self.ppmi.save(f"{path}/ppmi")
+        _save_row(self.ppmi.terms.sparkSession, path, "composite", self.ppmi.max_idf, self.ppmi.dim, SEED)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CompositeModel:
+        _load_row(spark, path, "composite")
+        return CompositeModel(PpmiModel.load(spark, f"{path}/ppmi"))
+
+
+def _save_row(spark: SparkSession, path: str, kind: str, max_idf: float, dim: int, seed: int) -> None:
+    """Written last: a folder without it holds no whole model."""
+    spark.createDataFrame([(kind, max_idf, dim, seed)], "kind string, max_idf double, dim int, seed long").write.parquet(f"{path}/embedder")
+
+
+def _load_row(spark: SparkSession, path: str, kind: str) -> Row:
+    row = spark.read.parquet(f"{path}/embedder").first()
+    if row is None or row["kind"] != kind:
+        raise ValueError(f"{path} holds no {kind} model")
+    return row
+
+
+def fit_chars(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> CharModel:
+    """A character model of docs (doc_id, tokens)."""
+    corpus = stats.corpus_stats(docs)
+    n = corpus.first()["n_docs"]
+    return CharModel(stats.with_idf(stats.term_stats(docs), corpus), float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, dim, seed)
+
+
 def embedder(kind: str, docs: DataFrame, dim: int = DIM, seed: int = SEED) -> Callable[[DataFrame], DataFrame]:
     """An encoder of documents (doc_id, tokens) fitted on docs: ppmi, char or composite."""
     if kind == "char":
-        corpus = stats.corpus_stats(docs)
-        n = corpus.first()["n_docs"]
-        terms = stats.with_idf(stats.term_stats(docs), corpus)
-        return lambda rows: encode_chars(rows, terms, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, dim, seed)
-    model = fit_ppmi(docs, dim, seed)
-    encoders = {"ppmi": model.encode, "composite": lambda rows: encode_composite(model, rows)}
-    if kind not in encoders:
+        return fit_chars(docs, dim, seed).encode
+    if kind not in ("ppmi", "composite"):
         raise ValueError(f"unknown embedder {kind}")
-    return encoders[kind]
+    model = fit_ppmi(docs, dim, seed)
+    return model.encode if kind == "ppmi" else CompositeModel(model).encode

@@ -29,6 +29,21 @@ PII = {
     "CARD": r"[0-9]{16}",
 }
 
+# What is said where a check is not passed.
+MESSAGES = {
+    "unsafe": "I can't help with that request. I'm a retrieval assistant over a fixed document corpus and I don't produce harmful content.",
+    "injection": "That input looks like an attempt to override my instructions, so I've ignored it. Ask me a question about the indexed corpus instead.",
+    "off_topic": "I don't have anything in my corpus that covers this. Rather than guess, I'd rather tell you I don't know.",
+    "ungrounded": "I found related passages but none of them actually support a confident answer, so I'm not going to state one.",
+    "low_confidence": "The retrieved context is too weak for me to answer confidently. Here is what I did find, so you can judge for yourself.",
+    "empty": "I couldn't make out a question. Could you say that again?",
+}
+#: The message of each check, in the order in which checks of equal actions are told.
+MESSAGE_OF = {
+    "unsafe": "unsafe", "injection": "injection", "length": "empty", "coverage": "off_topic", "retrieval_floor": "off_topic", "grounding": "ungrounded",
+    "entity_support": "ungrounded", "numbers": "ungrounded", "contradiction": "ungrounded", "confidence": "low_confidence",
+}
+
 
 def check(rows: DataFrame, name: str, score: Column, threshold: float, passed: Column, action: str, stage: str) -> DataFrame:
     """One guard check for each row of rows (query_id, ...)."""
@@ -183,3 +198,20 @@ def verdicts(checks: DataFrame) -> DataFrame:
         F.count("*").alias("n_checks"),
         F.sum((~F.col("passed")).cast("long")).alias("n_tripped"),
     ).withColumn("allowed", F.col("action") == "allow")
+
+
+def policy(checks: DataFrame) -> DataFrame:
+    """(query_id, action, check, message): the strictest action of a query's checks and what is said of the first check that asks for it; nulls where all are passed.
+
+    Checks are told in the order of MESSAGE_OF; those of other names come last and have no message.
+    """
+    order = {n: -k for k, n in enumerate(MESSAGE_OF)}
+    place = F.coalesce(F.element_at(_literal_map(order), F.col("name")), F.lit(-len(order)))
+    strictest = F.max(F.struct(action_rank(F.col("action")).alias("rank"), place.alias("place"), "name", "action")).alias("_x")
+    said = F.element_at(_literal_map({n: MESSAGES[m] for n, m in MESSAGE_OF.items()}), F.col("_x.name"))
+    told = F.col("_x.action") != "allow"
+    return checks.groupBy("query_id").agg(strictest).select("query_id", F.col("_x.action").alias("action"), F.when(told, F.col("_x.name")).alias("check"), F.when(told, said).alias("message"))
+
+
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))

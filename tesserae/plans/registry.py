@@ -675,6 +675,25 @@ def tripped_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.tripped(guard.length(rows).unionByName(guard.unsafe(rows)).unionByName(guard.injection(rows))).select("query_id", "name", "action")
 
 
+@query(f"""WITH c AS (SELECT doc_id AS query_id, length(coalesce(text, '')) BETWEEN 2 AND 600 AS l, {_lexicon_sql(guard.UNSAFE_PHRASES)} < 0.5 AS u, {_lexicon_sql(guard.INJECTION_PHRASES)} < 0.5 AS i FROM documents),
+k AS (SELECT query_id, CASE WHEN NOT u THEN 'unsafe' WHEN NOT i THEN 'injection' WHEN NOT l THEN 'length' END AS name FROM c)
+SELECT query_id, CASE WHEN name IS NULL THEN 'allow' WHEN name = 'length' THEN 'clarify' ELSE 'refuse' END AS action, name AS "check",
+CASE name WHEN 'unsafe' THEN '{guard.MESSAGES["unsafe"].replace("'", "''")}' WHEN 'injection' THEN '{guard.MESSAGES["injection"].replace("'", "''")}' WHEN 'length' THEN '{guard.MESSAGES["empty"].replace("'", "''")}' END AS message FROM k""")
+def policy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said to documents, taken as requests."""
+    rows = documents(spark, sf_dir).withColumnRenamed("doc_id", "query_id")
+    return guard.policy(guard.length(rows).unionByName(guard.unsafe(rows)).unionByName(guard.injection(rows)))
+
+
+@query(f"""WITH c AS (SELECT unnest(regexp_extract_all(html, '(?s).')) AS ch FROM pages UNION ALL SELECT unnest(regexp_extract_all(text, '(?s).')) FROM documents), n AS (SELECT ch, count(*) AS n FROM c GROUP BY 1)
+SELECT ch, n, CASE WHEN regexp_matches(ch, '\\p{{Nd}}') THEN 'digit' WHEN regexp_matches(ch, '[\\p{{P}}\\p{{Z}}\\p{{S}}\\p{{C}}]') THEN 'other' {' '.join(f"WHEN unicode(ch) BETWEEN {lo} AND {hi} THEN '{name}'" for name, lo, hi in txt.SCRIPTS)} ELSE 'other' END AS script FROM n""")
+def script_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of each character of documents and pages, with how often it occurs."""
+    texts = documents(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    chars = texts.select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    return chars.withColumn("script", txt.script_of(F.col("ch")))
+
+
 # --- traces: events as spans, their type as the stage and their value as the duration ---------------------------------
 
 

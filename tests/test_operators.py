@@ -77,6 +77,34 @@ def test_embedders_by_name(spark):
         embed.embedder("other", docs)
 
 
+def test_embedders_are_saved_and_loaded(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(["paris city capital", "london city", "river boat water"] * 4)], "doc_id long, tokens array<string>")
+    vectors = lambda model: {r["doc_id"]: r["vector"] for r in model.encode(docs).collect()}
+    chars = embed.fit_chars(docs, dim=16, seed=5)
+    chars.save(f"file://{tmp_path}/c")
+    both = embed.CompositeModel(embed.fit_ppmi(docs, dim=16))
+    both.save(f"file://{tmp_path}/b")
+    for model, again in ((chars, embed.CharModel.load(spark, f"file://{tmp_path}/c")), (both, embed.CompositeModel.load(spark, f"file://{tmp_path}/b"))):
+        old, new = vectors(model), vectors(again)
+        assert set(old) == set(new) and all(np.allclose(old[i], new[i]) for i in old)
+    with pytest.raises(ValueError):
+        embed.CompositeModel.load(spark, f"file://{tmp_path}/c")
+
+
+def test_script_of(spark):
+    chars = {"a": "latin", "É": "latin", "7": "digit", "७": "digit", "क": "devanagari", "ि": "devanagari", "।": "other", "漢": "han", "ん": "kana", "한": "hangul", "ж": "cyrillic", " ": "other", "×": "other", "😀": "other", "ก": "thai", None: None}
+    got = spark.createDataFrame([(c,) for c in chars], "c string").select("c", txt.script_of(F.col("c")).alias("s")).collect()
+    assert {r["c"]: r["s"] for r in got} == chars
+
+
+def test_policy_tells_the_first_of_the_strictest(spark):
+    rows = [("q", "length", "clarify"), ("q", "injection", "refuse"), ("q", "unsafe", "refuse"), ("r", "length", "allow"), ("s", "coverage", "abstain"), ("s", "length", "clarify"), ("t", "own", "refuse"), (None, "confidence", "abstain")]
+    checks = spark.createDataFrame(rows, "query_id string, name string, action string")
+    got = {r["query_id"]: (r["action"], r["check"], r["message"]) for r in guard.policy(checks).collect()}
+    m = guard.MESSAGES
+    assert got == {"q": ("refuse", "unsafe", m["unsafe"]), "r": ("allow", None, None), "s": ("abstain", "coverage", m["off_topic"]), "t": ("refuse", "own", None), None: ("abstain", "confidence", m["low_confidence"])}
+
+
 def test_cooccurrence_is_symmetric_and_weighted(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a"])], "doc_id int, tokens array<string>")
     got = {(r["a"], r["b"]): r["weight"] for r in stats.cooccurrence(docs).collect()}
