@@ -16,14 +16,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tesserae.functions import text as txt
-from tesserae.functions.similarity import let
 
 #: Words that negate what follows in their clause, and words that negate what stands before them; a token that ends in n't does the first.
 NEGATIONS = ("not", "no", "never", "none", "nor", "neither", "cannot", "without", "नहीं")
@@ -53,7 +51,6 @@ _THOUSANDS = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 _UNIT_SIGNS = ((re.compile(r"%|\bper cent\b", re.I), " percent "), (re.compile(r"°\s?c(?!\w)", re.I), " celsius "), (re.compile(r"°\s?f(?!\w)", re.I), " fahrenheit "), (re.compile(r"(?<=\d)(?=[^\W\d_])"), " "))
 _NAME = re.compile(r"[A-Z][a-z]{2,}")
 _WORD = re.compile(r"\d+(?:\.\d+)?|[^\W\d_][\w\u0900-\u0DFF]*(?:[-'][\w\u0900-\u0DFF]+)*")
-_NUMBER = re.compile(r"\d")
 _PLURAL = re.compile(r"(second|minute|hour|day|month|year|met(?:re|er)|kilomet(?:re|er)|mile|kilogram|pound)s")
 _STOP = frozenset(txt.STOPWORDS)
 
@@ -71,31 +68,32 @@ def _negates(word: str) -> bool:
 
 
 def _has_content(word: str) -> bool:
-    return len(word) > 1 and word not in _STOP and not _NUMBER.match(word) and not _negates(word) and word not in NEGATIONS_AFTER
+    return len(word) > 1 and word not in _STOP and not word[0].isdecimal() and not _negates(word) and word not in NEGATIONS_AFTER
 
 
 def _subject(sentence: str, before: str) -> str:
     """The last word of a sentence's first name without a preposition, else its first word with content; the one before where the sentence begins with a pronoun or has neither."""
-    words = [w.lower() for w in _WORD.findall(sentence)]
-    if words and words[0] in PRONOUNS:
-        return before
-    name, end, word = "", 0, ""
+    name, end, word, first = "", 0, "", ""
     for m in _WORD.finditer(sentence):
         before_it, word = word, m.group().lower()
+        if not before_it and word in PRONOUNS:
+            return before
+        if not first and _has_content(word):
+            first = word
         if not _NAME.fullmatch(m.group()) or word in _STOP:
             continue
         if name and sentence[end : m.start()].strip():
             break
         if name or before_it not in PREPOSITIONS:
             name, end = word, m.end()
-    return name or next(filter(_has_content, words), before)
+    return name or first or before
 
 
 def _clause_claims(words: list[str], subject: str) -> Iterator[tuple]:
     """(subject, word, dimension, counted, value, exact, negated) of a clause; one pass, in which the state is the polarity and the last word with content."""
     parity, last, skip = sum(w in NEGATIONS_AFTER for w in words) % 2, "", -1
     for k, word in enumerate(words):
-        if _NUMBER.match(word):
+        if word[0].isdecimal():
             unit = words[k + 1] if k + 1 < len(words) else ""
             unit = unit[:-1] if _PLURAL.fullmatch(unit) else unit
             if unit in MEASURES:
@@ -128,15 +126,30 @@ def text_claims(text: str) -> Iterator[tuple]:
                 yield (i, j, *claim)
 
 
-_CLAIM = T.StructType([
-    T.StructField("sentence", T.IntegerType()), T.StructField("clause", T.IntegerType()), T.StructField("subject", T.StringType()), T.StructField("word", T.StringType()), T.StructField("dimension", T.StringType()),
-    T.StructField("counted", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("exact", T.BooleanType()), T.StructField("negated", T.BooleanType()),
+_CLAIM = pa.schema([
+    ("sentence", pa.int32()), ("clause", pa.int32()), ("subject", pa.string()), ("word", pa.string()), ("dimension", pa.string()), ("counted", pa.string()),
+    ("value", pa.float64()), ("exact", pa.bool_()), ("negated", pa.bool_()),
 ])
+#: A worker hands on its claims whenever it has so many; a text's may be more.
+HANDED_ON = 20_000
 
 
-@F.pandas_udf(T.ArrayType(_CLAIM))
-def _claims(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: list(text_claims(t)) if t else [])
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("query_id", "side")]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(values, f.type) for f, values in zip(_CLAIM, zip(*found)))], names=["query_id", "side", *_CLAIM.names])
+
+    for batch in batches:
+        rows, found = [], []
+        for k in range(batch.num_rows):
+            for claim in text_claims(batch.column("text")[k].as_py() or ""):
+                rows.append(k)
+                found.append(claim)
+                if len(found) >= HANDED_ON:
+                    yield made(batch, rows, found)
+                    rows, found = [], []
+        if found:
+            yield made(batch, rows, found)
 
 
 def claims(texts: DataFrame) -> DataFrame:
@@ -150,14 +163,13 @@ def claims(texts: DataFrame) -> DataFrame:
     last word before it.
     Null texts have no claims.
     """
-    def stemmed(c: Column) -> Column:
-        dimension = lambda s: F.when(c["dimension"] == "count", F.concat(F.lit("count of "), s[2])).otherwise(c["dimension"])
-        kept = [c[f].alias(f) for f in ("sentence", "clause", "value", "exact", "negated")]
-        stems = F.transform(F.array(c["subject"], c["word"], c["counted"]), txt.stem)
-        return let(stems, lambda s: F.struct(*kept, s[0].alias("subject"), s[1].alias("word"), dimension(s).alias("dimension")))
-
-    found = F.filter(F.transform(_claims(F.col("text")), stemmed), lambda c: c["word"].isNull() | (c["word"] != c["subject"]))
-    return texts.select("query_id", "side", F.explode(found).alias("_c")).select("query_id", "side", *(F.col("_c")[f].alias(f) for f in ("sentence", "clause", "subject", "word", "dimension", "value", "exact", "negated")))
+    kind = texts.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, side string, sentence int, clause int, subject string, word string, dimension string, counted string, value double, exact boolean, negated boolean"
+    rows = texts.select("query_id", "side", "text").mapInArrow(_claims, schema)
+    rows = rows.withColumn("_s", F.transform(F.array("subject", "word", "counted"), txt.stem))
+    dimension = F.when(F.col("dimension") == "count", F.concat(F.lit("count of "), F.col("_s")[2])).otherwise(F.col("dimension"))
+    rows = rows.select("query_id", "side", "sentence", "clause", F.col("_s")[0].alias("subject"), F.col("_s")[1].alias("word"), dimension.alias("dimension"), "value", "exact", "negated")
+    return rows.filter("word is null or word <> subject")
 
 
 def conflicts(answers: DataFrame) -> DataFrame:
@@ -172,22 +184,24 @@ def conflicts(answers: DataFrame) -> DataFrame:
     found = claims(sides.select("query_id", "_x.side", "_x.text"))
     of_context = F.col("side") == "context"
 
-    by_word = W.partitionBy("query_id", "subject", "word")
-    says = lambda negated: F.max(F.when(of_context & (F.col("negated") == negated), 1).otherwise(0)).over(by_word) == 1
-    words = found.filter("word is not null").withColumns({"_yes": says(False), "_no": says(True)}).filter(~of_context)
-    opposed = F.when(F.col("negated"), F.col("_yes") & ~F.col("_no")).otherwise(F.col("_no") & ~F.col("_yes"))
-    words = words.select("query_id", "sentence", "clause", F.lit(1).alias("_w"), opposed.cast("int").alias("_o"), F.lit(0).alias("_n"), F.lit(0).alias("_u"))
-
+    # words and numbers share one exchange, for no key is both
+    key = ["query_id", "subject", "word", "dimension"]
+    whole = W.partitionBy(*key)
+    says = lambda negated: F.coalesce(F.max(of_context & (F.col("negated") == negated)).over(whole), F.lit(False))
     # the context's nearest values below and above; equal values of the context come first, so that they are below
-    below = W.partitionBy("query_id", "subject", "dimension").orderBy("value", F.when(of_context, 0).otherwise(1))
-    above = below.rowsBetween(1, W.unboundedFollowing)
+    ordered = whole.orderBy("value", F.when(of_context, 0).otherwise(1))
     theirs = F.when(of_context, F.col("value"))
-    numbers = found.filter("value is not null").withColumns({"_lo": F.last(theirs, True).over(below.rowsBetween(W.unboundedPreceding, 0)), "_hi": F.first(theirs, True).over(above)}).filter(~of_context)
-    apart = lambda c: F.abs(F.col("value") - c) > F.when(F.col("exact"), 0.0).otherwise(TOLERANCE * F.greatest(F.abs("value"), F.abs(c)))
-    unlike = F.coalesce(F.col("_lo"), F.col("_hi")).isNotNull() & F.coalesce(apart(F.col("_lo")), F.lit(True)) & F.coalesce(apart(F.col("_hi")), F.lit(True))
-    numbers = numbers.select("query_id", "sentence", "clause", F.lit(0).alias("_w"), F.lit(0).alias("_o"), F.lit(1).alias("_n"), unlike.cast("int").alias("_u"))
-    return words.unionByName(numbers).groupBy("query_id", "sentence", "clause").agg(
-        F.sum("_w").alias("n_words"), F.sum("_o").alias("n_opposed"), F.sum("_n").alias("n_numbers"), F.sum("_u").alias("n_unlike")
+    held = found.withColumns({
+        "_yes": says(False), "_no": says(True),
+        "_lo": F.last(theirs, True).over(ordered.rowsBetween(W.unboundedPreceding, 0)), "_hi": F.last(theirs, True).over(whole.orderBy(F.desc("value"), F.when(of_context, 0).otherwise(1)).rowsBetween(W.unboundedPreceding, 0)),
+    }).filter(~of_context)
+    opposed = F.when(F.col("negated"), F.col("_yes") & ~F.col("_no")).otherwise(F.col("_no") & ~F.col("_yes"))
+    apart = lambda c: F.coalesce(F.abs(F.col("value") - c) > F.when(F.col("exact"), 0.0).otherwise(TOLERANCE * F.greatest(F.abs("value"), F.abs(c))), F.lit(True))
+    unlike = F.coalesce("_lo", "_hi").isNotNull() & apart(F.col("_lo")) & apart(F.col("_hi"))
+    is_word = F.col("word").isNotNull()
+    count = lambda c: F.sum(c.cast("long"))
+    return held.groupBy("query_id", "sentence", "clause").agg(
+        count(is_word).alias("n_words"), count(is_word & opposed).alias("n_opposed"), count(~is_word).alias("n_numbers"), count(~is_word & unlike).alias("n_unlike")
     )
 
 
