@@ -368,3 +368,21 @@ def test_all_words_within_two_edits_are_found(spark):
     asked, known = words[::2], words
     got = {(r["term"], r["other"]): r["d"] for r in retrieve.within_edits(spark.createDataFrame([(w,) for w in asked], "term string"), spark.createDataFrame([(w,) for w in known], "other string")).collect()}
     assert got == {(a, b): d for a in asked for b in known if abs(len(a) - len(b)) <= 2 and len(a) < 100 and (d := edits(a, b)) <= 2} | {(a, b): d for a in asked for b in known if len(a) > 100 and len(b) > 100 for d in [abs(len(a) - len(b))] if d <= 2}
+
+
+def test_scores_are_scaled_before_they_are_rounded(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from tesserae.plans import registry
+
+    r = random.Random(532)  # texts of which one scores next to the floor
+    words = ["alpha", "beta", "gamma"] + [f"filler{k}" for k in range(6)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(3, 400)))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q", "alpha")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert [tuple(x) for x in registry.minimum_score(spark, str(tmp_path)).collect()] == con.execute(registry.ORACLES["minimum_score"]).fetchall() == [("q", 59)]
