@@ -166,3 +166,19 @@ def test_names_and_claims_equal_python(spark):
             if len(x) > 2 and x.lower() not in txt.STOPWORDS:
                 want.setdefault(x.lower(), x)
         assert got == list(want.values()), text
+
+
+def test_scripts_are_told_by_counts_and_then_by_place_and_latin_texts_by_one_search(spark):
+    cases = [("αβ ab", "greek"), ("ab αβ", "latin"), ("é😀", "latin"), ("😀 12", "latin"), ("Ωб", "greek"), ("бΩ", "cyrillic"), ("×÷ 12", "latin"), ("aé αβγ", "greek"), ("नमस्ते ab", "devanagari"), ("", "latin"), (None, "latin")]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, text string").select("k", txt.dominant_script(F.col("text")).alias("s"), txt.detect_lang(F.col("text")).alias("lang")).collect()
+    assert {r["k"]: r["s"] for r in rows} == {k: s for k, (_, s) in enumerate(cases)}
+    assert {r["k"]: r["lang"] for r in rows} == {k: txt.LANGUAGE[s] for k, (_, s) in enumerate(cases)}
+
+    def seconds(column):
+        start = time.time()
+        spark.range(0, 64, 1, 8).select(F.repeat(F.concat(F.lit("ein schöner Tag, "), "id"), 20_000).alias("text")).select(column(F.col("text"))).write.format("noop").mode("overwrite").save()
+        return time.time() - start
+
+    seconds(F.length)
+    # one search, not two for each of 19 scripts and those twice
+    assert seconds(txt.detect_lang) < 15 * seconds(lambda t: F.length(F.regexp_replace(t, "[A-Za-z]++", "")))
