@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import dot, l2_normalize, let
-from tesserae.functions.text import char_ngrams, stem
+from tesserae.functions.text import stem
 from tesserae.operators import stats
 from tesserae.sources.tables import stored
 
@@ -112,11 +112,14 @@ class PpmiModel:
     max_idf: float
     common: list[float] | None
     dim: int = DIM
+    #: The documents that the model was fitted on and their sums, which that took.
+    fitted: tuple[DataFrame, DataFrame] | None = None
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """(doc_id, vector) of docs (doc_id, tokens) with the common direction taken out; documents without known terms have zero vectors."""
         none = F.array_repeat(F.lit(0.0), self.dim)
-        raw = docs.select("doc_id").distinct().join(_raw(docs, self), "doc_id", "left").select("doc_id", F.coalesce("vector", none).alias("vector"))
+        sums = self.fitted[1] if self.fitted is not None and self.fitted[0] is docs else _raw(docs, self)
+        raw = docs.select("doc_id").distinct().join(sums, "doc_id", "left").select("doc_id", F.coalesce("vector", none).alias("vector"))
         if self.common is None:
             return raw
         c = F.array(*map(F.lit, self.common))
@@ -166,18 +169,49 @@ def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2,
 
     Tables that are read more than once are stored in the shared folder.
     """
-    docs = stored(docs.select("doc_id", "tokens"), "tokens")
+    given, docs = docs, stored(docs.select("doc_id", "tokens"), "tokens")
     corpus = stats.corpus_stats(docs)
     terms = stored(stats.with_idf(stats.term_stats(docs), corpus), "terms")
-    contexts = stored(stats.ppmi(stats.cooccurrence(docs, stats.vocabulary(terms, min_df), window), max_contexts), "contexts")
-    sparse = contexts.join(signatures(contexts.select(F.col("ctx").alias("term")), dim, seed).withColumnRenamed("term", "ctx"), "ctx")
-    vectors = stored(dense(sparse.select("term", "idx", (F.col("w") * F.col("sign")).alias("w")), "term", dim), "vectors")
+    contexts = stored(stats.strongest_contexts(stats.pairs(docs, stats.vocabulary(terms, min_df), window), max_contexts), "contexts")
+    vectors = stored(_term_vectors(contexts, dim, seed), "vectors")
     n = corpus.first()["n_docs"]
     model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim)
-    model.common = common_direction(_raw(docs, model), dim)
+    raw = stored(_raw(docs, model), "raw-vectors")
+    model.common, model.fitted = common_direction(raw, dim), (given, raw)
     return model
 
 
+def _term_vectors(contexts: DataFrame, dim: int, seed: int) -> DataFrame:
+    """(term, vector) at unit length: the sum of w times the signature of each context (term, ctx, w); a row for each context goes to its term, not one for each sign."""
+    own = contexts.select(F.col("ctx").alias("term")).distinct()
+
+    @F.pandas_udf("array<int>")
+    def signs(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda t: [i if s > 0 else -1 - i for i, s in signature(t, dim, seed)])
+
+    known = own.select(F.col("term").alias("ctx"), signs("term").alias("at"))
+    packed = contexts.join(known, "ctx").groupBy("term").agg(F.flatten(F.collect_list("at")).alias("at"), F.collect_list("w").alias("w"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                at = batch.column("at").flatten().to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().to_numpy())
+                w = np.repeat(batch.column("w").flatten().to_numpy(), NONZEROS) * np.where(at >= 0, 1.0, -1.0)
+                out = np.bincount(row * dim + np.where(at >= 0, at, -1 - at), weights=w, minlength=batch.num_rows * dim).reshape(-1, dim)
+                size = np.linalg.norm(out, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([batch.column("term"), _lists(out / np.where(size > 1e-12, size, 1.0))], names=["term", "vector"])
+
+    return packed.mapInArrow(spread, "term string, vector array<double>")
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    n, dim = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(matrix.reshape(-1)))
+
+
 def common_direction(vectors: DataFrame, dim: int = DIM) -> list[float] | None:
     """First principal direction of all vectors (doc_id, vector) that are not (almost) zero, by power iteration; null of fewer than COMMON_LEAST.
 
@@ -215,6 +249,54 @@ def common_direction(vectors: DataFrame, dim: int = DIM) -> list[float] | None:
     return [float(x) for x in v]
 
 
+class _GramSums:
+    """The sums of the signatures of terms' 3- to 5-grams, whole numbers, of up to MOST terms at a time."""
+
+    MOST = 65_536
+
+    def __init__(self, dim: int, seed: int) -> None:
+        self.dim, self.seed = dim, seed
+        self.place: dict[str, int] = {}
+        self.sums, self.sizes = np.zeros((self.MOST, dim), np.float32), np.zeros(self.MOST)
+
+    def rows(self, terms: list[str]) -> np.ndarray:
+        """The rows of at most MOST terms."""
+        new = [t for t in dict.fromkeys(terms) if t not in self.place]
+        if len(self.place) + len(new) > self.MOST:
+            self.place, new = {}, list(dict.fromkeys(terms))
+        for lo in range(0, len(new), 512):
+            part, at = new[lo : lo + 512], len(self.place)
+            self.sums[at : at + len(part)], self.sizes[at : at + len(part)] = self._made(part)
+            self.place.update(zip(part, range(at, at + len(part))))
+        return np.fromiter((self.place[t] for t in terms), np.int64, len(terms))
+
+    def _made(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(f"^{t}$" for t in terms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter((len(t) + 2 for t in terms), np.int64, len(terms))
+        owner, left = np.repeat(np.arange(len(terms)), lengths), np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+        sums, sizes = np.zeros(len(terms) * self.dim), np.zeros(len(terms))
+        for n in (3, 4, 5):
+            starts = np.flatnonzero(left >= n)
+            sizes += np.bincount(owner[starts], minlength=len(terms))
+            for lo in range(0, len(starts), 1 << 16):
+                at = starts[lo : lo + (1 << 16)]
+                state = np.full(len(at), self.seed & MASK, np.uint64)
+                for j in range(n):
+                    state = (state ^ codes[at + j]) * np.uint64(FNV_PRIME)
+                found, have, row = np.full((len(at), NONZEROS), -1), np.zeros(len(at), np.int64), np.arange(len(at))
+                while len(row):
+                    state = state * np.uint64(LCG_FACTOR) + np.uint64(LCG_STEP)
+                    idx = ((state >> np.uint64(17)) % np.uint64(self.dim)).astype(np.int64)
+                    fresh = np.flatnonzero(~(found[row] == idx[:, None]).any(axis=1))
+                    found[row[fresh], have[row[fresh]]] = idx[fresh]
+                    have[row[fresh]] += 1
+                    sign = np.where((state[fresh] >> np.uint64(61)) & np.uint64(1), 1.0, -1.0)
+                    sums += np.bincount(owner[at[row[fresh]]] * self.dim + idx[fresh], weights=sign, minlength=len(sums))
+                    open_ = have[row] < NONZEROS
+                    row, state = row[open_], state[open_]
+        return sums.reshape(-1, self.dim), sizes
+
+
 def encode_chars(docs: DataFrame, terms: DataFrame | None = None, max_idf: float = 1.0, dim: int = DIM, seed: int = SEED) -> DataFrame:
     """(doc_id, vector) from the 3- to 5-grams of tokens, each token weighted by idf / sqrt(number of its grams); idf is 1 without terms.
 
@@ -224,9 +306,30 @@ def encode_chars(docs: DataFrame, terms: DataFrame | None = None, max_idf: float
     idf: Column = F.lit(1.0)
     if terms is not None:
         words, idf = words.join(terms.select("term", "idf"), "term", "left"), F.coalesce("idf", F.lit(max_idf))
-    grams = words.withColumn("gs", char_ngrams(F.col("term"))).select("doc_id", F.explode("gs").alias("gram"), (F.col("n") * idf / F.sqrt(F.size("gs"))).alias("w")).groupBy("doc_id", "gram").agg(F.sum("w").alias("w"))
-    own = signatures(grams.select(F.col("gram").alias("term")), dim, seed ^ CHAR_SEED).withColumnRenamed("term", "gram")
-    made = dense(grams.join(own, "gram").select("doc_id", "idx", (F.col("w") * F.col("sign")).alias("w")), "doc_id", dim)
+    packed = words.select("doc_id", "term", (F.col("n") * idf).alias("w")).groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _GramSums(dim, seed ^ CHAR_SEED)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                ends = np.concatenate([[0], np.cumsum(batch.column("w").value_lengths().to_numpy())])
+                w, own, out = batch.column("w").flatten().to_numpy(), batch.column("terms").flatten(), np.zeros((batch.num_rows, dim))
+                for at in range(0, len(own), _GramSums.MOST // 4):
+                    part = slice(at, at + _GramSums.MOST // 4)
+                    rows = known.rows(own[part].to_pylist())
+                    scaled = w[part] / np.sqrt(np.maximum(known.sizes[rows], 1))
+                    for k in range(np.searchsorted(ends, at, "right") - 1, batch.num_rows):
+                        a, b = max(ends[k], at) - at, min(ends[k + 1], at + len(rows)) - at
+                        if ends[k] >= at + len(rows):
+                            break
+                        for c in range(a, b, 4096):
+                            d = min(c + 4096, b)
+                            out[k] += scaled[c:d] @ known.sums[rows[c:d]]
+                size = np.linalg.norm(out, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(out / np.where(size > 1e-12, size, 1.0))], names=["doc_id", "vector"])
+
+    made = packed.mapInArrow(summed, f"doc_id {dict(docs.dtypes)['doc_id']}, vector array<double>")
     return docs.select("doc_id").distinct().join(made, "doc_id", "left").select("doc_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)).alias("vector"))
 
 

@@ -41,3 +41,36 @@ def test_pairs_equal_brute_force_whatever_the_runs_and_without_a_row_for_each_pa
         general = stats.ppmi(stats.cooccurrence(rows, vocab), 3)
         told = lambda df: sorted((x["term"], x["rk"], x["ctx"], round(x["w"], 9)) for x in df.collect())
         assert told(stats.strongest_contexts(own, 3)) == told(general)
+
+
+def test_sums_of_gram_signatures_equal_those_of_each_gram_whatever_is_held(monkeypatch):
+    import numpy as np
+
+    from tesserae.operators import embed
+
+    monkeypatch.setattr(embed._GramSums, "MOST", 8)
+    own = embed._GramSums(64, 7)
+    terms = ["a", "", "été", "aaaaaaa", "क्या", "😀x", "lorem", "ipsum", "dolor", "sit"]
+    for some in (terms[:5], terms[5:], terms[:4] + terms[:4]):
+        rows = own.rows(some)
+        for t, k in zip(some, rows):
+            expected, n, padded = np.zeros(64), 0, f"^{t}$"
+            for size in (3, 4, 5):
+                for i in range(len(padded) - size + 1):
+                    n += 1
+                    for at, sign in embed.signature(padded[i : i + size], 64, 7):
+                        expected[at] += sign
+            assert (own.sums[k] == expected).all() and own.sizes[k] == n
+
+
+def test_documents_that_a_model_was_fitted_on_are_summed_once(spark, monkeypatch):
+    from tesserae.operators import embed
+
+    docs = spark.createDataFrame([(k, ["a", "b", f"w{k % 3}", "c"]) for k in range(12)], "doc_id long, tokens array<string>")
+    calls, raw = [], embed._raw
+    monkeypatch.setattr(embed, "_raw", lambda *a: calls.append(a) or raw(*a))
+    model = embed.fit_ppmi(docs, 16)
+    told = lambda df: {r["doc_id"]: [round(x, 9) for x in r["vector"]] for r in df.collect()}
+    fitted = told(model.encode(docs))
+    assert len(calls) == 1
+    assert fitted == told(model.encode(docs.select("*"))) and len(calls) == 2
