@@ -164,9 +164,12 @@ def _raw(docs: DataFrame, model: PpmiModel) -> DataFrame:
     return weighted_sums(rows)
 
 
-def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2, window: int = 5, max_contexts: int = 64) -> PpmiModel:
+def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2, window: int = 5, max_contexts: int = 64, direction: bool = True) -> PpmiModel:
     """A model of docs (doc_id, tokens).  Without co-occurrences it has no vectors.
 
+    The common direction takes the vectors of all documents; terms need none, so
+    that a model that only tells neighbours is fitted with direction=False.
+
     Tables that are read more than once are stored in the shared folder.
     """
     given, docs = docs, stored(docs.select("doc_id", "tokens"), "tokens")
@@ -176,6 +179,8 @@ def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2,
     vectors = stored(_term_vectors(contexts, dim, seed), "vectors")
     n = corpus.first()["n_docs"]
     model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim)
+    if not direction:
+        return model
     raw = stored(_raw(docs, model), "raw-vectors")
     model.common, model.fitted = common_direction(raw, dim), (given, raw)
     return model
