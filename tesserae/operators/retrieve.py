@@ -7,7 +7,7 @@ library's own definition, said in the docstring.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -73,10 +73,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, te
 
     Chunks are read once: what is stored of them is their length and those of
     their tokens that a query has.  Document frequencies are those of all
-    chunks.  A term counts once, however often a query repeats it.
+    chunks.  A term counts once, however often a query repeats it.  Chunks with dl
+    are taken as what wanted_tokens has made.
     """
     wanted = stored(query_terms(queries), "asked")
-    slim = stored(wanted_tokens(chunks, wanted), "wanted-tokens")
+    slim = chunks if "dl" in chunks.columns else stored(wanted_tokens(chunks, wanted), "wanted-tokens")
     corpus = slim.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total")).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len"))
     posts = stored(slim.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")), "postings")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
@@ -104,12 +105,58 @@ def dense_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame)
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 4096
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, chunk: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The k best of the vectors for each query."""
-    scores = matrix @ vectors.T
-    for q, row in enumerate(scores):
-        best = np.lexsort((chunk, -row))[:k]
-        yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk[best], "score": row[best]})
+class _Nearest:
+    """The k best (query, chunk, score) of each of n queries so far, equal scores by chunk."""
+
+    #: Candidates that are held before they are cut to the best.
+    HELD = 1 << 18
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.kth = k, np.full(n, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def least(self, queries: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """What a chunk must score to be among the best of these queries, as far as scores (query x chunk) and those before tell."""
+        kth = self.kth[queries]
+        if scores.shape[1] >= self.k and np.isneginf(kth).any():
+            kth = np.maximum(kth, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        return kth
+
+    def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, chunk, score))
+        self.size += len(query)
+        if self.size >= self.HELD or np.isneginf(self.kth).any():
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not self.held:
+            return None
+        query, chunk, score = map(np.concatenate, zip(*self.held))
+        order = np.lexsort((chunk, -score, query))
+        query, chunk, score = query[order], chunk[order], score[order]
+        first = np.searchsorted(query, query)
+        place = np.arange(len(query)) - first
+        last = place == self.k - 1
+        self.kth[query[last]] = score[last]
+        kept = place < self.k
+        self.held, self.size = [(query[kept], chunk[kept], score[kept])], 0
+        return self.held[0]
+
+    def rows(self, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        if (own := self.cut()) is not None:
+            query, chunk, score = own
+            for lo in range(0, len(query), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield pd.DataFrame({"query_id": ids[query[part]], "chunk_id": chunk[part], "score": score[part]})
+
+
+def _meet(best: _Nearest, matrix: np.ndarray, chunk: np.ndarray, vectors: np.ndarray) -> None:
+    every = np.arange(len(matrix))
+    for lo in range(0, len(chunk), VECTOR_BLOCK):
+        scores = matrix @ vectors[lo : lo + VECTOR_BLOCK].T
+        q, c = np.nonzero(scores >= best.least(every, scores)[:, None])
+        best.add(q, chunk[lo + c], scores[q, c])
 
 
 def brute_force(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -128,9 +175,11 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
         matrix = np.array(own["query_vector"].tolist(), np.float64).reshape(len(own), -1)
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Nearest(len(ids), k)
             for batch in batches:
                 if len(batch) and len(ids):
-                    yield from _best(ids, matrix, batch["chunk_id"].to_numpy(), np.array(batch["vector"].tolist(), np.float64), k)
+                    _meet(best, matrix, batch["chunk_id"].to_numpy(), np.array(batch["vector"].tolist(), np.float64))
+            yield from best.rows(ids)
 
         return top_k(vectors.select("chunk_id", "vector").mapInPandas(nearest, schema), k)
 
@@ -143,7 +192,9 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                yield from _best(np.array(r.query_id), np.stack(r.query_vector).astype(np.float64), np.array(r.chunk_id), np.stack(r.vector).astype(np.float64), k)
+                best = _Nearest(len(r.query_id), k)
+                _meet(best, np.stack(r.query_vector).astype(np.float64), np.array(r.chunk_id), np.stack(r.vector).astype(np.float64))
+                yield from best.rows(np.array(r.query_id))
 
     return top_k(pairs.mapInPandas(meet, schema), k)
 
@@ -247,15 +298,22 @@ def expand_with_neighbours(queries: DataFrame, terms: DataFrame, neighbours: Dat
 DELETED_FROM = 12
 
 
-def deletions(term: Column, most: int = 2, size: int = DELETED_FROM) -> Column:
-    """array<string>: the first size characters of a term with up to most of them deleted, each string once."""
-    head = F.substring(term, 1, size)
-    level = out = F.array(head)
-    for _ in range(most):
-        shorter = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.when(F.length(s) > 0, shorter(s)).otherwise(F.expr("cast(array() as array<string>)")))))
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+def deletions(most: int = 2, size: int = DELETED_FROM) -> Callable[[str], Column]:
+    """A function that makes array<string>: the first size characters of a term with up to most of them deleted, each string once."""
+
+    @F.pandas_udf("array<string>")
+    def of(terms: pd.Series) -> pd.Series:
+        def one(term: str) -> list[str]:
+            level = {term[:size]}
+            out = set(level)
+            for _ in range(most):
+                level = {s[:i] + s[i + 1 :] for s in level for i in range(len(s))}
+                out |= level
+            return list(out)
+
+        return terms.map(one)
+
+    return of
 
 
 def within_edits(asked: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
@@ -267,10 +325,13 @@ def within_edits(asked: DataFrame, known: DataFrame, most: int = 2) -> DataFrame
     entry is a string and a word, so memory follows neither a word's length nor the number of
     its neighbours; pairs are measured once they are distinct.
     """
-    size = F.length("term")
-    left = asked.select("term").distinct().select("term", F.explode(F.sequence(size - most, size + most)).alias("size"), deletions(F.col("term"), most).alias("ds")).select("term", "size", F.explode("ds").alias("deleted"))
-    right = known.select("other", F.length("other").alias("size"), F.explode(deletions(F.col("other"), most)).alias("deleted"))
-    pairs = left.join(right, ["deleted", "size"]).select("term", "other").distinct()
+    own = deletions(most)
+    left = asked.select("term").distinct().select("term", F.explode(own("term")).alias("deleted"))
+    left = left.select("term", "deleted", F.explode(F.sequence(F.length("term") - most, F.length("term") + most)).alias("size"))
+    right = known.select("other", F.length("other").alias("size"), F.explode(own("other")).alias("deleted"))
+    # equal hashes of unequal keys only add a pair that is measured
+    keyed = lambda rows, c: rows.select(F.xxhash64("deleted", "size").alias("key"), c)
+    pairs = keyed(left, "term").join(keyed(right, "other"), "key").select("term", "other").distinct()
     return pairs.withColumn("d", F.levenshtein("term", "other", most)).filter("d >= 0")
 
 
@@ -318,26 +379,24 @@ def ivf_radii(indexed: DataFrame, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_clusters(indexed: DataFrame, ids: np.ndarray, kind: str, matrix: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
+def in_clusters(indexed: DataFrame, ids: np.ndarray, kind: str, matrix: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
     """(query_id, chunk_id, score): of each partition the k best of each query among the clusters that its row of wanted (query x cluster) has."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best = _Nearest(len(ids), k)
         for batch in batches:
             if not len(batch):
                 continue
             chunk, cluster, vectors = batch["chunk_id"].to_numpy(), batch["cluster"].to_numpy(), np.array(batch["vector"].tolist(), np.float64)
-            for q in range(len(ids)):
-                at = np.flatnonzero(wanted[q, cluster])
-                if len(at):
-                    # summed row by row, so that equal vectors have equal scores wherever they stand
-                    found = chunk[at], (vectors[at] * matrix[q]).sum(axis=1)
-                    if q in best:
-                        found = tuple(map(np.concatenate, zip(best[q], found)))
-                    first = np.lexsort((found[0], -found[1]))[:k]
-                    best[q] = found[0][first], found[1][first]
-        for q, (chunk, score) in best.items():
-            yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk, "score": score})
+            for own in np.unique(cluster):
+                at, queries = np.flatnonzero(cluster == own), np.flatnonzero(wanted[:, own])
+                for lo in range(0, len(at) if len(queries) else 0, VECTOR_BLOCK):
+                    part = at[lo : lo + VECTOR_BLOCK]
+                    # products tell which pairs can matter; what counts is summed row by row, so that equal vectors have equal scores wherever they stand
+                    near = matrix[queries] @ vectors[part].T
+                    q, c = np.nonzero(near >= best.least(queries, near)[:, None] - 1e-9)
+                    best.add(queries[q], chunk[part[c]], (vectors[part[c]] * matrix[queries[q]]).sum(axis=1))
+        yield from best.rows(ids)
 
     return indexed.select("chunk_id", "vector", "cluster").mapInPandas(nearest, f"query_id {kind}, chunk_id {dict(indexed.dtypes)['chunk_id']}, score double")
 
@@ -366,9 +425,9 @@ def _probed(indexed: DataFrame, centers: np.ndarray, radii: np.ndarray, queries:
     at_center = matrix @ centers.T
     near = np.zeros(at_center.shape, bool)
     np.put_along_axis(near, np.argsort(-at_center, axis=1, kind="stable")[:, :probes], True, axis=1)
-    first = top_k(_in_clusters(indexed, ids, kind, matrix, near, k), k)
+    first = top_k(in_clusters(indexed, ids, kind, matrix, near, k), k)
     kth = {r["query_id"]: r["score"] for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}
     least = np.array([kth.get(x, -np.inf) for x in ids.tolist()])
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
     most = at_center + size * radii + 1e-9 * (1 + size)  # more than rounding adds
-    return top_k(_in_clusters(indexed, ids, kind, matrix, near | ~(most < least[:, None]), k), k)
+    return top_k(in_clusters(indexed, ids, kind, matrix, near | ~(most < least[:, None]), k), k)

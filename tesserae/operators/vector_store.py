@@ -10,14 +10,14 @@ A segment becomes visible with its radii, which are written last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.similarity import dot
-from tesserae.operators.retrieve import IVF_CLUSTERS, IVF_PROBES, TOP_K, ivf_index, top_k
+from tesserae.operators.retrieve import IVF_CLUSTERS, IVF_PROBES, QUERY_BLOCK, TOP_K, in_clusters, ivf_index, top_k
 from tesserae.sources.corpus import write_vector_store
 from tesserae.sources.tables import stored
 
@@ -75,6 +75,7 @@ class VectorSearch:
 
     def __init__(self, spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K, probes: int = IVF_PROBES) -> None:
         centers, kind = _centers(spark, path), dict(queries.dtypes)["query_id"]
+        self.k, self.shape = k, centers.shape
         radii = spark.read.parquet(f"{path}/radii")
         done = [r["segment"] for r in radii.select("segment").distinct().collect()]
         radius = np.full(len(centers), -np.inf)  # a cluster without vectors can score nothing
@@ -109,5 +110,17 @@ class VectorSearch:
         return self.vectors.join(F.broadcast(wanted), "cluster", "left_semi")
 
     def scores(self, probes: DataFrame) -> DataFrame:
-        rows = self.candidates(probes).select("chunk_id", "vector", "cluster").join(probes.select("query_id", "query_vector", "cluster"), "cluster")
-        return rows.select("query_id", "chunk_id", dot(F.col("vector"), F.col("query_vector")).alias("score"))
+        """(query_id, chunk_id, score): of each partition of the clusters the k best of each query that probes them; queries go with the tasks, QUERY_BLOCK at a time."""
+        kind = dict(probes.dtypes)["query_id"]
+        own = probes.groupBy("query_id").agg(F.first("query_vector").alias("query_vector"), F.collect_set("cluster").alias("clusters"))
+        n = own.count() // QUERY_BLOCK + 1
+        return reduce(DataFrame.unionByName, (self._block(own.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), kind) for b in range(n)))
+
+    def _block(self, queries: DataFrame, kind: str) -> DataFrame:
+        own = queries.toPandas()
+        matrix = np.array(own["query_vector"].tolist(), np.float64).reshape(len(own), self.shape[1])
+        wanted = np.zeros((len(own), self.shape[0]), bool)
+        for k, c in enumerate(own["clusters"]):
+            wanted[k, np.asarray(c, int)] = True
+        own_clusters = self.vectors.filter(F.col("cluster").isin([int(c) for c in np.flatnonzero(wanted.any(axis=0))]))
+        return in_clusters(own_clusters, own["query_id"].to_numpy(), kind, matrix, wanted, self.k)
