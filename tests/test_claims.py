@@ -1,9 +1,12 @@
 """Claim alignment on labelled pairs, odd rows and long texts."""
 
+import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tesserae.functions import text as txt
 from tesserae.operators import claims, guard
 
 #: Answer, context, whether the answer contradicts the context; the rules were written with these pairs in view.
@@ -84,3 +87,37 @@ def test_long_texts_take_linear_time(unit):
     began = time.time()
     n = sum(1 for _ in claims.text_claims(unit * (400_000 // len(unit))))
     assert n >= 0 and time.time() - began < 15
+
+
+def odd_answers(n: int = 120) -> list[tuple]:
+    rng = random.Random(20)
+    words = ["Rope", "Tar", "Paris", "not", "never", "It", "5", "6", "5 km", "5,000 m", "5 million", "20%", "old", "opened", "opening", "in", "and", ";", ".", ".", "isn't", "নাম", "না", "पानी", "9" * 400, "°C", "20 °C", "68 °F", "\n"]
+    texts = [None, "", *(" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(60))]
+    return [(k, rng.choice(texts), rng.choice(texts)) for k in range(n)] + [(k, t, (t or "")[: len(t or "") // 2]) for k, t in enumerate(texts, n)]
+
+
+def test_answers_are_judged_in_their_rows(spark):
+    own = spark.createDataFrame(odd_answers(), "query_id long, text string, context string").localCheckpoint()
+    found = claims.conflicts(own)
+    # a row that has its id alone needs no exchange of its claims
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    by_rows = sorted(map(tuple, found.collect()))
+    assert by_rows == sorted(map(tuple, claims._shuffled_conflicts(own).select(found.columns).collect()))
+    assert any(r[4] for r in by_rows) and any(r[6] for r in by_rows)
+
+
+def test_rows_of_one_id_meet_among_others(spark):
+    rows = odd_answers(40)
+    rows += [(k % 7 if k % 3 else None, a, b) for k, a, b in rows]
+    own = spark.createDataFrame(rows, "query_id long, text string, context string")
+    found = claims.conflicts(own)
+    assert sorted(map(str, found.collect())) == sorted(map(str, claims._shuffled_conflicts(own).select(found.columns).collect()))
+
+
+def test_stems_in_python_are_those_of_columns(spark):
+    rng = random.Random(8)
+    parts = ["run", "n", "s", "ing", "ies", "ness", "ization", "fall", "पानी", "लड़क", "ियों", "ता", "ने", "x", "ę", "বই", "ss", "ed", "é"]
+    words = ["", *{"".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(800)}]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", txt.stem(F.col("w")).alias("s")).collect()
+    assert all(txt.stem_of(r["w"]) == r["s"] for r in rows)
