@@ -386,3 +386,19 @@ def test_scores_are_scaled_before_they_are_rounded(spark, tmp_path):
     for name in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     assert [tuple(x) for x in registry.minimum_score(spark, str(tmp_path)).collect()] == con.execute(registry.ORACLES["minimum_score"]).fetchall() == [("q", 59)]
+
+
+@pytest.mark.parametrize("most", [0, 5, 1 << 20])
+def test_near_duplicates_whatever_frequencies_are_known(spark, monkeypatch, most):
+    monkeypatch.setattr(chunk, "MOST_FREQUENT", most)
+    rng = np.random.default_rng(14)
+    sets = []
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 300, rng.integers(1, 120))]
+        for _ in range(6):
+            sets.append([t for t in base if rng.random() > 0.02] + [f"x{k}" for k in rng.integers(0, 40, rng.integers(0, 3))])
+    rows = spark.createDataFrame(list(enumerate(sets)), "chunk_id long, tokens array<string>")
+    near = lambda a, b: bool(a and b) and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.94
+    gone = {j for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])}
+    found = chunk.near_duplicates(rows).collect()
+    assert {r["b"] for r in found} == gone and gone and all(r["a"] < r["b"] and near(sets[r["a"]], sets[r["b"]]) for r in found)
