@@ -292,3 +292,35 @@ def test_a_vector_store_is_read_by_clusters_and_grows(spark, tmp_path):
 
     shutil.rmtree(f"{path}/radii/segment=1")
     assert pick(vector_store.VectorSearch(spark, path, asked, k=4, probes=12).hits) == pick(retrieve.brute_force(frame.filter("chunk_id < 600"), asked, 4))
+
+
+@pytest.mark.parametrize("made", [1, 40, 1 << 18])
+def test_postings_of_blocks_that_batches_cut(monkeypatch, made):
+    import pyarrow as pa
+
+    monkeypatch.setattr(index, "MADE", made)
+    rng = random.Random(6)
+    chunks = [(k // 3, f"c{k:03}", [rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.choice([0, 1, 5, 40]))]) for k in range(100)]
+    block, ids, tokens = zip(*chunks)
+    whole = pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(ids), pa.array(list(map(len, tokens)), pa.int32()), pa.array(tokens, pa.list_(pa.string()))], names=["block", "chunk_id", "dl", "tokens"])
+    want = {}
+    for b, c, ts in chunks:
+        for t in set(ts):
+            want.setdefault((t, b), []).append(((c, len(ts), ts.count(t)), [k for k, x in enumerate(ts) if x == t]))
+    for cuts in ([0, 100], [0, 1, 2, 50, 51, 100], [0, 10, 10, 30, 100], list(range(101))):
+        got = [r for x in index._postings(whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])) for r in x.to_pylist()]
+        assert len(got) == len(want)
+        for r in got:
+            rows = want[r["term"], r["block"]]
+            assert [tuple(h.values()) for h in r["held"]] == [h for h, _ in rows] and r["places"] == [p for _, p in rows]
+            assert (r["chunks"], r["most"], r["shortest"]) == (len(rows), max(h[2] for h, _ in rows), min(h[1] for h, _ in rows))
+
+
+def test_scores_read_numbers_only(spark, tmp_path, corpus):
+    chunks, queries = corpus
+    written(spark, chunks, f"{tmp_path}/i")
+    search = found(spark, f"{tmp_path}/i", queries, k=4, first=3)
+    read = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "places" not in read(search.scores(search.first)) and "occurrences" not in read(search.scores(search.first))
+    # the places of hits are looked up once, by both parts of the rerank
+    assert "held" in read(search.occurrences(search.hits)) and "held" not in read(search.reranked())
