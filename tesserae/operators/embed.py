@@ -14,13 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.functions.similarity import dot, l2_normalize, let
+from tesserae.functions.similarity import l2_normalize
 from tesserae.functions.text import stem
-from tesserae.operators import stats
+from tesserae.operators import blocks, stats
+from tesserae.operators.pairs import from_bytes, from_gaps
 from tesserae.sources.tables import stored
 
 # Parameters of the embedders, and constants of the hash and the generator behind signatures.
@@ -57,55 +58,74 @@ def signatures(terms: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFrame:
     return terms.select("term").distinct().select("term", F.explode(of("term")).alias("s")).select("term", "s.idx", "s.sign")
 
 
-def dense(sparse: DataFrame, key: str, dim: int = DIM) -> DataFrame:
-    """(key, vector) at unit length from (key, idx, w): summed by built-in functions, spread into arrays by Arrow batches."""
-    own = sparse.groupBy(key, "idx").agg(F.sum("w").alias("w")).groupBy(key).agg(F.collect_list("idx").alias("i"), F.collect_list("w").alias("w"))
-    kind = dict(own.dtypes)[key]
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows at unit length; rows of (almost) no length are left as they are."""
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(size > 1e-12, size, 1.0)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                out = np.zeros((batch.num_rows, dim))
-                row = np.repeat(np.arange(batch.num_rows), batch.column("i").value_lengths().to_numpy())
-                out[row, batch.column("i").flatten().to_numpy()] = batch.column("w").flatten().to_numpy()
-                size = np.linalg.norm(out, axis=1, keepdims=True)
-                out /= np.where(size > 1e-12, size, 1.0)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(out), pa.list_(pa.float64()))], names=[key, "vector"])
 
-    return own.select(key, "i", "w").mapInArrow(spread, f"{key} {kind}, vector array<double>")
+def _encoded(own: DataFrame, known: DataFrame, rows_of: Callable[[pa.Table, int], Callable[[np.ndarray], np.ndarray]], dim: int, terms: bool = False) -> DataFrame:
+    """(doc_id, vector) of blocks at unit length: for each document the sum, over its tokens with repeats, of the row that rows_of makes of known for a block's term."""
+    kind, again = own.schema["doc_id"].dataType.simpleString(), blocks.repeated(own)
 
+    def sums(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        codes, sizes = blocks.flat(docs, "codes")
+        out = blocks.part_sums(rows_of(rows, int(codes.max(initial=-1)) + 1), codes, sizes, dim)
+        return pa.table({"doc_id": docs.column("doc_id"), "vector": _lists(out if again else _unit(out))})
 
-def weighted_sums(rows: DataFrame) -> DataFrame:
-    """(doc_id, vector): the sums of w * vector for each document, at unit length; rows (doc_id, vector, w).
+    def total(table: pa.Table) -> pa.Table:
+        v = table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0, keepdims=True)
+        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "vector": _lists(_unit(v))})
 
-    Each Arrow batch is summed by document before the shuffle, so that what is
-    shuffled is vectors of documents, not of terms.
-    """
-    kind = dict(rows.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, vector array<double>"
+    made = blocks.met(own, known, sums, schema, terms)
+    return made.groupBy("doc_id").applyInArrow(total, schema) if again else made
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1) * batch.column("w").to_numpy()[:, None]
-            ids = batch.column("doc_id").dictionary_encode()
-            sums = np.zeros((len(ids.dictionary), matrix.shape[1]))
-            np.add.at(sums, ids.indices.to_numpy(), matrix)
-            yield pa.RecordBatch.from_arrays([ids.dictionary, pa.array(list(sums), pa.list_(pa.float64()))], names=["doc_id", "vector"])
 
-    def total(table: pa.Table) -> pa.Table:
-        v = table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0)
-        size = np.linalg.norm(v)
-        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "vector": pa.array([v / size if size > 1e-12 else v], pa.list_(pa.float64()))})
+@dataclass
+class Contexts:
+    """What term vectors are made of: packed (term, id, ctxs, units), and by number the signatures and, in weight, the marginals of all terms."""
 
-    schema = f"doc_id {kind}, vector array<double>"
-    return rows.mapInArrow(partial, schema).groupBy("doc_id").applyInArrow(total, schema)
+    packed: DataFrame
+    signs: np.ndarray
+    weight: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    dim: int
+
+    @property
+    def rows(self) -> Callable[[pa.Table | pa.RecordBatch], np.ndarray]:
+        """What makes the vectors at unit length of some rows (id, ctxs, units)."""
+        signs, weight, dim = self.signs, self.weight, self.dim
+
+        def made(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+            ids = table.column("id").to_numpy()
+            (ctxs, sizes), (units, _) = (from_bytes(_whole(table.column(c))) for c in ("ctxs", "units"))
+            ctxs, row = from_gaps(ctxs, sizes), np.repeat(np.arange(len(sizes)), sizes)
+            w, at = weight(ids[row], ctxs, units), signs[ctxs].astype(np.int64)
+            cell = row[:, None] * dim + np.where(at >= 0, at, -1 - at)
+            return _unit(np.bincount(cell.ravel(), weights=(w[:, None] * np.where(at >= 0, 1.0, -1.0)).ravel(), minlength=len(sizes) * dim).reshape(-1, dim))
+
+        return made
+
+    def vectors(self, packed: DataFrame) -> DataFrame:
+        """(term, vector) of rows of packed."""
+        rows = self.rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(lo, 1024)
+                    yield pa.RecordBatch.from_arrays([batch.column("term"), _lists(rows(batch))], names=["term", "vector"])
+
+        return packed.select("term", "id", "ctxs", "units").mapInArrow(run, "term string, vector array<double>")
 
 
 @dataclass
 class PpmiModel:
-    """terms (term, stem, df, idf), vectors (term, vector), max_idf and the common direction, if any."""
+    """terms (term, stem, df, idf), vectors (term, vector), max_idf and the common direction, if any.
+
+    Where contexts are known, vectors are made of them whenever they are read,
+    since a vector is several times as large as its term's contexts.
+    """
 
     terms: DataFrame
     vectors: DataFrame
@@ -114,22 +134,72 @@ class PpmiModel:
     dim: int = DIM
     #: The documents that the model was fitted on and their sums, which that took.
     fitted: tuple[DataFrame, DataFrame] | None = None
+    contexts: Contexts | None = None
+    #: Their blocks.
+    own: DataFrame | None = None
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """(doc_id, vector) of docs (doc_id, tokens) with the common direction taken out; documents without known terms have zero vectors."""
-        none = F.array_repeat(F.lit(0.0), self.dim)
-        sums = self.fitted[1] if self.fitted is not None and self.fitted[0] is docs else _raw(docs, self)
-        raw = docs.select("doc_id").distinct().join(sums, "doc_id", "left").select("doc_id", F.coalesce("vector", none).alias("vector"))
+        raw, schema, finished = self.fitted[1] if self.fitted is not None and self.fitted[0] is docs else _raw(docs, self), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector array<double>", self._finished
         if self.common is None:
             return raw
-        c = F.array(*map(F.lit, self.common))
-        return raw.withColumn("vector", l2_normalize(let(dot(F.col("vector"), c), lambda d: F.zip_with("vector", c, lambda x, y: x - y * d))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(lo, 1024)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(finished(batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)))], names=["doc_id", "vector"])
+
+        return raw.select("doc_id", "vector").mapInArrow(run, schema)
+
+    @property
+    def _finished(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Sums at unit length without the common direction."""
+        common = None if self.common is None else np.array(self.common)
+        return lambda v: _unit(v) if common is None else _unit((u := _unit(v)) - (u @ common)[:, None] * common)
+
+    def parts(self, docs: DataFrame, made: Callable[[dict, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+        """What made returns for each document, (values of the row, vectors of its parts, sums of their tokens before any length is taken): docs (tokens, sizes, others), sizes being those of consecutive parts."""
+        rows_of, dim, names = self._rows_of(), self.dim, [c for c in docs.columns if c not in ("tokens", "sizes")]
+        kinds = _arrow(docs.sparkSession, schema)
+
+        def run(table: pa.Table, rows: pa.Table) -> pa.Table:
+            codes, sizes = blocks.flat(table, "codes")
+            row, out, at = rows_of(rows, int(codes.max(initial=-1)) + 1), [], 0
+            for k, n in enumerate(sizes):
+                values = {c: table.column(c)[k].as_py() for c in names}
+                out += made(values, blocks.part_sums(row, codes[at : at + n], np.array(table.column("sizes")[k].as_py() or [0], np.int64), dim))
+                at += n
+            return pa.Table.from_arrays([pa.array(list(x), kind.type) for x, kind in zip(zip(*out), kinds)], schema=kinds) if out else kinds.empty_table()
+
+        own = blocks.blocks(docs)
+        return blocks.met(own, _known(own, self), run, schema)
+
+    def _rows_of(self) -> Callable[[pa.Table, int], Callable[[np.ndarray], np.ndarray]]:
+        """What makes the rows of a block's terms, idf times vector, of the rows of _known; terms without a vector have zeros."""
+        of, dim = self.contexts and self.contexts.rows, self.dim
+
+        def made(rows: pa.Table, n: int) -> Callable[[np.ndarray], np.ndarray]:
+            matrix, code = np.zeros((n, dim)), rows.column("code").to_numpy()
+            for lo in range(0, rows.num_rows, 1024):
+                own = rows.slice(lo, 1024)
+                vectors = of(own) if of else own.column("vector").combine_chunks().flatten().to_numpy().reshape(own.num_rows, dim)
+                matrix[code[lo : lo + 1024]] = vectors * own.column("idf").to_numpy()[:, None]
+            return lambda codes: matrix[codes]
+
+        return made
+
+    def _some(self, terms: DataFrame) -> DataFrame:
+        """The vectors (term, vector) of those of terms (term) that have one."""
+        return self.vectors.join(terms, "term", "left_semi") if self.contexts is None else self.contexts.vectors(self.contexts.packed.join(terms, "term", "left_semi"))
 
     def neighbours(self, words: DataFrame, k: int = 8) -> DataFrame:
         """(term, other, score): the k terms nearest to each of words (term), which fall back to their stem's vector."""
         own = words.select("term", stem(F.col("term")).alias("s")).distinct()
-        exact = own.join(self.vectors, "term").select("term", "vector")
-        by_stem = own.join(exact.select("term"), "term", "left_anti").join(self.vectors.withColumnRenamed("term", "s"), "s").select("term", "vector")
+        # a set of terms and their stems, stored, as it is read by each of the joins
+        some = stored(self._some(own.select(F.explode(F.array("term", "s")).alias("term")).distinct()), "some-vectors")
+        exact = own.join(some, "term").select("term", "vector")
+        by_stem = own.join(some.select("term"), "term", "left_anti").join(some.withColumnRenamed("term", "s"), "s").select("term", "vector")
         from tesserae.operators.retrieve import brute_force
 
         hits = brute_force(self.vectors.select(F.col("term").alias("chunk_id"), "vector"), exact.unionByName(by_stem).select(F.col("term").alias("query_id"), F.col("vector").alias("query_vector")), k + 1)
@@ -152,16 +222,25 @@ class PpmiModel:
 
 
 def _raw(docs: DataFrame, model: PpmiModel) -> DataFrame:
-    """Sum over tokens, with repeats, of idf * vector; an unknown term takes the vector of the most frequent one with its stem."""
-    words = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    known = model.vectors.select("term").join(model.terms.select("term", "stem", "df"), "term")
+    """(doc_id, vector) of documents or their blocks: the sum over tokens, with repeats, of idf * vector at unit length; an unknown term takes the vector of the most frequent one with its stem."""
+    own = blocks.blocks(docs)
+    return _encoded(own, _known(own, model), model._rows_of(), model.dim)
+
+
+def _known(own: DataFrame, model: PpmiModel) -> DataFrame:
+    """(term, idf, contexts or vector) of the terms of blocks that have a vector, or the vector of the most frequent one with their stem."""
+    words = blocks.dictionaries(own).select("term").distinct().join(model.terms.select("term", "stem", "df", "idf"), "term", "left")
+    vectors = model.vectors if model.contexts is None else model.contexts.packed
+    known = vectors.select("term").join(model.terms.select("term", "stem", "df"), "term")
     of_stem = known.withColumn("_n", F.row_number().over(W.partitionBy("stem").orderBy(F.desc("df"), "term"))).filter("_n = 1").select(F.col("stem").alias("s"), F.col("term").alias("stand_in"))
-    mapped = words.withColumn("s", stem(F.col("term"))).join(known.select(F.col("term"), F.lit(True).alias("known")), "term", "left").join(of_stem, "s", "left")
-    mapped = mapped.withColumn("use", F.when(F.col("known"), F.col("term")).otherwise(F.col("stand_in"))).filter("use is not null")
-    weighted = mapped.join(model.terms.select("term", "idf"), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(model.max_idf)))
-    by_use = weighted.groupBy("doc_id", "use").agg(F.sum("w").alias("w"))
-    rows = by_use.join(model.vectors.withColumnRenamed("term", "use"), "use").select("doc_id", "vector", "w")
-    return weighted_sums(rows)
+    mapped = words.withColumn("s", F.coalesce("stem", stem(F.col("term")))).join(known.select(F.col("term"), F.lit(True).alias("known")), "term", "left").join(of_stem, "s", "left")
+    mapped = mapped.select("term", F.when(F.col("known"), F.col("term")).otherwise(F.col("stand_in")).alias("use"), F.coalesce("idf", F.lit(model.max_idf)).alias("idf")).filter("use is not null")
+    return mapped.join(vectors.withColumnRenamed("term", "use"), "use").drop("use")
+
+
+def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
+    """A schema as Arrow has it."""
+    return spark.createDataFrame([], schema).toArrow().schema
 
 
 def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2, window: int = 5, max_contexts: int = 64, direction: bool = True) -> PpmiModel:
@@ -173,19 +252,38 @@ def fit_ppmi(docs: DataFrame, dim: int = DIM, seed: int = SEED, min_df: int = 2,
     Tables that are read more than once are stored in the shared folder.
     """
     given, docs = docs, stored(docs.select("doc_id", "tokens"), "tokens")
-    corpus = stats.corpus_stats(docs)
-    terms = stored(stats.with_idf(stats.term_stats(docs), corpus), "terms")
-    contexts = stored(stats.strongest_contexts(stats.pairs(docs, stats.vocabulary(terms, min_df), window), max_contexts), "contexts")
-    vectors = stored(_term_vectors(contexts, dim, seed), "vectors")
+    corpus, own = stats.corpus_stats(docs), blocks.blocks(docs)
+    terms = stored(stats.with_idf(stats.block_stats(docs, own), corpus), "terms")
+    contexts, vectors = _contexts(stats.pairs(docs, stats.vocabulary(terms, min_df), window), max_contexts, dim, seed)
     n = corpus.first()["n_docs"]
-    model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim)
+    model = PpmiModel(terms, vectors, float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, None, dim, contexts=contexts)
     if not direction:
         return model
-    raw = stored(_raw(docs, model), "raw-vectors")
-    model.common, model.fitted = common_direction(raw, dim), (given, raw)
+    raw = stored(_raw(own, model), "raw-vectors")
+    model.common, model.fitted, model.own = common_direction(raw, dim), (given, raw), own
     return model
 
 
+def _contexts(own: stats.Pairs, max_contexts: int, dim: int, seed: int) -> tuple[Contexts | None, DataFrame]:
+    """The contexts of pairs, if their terms are few enough to go with tasks as arrays, and the vectors (term, vector)."""
+    packed = own.strongest(max_contexts, packed=True)
+    if packed is None:
+        return None, stored(_term_vectors(stored(stats.strongest_contexts(own, max_contexts), "contexts"), dim, seed), "vectors")
+    packed = stored(own.named(packed, "term", "id").select("term", "id", "ctxs", "units"), "contexts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [i if s > 0 else -1 - i for t in batch.column("term").to_pylist() for i, s in signature(t, dim, seed)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(np.array(made, np.int16).reshape(batch.num_rows, NONZEROS))], names=["id", "at"])
+
+    table = own.names.mapInArrow(run, "id int, at array<short>").toArrow()
+    signs = np.zeros((max(own.n, 1), NONZEROS), np.int16)
+    if table.num_rows:
+        signs[table.column("id").to_numpy()] = blocks.flat(table, "at")[0].reshape(-1, NONZEROS)
+    contexts = Contexts(packed, signs, own.pmi(), dim)
+    return contexts, contexts.vectors(packed)
+
+
 def _term_vectors(contexts: DataFrame, dim: int, seed: int) -> DataFrame:
     """(term, vector) at unit length: the sum of w times the signature of each context (term, ctx, w); a row for each context goes to its term, not one for each sign."""
     own = contexts.select(F.col("ctx").alias("term")).distinct()
@@ -211,6 +309,11 @@ def _term_vectors(contexts: DataFrame, dim: int, seed: int) -> DataFrame:
     return packed.mapInArrow(spread, "term string, vector array<double>")
 
 
+def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """A column as one array."""
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def _lists(matrix: np.ndarray) -> pa.ListArray:
     """The rows of a matrix as lists."""
     n, dim = matrix.shape
@@ -255,19 +358,19 @@ def common_direction(vectors: DataFrame, dim: int = DIM) -> list[float] | None:
 
 
 class _GramSums:
-    """The sums of the signatures of terms' 3- to 5-grams, whole numbers, of up to MOST terms at a time."""
+    """The sums of the signatures of terms' 3- to 5-grams, whole numbers, of up to most terms at a time, MOST unless given."""
 
     MOST = 65_536
 
-    def __init__(self, dim: int, seed: int) -> None:
-        self.dim, self.seed = dim, seed
+    def __init__(self, dim: int, seed: int, most: int | None = None) -> None:
+        self.dim, self.seed, self.most = dim, seed, most or self.MOST
         self.place: dict[str, int] = {}
-        self.sums, self.sizes = np.zeros((self.MOST, dim), np.float32), np.zeros(self.MOST)
+        self.sums, self.sizes = np.zeros((self.most, dim), np.float32), np.zeros(self.most)
 
     def rows(self, terms: list[str]) -> np.ndarray:
-        """The rows of at most MOST terms."""
+        """The rows of at most so many terms."""
         new = [t for t in dict.fromkeys(terms) if t not in self.place]
-        if len(self.place) + len(new) > self.MOST:
+        if len(self.place) + len(new) > self.most:
             self.place, new = {}, list(dict.fromkeys(terms))
         for lo in range(0, len(new), 512):
             part, at = new[lo : lo + 512], len(self.place)
@@ -303,44 +406,28 @@ class _GramSums:
 
 
 def encode_chars(docs: DataFrame, terms: DataFrame | None = None, max_idf: float = 1.0, dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """(doc_id, vector) from the 3- to 5-grams of tokens, each token weighted by idf / sqrt(number of its grams); idf is 1 without terms.
+    """(doc_id, vector) of documents or their blocks from the 3- to 5-grams of tokens, each token weighted by idf / sqrt(number of its grams); idf is 1 without terms.
 
     A document without tokens has a zero vector.
     """
-    words = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    idf: Column = F.lit(1.0)
-    if terms is not None:
-        words, idf = words.join(terms.select("term", "idf"), "term", "left"), F.coalesce("idf", F.lit(max_idf))
-    packed = words.select("doc_id", "term", (F.col("n") * idf).alias("w")).groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _GramSums(dim, seed ^ CHAR_SEED)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                ends = np.concatenate([[0], np.cumsum(batch.column("w").value_lengths().to_numpy())])
-                w, own, out = batch.column("w").flatten().to_numpy(), batch.column("terms").flatten(), np.zeros((batch.num_rows, dim))
-                for at in range(0, len(own), _GramSums.MOST // 4):
-                    part = slice(at, at + _GramSums.MOST // 4)
-                    rows = known.rows(own[part].to_pylist())
-                    scaled = w[part] / np.sqrt(np.maximum(known.sizes[rows], 1))
-                    for k in range(np.searchsorted(ends, at, "right") - 1, batch.num_rows):
-                        a, b = max(ends[k], at) - at, min(ends[k + 1], at + len(rows)) - at
-                        if ends[k] >= at + len(rows):
-                            break
-                        for c in range(a, b, 4096):
-                            d = min(c + 4096, b)
-                            out[k] += scaled[c:d] @ known.sums[rows[c:d]]
-                size = np.linalg.norm(out, axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(out / np.where(size > 1e-12, size, 1.0))], names=["doc_id", "vector"])
+    own, seed = blocks.blocks(docs), seed ^ CHAR_SEED
+    known = blocks.dictionaries(own).select("term").distinct()
+    known = known.withColumn("idf", F.lit(1.0)) if terms is None else known.join(terms.select("term", "idf"), "term", "left").select("term", F.coalesce("idf", F.lit(max_idf)).alias("idf"))
+
+    def rows_of(rows: pa.Table, n: int) -> Callable[[np.ndarray], np.ndarray]:
+        names, code = rows.column("term").to_pylist(), rows.column("code").to_numpy()
+        grams, at, weight = _GramSums(dim, seed, len(names)), np.zeros(n, np.int64), np.zeros(n)
+        at[code] = grams.rows(names)
+        weight[code] = rows.column("idf").to_numpy() / np.sqrt(np.maximum(grams.sizes[at[code]], 1))
+        return lambda codes: grams.sums[at[codes]] * weight[codes][:, None]
 
-    made = packed.mapInArrow(summed, f"doc_id {dict(docs.dtypes)['doc_id']}, vector array<double>")
-    return docs.select("doc_id").distinct().join(made, "doc_id", "left").select("doc_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)).alias("vector"))
+    return _encoded(own, known, rows_of, dim, True)
 
 
 def encode_composite(model: PpmiModel, docs: DataFrame) -> DataFrame:
     """(doc_id, vector): 0.7 of the PPMI and 0.3 of the character vector at unit length; a missing one counts as zero."""
-    a, b = model.encode(docs).withColumnRenamed("vector", "p"), encode_chars(docs, model.terms, model.max_idf, model.dim).withColumnRenamed("vector", "c")
+    own = model.own if model.fitted is not None and model.fitted[0] is docs else blocks.blocks(docs.select("doc_id", "tokens"))
+    a, b = model.encode(docs if own is model.own else own).withColumnRenamed("vector", "p"), encode_chars(own, model.terms, model.max_idf, model.dim).withColumnRenamed("vector", "c")
     both = b.join(a, "doc_id", "full")
     none = F.array_repeat(F.lit(0.0), model.dim)
     return both.select("doc_id", l2_normalize(F.zip_with(F.coalesce("p", none), F.coalesce("c", none), lambda x, y: x * BLEND[0] + y * BLEND[1])).alias("vector"))
@@ -406,7 +493,7 @@ def fit_chars(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> CharModel:
     """A character model of docs (doc_id, tokens)."""
     corpus = stats.corpus_stats(docs)
     n = corpus.first()["n_docs"]
-    return CharModel(stats.with_idf(stats.term_stats(docs), corpus), float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, dim, seed)
+    return CharModel(stats.with_idf(stats.block_stats(docs, blocks.blocks(docs.select("doc_id", "tokens"))), corpus), float(np.log((n - 0.5) / 1.5 + 1.0)) if n else 1.0, dim, seed)
 
 
 def embedder(kind: str, docs: DataFrame, dim: int = DIM, seed: int = SEED) -> Callable[[DataFrame], DataFrame]:

@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from tesserae.operators import blocks, pairs
+from tesserae.operators import blocks, embed, pairs
+from tesserae.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,11 @@ def docs(spark):
     return spark.createDataFrame([*own, (3, ["w1", "w2", "lonely"]), (None, ["w1"]), (100, None)], "doc_id long, tokens array<string>").coalesce(2)
 
 
+@pytest.fixture(scope="module")
+def model(docs):
+    return embed.fit_ppmi(docs, 16)
+
+
 def test_blocks_keep_all_tokens_and_count_terms(docs, monkeypatch):
     for name, most in (("TOKENS", 100), ("TERMS", 30), ("SLICE", 25), ("ROW", 7)):
         monkeypatch.setattr(blocks, name, most)
@@ -30,6 +37,26 @@ def test_blocks_keep_all_tokens_and_count_terms(docs, monkeypatch):
     assert blocks.repeated(own) and not blocks.repeated(blocks.blocks(docs.filter("doc_id <> 3")))
 
 
+def test_encoding_looks_a_term_up_once_for_each_block(docs, model, monkeypatch):
+    vectors = {r["term"]: np.array(r["vector"]) for r in model.vectors.collect()}
+    idf = {r["term"]: r["idf"] for r in model.terms.collect()}
+    bags = {}
+    for r in docs.collect():
+        bags.setdefault(r["doc_id"], []).extend(r["tokens"] or [])
+    met, seen = blocks.met, []
+    monkeypatch.setattr(blocks, "met", lambda of, known, *a: seen.append((blocks.dictionaries(of).count(), known)) or met(of, known, *a))
+    for most in (blocks.TOKENS, 60):
+        monkeypatch.setattr(blocks, "TOKENS", most)
+        monkeypatch.setattr(blocks, "SLICE", 25)
+        got = {r["doc_id"]: np.array(r["vector"]) for r in replace(model, common=None, fitted=None).encode(docs).collect()}
+        assert set(got) == set(bags)
+        for d, ts in bags.items():
+            v = sum((idf[t] * vectors[t] for t in ts if t in vectors), np.zeros(16))
+            assert np.allclose(got[d], v / max(np.linalg.norm(v), 1e-12), atol=1e-9)
+    n = sum(len(set(ts)) for ts in bags.values())
+    assert seen[0][0] < n / 4 and seen[0][1].count() == seen[0][1].select("term").distinct().count()
+
+
 def test_numbers_as_bytes():
     r = np.random.default_rng(1)
     for _ in range(50):
@@ -59,3 +86,9 @@ def test_pairs_of_three_million_terms_go_as_arrays_in_few_bytes(spark):
                     want[a, ts[i + d]] += 60 // d
                     want[ts[i + d], a] += 60 // d
     assert got == {k: u / 60 for k, u in want.items()}
+
+
+def test_vectors_of_terms_are_not_stored(docs, monkeypatch):
+    monkeypatch.setattr(tables, "_written", [])
+    model = embed.fit_ppmi(docs, 16, direction=False)
+    assert model.vectors.count() > 10 and not [p for p in tables._written if "tesserae-vectors-" in p]
