@@ -7,9 +7,12 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from tesserae.operators import blocks, embed, pairs
+from tesserae.operators import blocks, embed, pairs, stats
+from tesserae.plans import registry
 from tesserae.sources import tables
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def docs(spark):
@@ -57,6 +60,16 @@ def test_encoding_looks_a_term_up_once_for_each_block(docs, model, monkeypatch):
     assert seen[0][0] < n / 4 and seen[0][1].count() == seen[0][1].select("term").distinct().count()
 
 
+def test_terms_are_counted_without_a_row_for_each_document_and_term(spark, docs, monkeypatch):
+    one = docs.filter("doc_id <> 3")
+    want = sorted(map(tuple, stats.term_stats(one).collect()))
+    assert sorted(map(tuple, stats.block_stats(docs, blocks.blocks(docs)).collect())) == sorted(map(tuple, stats.term_stats(docs).collect()))
+    monkeypatch.setattr(stats, "term_stats", lambda *_: 1 / 0)
+    assert sorted(map(tuple, stats.block_stats(one, blocks.blocks(one)).collect())) == want
+    registry.char_encode(spark, SF)
+    registry._pairs(spark, SF)
+
+
 def test_numbers_as_bytes():
     r = np.random.default_rng(1)
     for _ in range(50):
