@@ -7,7 +7,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from tesserae.operators import blocks, embed, pairs, stats
+from tesserae.operators import blocks, chunk, embed, pairs, stats
 from tesserae.plans import registry
 from tesserae.sources import tables
 
@@ -60,6 +60,17 @@ def test_encoding_looks_a_term_up_once_for_each_block(docs, model, monkeypatch):
     assert seen[0][0] < n / 4 and seen[0][1].count() == seen[0][1].select("term").distinct().count()
 
 
+def test_drift_by_a_model_equals_that_by_vectors_of_all_units(spark, monkeypatch):
+    r = random.Random(2)
+    texts = [" ".join(" ".join(f"w{int(r.paretovariate(0.7)) % 40}" for _ in range(r.randrange(1, 12))).capitalize() + "." for _ in range(r.randrange(0, 25))) for _ in range(25)]
+    rows = spark.createDataFrame([*enumerate(texts), (90, None), (91, "..."), (92, "w1 " * 300)], "doc_id long, text string")
+    model = embed.fit_ppmi(registry.txt.token_rows(rows, "doc_id"), 16)
+    told = lambda df: sorted(map(tuple, df.select("doc_id", "ordinal", "text", "token_count").collect()))
+    want = told(chunk.drift(rows, model.encode, 0.8, 12, 40))
+    monkeypatch.setattr(chunk, "with_nearness", lambda *_: 1 / 0)
+    assert told(chunk.drift(rows, model, 0.8, 12, 40)) == want and len(want) > 40
+
+
 def test_terms_are_counted_without_a_row_for_each_document_and_term(spark, docs, monkeypatch):
     one = docs.filter("doc_id <> 3")
     want = sorted(map(tuple, stats.term_stats(one).collect()))
